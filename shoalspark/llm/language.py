@@ -11,7 +11,8 @@ A text scores as its words (runs of letters, lower case, with begin and end
 marks): the language of the lowest cross-entropy a character wins. A text is
 ``rejected`` if that entropy lies further above the language's mean than a
 calibrated bound, the quantile ``keep`` over documents kept out of the fit times
-``slack``, on a scale that widens as one over the root of the length.
+``slack`` and ``LEAST_EXCESS`` at least, on a scale that widens as one over the
+root of the length.
 
 Defined cases: a null text, or one without a letter, gets ``und`` and score 0;
 unlabelled documents never train; with nothing to learn from, all are ``und``;
@@ -36,6 +37,8 @@ ORDER = 5
 UNDETERMINED = "und"
 #: Words whose scores a process holds at most, and characters in which rejection widens no more.
 MAX_CACHE, LENGTH_CAP = 400_000, 256
+#: Nats a character above the mean, in a long text, that no calibration rejects.
+LEAST_EXCESS = 1.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -202,7 +205,7 @@ def train(docs: DataFrame, sample_chars: int = 1_000_000, keep: float = 0.999, s
         if len(h) >= 20:
             model.mean[i] = np.median(h)
             over = (h - model.mean[i]) * _scale(np.array([r[2] for r in rows if r[0] == lang]))
-            model.bound[i] = slack * max(np.quantile(over, keep, method="higher"), 1.0)
+            model.bound[i] = max(slack * np.quantile(over, keep, method="higher"), LEAST_EXCESS * LENGTH_CAP**0.5)
     return model
 
 
