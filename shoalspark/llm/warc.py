@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalspark.llm.common import map_batches, scratch_path, text_or_empty
+from shoalspark.llm.common import map_batches, materialise, scratch_path, text_or_empty
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_A_FILE = 1000
+#: Digests of repeated payloads, 40 bytes each, up to which they are broadcast; beyond, Spark joins by shuffle.
+FEW_DIGESTS = 100_000
 
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HTTP = b"\r\n\r\n"
@@ -51,7 +53,10 @@ def payload_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("payload"))
     p = p.withColumn("digest", sha1_base32(F.col("payload").cast("binary")))
     large = F.octet_length("payload") >= least_bytes
-    first = p.where(large).groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = p.where(large).select("id", "digest").groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialise(first, "digests")
+    if first.count() <= FEW_DIGESTS:  # then the payloads need not be shuffled to meet them
+        first = F.broadcast(first)
     return p.join(first, "digest", "left").withColumn("response", F.when(large, F.coalesce("response", "id")).otherwise(F.col("id")))
 
 
