@@ -46,7 +46,7 @@ def isotonic(df: DataFrame, group: str, order: str, value: str, increasing: bool
 def surface_profile(df: DataFrame, group: str = "river_id", order: str = "s_center_m", value: str = "wse_m", window: int = 9) -> DataFrame:
     """Smoothed water surface, isotonic in the direction of its trend, and its slope."""
     smooth = rolling_smooth(df, group, order, value, window, max(3, window // 2))
-    trend = smooth.groupBy(group).agg(F.coalesce(F.corr(order, "smooth") > 0, F.lit(False)).alias("_up"))
+    trend = smooth.groupBy(group).agg(F.coalesce(F.covar_pop(order, "smooth") > 0, F.lit(False)).alias("_up"))
     known = smooth.where(F.col("smooth").isNotNull()).join(trend, group)
     parts = [isotonic(known.where(F.col("_up") == up).drop("_up"), group, order, "smooth", up) for up in (True, False)]
     return central_slope(parts[0].unionByName(parts[1]), group, order, "fitted")
