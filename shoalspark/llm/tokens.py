@@ -91,7 +91,7 @@ def pretoken_frequencies(docs: DataFrame, tokenizer_path: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         cut = PreTokenizer(tokenizer_path)
-        chunk, codes, held = uuid.uuid4().hex, _Codes(), 0
+        chunk, codes, held = uuid.uuid4().int >> 65, _Codes(), 0
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
@@ -108,10 +108,10 @@ def pretoken_frequencies(docs: DataFrame, tokenizer_path: str, id_col: str = "do
                 held += n
                 if len(codes) >= MAX_DICTIONARY or held >= MAX_DOCUMENTS:
                     yield from entries(chunk, codes)
-                    chunk, codes, held = uuid.uuid4().hex, _Codes(), 0
+                    chunk, codes, held = uuid.uuid4().int >> 65, _Codes(), 0
         yield from entries(chunk, codes)
 
-    def entries(chunk: str, codes: dict[str, int]) -> Iterator[dict]:
+    def entries(chunk: int, codes: dict[str, int]) -> Iterator[dict]:
         words = list(codes)  # in the order of their codes
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
@@ -119,7 +119,7 @@ def pretoken_frequencies(docs: DataFrame, tokenizer_path: str, id_col: str = "do
             none = [None] * n
             yield {"chunk": [chunk] * n, "id": none, "n_bytes": none, "special": none, "pairs": none, "code": range(at, at + n), "piece": part}
 
-    found = map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "chunk string, id long, n_bytes long, special int, pairs binary, code int, piece string")
+    found = map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "chunk long, id long, n_bytes long, special int, pairs binary, code int, piece string")
     return materialise(found, "pretokens")
 
 
@@ -138,7 +138,7 @@ def piece_counts(frequencies: DataFrame, tokenizer_path: str) -> DataFrame:
             yield {"chunk": b.column(0), "code": b.column(1), "pieces": [known[w] for w in words]}
 
     words = frequencies.where(F.col("piece").isNotNull()).select("chunk", "code", "piece")
-    return map_batches(words.repartition("piece").sortWithinPartitions("piece"), run, "chunk string, code int, pieces int")
+    return map_batches(words.repartition("piece").sortWithinPartitions("piece"), run, "chunk long, code int, pieces int")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
