@@ -12,8 +12,8 @@ def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size)
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x", y: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
-    """All pairs within ``radius`` with their ``dist``; the columns of both sides must differ.
+def radius_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x", y: str = "y", rx: str = "rx", ry: str = "ry", by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs within ``radius`` with their ``dist``; but for ``by``, the columns of both sides must differ.
 
     Both sides fall into cells of the radius; each right row goes to its cell and
     the eight around it, so that an equi-join on the cell finds every pair.
@@ -21,8 +21,11 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x",
     a = left.withColumns({"_cx": _cell(x, radius), "_cy": _cell(y, radius)})
     near = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(i, j))))"))
     b = right.withColumn("_n", near).withColumns({"_cx": _cell(rx, radius) + F.col("_n.i"), "_cy": _cell(ry, radius) + F.col("_n.j")}).drop("_n")
-    dist = F.sqrt(F.pow(F.col(x) - F.col(rx), F.lit(2.0)) + F.pow(F.col(y) - F.col(ry), F.lit(2.0)))
-    return a.join(b, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("dist", dist).where(F.col("dist") <= radius)
+    return a.join(b, [*by, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("dist", _distance(x, y, rx, ry)).where(F.col("dist") <= radius)
+
+
+def _distance(x: str, y: str, rx: str, ry: str) -> Column:
+    return F.sqrt(F.pow(F.col(x) - F.col(rx), F.lit(2.0)) + F.pow(F.col(y) - F.col(ry), F.lit(2.0)))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str) -> DataFrame:
@@ -33,26 +36,65 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: st
     return best.select(left_id, "m.*")
 
 
-def knn(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str, right_id: str, extent: float = 1e7) -> DataFrame:
-    """``k`` nearest right rows of each left row, with ``rank``.
+def knn(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str, right_id: str, by: tuple[str, ...] = (), tries: int = 2) -> DataFrame:
+    """``k`` nearest right rows of each left row, of its own ``by`` group if given, with ``rank``.
 
     Starts from ``radius``; only the rows that have fewer than ``k`` neighbours
-    within it are tried again with it doubled, up to ``extent``.
+    within it are tried again with it doubled. After ``tries`` the rest, in
+    sparse places or outside the right side's extent, goes down a pyramid of cells.
     """
     order = Window.partitionBy(left_id).orderBy("dist", right_id)
     todo, done = left, None
-    while True:
-        ranked = radius_join(todo, right, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for _ in range(tries):
+        ranked = radius_join(todo, right, radius, by=by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(left_id)))
-        last = radius >= extent
-        full = checkpointed((found if last else found.where(F.col("_n") == k)).drop("_n"))
+        full = checkpointed(found.where(F.col("_n") == k).drop("_n"))
         done = full if done is None else done.unionByName(full)
-        if last:
-            return done
         todo = todo.join(full.select(left_id).distinct(), left_id, "left_anti")
         if todo.isEmpty():
             return done
         radius *= 2
+    far = _nearest_by_descent(checkpointed(todo), right, k, radius, left_id, by)
+    return done if far is None else done.unionByName(far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+
+
+def _nearest_by_descent(left: DataFrame, right: DataFrame, k: int, leaf: float, left_id: str, by: tuple[str, ...]) -> DataFrame | None:
+    """Pairs that hold the ``k`` nearest; None for an empty right side.
+
+    Each cell of a pyramid knows its rows' number and box. On the way from the
+    top to cells of ``leaf`` a left row keeps those whose box begins no farther
+    than the boxes end that surely hold ``k`` rows, a number that the extent
+    doesn't change; each level is one equi-join on the parent cell.
+    """
+    at = right.withColumns({"_cx": _cell("rx", leaf), "_cy": _cell("ry", leaf)})
+    ends = [("rx", "_x0", F.min), ("rx", "_x1", F.max), ("ry", "_y0", F.min), ("ry", "_y1", F.max)]
+    leaves = checkpointed(at.groupBy(*by, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"), *(f(c).alias(n) for c, n, f in ends)))
+    span = leaves.agg(F.max("_cx") - F.min("_cx"), F.max("_cy") - F.min("_cy")).first()
+    if span[0] is None:
+        return None
+    levels = 0
+    while 4**levels <= max(span):
+        levels += 1
+
+    def cells(level: int) -> DataFrame:
+        up = lambda c: F.floor(F.col(c) / 4**level).alias(c)
+        return leaves.groupBy(*by, up("_cx"), up("_cy")).agg(F.sum("_n").alias("_n"), *(f(n).alias(n) for _, n, f in ends))
+
+    def pruned(front: DataFrame) -> DataFrame:
+        beyond = lambda c, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - F.col(c), F.col(c) - F.col(hi))
+        within = lambda c, lo, hi: F.greatest(F.abs(F.col(c) - F.col(lo)), F.abs(F.col(c) - F.col(hi)))
+        f = front.withColumns({"_lo": F.hypot(beyond("x", "_x0", "_x1"), beyond("y", "_y0", "_y1")), "_hi": F.hypot(within("x", "_x0", "_x1"), within("y", "_y0", "_y1"))})
+        so_far = F.sum("_n").over(Window.partitionBy(left_id).orderBy("_hi", "_cx", "_cy").rowsBetween(Window.unboundedPreceding, 0))
+        f = f.withColumn("_sure", F.when(so_far >= k, F.col("_hi"))).withColumn("_sure", F.min("_sure").over(Window.partitionBy(left_id)))
+        return checkpointed(f.where(F.col("_sure").isNull() | (F.col("_lo") <= F.col("_sure") * (1 + 1e-9))).select(*left.columns, "_cx", "_cy"))
+
+    top = cells(levels).groupBy(*by).agg(F.collect_list(F.struct("_cx", "_cy", "_n", *(n for _, n, _ in ends))).alias("_top"))  # at most four cells
+    front = left.join(top, list(by)) if by else left.crossJoin(F.broadcast(top))
+    front = pruned(front.withColumn("_top", F.explode("_top")).select(*left.columns, "_top.*"))
+    for level in range(levels - 1, -1, -1):
+        child = cells(level).withColumns({"_px": F.floor(F.col("_cx") / 4), "_py": F.floor(F.col("_cy") / 4)})
+        front = pruned(front.withColumnsRenamed({"_cx": "_px", "_cy": "_py"}).join(child, [*by, "_px", "_py"]))
+    return front.join(at, [*by, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("dist", _distance("x", "y", "rx", "ry"))
 
 
 def reference_conflicts_removed(points: DataFrame, survey: DataFrame, radius: float = 30.0, tolerance: float = 1.5) -> DataFrame:
