@@ -47,6 +47,9 @@ FROM customer""",
        2e0 + p_size * 5e-2 + (p_partkey % 7) * 1e-1 AS stage_ft,
        1e2 + p_retailprice AS discharge_cfs, (3e1 + p_size) * (1e0 + (p_partkey % 9) * 5e-1) AS area_sqft
 FROM part""",
+    "fx_lines": """SELECT c_custkey % 5 AS line_id, CAST(floor(c_custkey / 5e0) AS BIGINT) AS seq,
+       5e5 + c_custkey % 5 * 2e2 + floor(c_custkey / 5e0) * 7 % 11 * 4e0 AS x, 3.4e6 - floor(c_custkey / 5e0) * 2e1 AS y
+FROM customer""",
     "fx_edges": """SELECT s_suppkey AS edge_id, s_suppkey - 1 AS from_node, s_suppkey AS to_node, 1e2 + (s_suppkey * 3 % 50) AS length_m
 FROM supplier WHERE s_suppkey % 25 > 0""",
 }

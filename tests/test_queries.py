@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalspark.functions import geo
-from shoalspark.operators import joins, modelling, points, profiles
+from shoalspark.operators import channels, joins, modelling, points, profiles, selection
 from shoalspark.plans.fixtures import TABLES, view
 from shoalspark.plans.queries import ORACLE_SQL, QUERIES
 from shoalspark.sources import files
@@ -116,3 +116,69 @@ def test_streams(spark, tmp_path, sf_dir):
     w = windowed_counts(stream).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     w.awaitTermination()
     assert spark.sql("select sum(n) from w").first()[0] == events.count()
+
+
+def test_nearest_neighbours_within_groups(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.random((40, 2)) * 3000, rng.random((90, 2)) * 200
+    left = spark.createDataFrame([(i, i % 3, float(x), float(y)) for i, (x, y) in enumerate(a)], "q long, g long, x double, y double")
+    right = spark.createDataFrame([(i, i % 3, float(x), float(y)) for i, (x, y) in enumerate(b)], "r long, g long, rx double, ry double")
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    d[np.arange(40)[:, None] % 3 != np.arange(90)[None] % 3] = np.inf
+    want = {(q, int(r)) for q in range(40) for r in np.argsort(d[q], kind="stable")[:4]}
+    assert {tuple(r) for r in joins.knn(left, right, 4, 10.0, "q", "r", by=("g",)).select("q", "r").collect()} == want
+    few = joins.knn(left, right.where("r < 6"), 4, 10.0, "q", "r", by=("g",))
+    assert few.count() == 80 and joins.knn(left, right.where("r < 0"), 4, 10.0, "q", "r").count() == 0
+
+
+def test_line_residual_filter_drops_what_lies_off_the_line(spark):
+    df = spark.range(600).selectExpr("id as k", "id % 50 * 1e-1 as i", "2 + 3 * (id % 50 * 1e-1) + (id % 7 - 3) * 1e-2 + if(id % 9 = 0, 3e0, 0e0) as z")
+    kept = {r[0] for r in selection.line_residual_filter(df, "k", "i", "z").select("k").collect()}
+    assert kept == {k for k in range(600) if k % 9}
+    assert selection.line_residual_filter(df.where("k < 100"), "k", "i", "z").count() == 100
+
+
+def test_endmembers_equal_numpy(spark, sf_dir):
+    bands = ["b02", "b03", "b04"]
+    px = view(spark, sf_dir, "fx_pixels")
+    data = px.select(bands).toPandas().to_numpy()
+    mean, axis = data.mean(axis=0), np.linalg.eigh(np.cov(data.T))[1][:, -1]
+    axis = axis if axis[0] >= 0 else -axis
+    ends = np.percentile((data - mean) @ axis, [95, 5])
+    got = {r["band"]: (r["sand"], r["grass"]) for r in selection.bottom_endmembers(px, bands).collect()}
+    for i, b in enumerate(bands):
+        assert np.allclose(got[b], np.clip(ends * axis[i] + mean[i], 0, 1))
+    assert selection.bottom_endmembers(px.limit(3), bands) is None
+
+
+def test_component_fill_equals_brute_force(spark, sf_dir):
+    px = view(spark, sf_dir, "fx_pixels").withColumn("depth_m", F.when((F.col("scl").between(4, 8)) & (F.col("prow") % 13 > 0), -F.col("b03") * 100))
+    pts = view(spark, sf_dir, "fx_points")
+    got = {r["cell"]: r for r in channels.component_fill(px, pts, 5e5, 3.4e6, 10.0, least=5).collect()}
+    cells = px.where("depth_m is not null").toPandas().set_index(["prow", "pcol"])
+    label = {}
+    for start in sorted(cells.index):
+        todo = [start] if start not in label else []
+        while todo:
+            at = todo.pop()
+            if at in cells.index and at not in label:
+                label[at] = start[0] * 2**31 + start[1]
+                todo += [(at[0] + i, at[1] + j) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+    assert {r["cell"]: r["component_id"] for r in got.values()} == {int(cells.loc[at, "cell"]): v for at, v in label.items()}
+    p = pts.toPandas()
+    p["at"] = list(zip(np.floor((3.4e6 - p.y) / 10).astype(int), np.floor((p.x - 5e5) / 10).astype(int), strict=True))
+    p = p[p["at"].isin(label)]
+    p["g"], p["res"] = p["at"].map(label), p.depth_m - p["at"].map(lambda a: cells.loc[a, "depth_m"])
+    filled = 0
+    for at, g in label.items():
+        c, mine = cells.loc[at], p[p.g == g]
+        want = c.depth_m
+        if len(mine) >= 5:
+            lo, hi = mine.res.mean() - 4 * mine.res.std(ddof=0), mine.res.mean() + 4 * mine.res.std(ddof=0)
+            d = np.hypot(mine.x - c.x, mine.y - c.y).to_numpy()
+            near = np.lexsort((mine.point_id, d))[:8]
+            w = (d[near] + 1e-6) ** -2.0
+            want += (w * mine.res.clip(lo, hi).clip(-10, 10).to_numpy()[near]).sum() / w.sum()
+            filled += 1
+        assert math.isclose(got[int(c.cell)]["depth"], want, rel_tol=1e-6), at
+    assert filled
