@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,17 @@ def date_windows(df: DataFrame, start: str, end: str, months: int) -> DataFrame:
     return w.withColumn("window_end", F.least(F.col(end), F.date_sub(F.add_months("window_start", months), 1)))
 
 
+def optional_csv(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+    """A CSV file with a header, or no rows of the same schema where there is none."""
+    if path:
+        try:
+            return spark.read.schema(schema).csv(path, header=True)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return spark.createDataFrame([], schema)
+
+
 def write_grid(pixels: DataFrame, path: str, tile: int = 512, **tags: str) -> None:
     """Pixel table by tile, with units and sign as column metadata."""
     t = pixels.withColumns({"tile_r": F.floor(F.col("prow") / tile).cast("int"), "tile_c": F.floor(F.col("pcol") / tile).cast("int")})

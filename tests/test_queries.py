@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalspark.functions import geo
-from shoalspark.operators import channels, joins, modelling, points, profiles, selection
+from shoalspark.operators import channels, joins, modelling, pipelines, points, profiles, selection
 from shoalspark.plans.fixtures import TABLES, view
 from shoalspark.plans.queries import ORACLE_SQL, QUERIES
 from shoalspark.sources import files
@@ -89,6 +89,8 @@ def test_survey_files_flip_signs_and_drop_outliers(spark, tmp_path):
     rows = files.survey_points(spark, [str(tmp_path / f) for f in ("a.csv", "b.csv")]).collect()
     assert len(rows) == 40 and all(r["depth_m"] < 0 for r in rows)
     assert files.soundings(spark, str(tmp_path)).count() == 41
+    assert files.optional_csv(spark, str(tmp_path / "none.csv"), "Lon double").count() == files.optional_csv(spark, None, "Lon double").count() == 0
+    assert files.optional_csv(spark, str(tmp_path / "a.csv"), "Lon double, Lat double, Depth double").count() == 21
     (tmp_path / "g.txt").write_text("# note\nsite_no\twidth_ft\tstage_ft\n5s\t12n\t12n\n01\t10\t2\n")
     assert files.gage_table(spark, str(tmp_path / "g.txt")).count() == 1
     (tmp_path / "s.json").write_text('{"id": "S2A_T16RDU_x", "properties": {"datetime": "2020-05-01T16:00:00Z", "eo:cloud_cover": 3.5, "view:sun_elevation": 60}, "assets": {"blue": {"href": "u"}}}')
@@ -128,7 +130,7 @@ def test_nearest_neighbours_within_groups(spark):
     want = {(q, int(r)) for q in range(40) for r in np.argsort(d[q], kind="stable")[:4]}
     assert {tuple(r) for r in joins.knn(left, right, 4, 10.0, "q", "r", by=("g",)).select("q", "r").collect()} == want
     few = joins.knn(left, right.where("r < 6"), 4, 10.0, "q", "r", by=("g",))
-    assert few.count() == 80 and joins.knn(left, right.where("r < 0"), 4, 10.0, "q", "r").count() == 0
+    assert few.count() == 80 and joins.knn(left, right.drop("g").where("r < 0"), 4, 10.0, "q", "r").count() == 0
 
 
 def test_line_residual_filter_drops_what_lies_off_the_line(spark):
@@ -182,3 +184,21 @@ def test_component_fill_equals_brute_force(spark, sf_dir):
             filled += 1
         assert math.isclose(got[int(c.cell)]["depth"], want, rel_tol=1e-6), at
     assert filled
+
+
+def test_river_depths_rest_on_the_best_source(spark):
+    xs = spark.createDataFrame([(i, 1, i * 10.0, 100.0, 20.0, 19.0, 7 if i < 6 else 8) for i in range(9)], "xs_id long, river_id int, s_center_m double, width_m double, wse_m double, bank_min_m double, site_no int")
+    m = spark.createDataFrame([(7, 300.0 + i, 5.0 + i * 0.1, 500.0 + i, 3000.0) for i in range(20)], "site_no int, width_ft double, stage_ft double, discharge_cfs double, area_sqft double")
+    snd = spark.createDataFrame([(0, 4, 6.5)], "xs_id long, n long, median_m double")
+    rows = {r["xs_id"]: r for r in pipelines.river_depths(xs, m, snd).collect()}
+    assert [rows[i]["depth_source"] for i in range(9)] == ["soundings"] + ["gage"] * 5 + ["prior"] * 3
+    assert rows[0]["depth_raw_m"] == 6.5 and math.isclose(rows[8]["depth_raw_m"], 1.8)
+    assert all(r["bed_m"] <= 18.95 and math.isclose(r["bed_m"], min(20 - r["depth_m"], 18.95)) for r in rows.values())
+    assert {r["depth_source"] for r in pipelines.river_depths(xs, m).collect()} == {"gage", "prior"}
+
+
+def test_composite_takes_clear_values_of_the_chosen_dates(spark):
+    scenes = spark.createDataFrame([("A", 0, 5.0), ("A", 1, 6.0), ("B", 1, 7.0), ("A", 2, 90.0)], "tile string, day_no int, cloud double")
+    stack = spark.createDataFrame([(0, c, d, 0.1 * (d + 1), 0.1, 0.1, 0.01, 8 if (c, d) == (0, 0) else 6) for c in range(4) for d in range(3)], "prow int, pcol int, day_no int, b02 double, b03 double, b04 double, b08 double, scl int")
+    got = {r["pcol"]: (round(r["b02"], 6), r["clear_dates"]) for r in pipelines.optical_composite(scenes, stack, ["b02"], dates=2).collect()}
+    assert got == {0: (0.2, 1), 1: (0.15, 2), 2: (0.15, 2), 3: (0.15, 2)}
