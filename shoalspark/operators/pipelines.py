@@ -150,7 +150,7 @@ def physics_scene(cells: DataFrame, sun_deg: float = 30.0, view_deg: float = 5.0
 def chunked_apply(cells: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, tile: int = 256, halo: int = 16) -> DataFrame:
     """``fn`` on each square tile with its halo; of its rows those of the tile's own cells stay (``schema`` has prow and pcol)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = fn(pdf.drop(columns=["tile_r", "tile_c", "inner"]))
         return out[(out["prow"] // tile == key[0]) & (out["pcol"] // tile == key[1])]
 
