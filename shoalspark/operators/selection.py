@@ -88,7 +88,9 @@ def out_of_fold(df: DataFrame, features: list[str], target: str, regressor, fold
             continue
         scored = regressor.fit(train).transform(ready.where(F.col("fold") == f)).drop("features")
         out = scored if out is None else out.unionByName(scored)
-    return None if out is None else checkpointed(out)
+    held = None if out is None else checkpointed(out)
+    ready.unpersist()
+    return held
 
 
 def fold_metrics(scored: DataFrame, target: str) -> DataFrame:
@@ -108,6 +110,8 @@ def compared_strategies(features: list[str], target: str, strategies: dict[str,
         scored = out_of_fold(folded, features, target, _forest(target, trees, depth, leaf, seed), ids)
         if scored is not None:
             rows.append(summary(fold_metrics(scored, target)).select(F.lit(name).alias("strategy"), "*"))
+    if not rows:
+        raise ValueError("no fold of any strategy has enough rows")
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -129,6 +133,8 @@ def random_search(folded: DataFrame, features: list[str], target: str, kind: str
     for i in range(draws):
         drawn = {p: int(rng.integers(lo, hi + 1)) for p, (lo, hi) in ranges.items()}
         scored = out_of_fold(folded, features, target, model(featuresCol="features", labelCol=target, predictionCol="predicted_m", seed=seed, **drawn), ids)
+        if scored is None:
+            raise ValueError("no fold has enough rows")
         row = scored.agg(*accuracy(F.col(target), F.col("predicted_m"))).select(F.lit(i).alias("draw"), *(F.lit(v).alias(p) for p, v in drawn.items()), "rmse", "r2", "n")
         out = row if out is None else out.unionByName(row)
     return out.orderBy("rmse", "draw")
