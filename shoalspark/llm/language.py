@@ -1,8 +1,8 @@
 """Operator 4, language identification by interpolated Kneser-Ney character models.
 
-Training words come from a hash sample of labelled documents whose expected size
-is at most ``sample_chars`` characters a language (whole texts; a documented
-bound). Words are counted by Spark; the small table (language, word, count)
+Training words come from labelled documents in hash order up to ``sample_chars``
+characters a language, but ``LEAST_DOCS`` documents at least (whole texts; a
+documented bound). Words are counted by Spark; the small table (language, word, count)
 fits, on the driver, one five-gram model a language, with absolute discounts and
 continuation counts in the lower orders. Grams of an order are 64-bit hashes in
 one sorted array, with a column of weights per language beside it.
@@ -10,9 +10,9 @@ one sorted array, with a column of weights per language beside it.
 A text scores as its words (runs of letters, lower case, with begin and end
 marks): the language of the lowest cross-entropy a character wins. A text is
 ``rejected`` if that entropy lies further above the language's mean than a
-calibrated bound, the quantile ``keep`` over documents kept out of the fit times
-``slack`` and ``LEAST_EXCESS`` at least, on a scale that widens as one over the
-root of the length.
+calibrated bound, the quantile ``keep`` over all labelled documents of a fold kept
+out of the fit times ``slack`` and ``LEAST_EXCESS`` at least, on a scale that
+widens as one over the root of the length. The bound is finite in any table.
 
 Defined cases: a null text, or one without a letter, gets ``und`` and score 0;
 unlabelled documents never train; with nothing to learn from, all are ``und``;
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.llm.common import filter_batches, map_batches
+from shoalspark.llm.common import filter_batches, map_batches, materialise
 
 ORDER = 5
 UNDETERMINED = "und"
@@ -39,6 +39,8 @@ UNDETERMINED = "und"
 MAX_CACHE, LENGTH_CAP = 400_000, 256
 #: Nats a character above the mean, in a long text, that no calibration rejects.
 LEAST_EXCESS = 1.5
+#: Documents a language is fitted on at least, if it has them, and rows below which its calibration leans on the others'.
+LEAST_DOCS, FEW_ROWS = 100, 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -164,14 +166,25 @@ def _scale(chars: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample_chars: int = 1_000_000, keep: float = 0.999, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 2) -> Model | None:
-    """Fit on one hash sample of the training folds, calibrate rejection on another."""
+    """Fit on a hash sample of two folds, calibrate rejection on all labelled rows of another."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != held_out))
-    labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 30)).alias("draw"), fold(id_col).alias("fold"))
-    size = {r[0]: r[1] or 0 for r in labelled.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
-    if not size:
+    calibrates = fold(id_col) == (held_out + 1) % 4
+    # buckets of draws in hash order, finer towards 0, so that a few hundred a language tell where the sample ends
+    draw = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col), F.col(text_col)), F.lit(1 << 30))
+    fitting = labelled.where(~calibrates).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.floor(F.log2(draw + 1) * 64).alias("bucket"))
+    ends: dict[str, int] = {}
+    taken: dict[str, tuple[int, int]] = {}
+    full = set()
+    for lang, bucket, n, chars in sorted(tuple(r) for r in fitting.groupBy("lang", "bucket").agg(F.count(F.lit(1)), F.sum(F.length("text"))).collect()):
+        n_before, chars_before = taken.get(lang, (0, 0))
+        if lang in full or n_before >= LEAST_DOCS and chars_before + chars > sample_chars:
+            full.add(lang)
+            continue
+        ends[lang], taken[lang] = bucket, (n_before + n, chars_before + chars)
+    if not ends:
         return None
-    bound = F.create_map(*(F.lit(x) for lang, n in size.items() for x in (lang, int(min(1.0, sample_chars / max(n, 1)) * (1 << 30)) + 1)))[F.col("lang")]
-    sample = labelled.where(F.col("draw") < bound)
+    end = F.create_map(*(F.lit(x) for pair in ends.items() for x in pair))[F.col("lang")]
+    sample = fitting.where(F.col("bucket") <= end).select("lang", "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: Counter = Counter()
@@ -180,9 +193,8 @@ def train(docs: DataFrame, sample_chars: int = 1_000_000, keep: float = 0.999, s
                 seen.update((lang, w) for w in letter_words(text))
         yield {"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())}
 
-    fitting = sample.where(F.col("fold") != (held_out + 1) % 4).select("lang", "text")
     counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in map_batches(fitting, words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n")).collect():
+    for lang, word, n in map_batches(sample, words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n")).collect():
         counts.setdefault(lang, {})[word] = n
     if not counts:
         return None
@@ -196,19 +208,40 @@ def train(docs: DataFrame, sample_chars: int = 1_000_000, keep: float = 0.999, s
             langs = b.column(0).to_pylist()
             h, n = score(b.column(1).to_pylist())
             use = [i for i, lang in enumerate(langs) if lang in at and n[i]]
-            yield {"lang": [langs[i] for i in use], "h": [h[i, at[langs[i]]] for i in use], "chars": [int(n[i]) for i in use]}
-
-    rows = map_batches(sample.where(F.col("fold") == (held_out + 1) % 4).select("lang", "text"), entropies, "lang string, h double, chars long").collect()
-    model.mean, model.bound = np.zeros(len(counts)), np.full(len(counts), np.inf)
-    for i, lang in enumerate(model.languages):
-        h = np.array([r[1] for r in rows if r[0] == lang])
-        if len(h) >= 20:
-            model.mean[i] = np.median(h)
-            over = (h - model.mean[i]) * _scale(np.array([r[2] for r in rows if r[0] == lang]))
-            model.bound[i] = max(slack * np.quantile(over, keep, method="higher"), LEAST_EXCESS * LENGTH_CAP**0.5)
+            yield {"lang": [langs[i] for i in use], "h": [h[i, at[langs[i]]] for i in use], "scale": _scale(n[use]) if use else []}
+
+    rows = labelled.where(calibrates).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    calibrate(model, materialise(map_batches(rows, entropies, "lang string, h double, scale double"), "entropies"), keep, slack)
     return model
 
 
+def calibrate(model: Model, entropies: DataFrame, keep: float, slack: float) -> None:
+    """Set the means and bounds from all rows ``(lang, h, scale)``.
+
+    Percentiles are taken of values on a grid, so that their tables stay small
+    however many rows there are. A language with few rows takes the percentile
+    of all languages' excesses, and the larger median of its own and all rows;
+    one without a row has the entropy of evenly drawn letters as its mean. No
+    bound lies further up than that entropy but by ``LEAST_EXCESS``.
+    """
+    even, root = -float(np.log(model.floor)), LENGTH_CAP**0.5
+    median = F.percentile(F.round("h", 3), F.lit(0.5))
+    own = {r[0]: (r[1], r[2]) for r in entropies.groupBy("lang").agg(F.count(F.lit(1)), median).collect()}
+    of_all = entropies.agg(median).first()[0]
+    means = {}
+    for lang in model.languages:
+        n, middle = own.get(lang, (0, even))
+        means[lang] = min(middle if n >= FEW_ROWS or not n else max(middle, of_all), even)
+    mean = F.create_map(*(F.lit(x) for pair in means.items() for x in pair))[F.col("lang")]
+    over = entropies.select("lang", F.round((F.col("h") - mean) * F.col("scale"), 2).alias("over"))
+    high = F.percentile("over", F.lit(keep))
+    excess = dict(tuple(r) for r in over.groupBy("lang").agg(high).collect())
+    pooled = over.agg(high).first()[0] or 0.0
+    model.mean = np.array([means[lang] for lang in model.languages])
+    found = np.array([excess[lang] if own.get(lang, (0,))[0] >= FEW_ROWS else pooled for lang in model.languages])
+    model.bound = np.maximum(np.minimum(slack * found, (even - model.mean) * root), LEAST_EXCESS * root)
+
+
 def predict(score: Scorer | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """``(language, score, rejected)`` of each text."""
     if score is None:

@@ -181,6 +181,28 @@ def test_gibberish_is_rejected(spark):
     assert language.identify(junk, language.train(d)).first()["rejected"]
 
 
+def test_gibberish_is_rejected_whatever_the_size_of_the_table(spark):
+    junk = " ".join("qzxkvjw wqxzj kqqzv xjqkz" for _ in range(20))
+    score = lambda model: language.predict(language.Scorer(model), [junk])[2][0]
+    d = table(spark, "/root/testdata/sf0.001", "documents")
+    model = language.train(d)  # one to ten rows of three languages calibrate
+    assert np.isfinite(model.bound).all() and score(model)
+    assert language.identify(d, model).where("rejected").count() <= 0.01 * d.count()
+    few = language.train(d, sample_chars=3000)  # texts as long as the sample
+    assert np.isfinite(few.bound).all() and score(few)
+    uncalibrated = language.train(d.where(language.fold() != 3))
+    assert np.isfinite(uncalibrated.bound).all() and score(uncalibrated)
+    assert language.identify(d, uncalibrated).where("rejected").count() <= 0.01 * d.count()
+
+
+def test_labelled_junk_does_not_switch_rejection_off(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    junk = " ".join("qzxkvjw wqxzj kqqzv xjqkz" for _ in range(20))
+    i = next(i for i in range(10**7, 10**7 + 100) if zlib.crc32(str(i).encode()) % 4 == 3)
+    model = language.train(d.unionByName(spark.createDataFrame([(i, junk, "en")], d.schema)))
+    assert language.predict(language.Scorer(model), [junk])[2][0]
+
+
 # -- html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="page-with-sidebar">
