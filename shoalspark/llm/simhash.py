@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalspark.llm.common import map_batches, materialise, utf8
@@ -55,15 +55,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, fp)``: fingerprints as signed 64-bit numbers."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **carried: Column) -> DataFrame:
+    """``(id, fp)`` and the ``carried`` whole numbers: fingerprints as signed 64-bit numbers."""
+
+    names = list(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield {"id": b.column(0), "fp": fp}
+            yield {"id": b.column(0), "fp": fp} | {name: b.column(2 + i) for i, name in enumerate(names)}
 
-    return materialise(map_batches(docs.select(F.col(id_col).cast("long"), text_col), run, "id long, fp long"), "fingerprints")
+    schema = ", ".join(f"`{name}` long" for name in ("id", "fp", *names))
+    return materialise(map_batches(docs.select(F.col(id_col).cast("long"), text_col, *(c.alias(name) for name, c in carried.items())), run, schema), "fingerprints")
 
 
 def segment_rows(distinct: DataFrame) -> DataFrame:
@@ -180,3 +183,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     by_fp = rooted.join(component, "root").select("fp", "component_id")
     named = found.join(by_fp, "fp")
     return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each component: the least by id (nulls last), text hash and row hash."""
+    hashes = {"of_text": F.xxhash64(text_col), "of_row": F.xxhash64(*docs.columns)}
+    found = fingerprints(docs, id_col, text_col, shingle, **hashes)
+    key = F.struct(F.col("id").isNull().alias("last"), "id", *hashes)
+    classes = materialise(found.groupBy("fp").agg(F.min(key).alias("least")), "classes")
+    roots = connected_components(links(classes.select("fp"), distance))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.of_text", "least.of_row")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("id")) & (hashes["of_text"] == F.col("of_text")) & (hashes["of_row"] == F.col("of_row"))
+    # rows of one key are equal in all columns, so any of them may stay
+    return docs.join(stay, same, "left_semi").dropDuplicates()

@@ -533,3 +533,15 @@ def test_pipeline_stages_take_odd_rows(spark, odd, nothing, sf_dir):
             out = stage(spark, frame, sf_dir)
             assert out.columns == frame.columns or name == "packing"
             out.count()
+
+
+def test_near_duplicates_keep_each_text_of_shared_and_null_ids(spark, sf_dir):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    ids = [(None, 0), (None, 1), (7, 2), (7, 3), (None, 2), (8, 3), (9, 4), (9, 4), (9, 4), (None, 0)]
+    frame = spark.createDataFrame([(i, text(k), "en", f"s{n % 2}", 1) for n, (i, k) in enumerate(ids)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter([(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (9, text(4))])
+    first = p.drop_near_duplicates(spark, frame, sf_dir).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in first) == want
+    assert sorted(map(str, first)) == sorted(map(str, p.drop_near_duplicates(spark, frame.repartition(5), sf_dir).collect()))
