@@ -9,7 +9,9 @@ fixed) separates content from boilerplate.
 
 The weights below are fixed parameters; there are no labelled pages to fit on.
 
-Defined cases: null or empty html gives an empty text; markup that isn't closed,
+Defined cases: a head ends where a tag or text of the body comes; a button,
+select, object or drawing without an end tag is silent up to the next block;
+null or empty html gives an empty text; markup that isn't closed,
 stray end tags, upper-case tags and unknown entities are taken as they come;
 scripts, styles, comments and the head never make blocks; repeated rows give
 equal results; extra columns are ignored.
@@ -36,6 +38,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIPPED = frozenset("head script style noscript template iframe svg math object canvas audio video select textarea button".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+TABLE_OR_LIST_PARTS = frozenset("li dt dd tr td th".split())
+HEAD_METADATA = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+MAY_STAY_OPEN = SKIPPED - RAW - {"head"}
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset label".split())
 HINTS = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|hidden|legal|login|masthead|menu|modal|navbar|nav|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?![a-z])"
@@ -80,12 +85,36 @@ def _attribute_features(tag: str, attributes: str) -> tuple[str, ...]:
     return ()
 
 
+def _closed_starts(html: str) -> set[int]:
+    """Where the start tags of MAY_STAY_OPEN lie that have an end tag of their own; a button or select doesn't hold another."""
+    found: set[int] = set()
+    waiting: dict[str, list[int]] = {}
+    at = 0
+    while m := _TOKEN.search(html, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in RAW and not m[1]:
+            if close := re.compile(f"</{tag}[^>]*>", re.I).search(html, at):
+                at = close.end()
+        elif tag in MAY_STAY_OPEN:
+            if m[1]:
+                if waiting.get(tag):
+                    found.add(waiting[tag].pop())
+            elif not m[3].endswith("/"):
+                if tag in ("button", "select"):
+                    waiting[tag] = []
+                waiting.setdefault(tag, []).append(m.start())
+    return found
+
+
 def blocks_of(html: str) -> list[Block]:
     """Blocks in page order. Open elements are (tag, node, features, skipped)."""
     out: list[Block] = []
     stack: list[tuple[str, int, frozenset, bool]] = [("", 0, frozenset(), False)]
     pieces: list[str] = []
     linked, nodes, in_link = 0, 0, 0
+    closed: set[int] | None = None
+    head = 0  # depth of the open head, or 0
+    loose = 0  # depth of the outermost silent element without an end tag, or 0
 
     def flush() -> None:
         nonlocal linked
@@ -99,6 +128,8 @@ def blocks_of(html: str) -> list[Block]:
 
     def put(text: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and text.strip():  # only a body holds text
+            del stack[-1]
         if text and not stack[-1][3]:
             pieces.append(text)
             if in_link:
@@ -125,6 +156,17 @@ def blocks_of(html: str) -> list[Block]:
             in_link -= sum(e[0] == "a" for e in stack[depth:])
             del stack[depth:]
             continue
+        loose = loose if loose < len(stack) else 0
+        if tag == "head" and any(e[0] not in ("", "html") for e in stack):
+            continue
+        head = head if head < len(stack) else 0
+        if head and tag not in HEAD_METADATA:
+            del stack[head:]
+            head = 0
+        if loose and (tag in CLOSED_BY_BLOCK or tag in TABLE_OR_LIST_PARTS):
+            in_link -= sum(e[0] == "a" for e in stack[loose:])
+            del stack[loose:]
+            loose = 0
         if tag == "br":
             put("\n")
             continue
@@ -132,7 +174,7 @@ def blocks_of(html: str) -> list[Block]:
             flush()
         if tag in VOID or m[3].endswith("/") and tag not in INLINE:
             continue
-        if tag in CLOSED_BY_BLOCK or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+        if tag in CLOSED_BY_BLOCK or tag in TABLE_OR_LIST_PARTS or tag == "option":
             shut = {"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {"tr", "td", "th"} if tag == "tr" else {"p"}
             for i in range(len(stack) - 1, max(0, len(stack) - 8), -1):
                 if stack[i][0] in shut:
@@ -159,6 +201,11 @@ def blocks_of(html: str) -> list[Block]:
         if tag in RAW and (close := re.compile(f"</{tag}[^>]*>", re.I).search(html, at)):
             at = close.end()
             continue
+        if tag in MAY_STAY_OPEN and not loose and not skipped:
+            closed = _closed_starts(html) if closed is None else closed
+            loose = 0 if m.start() in closed else len(stack)
+        if tag == "head":
+            head = head or len(stack)
         in_link += tag == "a"
         stack.append((tag, nodes, features | set(new) if new else features, skipped or tag in SKIPPED))
     flush()

@@ -218,6 +218,22 @@ def test_main_text_of_a_page():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p></p><script>x</script>") == ""
 
 
+@pytest.mark.parametrize("head", ["<head><title>T</title><meta charset=utf-8><style>p{}</style>", "<html><HEAD><title>T</title>", "<head><title>T</title><script>x</script></head>", "<head><noscript><link href=x></noscript>"])
+@pytest.mark.parametrize("body", ["<body>", "", "<body><div>", "<div><head>"])
+def test_an_omitted_head_end_hides_no_text(head, body):
+    text = "The text of this page goes on for some words, as it should."
+    assert html.main_text(f"{head}{body}<p>{text}") == text
+    assert html.main_text(f"{head}{body}{text}") == text
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "math", "canvas", "audio", "video"])
+def test_unclosed_silent_elements_hide_no_block(tag):
+    text = "The text of this page goes on for some words, as it should."
+    for label in ("", "Share", "<option>A<option>B"):
+        assert html.main_text(f"<body><main><{tag} class=x>{label}<p>{text}</p><p>{text}</p><{tag}>Save</{tag}></main></body>") == f"{text} {text}"
+    assert html.main_text(f"<main><p>{text}</p><{tag}><div>{text}</div></{tag}><p>{text}</p></main>") == f"{text} {text}"
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(3)
     for _ in range(200):
