@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+_to_delete: set[str] = set()
 #: A word, in the regular-expression dialects of Java, Python and RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,7 +39,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted with its application's folder when the application ends."""
+    sc = spark.sparkContext
+    folder = f"{scratch_root(spark)}/llm-{sc.applicationId}"
+    if folder not in _to_delete:
+        _to_delete.add(folder)
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    """Type of a column, as schemas spell it."""
+    return df.select(column).schema[0].dataType.simpleString()
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -54,7 +68,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` whose function yields dicts of equally long columns."""
     fields = df.sparkSession.createDataFrame([], schema).schema
-    arrow = pa.schema([(f.name, _arrow_type(f.dataType.simpleString())) for f in fields])
+    arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(batches):
@@ -75,11 +89,6 @@ def filter_batches(df: DataFrame, text_col: str, judge: Callable[[], Callable[[l
     return df.mapInArrow(run, df.schema)
 
 
-def _arrow_type(name: str) -> pa.DataType:
-    plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
-    return pa.list_(plain[name[6:-1]]) if name.startswith("array<") else plain[name]
-
-
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

@@ -7,9 +7,12 @@ the stored bytes alone: it tests the signature and each chunk's CRC, inflates,
 undoes any of the five filters with numpy and derives a 64-bit hash from the
 low frequencies of a cosine transform.
 
-Defined cases: a null or empty text is a payload of 64 zero bytes; equal texts
-give equal media; damaged media give null features and an ``error``; columns
-besides the id and the text are ignored; row count and order stay.
+Defined cases: a null or empty text is a payload of 64 zero bytes; a very long text is
+one image of as many rows as it takes; equal texts, repeated rows among them, give equal
+media; frequencies that tie with the median count as below it; damaged media give null
+features and an ``error``; ids of any type, null too, pass through; columns
+besides the id and the text are ignored; row count and order stay; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.llm.common import map_batches, utf8
+from shoalspark.llm.common import map_batches, type_of, utf8
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -158,7 +161,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             raw = [utf8(t) for t in b.column(1).to_pylist()]
             yield {id_col: b.column(0), "n_bytes": [len(x) for x in raw], "media": [to_png(pad(x, width), width, level) for x in raw]}
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, f"`{id_col}` long, n_bytes long, media binary")
+    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {type_of(docs, id_col)}, n_bytes long, media binary")
 
 
 def _features(media: bytes | None) -> tuple:
@@ -182,5 +185,5 @@ def decode_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return map_batches(
         media.select(id_col, "n_bytes", "media"),
         run,
-        f"`{id_col}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string",
+        f"`{id_col}` {type_of(media, id_col)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string",
     )
