@@ -1,20 +1,31 @@
 """Operator 5, HTML extraction by minimum cut.
 
-A page becomes a list of blocks (texts between block-level tags, with their
-ancestors). A linear classifier gives each block a log-odds of being content,
-whose two log-losses are its capacities to the terminals; neighbours in page
-order and blocks near each other in the DOM are tied by smoothness edges. The
-minimum cut (max-flow by augmenting paths, after blocks that no tie can turn are
-fixed) separates content from boilerplate.
+A page becomes a list of blocks (texts between block-level tags) under a tree of
+elements. A linear classifier looks at each block alone (length, links, end of
+sentence, own tag) and at what elements say of themselves (article or main;
+boilerplate tags, roles and class names). Its log-odds, as fixed-point numbers, are
+the capacities of blocks and elements to the terminals. Smoothness edges tie
+neighbours in page order, less the further apart they lie in the tree, and, as
+proximity in the DOM, each block to its element and each element to its parent. The
+minimum cut, found by max-flow (Dinic's level graphs), separates content from
+boilerplate: a short line inside an article stays, one between menus goes.
+
+What stands in an element that declares itself boilerplate gets one fixed, high
+cost whatever its length, so that long comments don't outvote their container. A
+class name doesn't count on an element that holds all the page's articles.
 
 The weights below are fixed parameters; there are no labelled pages to fit on.
+A page is read once from left to right; its time grows with its length, not with
+what is left open or unquoted in it.
 
 Defined cases: a head ends where a tag or text of the body comes; a button,
 select, object or drawing without an end tag is silent up to the next block;
 null or empty html gives an empty text; markup that isn't closed,
-stray end tags, upper-case tags and unknown entities are taken as they come;
-scripts, styles, comments and the head never make blocks; repeated rows give
-equal results; extra columns are ignored.
+stray end tags, upper-case tags and unknown entities are taken as they come; a
+quote that hides all further ``>`` ends the reading of quotes; a ``<`` after the
+last ``>`` is text; scripts, styles, comments and the head never make blocks; very
+long pages are read whole; ties in the cut go to boilerplate; repeated rows give
+equal results; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,13 +35,13 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.llm.common import map_batches
+from shoalspark.llm.common import map_batches, type_of
 
 # Names of HTML elements by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,23 +53,27 @@ TABLE_OR_LIST_PARTS = frozenset("li dt dd tr td th".split())
 HEAD_METADATA = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 MAY_STAY_OPEN = SKIPPED - RAW - {"head"}
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|hidden|legal|login|masthead|menu|modal|navbar|nav|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?![a-z])"
 )
 ARTICLE_HINTS = re.compile(r"(?<![a-z])(?:comments?|replies|reply|related|promo\w*|advert\w*|sponsor\w*)(?![a-z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-#: Log-odds of the classifier.
+#: Log-odds of the classifier: of blocks, then of elements; ``boilerplate`` replaces all else, and an article is as good as certain to be one.
 WEIGHTS = {
-    "bias": -0.3, "boilerplate_tag": -7.0, "header_tag": -4.0, "hint": -6.0, "in_article": 2.5, "paragraph": 1.2,
-    "heading": 0.6, "list_item": -0.5, "links": -3.5, "log_words": 0.55, "sentence": 0.6,
+    "bias": -1.6, "log_words": 0.55, "sentence": 0.6, "paragraph": 0.4, "heading": 0.3, "list_item": -0.4, "links": -3.5, "outside_article": -2.5,
+    "article": 1e6, "boilerplate": -6.0,
 }
-#: Capacities of ties: neighbours in page order, and under one parent.
-ADJACENT, SIBLING = 0.35, 0.5
+#: Capacities of ties: neighbours in page order (halved for every second step between them in the tree), a block and its element, an element and its parent (but for articles, which stand for themselves).
+ADJACENT, BLOCK_TIE, ELEMENT_TIE = 0.5, 2.0, 2.0
+#: Capacities are whole numbers of this fraction, so that cuts are exact.
+UNIT = 1 / 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _LAYOUT = re.compile(r"(?<![\w-])(?:has|with|no|without)-[\w-]+")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/><]*")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _SPACE = re.compile(r"\s+")
 
 
@@ -67,51 +82,139 @@ class Block:
     text: str
     words: int
     linked: int
-    parent: int
-    features: tuple[str, ...]
+    element: int
 
 
-def _attribute_features(tag: str, attributes: str) -> tuple[str, ...]:
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return ()
+@dataclass
+class Page:
+    """Blocks in page order and the tree of elements; element 0 is the page itself, parents come before children."""
+
+    blocks: list[Block] = field(default_factory=list)
+    tag: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    hint: list[str] = field(default_factory=lambda: [""])  # "sure" by tag, "name" by attribute
+
+
+class _Tags:
+    """Tags of a page from left to right, as (start, end, name, closes, attributes), in linear time."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.quotes = html, True
+        self.unclosed: set[str] = set()
+
+    def end_of(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag at ``at``, or -1."""
+        place, ended = at, set()
+        while self.quotes:
+            m = _QUOTE_OR_END.search(self.html, place)
+            if not m:
+                self.quotes = False
+                break
+            place = m.end()
+            if m[0] == ">":
+                return m.start()
+            if m[0] not in ended:
+                close = self.html.find(m[0], place)
+                if close < 0:
+                    ended.add(m[0])
+                else:
+                    place = close + 1
+        return self.html.find(">", at)
+
+    def after_raw(self, tag: str, at: int) -> int:
+        """Place after the end tag of the raw element that starts before ``at``, or -1."""
+        if tag in self.unclosed:
+            return -1
+        m = re.compile(f"</{tag}", re.I).search(self.html, at)
+        close = self.html.find(">", m.end()) if m else -1
+        if close < 0:
+            self.unclosed.add(tag)
+        return close + 1 if close >= 0 else -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        html = self.html
+        while (lt := html.find("<", at)) >= 0:
+            if html.startswith("<!--", lt):
+                close = html.find("-->", lt + 4)
+                return lt, close + 3 if close >= 0 else len(html), "", False, ""
+            if html.startswith(("<!", "<?"), lt):
+                close = html.find(">", lt)
+                return (lt, close + 1, "", False, "") if close >= 0 else None
+            m = _NAME.match(html, lt + 1)
+            if m:
+                close = self.end_of(m.end())
+                if close < 0:
+                    return None
+                name = m[0].lstrip("/").lower()
+                return lt, close + 1, name, m[0][0] == "/", html[m.end() : close]
+            at = lt + 1
+        return None
+
+
+def _own_hint(tag: str, attributes: str) -> str:
+    if tag in BOILERPLATE_TAGS:
+        return "sure"
+    if not attributes or "=" not in attributes and "hidden" not in attributes or len(attributes) > 20_000:
+        return ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id") and tag not in ("body", "html"):
             hints = ARTICLE_HINTS if tag in ("article", "main") else HINTS
             if hints.search(_LAYOUT.sub("", value.replace("_", "-"))):
-                return ("hint",)
+                return "name"
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return ("hint",)
-    return ()
+            return "sure"
+    return ""
 
 
 def _closed_starts(html: str) -> set[int]:
     """Where the start tags of MAY_STAY_OPEN lie that have an end tag of their own; a button or select doesn't hold another."""
     found: set[int] = set()
     waiting: dict[str, list[int]] = {}
-    at = 0
-    while m := _TOKEN.search(html, at):
-        at, tag = m.end(), (m[2] or "").lower()
-        if tag in RAW and not m[1]:
-            if close := re.compile(f"</{tag}[^>]*>", re.I).search(html, at):
-                at = close.end()
+    tags, at = _Tags(html), 0
+    while t := tags.next(at):
+        start, at, tag, closes, attributes = t
+        if tag in RAW and not closes:
+            at = max(at, tags.after_raw(tag, at))
         elif tag in MAY_STAY_OPEN:
-            if m[1]:
+            if closes:
                 if waiting.get(tag):
                     found.add(waiting[tag].pop())
-            elif not m[3].endswith("/"):
+            elif not attributes.endswith("/"):
                 if tag in ("button", "select"):
                     waiting[tag] = []
-                waiting.setdefault(tag, []).append(m.start())
+                waiting.setdefault(tag, []).append(start)
     return found
 
 
-def blocks_of(html: str) -> list[Block]:
-    """Blocks in page order. Open elements are (tag, node, features, skipped)."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, frozenset, bool]] = [("", 0, frozenset(), False)]
+class _Stack:
+    """Open elements as (tag, element, nearest block-level element, skipped), with the depths of each tag."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+        self.depths: dict[str, list[int]] = {}
+        self.outside_html = 0
+
+    def push(self, tag: str, element: int, skipped: bool) -> None:
+        self.depths.setdefault(tag, []).append(len(self.open))
+        self.outside_html += tag != "html"
+        self.open.append((tag, element, self.open[-1][2] if tag in INLINE else element, skipped))
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag = self.open.pop()[0]
+            self.depths[tag].pop()
+            self.outside_html -= tag != "html"
+
+    def depth_of(self, tag: str) -> int:
+        """Depth of the innermost open element of a tag, or 0."""
+        return self.depths[tag][-1] if self.depths.get(tag) else 0
+
+
+def read_page(html: str) -> Page:
+    page, stack, tags = Page(), _Stack(), _Tags(html)
     pieces: list[str] = []
-    linked, nodes, in_link = 0, 0, 0
+    linked = 0
     closed: set[int] | None = None
     head = 0  # depth of the open head, or 0
     loose = 0  # depth of the outermost silent element without an end tag, or 0
@@ -121,175 +224,224 @@ def blocks_of(html: str) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", html_lib.unescape("".join(pieces))).strip()
             if text:
-                _, node, features, _ = next(e for e in reversed(stack) if e[0] not in INLINE)
-                out.append(Block(text, text.count(" ") + 1, linked, node, tuple(features)))
+                page.blocks.append(Block(text, text.count(" ") + 1, linked, stack.open[-1][2]))
         pieces.clear()
         linked = 0
 
     def put(text: str) -> None:
         nonlocal linked
-        if stack[-1][0] == "head" and text.strip():  # only a body holds text
-            del stack[-1]
-        if text and not stack[-1][3]:
+        if stack.open[-1][0] == "head" and text.strip():  # only a body holds text
+            stack.cut(len(stack.open) - 1)
+        if text and not stack.open[-1][3]:
             pieces.append(text)
-            if in_link:
+            if stack.depths.get("a"):
                 linked += len(text.split())
 
-    at, end = 0, len(html)
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if not m:
-            put(html[at:])
+    at = 0
+    while at < len(html):
+        t = tags.next(at)
+        put(html[at : t[0] if t else None])
+        if not t:
             break
-        put(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        start, at, tag, closes, attributes = t
+        if not tag:
             continue
-        tag = m[2].lower()
         inline = tag in INLINE
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if not depth:
-                continue
-            if not inline:
-                flush()
-            in_link -= sum(e[0] == "a" for e in stack[depth:])
-            del stack[depth:]
+        if closes:
+            depth = stack.depth_of(tag)
+            if depth:
+                if not inline:
+                    flush()
+                stack.cut(depth)
             continue
-        loose = loose if loose < len(stack) else 0
-        if tag == "head" and any(e[0] not in ("", "html") for e in stack):
+        loose = loose if loose < len(stack.open) else 0
+        if tag == "head" and stack.outside_html or tag == "html" and stack.depth_of("html"):
             continue
-        head = head if head < len(stack) else 0
+        head = head if head < len(stack.open) else 0
         if head and tag not in HEAD_METADATA:
-            del stack[head:]
+            stack.cut(head)
             head = 0
         if loose and (tag in CLOSED_BY_BLOCK or tag in TABLE_OR_LIST_PARTS):
-            in_link -= sum(e[0] == "a" for e in stack[loose:])
-            del stack[loose:]
+            stack.cut(loose)
             loose = 0
         if tag == "br":
             put("\n")
             continue
         if not inline:
             flush()
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE:
+        if tag in VOID or attributes.endswith("/") and not inline:
             continue
         if tag in CLOSED_BY_BLOCK or tag in TABLE_OR_LIST_PARTS or tag == "option":
             shut = {"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {"tr", "td", "th"} if tag == "tr" else {"p"}
-            for i in range(len(stack) - 1, max(0, len(stack) - 8), -1):
-                if stack[i][0] in shut:
-                    in_link -= sum(e[0] == "a" for e in stack[i:])
-                    del stack[i:]
+            for i in range(len(stack.open) - 1, max(0, len(stack.open) - 8), -1):
+                if stack.open[i][0] in shut:
+                    stack.cut(i)
                     break
-                if stack[i][0] not in INLINE and stack[i][0] != "p":
+                if stack.open[i][0] not in INLINE and stack.open[i][0] != "p":
                     break
-        nodes += 1
-        _, _, features, skipped = stack[-1]
-        new = list(_attribute_features(tag, m[3]))
-        if tag in BOILERPLATE_TAGS:
-            new.append("boilerplate_tag")
-        elif tag == "header" and "in_article" not in features:
-            new.append("header_tag")
-        elif tag in ("article", "main"):
-            new.append("in_article")
-        elif tag in ("p", "blockquote", "pre"):
-            new.append("paragraph")
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            new.append("heading")
-        elif tag in ("li", "td", "th"):
-            new.append("list_item")
-        if tag in RAW and (close := re.compile(f"</{tag}[^>]*>", re.I).search(html, at)):
-            at = close.end()
+        if tag in RAW and (after := tags.after_raw(tag, at)) >= 0:
+            at = after
             continue
+        skipped = stack.open[-1][3]
         if tag in MAY_STAY_OPEN and not loose and not skipped:
             closed = _closed_starts(html) if closed is None else closed
-            loose = 0 if m.start() in closed else len(stack)
+            loose = 0 if start in closed else len(stack.open)
         if tag == "head":
-            head = head or len(stack)
-        in_link += tag == "a"
-        stack.append((tag, nodes, features | set(new) if new else features, skipped or tag in SKIPPED))
+            head = head or len(stack.open)
+        page.tag.append(tag)
+        page.parent.append(stack.open[-1][1])
+        page.hint.append(_own_hint(tag, attributes))
+        stack.push(tag, len(page.tag) - 1, skipped or tag in SKIPPED)
     flush()
-    return out
-
-
-def log_odds(b: Block) -> float:
-    score = WEIGHTS["bias"] + WEIGHTS["log_words"] * math.log1p(b.words) + WEIGHTS["links"] * b.linked / max(b.words, 1)
-    score += sum(WEIGHTS[f] for f in b.features)
-    return score + WEIGHTS["sentence"] * (b.text[-1] in ".!?…»”\"" and b.words > 3)
-
-
-def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: neighbours in page order, and blocks with their next one under the same parent."""
-    out, last = [], {}
-    for i, b in enumerate(blocks):
+    return page
+
+
+def evidence(page: Page) -> tuple[list[float], list[float]]:
+    """Log-odds of being content: of the blocks by themselves, and of the elements."""
+    n = len(page.tag)
+    articles = [int(t in ("article", "main") and not h) for t, h in zip(page.tag, page.hint, strict=True)]
+    held = list(articles)
+    for e in range(n - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    bad, inside = [False] * n, [False] * n
+    for e in range(1, n):
+        up, tag = page.parent[e], page.tag[e]
+        wraps = held[0] > 0 and held[e] - articles[e] == held[0]  # a class name of a wrapper says little
+        bad[e] = bad[up] or page.hint[e] == "sure" or page.hint[e] == "name" and not wraps or tag == "header" and not inside[up]
+        inside[e] = inside[up] or articles[e] > 0 and not bad[e]
+    some = any(inside)
+    of_element = [WEIGHTS["boilerplate"] if bad[e] else WEIGHTS["article"] if inside[e] and articles[e] else 0.0 for e in range(n)]
+    of_block = []
+    for b in page.blocks:
+        tag = page.tag[b.element]
+        if bad[b.element]:
+            of_block.append(WEIGHTS["boilerplate"])
+            continue
+        score = WEIGHTS["bias"] + WEIGHTS["log_words"] * math.log1p(b.words) + WEIGHTS["links"] * min(1.0, b.linked / b.words)
+        score += WEIGHTS["sentence"] * (b.text[-1] in ".!?…»”\"" and b.words > 3)
+        score += WEIGHTS["paragraph"] * (tag in ("p", "blockquote", "pre")) + WEIGHTS["heading"] * (tag in HEADINGS) + WEIGHTS["list_item"] * (tag in ("li", "td", "th"))
+        of_block.append(score + WEIGHTS["outside_article"] * (some and not inside[b.element]))
+    return of_block, of_element
+
+
+def ties(page: Page) -> tuple[list[int], list[tuple[int, int, float]]]:
+    """``(elements, edges)``: the elements above blocks, numbered after the blocks, and all smoothness edges."""
+    n = len(page.blocks)
+    number: dict[int, int] = {}
+    depth = [0] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        depth[e] = depth[page.parent[e]] + 1
+    tie_up = lambda e: 0.0 if page.tag[e] in ("article", "main") else ELEMENT_TIE
+    edges = []
+    for i, b in enumerate(page.blocks):
+        e = b.element
+        if e not in number:
+            number[e] = n + len(number)
+            while e and page.parent[e] not in number:
+                up = page.parent[e]
+                number[up] = n + len(number)
+                edges.append((number[e], number[up], tie_up(e)))
+                e = up
+            if e:
+                edges.append((number[e], number[page.parent[e]], tie_up(e)))
+        edges.append((i, number[b.element], BLOCK_TIE))
         if i:
-            out.append((i - 1, i, ADJACENT + (SIBLING if blocks[i - 1].parent == b.parent else 0.0)))
-        if b.parent in last and last[b.parent] < i - 1:
-            out.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return out
+            x, y, steps = page.blocks[i - 1].element, b.element, 0
+            while x != y and steps < 12:  # beyond, the tie is next to nothing
+                x, y = (page.parent[x], y) if depth[x] >= depth[y] else (x, page.parent[y])
+                steps += 1
+            edges.append((i - 1, i, ADJACENT / 2 ** (steps / 2)))
+    return list(number), edges
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least total cost: log-loss of each node, and the capacity of each cut edge."""
     n = len(odds)
-    gain = list(odds)  # cost of boilerplate less cost of content is the log-odds itself
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    gain = [round(x / UNIT) for x in odds]  # cost of boilerplate less cost of content is the log-odds itself
+    near: list[dict[int, int]] = [{} for _ in range(n)]
     for a, b, c in edges:
-        near[a][b] = near[a].get(b, 0.0) + c
-        near[b][a] = near[b].get(a, 0.0) + c
-    label: list[bool | None] = [None] * n
-    queue = deque(range(n))
-    while queue:  # a node whose gain exceeds all its ties is fixed, and its ties become gains
-        i = queue.popleft()
-        if label[i] is None and abs(gain[i]) >= sum(near[i].values()):
-            label[i] = gain[i] > 0
-            for j, c in near[i].items():
-                gain[j] += c if label[i] else -c
-                del near[j][i]
-                queue.append(j)
-            near[i] = {}
-    left = [i for i in range(n) if label[i] is None]
-    if left:
-        side = _max_flow({i: gain[i] for i in left}, near)
-        for i in left:
-            label[i] = i in side
-    return [bool(x) for x in label]
-
-
-def _max_flow(gain: dict[int, float], near: list[dict[int, float]]) -> set[int]:
-    """Nodes on the source's side after flow along shortest augmenting paths."""
-    s, t, tiny = -1, -2, 1e-12
-    cap: dict[int, dict[int, float]] = {s: {}, t: {}}
-    for i, g in gain.items():
-        cap.setdefault(i, {}).update(near[i])
-        cap[i].setdefault(s, 0.0)
-        cap[i][t] = max(-g, 0.0)
-        cap[s][i], cap[t][i] = max(g, 0.0), 0.0
+        c = round(c / UNIT)
+        near[a][b] = near[a].get(b, 0) + c
+        near[b][a] = near[b].get(a, 0) + c
+    side = max_flow_side(gain, near)
+    return [i in side for i in range(n)]
+
+
+def max_flow_side(gain: list[int], near: list[dict[int, int]]) -> set[int]:
+    """Nodes that the source still reaches after a maximum flow (Dinic's algorithm over level graphs)."""
+    n = len(gain)
+    s, t = n, n + 1
+    to: list[int] = []
+    cap: list[int] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def arc(a: int, b: int, forth: int, back: int) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        cap.extend((forth, back))
+
+    for v in range(n):
+        if gain[v] > 0:
+            arc(s, v, gain[v], 0)
+        elif gain[v] < 0:
+            arc(v, t, -gain[v], 0)
+        for w, c in near[v].items():
+            if v < w and c:
+                arc(v, w, c, c)
     while True:
-        came, queue = {s: s}, deque([s])
-        while queue and t not in came:
-            i = queue.popleft()
-            for j, c in cap[i].items():
-                if c > tiny and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if t not in came:
-            return set(came) - {s}
-        path, j = [], t
-        while j != s:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(cap[a][b] for a, b in path)
-        for a, b in path:
-            cap[a][b] -= flow
-            cap[b][a] = cap[b].get(a, 0.0) + flow
+        level = [-1] * len(out)
+        level[s] = 0
+        queue = deque([s])
+        while queue:
+            a = queue.popleft()
+            for x in out[a]:
+                if cap[x] and level[to[x]] < 0:
+                    level[to[x]] = level[a] + 1
+                    queue.append(to[x])
+        if level[t] < 0:
+            return {v for v in range(n) if level[v] >= 0}
+        tried = [0] * len(out)
+        path: list[int] = []
+        a = s
+        while True:
+            if a == t:
+                flow = min(cap[x] for x in path)
+                for k, x in enumerate(path):
+                    cap[x] -= flow
+                    cap[x ^ 1] += flow
+                first = next(k for k, x in enumerate(path) if not cap[x])
+                a = to[path[first] ^ 1]
+                del path[first:]
+                continue
+            while tried[a] < len(out[a]):
+                x = out[a][tried[a]]
+                if cap[x] and level[to[x]] == level[a] + 1:
+                    break
+                tried[a] += 1
+            else:
+                if a == s:
+                    break
+                level[a] = -1
+                a = to[path.pop() ^ 1]
+                tried[a] += 1
+                continue
+            path.append(x)
+            a = to[x]
+
+
+def label_blocks(page: Page) -> tuple[list[bool], list[bool]]:
+    """Of each block, whether the cut and whether its own log-odds call it content."""
+    of_block, of_element = evidence(page)
+    elements, edges = ties(page)
+    cut = minimum_cut(of_block + [of_element[e] for e in elements], edges)
+    return cut[: len(of_block)], [x > 0 for x in of_block]
 
 
 def main_text(html: str | None) -> str:
-    blocks = blocks_of(html or "")
-    keep = minimum_cut([log_odds(b) for b in blocks], ties(blocks))
-    return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    page = read_page(html or "")
+    keep, _ = label_blocks(page)
+    return " ".join(b.text for b, k in zip(page.blocks, keep, strict=True) if k)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -300,4 +452,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             text = [main_text(h) for h in b.column(2).to_pylist()]
             yield {id_col: b.column(0), url_col: b.column(1), "text": text, "n_chars": [len(t) for t in text]}
 
-    return map_batches(pages.select(F.col(id_col).cast("long"), url_col, html_col), run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long")
+    return map_batches(pages.select(F.col(id_col), url_col, html_col), run, f"`{id_col}` {type_of(pages, id_col)}, `{url_col}` string, text string, n_chars long")
