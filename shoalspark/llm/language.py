@@ -4,17 +4,21 @@ Training words come from labelled documents in hash order up to ``sample_chars``
 characters a language, but ``LEAST_DOCS`` documents at least (whole texts; a
 documented bound). Words are counted by Spark; the small table (language, word, count)
 fits, on the driver, one five-gram model a language, with absolute discounts and
-continuation counts in the lower orders. Grams of an order are 64-bit hashes in
+continuation counts in the lower orders (raw counts for grams that begin a word,
+which nothing extends to the left). Grams of an order are 64-bit hashes in
 one sorted array, with a column of weights per language beside it.
 
 A text scores as its words (runs of letters, lower case, with begin and end
-marks): the language of the lowest cross-entropy a character wins. A text is
-``rejected`` if that entropy lies further above the language's mean than a
-calibrated bound, the quantile ``keep`` over all labelled documents of a fold kept
-out of the fit times ``slack`` and ``LEAST_EXCESS`` at least, on a scale that
-widens as one over the root of the length. The bound is finite in any table.
-
-Defined cases: a null text, or one without a letter, gets ``und`` and score 0;
+marks): the language of the lowest cross-entropy a character wins. ``score`` is that
+language's share of the likelihoods of ``EVIDENCE`` characters at most. A text is
+``rejected`` if its entropy lies further above the language's mean than a
+calibrated bound, on a scale that widens as one over the root of the length up to
+``LENGTH_CAP`` characters. The bound is ``slack`` times the quantile ``keep`` over all
+labelled documents of a fold kept out of the fit. Fewer rows than that quantile takes
+are pooled with the other languages', and their tail is carried on as an exponential
+one; no bound is laxer than the entropy of evenly drawn letters.
+
+Defined cases: very long texts are read whole; a null text, or one without a letter, gets ``und`` and score 0;
 unlabelled documents never train; with nothing to learn from, all are ``und``;
 ties go to the first language in code-point order; a null id hashes as ''.
 """
@@ -31,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.llm.common import filter_batches, map_batches, materialise
+from shoalspark.llm.common import filter_batches, map_batches, materialise, type_of
 
 ORDER = 5
 UNDETERMINED = "und"
-#: Words whose scores a process holds at most, and characters in which rejection widens no more.
-MAX_CACHE, LENGTH_CAP = 400_000, 256
-#: Nats a character above the mean, in a long text, that no calibration rejects.
-LEAST_EXCESS = 1.5
+#: Code points of the marks around a word; no letter is one.
+BEGIN, END = 2, 3
+#: Words whose scores a process holds at most; characters beyond which rejection narrows no more; and beyond which ``score`` gets no surer.
+MAX_CACHE, LENGTH_CAP, EVIDENCE = 400_000, 16, 50
 #: Documents a language is fitted on at least, if it has them, and rows below which its calibration leans on the others'.
 LEAST_DOCS, FEW_ROWS = 100, 20
 
@@ -56,11 +60,11 @@ def fold(id_col: str = "doc_id", folds: int = 4) -> Column:
 
 def _positions(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """``(chars, word)``: per predicted character its last ORDER code points, and the word's index."""
-    text = "".join("\2" * (ORDER - 1) + w + "\3" for w in words)
+    text = "".join(chr(BEGIN) * (ORDER - 1) + w + chr(END) for w in words)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    end = np.flatnonzero(code == 3)
+    end = np.flatnonzero(code == END)
     grams = np.lib.stride_tricks.sliding_window_view(code, ORDER) if len(code) >= ORDER else np.zeros((0, ORDER), np.uint64)
-    keep = grams[:, -1] != 2
+    keep = grams[:, -1] != BEGIN
     where = np.arange(ORDER - 1, len(code))[keep]
     return grams[keep], np.searchsorted(end, where)
 
@@ -125,14 +129,18 @@ def fit_model(counts: dict[str, dict[str, int]], discount: float = 0.75) -> Mode
         found, word = _positions(words)
         weight = np.fromiter((counts[lang][w] for w in words), np.float64, len(words))[word]
         alphabet.update(np.unique(found[:, -1]).tolist())
-        for k in range(ORDER, 0, -1):  # lower orders count distinct left extensions
-            h, first, at = np.unique(_hash(found), return_index=True, return_inverse=True)
-            kinds, n = found[first], np.bincount(at, weight, len(h))
+        longer: np.ndarray | None = None  # the kinds of the order above
+        for k in range(ORDER, 0, -1):
+            h, first, at = np.unique(_hash(found[:, ORDER - k :]), return_index=True, return_inverse=True)
+            kinds, n = found[first, ORDER - k :], np.bincount(at, weight, len(h))
+            if longer is not None:  # lower orders count distinct left extensions, but nothing extends a word's begin
+                extended = np.bincount(np.searchsorted(h, _hash(longer[:, 1:])), minlength=len(h))
+                n = np.where(kinds[:, 0] == BEGIN, n, extended)
             context, ctx = np.unique(_hash(kinds[:, :-1]), return_inverse=True)
             total, types = np.bincount(ctx, n), np.bincount(ctx)
             grams[k - 1].append((h, np.maximum(n - discount, 0) / total[ctx]))
             contexts[k - 1].append((context, discount * types / total))
-            found, weight = kinds[:, 1:], np.ones(len(kinds))
+            longer = kinds
     return Model(languages, 1.0 / (len(alphabet) + 1), [_merge(g, 0.0) for g in grams], [_merge(c, 1.0) for c in contexts])
 
 
@@ -219,12 +227,12 @@ def calibrate(model: Model, entropies: DataFrame, keep: float, slack: float) ->
     """Set the means and bounds from all rows ``(lang, h, scale)``.
 
     Percentiles are taken of values on a grid, so that their tables stay small
-    however many rows there are. A language with few rows takes the percentile
-    of all languages' excesses, and the larger median of its own and all rows;
-    one without a row has the entropy of evenly drawn letters as its mean. No
-    bound lies further up than that entropy but by ``LEAST_EXCESS``.
+    however many rows there are. A language with fewer rows than show the quantile
+    takes the larger of its own and that of all languages' rows together, and with
+    ``FEW_ROWS`` or fewer the larger median, too; one without a row has the entropy of
+    evenly drawn letters as its mean.
     """
-    even, root = -float(np.log(model.floor)), LENGTH_CAP**0.5
+    even, root, enough = -float(np.log(model.floor)), LENGTH_CAP**0.5, 1 / (1 - keep)
     median = F.percentile(F.round("h", 3), F.lit(0.5))
     own = {r[0]: (r[1], r[2]) for r in entropies.groupBy("lang").agg(F.count(F.lit(1)), median).collect()}
     of_all = entropies.agg(median).first()[0]
@@ -235,11 +243,18 @@ def calibrate(model: Model, entropies: DataFrame, keep: float, slack: float) ->
     mean = F.create_map(*(F.lit(x) for pair in means.items() for x in pair))[F.col("lang")]
     over = entropies.select("lang", F.round((F.col("h") - mean) * F.col("scale"), 2).alias("over"))
     high = F.percentile("over", F.lit(keep))
-    excess = dict(tuple(r) for r in over.groupBy("lang").agg(high).collect())
-    pooled = over.agg(high).first()[0] or 0.0
+
+    def tail(n: int, quantile: float) -> float:
+        return quantile * max(1.0, np.log(enough) / np.log(max(n, 2)))
+
+    rows = sum(n for n, _ in own.values())
+    pooled = tail(rows, over.agg(high).first()[0] or 0.0)
+    found = {lang: tail(own[lang][0], q) for lang, q in over.groupBy("lang").agg(high).collect()}
+    found = {lang: q if own[lang][0] >= enough else max(q, pooled) for lang, q in found.items()}
     model.mean = np.array([means[lang] for lang in model.languages])
-    found = np.array([excess[lang] if own.get(lang, (0,))[0] >= FEW_ROWS else pooled for lang in model.languages])
-    model.bound = np.maximum(np.minimum(slack * found, (even - model.mean) * root), LEAST_EXCESS * root)
+    # without a row to calibrate on, evenly drawn letters alone bound a language
+    wide = np.array([slack * found[lang] if lang in found else np.inf if not rows else slack * pooled for lang in model.languages])
+    model.bound = np.where(model.mean < even, np.minimum(wide, (even - model.mean) * root), np.where(np.isfinite(wide), wide, root))
 
 
 def predict(score: Scorer | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -250,7 +265,7 @@ def predict(score: Scorer | None, texts: list[str | None]) -> tuple[list[str], n
     h, n = score(texts)
     best = h.argmin(axis=1)
     low = h[np.arange(len(h)), best]
-    odds = np.exp(-np.minimum(n, 50)[:, None] * (h - low[:, None]))
+    odds = np.exp(-np.minimum(n, EVIDENCE)[:, None] * (h - low[:, None]))
     over = (low - model.mean[best]) * _scale(n) > model.bound[best]
     langs = [model.languages[i] if c else UNDETERMINED for i, c in zip(best, n, strict=True)]
     return langs, np.where(n > 0, 1.0 / odds.sum(axis=1), 0.0), (n == 0) | over
@@ -266,7 +281,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             lang, p, rejected = predict(score, b.column(1).to_pylist())
             yield {id_col: b.column(0), "lang_pred": lang, "score": p, "rejected": rejected}
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, f"`{id_col}` long, lang_pred string, score double, rejected boolean")
+    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {type_of(docs, id_col)}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
