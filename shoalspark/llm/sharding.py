@@ -1,87 +1,110 @@
 """Operator 9, sharding by a hierarchical weighted hash tree.
 
 A topology is regions of racks of shards with weights. A document descends from
-the root: at each level its draw at a child is an exponential variate of the
-child's weight, made of the id's hash, and the least draw wins. A node's draw is
-the least of its shards' draws, each -ln(u) / weight, which has the law of one
-draw with their summed weight; so a shard that is added or made heavier only
-lowers draws on its own path, and documents move into it and nowhere else, and
-one made lighter only gives documents away.
+the root: at each level every child of the node reached draws an exponential
+variate of its summed weight, -ln(u) / weight, from a hash of the id and the
+child's place in the tree, and the least draw wins. A level costs as many hashes as
+its widest node has children; the number of shards doesn't count.
 
-Slots are gapless from 0 in each shard. They are numbered inside hash buckets of
-bounded size, whose counts are summed up before, not in one task per shard.
+Draws of children whose weight stays are the same in another topology. So if a
+weight grows, documents move only into the child that holds it, level by level, and
+if it shrinks, only out of that child; what stays in other regions and racks
+keeps its shard. A shard that is added as a region of its own takes documents
+only into itself: that is how ``grown_shard`` is made.
+
+Slots are gapless from 0 in each shard: rows are range-sorted by shard, id and row,
+so that even copies of one id are spread over tasks, counted within each range,
+and the ranges' counts are summed up before.
 
 Defined cases: a null text has size 8 and CRC 0; a null id hashes as no value
-and lies in one shard like any other id; repeated rows share the shard and get
-slots of their own; an empty table gives an empty result.
+and lies in one shard like any other id; very long texts only lend size and CRC;
+repeated rows share the shard and get slots of their own; ties between draws go to the
+first child; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalspark.llm.common import materialise
+from shoalspark.llm.common import map_batches, materialise, type_of
 
 Topology = list[list[list[float]]]
 
-#: 24 equal shards: 2 regions of 3 racks of 4 shards. One more shard joins the last rack.
+#: 24 equal shards: 2 regions of 3 racks of 4 shards. One more shard is a region of its own.
 SHARDS_24: Topology = [[[1.0] * 4] * 3] * 2
-SHARDS_25: Topology = [[[1.0] * 4] * 3, [[1.0] * 4, [1.0] * 4, [1.0] * 5]]
-#: Rows that a slot bucket holds about.
-BUCKET_ROWS = 20_000
-
-
-def _draw(key: Column, shard: int, weight: float, seed: int) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(shard), key), 11) + F.lit(0.5)) / float(1 << 53)
-    return -F.ln(u) / weight
-
-
-def _winner(draws: list[Column]) -> Column:
-    """Index of the least draw; the first of equals."""
-    return F.array_min(F.array(*(F.struct(d.alias("draw"), F.lit(i).alias("at")) for i, d in enumerate(draws))))["at"]
+SHARDS_25: Topology = [*SHARDS_24, [[1.0]]]
 
 
-def _pick(index: Column, values: list[Column]) -> Column:
-    return functools.reduce(lambda other, iv: F.when(index == iv[0], iv[1]).otherwise(other), list(enumerate(values))[:-1][::-1], values[-1])
+def _descend(key: Column, level: str, path: list[Column], weights: list[list[float]], node: Column, seed: int) -> Column:
+    """Child of ``node`` (an index into ``weights``) whose draw is least."""
+    wide = max(map(len, weights))
+    table = F.array(*(F.array(*(F.lit(float(w)) for w in [*ws, *[0.0] * (wide - len(ws))])) for ws in weights))
+    own = F.element_at(table, node + 1) if len(weights) > 1 else table[0]
+    draws = []
+    for i in range(wide):
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), *path, F.lit(i), key), 11) + F.lit(0.5)) / float(1 << 53)
+        weight = F.element_at(own, F.lit(i + 1))
+        draws.append(F.struct(F.when(weight > 0, -F.ln(u) / weight).otherwise(F.lit(float("inf"))).alias("draw"), F.lit(i).alias("at")))
+    return F.array_min(F.array(*draws))["at"]
 
 
 def shard_of(docs: DataFrame, key_col: str, topology: Topology, name: str = "shard", seed: int = 11) -> DataFrame:
     """``docs`` with a column ``name``; shards are numbered along the topology."""
-    key, shard, columns, regions = F.col(key_col), 0, {}, []
-    for r, racks in enumerate(topology):
-        regions.append([])
-        for k, shards in enumerate(racks):
-            regions[r].append([])
-            for weight in shards:
-                columns[f"_d{shard}"] = _draw(key, shard, weight, seed)
-                regions[r][k].append(shard)
-                shard += 1
-    leaf = lambda s: F.col(f"_d{s}")
-    rack = lambda r, k: F.least(*map(leaf, regions[r][k])) if len(regions[r][k]) > 1 else leaf(regions[r][k][0])
-    racks = {f"_k{r}_{k}": rack(r, k) for r, ks in enumerate(regions) for k in range(len(ks))}
-    df = docs.withColumns(columns).withColumns(racks)
-    node = lambda r: [F.col(f"_k{r}_{k}") for k in range(len(regions[r]))]
-    df = df.withColumn("_region", _winner([F.least(*node(r)) if len(node(r)) > 1 else node(r)[0] for r in range(len(regions))]))
-    df = df.withColumn("_rack", _pick(F.col("_region"), [_winner(node(r)) for r in range(len(regions))]))
-    within = [_pick(F.col("_rack"), [_pick(_winner([leaf(s) for s in shards]), [F.lit(s) for s in shards]) for shards in ks]) for ks in regions]
-    return df.withColumn(name, _pick(F.col("_region"), within)).drop("_region", "_rack", *racks, *columns)
+    key = F.col(key_col)
+    racks = [rack for region in topology for rack in region]
+    first_rack = np.cumsum([0, *map(len, topology)]).tolist()
+    first_shard = np.cumsum([0, *map(len, racks)]).tolist()
+    at = lambda starts, index: F.element_at(F.array(*map(F.lit, starts)), index + 1)
+    df = docs.withColumn("_region", _descend(key, "region", [], [[sum(map(sum, region)) for region in topology]], F.lit(0), seed))
+    region = F.col("_region")
+    df = df.withColumn("_rack", _descend(key, "rack", [region], [[sum(rack) for rack in region_] for region_ in topology], region, seed))
+    rack = at(first_rack, region) + F.col("_rack")
+    df = df.withColumn("_shard", _descend(key, "shard", [region, F.col("_rack")], racks, rack, seed))
+    return df.withColumn(name, at(first_shard, rack) + F.col("_shard")).drop("_region", "_rack", "_shard")
+
+
+def _with_slots(facts: DataFrame) -> DataFrame:
+    """``facts`` with a gapless ``slot`` in each shard, in the order of id, text and row."""
+    order = ["shard", "id", "text_crc32", "size", "row"]
+    spark = facts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["part", "shard", "id", "size", "text_crc32", "grown_shard"]
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        last, n = None, 0  # shard and rows of it so far
+        for b in batches:
+            shard = b.column(1).to_numpy()
+            if not len(shard):
+                continue
+            new = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1 if last is None else last))
+            place = np.arange(len(shard)) + n
+            if len(new):
+                start = np.zeros(len(shard), np.int64)
+                start[new] = place[new]
+                start = np.maximum.accumulate(start)
+                place = place - start
+            last, n = int(shard[-1]), int(place[-1]) + 1
+            yield {name: b.column(i) for i, name in enumerate(columns)} | {"place": place}
+
+    ordered = facts.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    kind = type_of(facts, "id")
+    placed = materialise(map_batches(ordered.select(*columns), running, f"part int, shard int, id {kind}, size long, text_crc32 long, grown_shard int, place long"), "places")
+    # each range holds a few shards: about as many rows as ranges and shards together
+    count = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    count = count.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(count), ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("place")).cast("long"))
 
 
 def shard_documents(docs: DataFrame, topology: Topology = SHARDS_24, grown: Topology = SHARDS_25, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """``(id, size, text_crc32, law, shard, slot, grown_shard)`` of each row."""
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    facts = docs.select(F.col(id_col), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    facts = shard_of(shard_of(facts, id_col, topology, "shard", seed), id_col, grown, "grown_shard", seed)
-    facts = materialise(facts, "shards")
-    shards = sum(len(rack) for region in topology for rack in region)
-    buckets = max(16, facts.count() // (shards * BUCKET_ROWS) + 1)
-    facts = facts.withColumn("bucket", F.pmod(F.xxhash64(F.lit("slot"), F.col(id_col)), F.lit(buckets)).cast("int"))
-    count = facts.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    count = count.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(F.col(id_col), "text_crc32", "size"))
-    placed = facts.withColumn("place", place).join(count, ["shard", "bucket"])
-    return placed.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard")
+    facts = docs.select(F.col(id_col).alias("id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
+    facts = materialise(facts, "shards")  # the range sort samples its input: texts are read once
+    facts = _with_slots(shard_of(shard_of(facts, "id", topology, "shard", seed), "id", grown, "grown_shard", seed))
+    return facts.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
