@@ -13,10 +13,16 @@ residual of each array goes up a reduction tree, ``block`` arrays to one, until
 one document of each source is left, which is rounded to the nearer end.
 So a source's words differ from its target by half that document's size at most.
 
+Rows of one source, id and size are numbered (inside each input partition, then
+by the partitions' counts, so that no task holds all copies of a row), and draws
+and blocks are hashes of id, size and that number: reruns agree, whatever the
+partitioning, and copies fall into different blocks.
+
 Defined cases: a null source is a source, last in order; a null or empty text
-has size 0 and is never taken; repeated rows draw each for themselves; ties in
-size are ordered by hash and id; an empty table gives an empty result. Draws are
-hashes of the ids, and blocks follow hashes, so that reruns agree.
+has size 0 and is never taken; very long texts are one document of their size;
+repeated rows draw each for themselves; a null id is an id like any other; ties in
+size are ordered by hash and id; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,25 +93,39 @@ def _fold(units: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
     return grouped.select(*keys, *carried, F.explode(done).alias("x")).select(*keys, *carried, "x.*")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """``(id, size, source_size, target, copies, taken)`` of each row."""
-    draw = F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"))
-    sized = materialise(sized.withColumn("draw", draw), "sizes")
+def _numbered(sized: DataFrame) -> DataFrame:
+    """``(source, id, size, row, copy)``: ``copy`` numbers, from 0, the rows of one source, id and size."""
+    same = ["source", "id", "size"]
+    local = F.row_number().over(Window.partitionBy("part", *same).orderBy("row")) - 1
+    counts = sized.groupBy(*same, "part").agg(F.count(F.lit(1)).alias("n"))
+    over = Window.partitionBy(*same).orderBy("part")  # at most as many rows as input partitions
+    counts = counts.select("part", *same, F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before")).where(F.col("before").isNotNull())
+    # only rows that lie in several partitions have anything before them
+    joined = sized.withColumn("local", local).alias("l").join(counts.alias("r"), (F.col("l.part") == F.col("r.part")) & F.expr(" and ".join(f"l.{c} <=> r.{c}" for c in same)), "left")
+    return joined.select("l.source", "l.id", "l.size", "l.row", (F.col("local") + F.coalesce("before", F.lit(0))).alias("copy"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, seed: int = 7) -> DataFrame:
+    """``(id, size, source_size, target, copies, taken)`` of each row, and ``row_col``, a unique row key, if it is given."""
+    size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row.alias("row"), F.spark_partition_id().alias("part"))
+    sized = materialise(sized, "sizes")
+    sized = materialise(_numbered(sized).withColumn("draw", F.xxhash64(F.lit(seed), F.col("id"), F.col("size"), F.col("copy"))), "draws")
     targets = source_targets(sized, weights, cap).withColumnRenamed("source", "of")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     ratio = F.when(F.abs(ratio - F.rint(ratio)) < 1e-9, F.rint(ratio)).otherwise(ratio)
     wanted = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
-        "id", "source", "size", "draw", "source_size", "target", F.floor(ratio).alias("base"), (ratio - F.floor(ratio)).alias("p")
+        "id", F.col("row").alias("key"), "source", "size", "draw", "source_size", "target", F.floor(ratio).alias("base"), (ratio - F.floor(ratio)).alias("p")
     )
     kinds = ["source", "class"]
     fractional = (F.col("p") > 0) & (F.col("size") > 0)
-    certain = wanted.where(~fractional).select("id", "size", "source_size", "target", F.col("base").alias("copies"))
+    certain = wanted.where(~fractional).select("id", "key", "size", "source_size", "target", F.col("base").alias("copies"))
     shares = wanted.where(fractional).withColumn("class", F.floor(F.log2("size") * 4).cast("int"))
     count = shares.groupBy(*kinds).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
     shares = shares.join(count.withColumnsRenamed({"source": "s", "class": "c"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")))
     # what a document needs at the end rides along in "row"
-    facts = F.struct("id", "source_size", "target", "base")
+    facts = F.struct("id", "key", "source_size", "target", "base")
     units = shares.select(*kinds, F.pmod("draw", "blocks").alias("b"), "blocks", "size", "draw", facts.alias("row"), "p")
     rounded = []
     keys, carried = [*kinds, "b"], ["blocks"]
@@ -124,6 +144,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: floa
     chosen = rounded[0]
     for r in rounded[1:]:
         chosen = chosen.unionByName(r)
-    chosen = chosen.select("row.id", "size", "row.source_size", "row.target", (F.col("row.base") + F.col("p").cast("long")).alias("copies"))
+    chosen = chosen.select("row.id", "row.key", "size", "row.source_size", "row.target", (F.col("row.base") + F.col("p").cast("long")).alias("copies"))
     out = certain.unionByName(chosen)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    key = [F.col("key").alias(row_col)] if row_col else []
+    return out.select(F.col("id").alias(id_col), *key, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
