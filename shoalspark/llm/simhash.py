@@ -3,17 +3,21 @@
 1. ``fingerprints``: the 64-bit majority of the XXH64 hashes of a text's word
    shingles, repeats included. Documents, not texts, go to the shared folder.
 2. ``links``: distinct fingerprints are cut into three segments. Two that differ
-   in at most 4 bits differ in at most one bit of some segment, so each puts its
-   segments into a table and looks up, there, the ball of radius 1 about them:
-   itself and, as one direction is enough, each value with one more bit set.
+   in at most ``distance`` bits differ in at most ``distance // 3`` of some segment, so
+   each puts its segments into a table and looks up, there, the ball of that radius
+   (1 for 4 bits) about them. As one direction is enough, the ball is halved: of
+   two values the look-up goes from the one with fewer ones, or, of as many, from both.
    Matches are verified on all 64 bits. Segment values that very many
    fingerprints share are dealt over salts. A task gives back a forest of what
-   it has linked, not all pairs.
-3. ``connected_components``: large-star and small-star rounds over the forest.
+   it has linked, not all pairs. Balls of radius 2 hold about 120 values a segment and
+   of radius 3 about 900; larger ones (``distance`` of 12 and more) raise an error.
+3. ``connected_components``: large-star and small-star rounds over the forest. What
+   a round joins by a hub is written first, so that both sides of the join are plain
+   shuffles, which adaptive execution splits where one hub has most of the rows.
 
 Copies of a text share one fingerprint and never pair with each other.
 
-Defined cases: texts without a word (null, empty) have fingerprint 0 and are
+Defined cases: very long texts are hashed whole; texts without a word (null, empty) have fingerprint 0 and are
 linked like any other; texts shorter than a shingle are one shingle; a null id
 is never the smallest, and a component of null ids alone has a null id; repeated
 rows are one group; extra columns are ignored; an empty table gives no row.
@@ -21,6 +25,8 @@ rows are one group; extra columns are ignored; an empty table gives no row.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.llm.common import map_batches, materialise, utf8
+from shoalspark.llm.common import map_batches, materialise, type_of, utf8
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (first bit, bits) of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Balls beyond this radius hold too many values to enumerate.
+MAX_RADIUS = 3
 #: Table rows of a segment value beyond which it is dealt over salts.
 HOT = 4096
 _PAIRS, _HELD = 2_000_000, 500_000
@@ -65,20 +73,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield {"id": b.column(0), "fp": fp} | {name: b.column(2 + i) for i, name in enumerate(names)}
 
-    schema = ", ".join(f"`{name}` long" for name in ("id", "fp", *names))
-    return materialise(map_batches(docs.select(F.col(id_col).cast("long"), text_col, *(c.alias(name) for name, c in carried.items())), run, schema), "fingerprints")
+    schema = ", ".join([f"id {type_of(docs, id_col)}", *(f"`{name}` long" for name in ("fp", *names))])
+    return materialise(map_batches(docs.select(F.col(id_col), text_col, *(c.alias(name) for name, c in carried.items())), run, schema), "fingerprints")
 
 
-def segment_rows(distinct: DataFrame) -> DataFrame:
+def segment_rows(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``(key, probe, fp)``: each fingerprint's table rows and its look-ups."""
-    tables, probes = [], []
+    radius = distance // len(SEGMENTS)
+    if not 0 <= radius <= MAX_RADIUS:
+        raise ValueError(f"distance must be from 0 to {len(SEGMENTS) * (MAX_RADIUS + 1) - 1}")
+    found = []
     for s, (first, bits) in enumerate(SEGMENTS):
         value = f"(shiftrightunsigned(fp, {first}) & {(1 << bits) - 1}L)"
-        tables.append(f"struct({s << 24}L + {value} as key, false as probe)")
-        probes.append(f"struct({s << 24}L + {value} as key, true as probe)")
-        probes += [f"case when {value} & {1 << i}L = 0 then struct({(s << 24) + (1 << i)}L + {value} as key, true as probe) end" for i in range(bits)]
-    rows = distinct.select("fp", F.explode(F.expr(f"array({', '.join(tables + probes)})")).alias("x"))
-    return rows.where("x is not null").select("x.key", "x.probe", "fp")
+        masks = [sum(1 << b for b in c) for r in range(radius + 1) for c in itertools.combinations(range(bits), r)]
+        ball = F.explode(F.array(*map(F.lit, masks))).alias("mask")
+        rows = distinct.select("fp", F.expr(value).alias("value"), ball).withColumn("probed", F.col("value").bitwiseXOR(F.col("mask").cast("long")))
+        rows = rows.where(F.bit_count("probed") >= F.bit_count("value"))
+        found.append(rows.select((F.lit(s << 24) + F.col("probed")).alias("key"), F.lit(True).alias("probe"), "fp"))
+        found.append(distinct.select(F.expr(f"{s << 24}L + {value}").alias("key"), F.lit(False).alias("probe"), "fp"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _salted(rows: DataFrame, distinct: DataFrame, hot: int) -> DataFrame:
@@ -150,7 +163,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> Data
             a, b = forest(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
             yield {"a": a, "b": b}
 
-    rows = _salted(segment_rows(distinct), distinct, hot)
+    rows = _salted(segment_rows(distinct, distance), distinct, hot)
     return map_batches(rows.repartition("key").sortWithinPartitions("key", "probe"), run, "a long, b long")
 
 
@@ -160,9 +173,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         # large star: every larger neighbour of a node goes to the node's least neighbour
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = materialise(large, "large")
         # small star: a node and its smaller neighbours go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -178,8 +192,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     found = fingerprints(docs, id_col, text_col, shingle)
     classes = materialise(found.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     roots = connected_components(links(classes.select("fp"), distance))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = materialise(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    component = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component")
     by_fp = rooted.join(component, "root").select("fp", "component_id")
     named = found.join(by_fp, "fp")
     return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -194,6 +208,6 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE
     roots = connected_components(links(classes.select("fp"), distance))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.of_text", "least.of_row")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("id")) & (hashes["of_text"] == F.col("of_text")) & (hashes["of_row"] == F.col("of_row"))
+    same = F.col(id_col).eqNullSafe(F.col("id")) & (hashes["of_text"] == F.col("of_text")) & (hashes["of_row"] == F.col("of_row"))
     # rows of one key are equal in all columns, so any of them may stay
     return docs.join(stay, same, "left_semi").dropDuplicates()
