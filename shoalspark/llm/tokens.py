@@ -10,10 +10,12 @@
    of bounded size) and sum count x pieces. No id lists are made.
 
 Texts of plain letters, digits and ASCII marks are split by a regular expression
-that equals the tokenizer's there; any other text is split by the tokenizer's
-own normaliser and pre-tokenizer, so that results are the library's for all.
+if, when the file is loaded, it splits a probe text of all these signs as the tokenizer
+does (word_bpe_49k does, byte-level files don't); any other text, and any text
+of another tokenizer, is split by the tokenizer's own normaliser and pre-tokenizer, so
+that results are the library's for all.
 
-Defined cases: null and empty texts have 0 tokens; a special token's string in a
+Defined cases: very long texts are counted whole; null and empty texts have 0 tokens; a special token's string in a
 text counts as that one token (the library's default); repeated rows count each
 for themselves; ids may be null or repeat; extra columns are ignored.
 """
@@ -29,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from shoalspark.llm.common import map_batches, materialise, utf8
+from shoalspark.llm.common import map_batches, materialise, type_of, utf8
 
 #: Distinct pre-tokens, or documents, after which a chunk is closed.
 MAX_DICTIONARY, MAX_DOCUMENTS = 500_000, 20_000
@@ -53,6 +56,12 @@ def load_tokenizer(path: str):
     return _loaded[path]
 
 
+def _probes() -> list[str]:
+    """Texts with each plain sign by itself, after a letter, before a digit, in runs and after a quote."""
+    signs = [c for c in map(chr, range(0x180)) if _PLAIN.fullmatch(c)]
+    return [f"it's {c} a{c}b 1{c}2 {c}{c}'{c} {c}'ll{c}" for c in signs] + ["".join(signs), "  ".join(signs), "I'VE we'd 'tis don''t 12a3 \n\n x", ""]
+
+
 class _Codes(dict):
     """Numbers its keys in the order in which they are first asked for."""
 
@@ -68,6 +77,7 @@ class PreTokenizer:
         self.tokenizer = load_tokenizer(path)
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.plain = all(_SPLIT.findall(probe.lower()) == self.by_library(probe) for probe in _probes())
 
     def __call__(self, text: str) -> tuple[list[str], int]:
         if not (self.special and self.special.search(text)):
@@ -79,9 +89,15 @@ class PreTokenizer:
         return out, len(parts) - 1
 
     def split(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
+        if self.plain and _PLAIN.fullmatch(text):
             return _SPLIT.findall(text.lower())
-        text = self.tokenizer.normalizer.normalize_str(text)
+        return self.by_library(text)
+
+    def by_library(self, text: str) -> list[str]:
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        if not self.tokenizer.pre_tokenizer:
+            return [text] if text else []
         # offsets are those of characters in the normalised text
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -119,7 +135,7 @@ def pretoken_frequencies(docs: DataFrame, tokenizer_path: str, id_col: str = "do
             none = [None] * n
             yield {"chunk": [chunk] * n, "id": none, "n_bytes": none, "special": none, "pairs": none, "code": range(at, at + n), "piece": part}
 
-    found = map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "chunk long, id long, n_bytes long, special int, pairs binary, code int, piece string")
+    found = map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"chunk long, id {type_of(docs, id_col)}, n_bytes long, special int, pairs binary, code int, piece string")
     return materialise(found, "pretokens")
 
 
@@ -144,7 +160,8 @@ def piece_counts(frequencies: DataFrame, tokenizer_path: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` of each row."""
     frequencies = pretoken_frequencies(docs, tokenizer_path, id_col, text_col)
-    schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+    kind = type_of(docs, id_col)
+    schema = pa.schema([(id_col, to_arrow_type(frequencies.schema["id"].dataType)), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def total(rows: pa.Table, entries: pa.Table) -> pa.Table:
         pieces = np.zeros(entries.num_rows, np.int64)
@@ -158,4 +175,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
 
     rows = frequencies.where(F.col("pairs").isNotNull()).select("chunk", "id", "n_bytes", "special", "pairs")
     counts = piece_counts(frequencies, tokenizer_path)
-    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(total, f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(total, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
