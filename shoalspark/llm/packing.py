@@ -12,7 +12,8 @@
 Texts are split, before the tokenizer, at single spaces between two non-blanks,
 where its pre-tokens end anyway; known chunks' ids are remembered by process.
 
-Defined cases: null and empty texts are one end id; ties in the key are ordered
+Defined cases: null and empty texts are one end id; very long texts span as many
+sequences as they need; ties in the key are ordered
 by the row's place in the scan; repeated rows are packed each for themselves;
 an empty table gives no piece; extra columns are ignored.
 """
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.llm.common import map_batches, materialise
+from shoalspark.llm.common import map_batches, materialise, type_of
 from shoalspark.llm.tokens import _loaded, load_tokenizer
 
-#: Chunks whose ids a process remembers at most.
-MAX_CACHE = 700_000
+#: Chunks whose ids a process remembers at most, and their longest.
+MAX_CACHE, LONGEST_KEPT = 700_000, 64
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 12
 
 #: White space that is neither a space nor a line's end.
@@ -63,7 +64,9 @@ class _Ids(dict):
         self.encode, self.lead = encode, lead
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encode(chunk if chunk[:1] == "\n" else self.lead + chunk)
+        ids = self.encode(chunk if chunk[:1] == "\n" else self.lead + chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = ids
         return ids
 
 
@@ -176,8 +179,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
                 grid = ((np.tanh(place) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
                 yield {"row": part.column(0), "id": part.column(1), "key": hilbert_key(grid), "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return materialise(map_batches(rows, run, "row long, id long, key long, n long, ids binary"), "ids")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return materialise(map_batches(rows, run, f"row long, id {type_of(docs, id_col)}, key long, n long, ids binary"), "ids")
 
 
 def curve_offsets(tokens: DataFrame) -> DataFrame:
@@ -223,4 +226,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
             yield {name: [r[i] for r in out] for i, name in enumerate(names)}
 
     placed = tokens.select("row", "id", "ids").join(curve_offsets(tokens), "row").select("id", "begin", "ids")
-    return map_batches(placed, run, f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_batches(placed, run, f"`{id_col}` {type_of(docs, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
