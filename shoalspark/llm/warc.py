@@ -4,25 +4,34 @@
 sink (its line separator is the blank lines that end a record), under its commit
 protocol. Of pages with equal payloads the one with the largest id is a response,
 the others are revisit records that refer to it. ``read_archives`` reads whole
-files, of bounded record number, as binary rows.
+files, of bounded size, as binary rows.
 
 The salvage reader also takes gzip members. When a check fails (version line,
 length, end of record, digest of block or payload, gzip CRC) it searches for the
 next valid member or version line, goes on with the records after it, and logs
 the bytes between as a quarantined gap.
 
-Defined cases: null html is an empty payload; a null url gives no target URI and
-blanks in one are escaped; a null id is written as ``null``; rows that repeat an
-id with the same payload have the same type; an empty table gives no records.
+A file holds ``RECORDS_A_FILE`` records of up to ``SMALL_PAGE`` bytes, or as many larger
+ones as keep it under ``FILE_BYTES``, so that it fits one binary row; tables with
+larger pages take a second pass for them. Digests of repeated payloads meet the
+pages by broadcast up to a counted bound, else by a shuffle of deflated payloads.
+
+Defined cases: null html is an empty payload; very long html is one record; a null url
+gives no target URI and blanks in one are escaped; a null id, or one that is no whole
+number, is written as ``null`` and read back as null; rows that repeat an
+id with the same payload have the same type; among equal payloads the largest id
+wins, and rows that share it are all responses; an empty table gives no records; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import posixpath
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,12 +40,14 @@ from pyspark.sql import functions as F
 from shoalspark.llm.common import map_batches, materialise, scratch_path, text_or_empty
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RECORDS_A_FILE = 1000
-#: Digests of repeated payloads, 40 bytes each, up to which they are broadcast; beyond, Spark joins by shuffle.
+RECORDS_A_FILE, SMALL_PAGE, FILE_BYTES = 1000, 1 << 18, 1 << 28
+#: Digests of repeated payloads, 40 bytes each, up to which they are broadcast; beyond, payloads are deflated and joined by shuffle.
 FEW_DIGESTS = 100_000
 
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HTTP = b"\r\n\r\n"
+#: Bytes of a gzip member that are inflated at a time, and of a header at most.
+GULP, LONGEST_HEADER = 1 << 16, 1 << 24
 
 
 def sha1_base32(column: Column) -> Column:
@@ -48,16 +59,33 @@ def sha1_base32(column: Column) -> Column:
     return F.concat(*digits)
 
 
-def payload_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+def _mapped(df: DataFrame, name: str, kind: str, fn: Callable[[bytes], bytes]) -> DataFrame:
+    """``df`` whose column ``name`` went through ``fn``, as ``kind``, batch by batch."""
+    names = df.columns
+    at = names.index(name)
+    schema = ", ".join(f"`{c}` {kind if c == name else t}" for c, t in df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            new = [fn(x) for x in b.column(at).cast(pa.binary()).to_pylist()]
+            yield {c: new if i == at else b.column(i) for i, c in enumerate(names)}
+
+    return map_batches(df, run, schema)
+
+
+def payload_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, few: int | None = None) -> DataFrame:
     """``(id, url, payload, digest, response)``: ``response`` is the id whose record holds the payload."""
-    p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("payload"))
+    p = pages.select(F.col(id_col).try_cast("long").alias("id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("payload"))
     p = p.withColumn("digest", sha1_base32(F.col("payload").cast("binary")))
-    large = F.octet_length("payload") >= least_bytes
-    first = p.where(large).select("id", "digest").groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    size = F.octet_length("payload")
+    first = p.where(size >= least_bytes).select("id", "digest").groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = materialise(first, "digests")
-    if first.count() <= FEW_DIGESTS:  # then the payloads need not be shuffled to meet them
-        first = F.broadcast(first)
-    return p.join(first, "digest", "left").withColumn("response", F.when(large, F.coalesce("response", "id")).otherwise(F.col("id")))
+    if first.count() <= (FEW_DIGESTS if few is None else few):
+        joined = p.join(F.broadcast(first), "digest", "left")
+    else:
+        packed = _mapped(p, "payload", "binary", lambda x: zlib.compress(x, 1))
+        joined = _mapped(packed.join(first, "digest", "left"), "payload", "string", lambda x: zlib.decompress(x).decode("utf-8", "surrogatepass"))
+    return joined.withColumn("response", F.when(size >= least_bytes, F.coalesce("response", "id")).otherwise(F.col("id")))
 
 
 def warc_record(date: str = "1970-01-01T00:00:00Z") -> Column:
@@ -83,9 +111,18 @@ def warc_record(date: str = "1970-01-01T00:00:00Z") -> Column:
     return F.concat(head, block)
 
 
-def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, **columns: str) -> str:
-    records = payload_records(pages, **columns).select(warc_record().alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_a_file).text(path)
+def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, **columns) -> str:
+    """Archives of all pages in the folders ``small`` and, if there are such pages, ``large`` under ``path``."""
+    records = payload_records(pages, **columns)
+    largest = pages.agg(F.max(F.octet_length(columns.get("html_col", "html")))).first()[0] or 0
+
+    def write(part: DataFrame, name: str, most: int) -> None:
+        part.select(warc_record().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(posixpath.join(path, name))
+
+    small = F.octet_length("payload") <= SMALL_PAGE
+    write(records.where(small), "small", records_a_file)
+    if largest > SMALL_PAGE:
+        write(records.where(~small), "large", max(1, min(records_a_file, FILE_BYTES // largest)))
     return path
 
 
@@ -97,51 +134,75 @@ def _digest_of(block: bytes) -> str:
     return base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """``(fields, block, end)`` of the record or gzip member at ``at``; raises Damage."""
-    if data[at : at + 3] == b"\x1f\x8b\x08":
-        d = zlib.decompressobj(31)
+class Archive:
+    """Bytes of a file with the places of its records."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.view = data, memoryview(data)
+        self.blank = -1  # place of an empty line: the first one after all places before it that were asked for
+
+    def _header_end(self, at: int) -> int:
+        if self.blank < at:
+            self.blank = self.data.find(_HTTP, at)
+            if self.blank < 0:
+                self.blank = len(self.data)
+        return self.blank
+
+    def _member(self, at: int) -> tuple[bytes, int]:
+        """``(plain bytes, end)`` of the gzip member at ``at``."""
+        d, out, end = zlib.decompressobj(31), [], at
         try:
-            plain = d.decompress(data[at:])
+            while not d.eof and end < len(self.data):
+                out.append(d.decompress(self.view[end : end + GULP]))
+                end += GULP
         except zlib.error as e:
             raise Damage(f"gzip member: {e}") from None
         if not d.eof:
             raise Damage("gzip member is cut short")
-        fields, block, end = parse_record(plain, 0)
-        if end != len(plain):
-            raise Damage("gzip member holds more than a record")
-        return fields, block, len(data) - len(d.unused_data)
-    if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
-        raise Damage("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        raise Damage("header does not end")
-    fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        key, colon, value = line.decode("utf-8", "replace").partition(":")
-        if not colon:
-            raise Damage("header line without a colon")
-        fields[key.strip().lower()] = value.strip()
-    length = fields.get("content-length", "")
-    if not length.isdecimal():
-        raise Damage("no content length")
-    begin = stop + 4
-    end = begin + int(length)
-    if data[end : end + 4] != b"\r\n\r\n":
-        raise Damage("record does not end where its length says")
-    block = data[begin:end]
-    stated = fields.get("warc-block-digest", "")
-    if stated.startswith("sha1:") and stated[5:] != _digest_of(block):
-        raise Damage("block digest differs")
-    return fields, block, end + 4
+        return b"".join(out), min(end, len(self.data)) - len(d.unused_data)
+
+    def record(self, at: int) -> tuple[dict[str, str], bytes, int]:
+        """``(fields, block, end)`` of the record or gzip member at ``at``; raises Damage."""
+        data = self.data
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            plain, member_end = self._member(at)
+            fields, block, end = Archive(plain).record(0)
+            if end != len(plain):
+                raise Damage("gzip member holds more than a record")
+            return fields, block, member_end
+        if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
+            raise Damage("no version line")
+        stop = self._header_end(at)
+        if stop == len(data):
+            raise Damage("header does not end")
+        if stop - at > LONGEST_HEADER:
+            raise Damage("header is too long")
+        fields = {}
+        for line in data[at:stop].split(b"\r\n")[1:]:
+            key, colon, value = line.decode("utf-8", "replace").partition(":")
+            if not colon:
+                raise Damage("header line without a colon")
+            fields[key.strip().lower()] = value.strip()
+        length = fields.get("content-length", "")
+        if not length.isdecimal():
+            raise Damage("no content length")
+        begin = stop + 4
+        end = begin + int(length)
+        if data[end : end + 4] != _HTTP:
+            raise Damage("record does not end where its length says")
+        block = data[begin:end]
+        stated = fields.get("warc-block-digest", "")
+        if stated.startswith("sha1:") and stated[5:] != _digest_of(block):
+            raise Damage("block digest differs")
+        return fields, block, end + 4
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """``("record", begin, end, fields, block)`` and ``("gap", begin, end, reason, None)``, in order."""
-    at = 0
+    archive, at = Archive(data), 0
     while at < len(data):
         try:
-            fields, block, end = parse_record(data, at)
+            fields, block, end = archive.record(at)
         except Damage as e:
             reason, gap, search = str(e), at, at + 1
             while True:  # the next place from which a whole record can be read
@@ -150,7 +211,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
                     yield "gap", gap, len(data), reason, None
                     return
                 try:
-                    fields, block, end = parse_record(data, m.start())
+                    fields, block, end = archive.record(m.start())
                     break
                 except Damage:
                     search = m.start() + 1
@@ -192,11 +253,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows = [_row(x) for x in salvage(data)]
                 yield {"file": [file] * len(rows)} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return map_batches(files, run, "kind string, file string, begin long, end long, reason string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
-def archive_round_trip(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
+def archive_round_trip(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
     """Records of ``pages`` as read back from archives in the shared folder."""
     spark = pages.sparkSession
     return read_archives(spark, write_archives(pages, path or scratch_path(spark, "warc"), **columns))
