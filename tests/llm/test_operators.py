@@ -4,8 +4,10 @@ import base64
 import gzip
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
+from html import parser as html_parser
 
 import numpy as np
 import pytest
@@ -92,6 +94,20 @@ def test_media_columns(odd, docs, nothing):
     assert media.decode_media(media.encode_media(nothing)).count() == 0
 
 
+def test_ids_of_any_type_pass_through(spark, odd):
+    frame = odd.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    ids = Counter(r["doc_id"] for r in frame.collect())
+    path = tokenizer_path(WORD_PIECES)
+    for out in (
+        media.decode_media(media.encode_media(frame)), quality.quality_cascade(frame), tokens.token_counts(frame, path), language.identify(frame, language.train(frame)),
+        sharding.shard_documents(frame), simhash.near_duplicates(frame), mixing.mix_sources(frame),
+    ):
+        assert Counter(r["doc_id"] for r in out.collect()) == ids
+    assert {r["doc_id"] for r in packing.pack(frame, tokenizer_path(BYTE_PIECES)).collect()} == set(ids)
+    least = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame).collect()}
+    assert least["doc-5"] == "doc-1" and least["doc-3"] == "doc-2"
+
+
 # -- quality
 
 
@@ -106,9 +122,10 @@ def brute_counts(text):
 
 def test_quality_counts_and_order_independence(odd, docs, nothing):
     for frame in (odd, docs):
-        a = sorted(map(str, quality.quality_cascade(frame, list(quality.RULES)).drop("rejected_by").collect()))
-        assert a == sorted(map(str, quality.quality_cascade(frame, list(quality.RULES)[::-1]).drop("rejected_by").collect()))
-        got = Counter((r[0], r[1], r[2], r[3], r[4], r[5]) for r in quality.quality_cascade(frame, list(quality.RULES)).collect())
+        every = [*quality.BASE, *quality.RULES]
+        a = sorted(map(str, quality.quality_cascade(frame, every).drop("rejected_by").collect()))
+        assert a == sorted(map(str, quality.quality_cascade(frame, every[::-1]).drop("rejected_by").collect()))
+        got = Counter((r[0], r[1], r[2], r[3], r[4], r[5]) for r in quality.quality_cascade(frame, every).collect())
         assert got == Counter((r["doc_id"], *brute_counts(r["text"])) for r in frame.collect())
     assert quality.quality_cascade(nothing).count() == 0
 
@@ -118,7 +135,19 @@ def test_cascade_puts_rejection_per_cost_first(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     slow = lambda t: sum(hash(w) & 1 for w in t.words * 300) >= 0
     order = [r for r, _, _ in quality.fit_cascade(frame, {"slow": slow, "all": lambda t: False, "none": lambda t: True})]
-    assert order[0] == "all"
+    assert order[0] == "all" and order.index("none") < order.index("slow") and set(order) == {"slow", "all", "none", *quality.BASE}
+
+
+def test_a_rejected_text_costs_no_later_statistic():
+    t = quality.Text("$$$ %%% *** one two three " * 5)
+    assert quality.verdict(t, ["symbols", "few_repeats", "repeated_lines"], quality.BASE | quality.RULES) == "symbols"
+    assert not {"n_repeat_words", "lines", "n_dup_lines"} & set(vars(t))
+
+
+def test_null_and_equal_ids_are_sampled_by_row(spark):
+    frame = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three four five six seven eight nine ten eleven").alias("text"))
+    assert quality.fit_cascade(frame, {"all": lambda t: True}, sample_rows=400)
+    assert 300 < frame.select("text").sample(0.1, 17).count() < 500
 
 
 def test_quality_agrees_with_labels(spark):
@@ -133,8 +162,9 @@ def test_quality_agrees_with_labels(spark):
 # -- tokens
 
 
-def test_token_counts_equal_the_library(odd, docs, nothing):
-    path = tokenizer_path(WORD_PIECES)
+@pytest.mark.parametrize("file", [WORD_PIECES, BYTE_PIECES])
+def test_token_counts_equal_the_library(odd, docs, nothing, file):
+    path = tokenizer_path(file)
     library = tokens.load_tokenizer(path)
     for frame in (odd, docs):
         got = Counter(tuple(r) for r in tokens.token_counts(frame, path).collect())
@@ -147,9 +177,62 @@ def test_token_counts_equal_the_library(odd, docs, nothing):
     assert tokens.token_counts(nothing, path).count() == 0
 
 
+def test_the_plain_split_is_only_taken_where_it_is_the_tokenizers():
+    assert tokens.PreTokenizer(tokenizer_path(WORD_PIECES)).plain and not tokens.PreTokenizer(tokenizer_path(BYTE_PIECES)).plain
+
+
 # -- language
 
 
+def twin_entropy(words, text_words, order=5, discount=0.75):
+    """Kneser-Ney from its definitions, gram by gram: mean negative log probability of a character."""
+    padded = lambda w: ["<"] * (order - 1) + list(w) + [">"]
+    raw = Counter()
+    for w, n in words.items():
+        seq = padded(w)
+        for i in range(order - 1, len(seq)):
+            for k in range(1, order + 1):
+                raw[tuple(seq[i - k + 1 : i + 1])] += n
+    before = defaultdict(set)
+    for g in raw:
+        before[g[1:]].add(g[0])
+    count = {g: n if len(g) == order or g[0] == "<" else len(before[g]) for g, n in raw.items()}
+    follow = defaultdict(dict)
+    for g, n in count.items():
+        follow[g[:-1]][g[-1]] = n
+    letters = {g[-1] for g in raw}
+
+    def p(context, c):
+        low = 1 / (len(letters) + 1) if not context else p(context[1:], c)
+        if context == ():
+            seen = follow[()]
+            return max(seen.get(c, 0) - discount, 0) / sum(seen.values()) + discount * len(seen) / sum(seen.values()) * (1 / (len(letters) + 1))
+        if context not in follow:
+            return low
+        seen = follow[context]
+        return max(seen.get(c, 0) - discount, 0) / sum(seen.values()) + discount * len(seen) / sum(seen.values()) * low
+
+    total = chars = 0
+    for w in text_words:
+        seq = padded(w)
+        for i in range(order - 1, len(seq)):
+            total -= math.log(p(tuple(seq[i - order + 1 : i]), seq[i]))
+            chars += 1
+    return total / chars
+
+
+def test_cross_entropies_equal_a_twin_from_the_definitions(docs):
+    words = Counter()
+    for r in docs.where("lang = 'en'").limit(15).collect():
+        words.update(language.letter_words(r["text"]))
+    score = language.Scorer(language.fit_model({"en": dict(words)}))
+    for text in ("then the thing", "xylophone qqq", "a", "Ärger of the"):
+        h, n = score([text])
+        tokens_ = language.letter_words(text)
+        assert n[0] == sum(len(w) + 1 for w in tokens_)
+        assert math.isclose(h[0, 0], twin_entropy(words, tokens_), rel_tol=1e-5)
+
+
 def test_kneser_ney_sums_to_one_and_held_out_accuracy(spark, odd, nothing):
     model = language.fit_model({"a": {"abab": 3, "abc": 1}, "b": {"xyx": 2}})
     letters = "abcxyz\3"  # with one unseen letter, all that can follow
@@ -175,10 +258,14 @@ def test_language_learns_nothing_from_the_held_out_fold(spark):
     assert a == b
 
 
-def test_gibberish_is_rejected(spark):
+def test_gibberish_and_other_languages_are_rejected_at_any_length(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents")
-    junk = spark.createDataFrame([(1, " ".join("qzxkvjw wqxzj kqqzv xjqkz" for _ in range(20)))], "doc_id long, text string")
-    assert language.identify(junk, language.train(d)).first()["rejected"]
+    model = language.train(d)
+    texts = ["qzxkvjw wqxzj kqqzv xjqkz qzxkvjw"[:n] for n in (3, 5, 10, 20, 33)]
+    texts += ["tämä on suomenkielinen teksti jossa puhutaan monista asioista", "to jest tekst napisany w języku polskim", "это текст на русском языке", "这是一个中文文本", "questo è un testo scritto in italiano"]
+    junk = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert language.identify(junk, model).where("rejected").count() == len(texts)
+    assert language.identify(d, model).where("rejected").count() <= 0.005 * d.count()
 
 
 def test_gibberish_is_rejected_whatever_the_size_of_the_table(spark):
@@ -234,12 +321,133 @@ def test_unclosed_silent_elements_hide_no_block(tag):
     assert html.main_text(f"<main><p>{text}</p><{tag}><div>{text}</div></{tag}><p>{text}</p></main>") == f"{text} {text}"
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, '<a ">" ' * 150_000, '<p class="x>t ' * 60_000, "<div>" * 40_000 + "</b></i></x>" * 60_000, "<script>" * 120_000, "<script></script" * 60_000, "<svg><button>" * 60_000, "<p>x</p>" * 60_000, "<div>x" * 50_000],
+)
+def test_malformed_pages_take_time_in_proportion(page):
+    began = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 15  # a second or two; quadratic reading takes minutes
+
+
+def test_broken_tags_are_text_or_tags():
+    text = "The text of this page goes on for some words, as it should."
+    assert html.main_text(f"<p>{text}</p><p>1 < 2 and that is how it goes here, too.") == f"{text} 1 < 2 and that is how it goes here, too."
+    assert html.main_text(f'<p class="a>{text}</p><p>{text}</p>') == f"{text} {text}"  # without a second quote the tag ends at its >
+    assert html.main_text(f"<p title='a>b'>{text}</p>") == text
+
+
+def test_containers_outvote_length():
+    text, long = "The text of this page goes on for some words, as it should.", "I read all of this with care and I do think that it is good. " * 12
+    for box in ("<div class=comments><p>{}</p></div>", "<aside><p>{}</p></aside>", "<div id=ad-1><p>{}</p></div>", "<section class='related'><article><p>{}</p></article></section>", "<article class=comment><p>{}</p></article>"):
+        assert html.main_text(f"<main><article><h1>News</h1><p>{text}</p><p>Yes.</p>{box.format(long)}</article></main>") == f"News {text} Yes."
+        assert html.main_text(f"<article><h1>News</h1><p>{text}</p><p>Yes.</p></article>{box.format(long)}") == f"News {text} Yes."
+    assert html.main_text(f"<div class='content sidebar'><article><p>{text}</p></article></div>") == text  # a wrapper's class name
+
+
+class _TwinParser(html_parser.HTMLParser):
+    """Blocks of a well-formed page by the standard library: (text, tag path, own link share)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.path, self.text, self.out, self.next, self.links = [("", 0)], [], [], 1, 0
+
+    def close_block(self):
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.out.append((text, tuple(self.path), self.links))
+        self.text, self.links = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("a", "b"):
+            self.path.append((tag, -1)) if tag == "a" else None
+            return
+        self.close_block()
+        self.path.append((tag + "".join(f".{v}" for k, v in attrs if k == "class"), self.next))
+        self.next += 1
+
+    def handle_endtag(self, tag):
+        if tag == "b":
+            return
+        if tag != "a":
+            self.close_block()
+        self.path.pop()
+
+    def handle_data(self, data):
+        if not any(t in ("script", "style", "head") for t, _ in self.path):
+            self.text.append(data)
+            self.links += len(data.split()) * any(t == "a" for t, _ in self.path)
+
+
+def twin_text(page):
+    """The least-cost labelling by trying all, with costs written out from the docstring."""
+    parser = _TwinParser()
+    parser.feed(page)
+    parser.close_block()
+    blocks = [(t, tuple(x for x in path if x[0] != "a"), links) for t, path, links in parser.out]
+    w = html.WEIGHTS
+    boiler = lambda path: any(t.split(".")[0] in ("nav", "footer", "aside") or t.endswith(".ad") for t, _ in path)
+    inside = lambda path: any(t == "article" for t, _ in path)
+    some = any(inside(p) for _, p, _ in blocks)
+    nodes, gain = {}, []
+    node = lambda key, g: nodes.setdefault(key, (len(nodes), gain.append(g)))[0]
+    edges = []
+    for i, (text, path, links) in enumerate(blocks):
+        n = len(text.split())
+        g = w["bias"] + w["log_words"] * math.log(1 + n) + w["links"] * links / n + w["sentence"] * (text[-1] in ".!?" and n > 3) + w["outside_article"] * (some and not inside(path))
+        g += {"p": w["paragraph"], "h1": w["heading"], "li": w["list_item"]}.get(path[-1][0], 0.0)
+        b = node(("block", i), w["boilerplate"] if boiler(path) else g)
+        for d in range(len(path), 0, -1):
+            e = path[:d]
+            new = e not in nodes
+            here = node(e, w["boilerplate"] if boiler(e) else 100.0 if e[-1][0] == "article" else 0.0) if new else nodes[e][0]
+            if d == len(path):
+                edges.append((b, here, html.BLOCK_TIE))
+            if d < len(path) and below is not None:  # noqa: F821
+                edges.append((below, here, 0.0 if path[d][0] == "article" else html.ELEMENT_TIE))  # noqa: F821
+            below = here if new else None
+        if i:
+            last = blocks[i - 1][1]
+            common = sum(1 for x, y in zip(last, path) if x == y)
+            edges.append((nodes[("block", i - 1)][0], b, html.ADJACENT / 2 ** ((len(last) + len(path) - 2 * common) / 2)))
+    best = None
+    for m in range(1 << len(gain)):
+        cost = sum(g for i, g in enumerate(gain) if not m >> i & 1) + sum(c for x, y, c in edges if (m >> x ^ m >> y) & 1)
+        if best is None or cost < best[0] - 1e-9:
+            best = cost, m
+    return " ".join(t for i, (t, _, _) in enumerate(blocks) if best[1] >> nodes[("block", i)][0] & 1)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<nav><p><a>Home</a></p></nav><article><h1>Two words</h1><p>Yes.</p><p>It is so, as they all say.</p></article>",
+        "<div><p>Short one</p><p>A longer one that says what there is to say about it all.</p></div><div><p><a>Link here</a></p></div>",
+        "<div class=ad><p>Buy this thing now, it is so cheap that you will buy two.</p></div><p>Yes, it was told.</p><p>Ok</p>",
+        "<ul><li>One</li><li>Two <a>more links here</a></li></ul><p>Then a text of a few more words than that follows on here.</p>",
+        "<article><p>Main text here.</p></article><p>Outside of it stands a text of more words than that, which is odd.</p>",
+    ],
+)
+def test_extraction_equals_a_twin_that_tries_all_labellings(page):
+    assert html.main_text(page) == twin_text(page)
+
+
+def test_the_cut_turns_labels_of_the_pages(spark, sf_dir):
+    turned = total = 0
+    for r in table(spark, sf_dir, "pages").collect():
+        cut, alone = html.label_blocks(html.read_page(r["html"]))
+        turned += sum(a != b for a, b in zip(cut, alone, strict=True))
+        total += len(cut)
+    assert turned > 0.02 * total
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(3)
     for _ in range(200):
         n = int(rng.integers(1, 9))
-        odds = rng.normal(0, 1, n).tolist()
-        edges = [(int(a), int(b), float(rng.random())) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b]
+        odds = (np.round(rng.normal(0, 1, n) / html.UNIT) * html.UNIT).tolist()
+        edges = [(int(a), int(b), int(rng.integers(0, 256)) * html.UNIT) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b]
 
         def cost(labels):
             return sum(max(o, 0) - o * keep for o, keep in zip(odds, labels)) + sum(c for a, b, c in edges if labels[a] != labels[b])
@@ -360,6 +568,21 @@ def test_pivotal_rounding_keeps_expectations(spark):
         assert abs(np.mean(copies) - ratio) < 0.15
 
 
+def test_equal_rows_are_spread_over_blocks(spark):
+    same = spark.range(0, 30_000, 1, 7).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    other = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("t").alias("source"))
+    numbered = mixing._numbered(same.select(F.lit("s").alias("source"), F.col("doc_id").alias("id"), F.lit(3).alias("size"), F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("part")))
+    assert sorted(r["copy"] for r in numbered.collect()) == list(range(30_000))
+    rows = mixing.mix_sources(same.unionByName(other)).groupBy("source_size", "target", "size", "copies").count().collect()
+    taken, n = Counter(), Counter()
+    for r in rows:
+        taken[r["source_size"], r["target"]] += r["size"] * r["copies"] * r["count"]
+        n[r["size"]] += r["count"]
+    assert n == {3: 30_000, 4: 3000} and all(abs(t - target) <= 2 for (_, target), t in taken.items())
+    a, b = (sorted(map(str, mixing.mix_sources(f).collect())) for f in (same, same.repartition(3)))
+    assert a == b
+
+
 # -- warc
 
 
@@ -383,6 +606,32 @@ def test_archives_round_trip(spark, sf_dir):
         assert r["payload_bytes"] == len(h) and r["payload_digest"] == base64.b32encode(hashlib.sha1(h).digest()).decode()
         assert r["payload"] == (h if response else None)
     assert warc.archive_round_trip(frame.limit(0)).count() == 0
+    plain = lambda rows: sorted(str((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], r["payload"])) for r in rows)
+    assert plain(warc.archive_round_trip(frame, few=0).collect()) == plain(rows)  # digests by shuffle
+
+
+def test_large_pages_get_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_PAGE", 1000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    frame = spark.createDataFrame([(i, "u", f"{i} " * (10 if i % 3 else 1000 + i)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "warc")
+    warc.write_archives(frame, path, records_a_file=7)
+    assert max(f.stat().st_size for f in tmp_path.glob("warc/large/*.txt")) < 20_000 and len(list(tmp_path.glob("warc/small/*.txt"))) == 6
+    rows = warc.read_archives(spark, path).collect()
+    assert {(r["page_id"], r["payload"].decode()) for r in rows} == {(r["page_id"], r["html"]) for r in frame.collect()}
+
+
+def test_ids_that_are_no_numbers_are_archived_as_null(spark):
+    rows = warc.archive_round_trip(spark.createDataFrame([("a", None, "<p>x")], "page_id string, url string, html string")).collect()
+    assert [(r["page_id"], r["record_type"], r["payload"]) for r in rows] == [(None, "response", b"<p>x")]
+
+
+def test_salvage_takes_time_in_proportion():
+    rng = np.random.default_rng(5)
+    for data, n in ((b"".join(gzip.compress(member(i, rng.bytes(20_000)), 1) for i in range(1500)), 1500), (b"WARC/1.1\r\n" * 200_000, 0)):
+        began = time.perf_counter()
+        assert sum(x[0] == "record" for x in warc.salvage(data)) == n
+        assert time.perf_counter() - began < 10
 
 
 def member(i, body=b"hello"):
@@ -412,6 +661,31 @@ def test_salvage_recovers_records_after_damage(pack):
 # -- sharding
 
 
+def twin_shard(key, topology, seed=11):
+    """Descent by the definitions: per level an exponential draw for each child from a chained XXH64."""
+
+    def draw(level, path, i, weight):
+        h = 42
+        number = lambda n: n.to_bytes(4, "little")
+        for raw in (number(seed), level.encode(), *map(number, path), number(i), key.to_bytes(8, "little", signed=True)):
+            h = xxhash.xxh64_intdigest(raw, h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    weight = lambda node: node if isinstance(node, float) else sum(map(weight, node))
+    node, path = topology, []
+    for level in ("region", "rack", "shard"):
+        i = min(range(len(node)), key=lambda i: draw(level, path, i, weight(node[i])))
+        node, path = node[i], [*path, i]
+    before = [r for region in topology[: path[0]] for r in region] + topology[path[0]][: path[1]]
+    return sum(map(len, before)) + path[2]
+
+
+@pytest.mark.parametrize("topology", [sharding.SHARDS_24, sharding.SHARDS_25, [[[1.0, 2.0], [1.0]], [[3.0, 1.0, 0.5], [2.0, 2.0], [4.0]]], [[[1.0]]]])
+def test_the_descent_equals_a_twin(spark, topology):
+    rows = sharding.shard_of(spark.range(2000).withColumnRenamed("id", "k"), "k", topology).collect()
+    assert all(r["shard"] == twin_shard(r["k"], topology) for r in rows)
+
+
 def test_sharding_law_balance_and_slots(spark, odd, nothing):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     for frame in (odd, d):
@@ -419,23 +693,37 @@ def test_sharding_law_balance_and_slots(spark, odd, nothing):
         assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter(
             (r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in frame.collect()
         )
-        slots = defaultdict(list)
+        slots, shard = defaultdict(list), {}
         for r in rows:
             slots[r["shard"]].append(r["slot"])
             assert r["grown_shard"] in (r["shard"], 24) and 0 <= r["shard"] < 24
+            assert shard.setdefault(r["doc_id"], r["shard"]) == r["shard"]
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert any(r["grown_shard"] == 24 for r in rows)
     many = spark.range(48_000).withColumnRenamed("id", "k")
     count = Counter(r[0] for r in sharding.shard_of(many, "k", sharding.SHARDS_24).select("shard").collect())
     assert len(count) == 24 and all(abs(n - 2000) < 250 for n in count.values())
     assert sharding.shard_documents(nothing).count() == 0
 
 
-def test_weights_move_only_their_subtree(spark):
+def test_slots_of_one_id_are_spread_over_tasks(spark):
+    frame = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    rows = sharding.shard_documents(frame).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 20_000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_weights_move_only_into_or_out_of_their_subtree(spark):
     many = spark.range(20_000).withColumnRenamed("id", "k")
     tree = [[[1.0, 2.0], [1.0]], [[3.0, 1.0], [2.0, 2.0]]]
-    heavier = [[[1.0, 2.0], [1.0]], [[3.0, 2.0], [2.0, 2.0]]]  # shard 4 doubles
+    heavier = [[[1.0, 2.0], [1.0]], [[3.0, 2.0], [2.0, 2.0]]]  # shard 4, in region 1 and its first rack, doubles
     both = sharding.shard_of(sharding.shard_of(many, "k", tree, "a"), "k", heavier, "b").select("a", "b").collect()
-    assert all(r["b"] in (r["a"], 4) for r in both)
+    moved = [(r["a"], r["b"]) for r in both if r["a"] != r["b"]]
+    assert moved and all(b >= 3 for _, b in moved)  # into the region only
+    assert all(b in (3, 4) for a, b in moved if a >= 3)  # within the region only into the rack
+    assert all(b == 4 for a, b in moved if a == 3) and not any(a == 4 for a, _ in moved)  # within the rack only into the shard
     count = Counter(r["a"] for r in both)
     for s, w in enumerate((1, 2, 1, 3, 1, 2, 2)):
         assert abs(count[s] - 20_000 * w / 12) < 0.1 * 20_000 * w / 12 + 60
@@ -485,6 +773,24 @@ def test_near_duplicates_equal_brute_force(spark, odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("distance", [0, 2, 4, 7, 9])
+def test_links_at_other_distances(spark, distance):
+    rng = np.random.default_rng(6)
+    centre = rng.integers(0, 1 << 62, 8)
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 11))) for c in centre for _ in range(12)})
+    signed = {f: (f + (1 << 63)) % (1 << 64) - (1 << 63) for f in fps}
+    frame = spark.createDataFrame([(f,) for f in signed.values()], "fp long")
+    got = {r["node"]: r["root"] for r in simhash.connected_components(simhash.links(frame, distance)).collect()}
+    want = brute_components(fps, distance)
+    groups, found = defaultdict(set), defaultdict(set)
+    for f in fps:
+        groups[want[f]].add(f)
+        found[got.get(signed[f], signed[f])].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+    with pytest.raises(ValueError):
+        simhash.links(frame, 12)
+
+
 @pytest.mark.parametrize("hot", [4096, 20])
 def test_links_of_dense_fingerprints(spark, hot):
     rng = np.random.default_rng(4)
@@ -524,7 +830,8 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert first.columns == docs.columns and first.count() >= 0.99 * len(rows)
     second = p.apply_quality_rules(spark, first, sf_dir)
     left = {r["doc_id"]: r for r in first.collect()}
-    want = {i for i, r in left.items() if quality.verdicts([quality.read_text(r["text"])], list(quality.RULES), quality.RULES) == [None]}
+    every = quality.BASE | quality.RULES
+    want = {i for i, r in left.items() if quality.verdict(quality.Text(r["text"]), list(every), every) is None}
     assert {r["doc_id"] for r in second.collect()} == want
     third = p.drop_near_duplicates(spark, second, sf_dir)
     fp = {i: brute_fingerprint(rows[i]["text"]) for i in want}
@@ -561,3 +868,21 @@ def test_near_duplicates_keep_each_text_of_shared_and_null_ids(spark, sf_dir):
     first = p.drop_near_duplicates(spark, frame, sf_dir).collect()
     assert Counter((r["doc_id"], r["text"]) for r in first) == want
     assert sorted(map(str, first)) == sorted(map(str, p.drop_near_duplicates(spark, frame.repartition(5), sf_dir).collect()))
+
+
+def test_mixing_stage_takes_rows_and_not_ids(spark, sf_dir):
+    import corpus_pipeline as p
+
+    text = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None if k % 2 else 5, text(k, 10 + k % 3), "en", f"s{k % 4}", k) for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = p.mix_to_targets(spark, frame, sf_dir)
+    assert out.columns == frame.columns
+    got = Counter(r["text"] for r in out.collect())
+    size = {f"s{k}": sum(10 + j % 3 for j in range(200) if j % 4 == k) for k in range(4)}
+    taken = Counter()
+    for k in range(200):
+        assert got[text(k, 10 + k % 3)] <= 3
+        taken[f"s{k % 4}"] += got[text(k, 10 + k % 3)] * (10 + k % 3)
+    target = brute_targets(size)
+    assert all(abs(taken[s] - target[s]) <= 7 for s in size)
