@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalspark.llm import language, mixing, packing, quality, simhash
-from shoalspark.llm.common import scratch_path, table
+from shoalspark.llm.common import materialise, scratch_path, table
 from shoalspark.llm.queries import BYTE_PIECES, tokenizer_path
 
 #: Hashing, sampling and iterative stages: no SQL twin; the tests compare with brute force.
@@ -30,8 +30,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: each document comes as many times as the mix takes it."""
-    copies = mixing.mix_sources(docs).where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    keyed = materialise(docs.withColumn("mix_row", F.monotonically_increasing_id()), "keyed")  # ids may be null or repeat
+    copies = mixing.mix_sources(keyed, row_col="mix_row").where(F.col("copies") > 0).select("mix_row", "copies")
+    taken = keyed.join(copies, "mix_row")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
