@@ -139,3 +139,17 @@ def hybrid_depth(forest: Column, spread: Column, physical: Column, trained_max:
     edge = clip((forest - 0.7 * trained_max) / (0.3 * trained_max + 0.1), 0.0, 1.0)
     w = F.when(physical > forest, F.greatest(0.3 * clip(spread / 0.25, 0.0, 1.0), edge * clip(physical - forest, 0.0, 1.0))).otherwise(0.0)
     return (1 - w) * forest + w * physical
+
+
+def physics_blend(forest: Column, spread: Column, physical: Column, physical_sigma: Column, trained_max: float, start: float | None = None) -> dict[str, Column]:
+    """Forest depth drawn to a deeper physical one near and beyond the trained depths, or where trees disagree; sigmas add as variances.
+
+    ``start`` is the depth at which the pull begins, four fifths of the trained maximum by default. Beyond the maximum a tenth of the excess is added to sigma.
+    """
+    start = 0.8 * trained_max if start is None else start
+    near_edge = clip((forest - start) / (trained_max - start + 0.1), 0.0, 1.0)
+    w = F.when(physical > forest, F.greatest(near_edge, 0.5 * clip(spread / 0.3, 0.0, 1.0))).otherwise(0.0)
+    depth = (1 - w) * forest + w * physical
+    own = F.greatest(spread, F.lit(0.1))
+    sigma = F.sqrt((1 - w) * (1 - w) * own * own + w * w * physical_sigma * physical_sigma) + 0.1 * clip(depth - trained_max, 0.0, None)
+    return {"depth_m": depth, "sigma_m": sigma, "weight": w}

@@ -53,7 +53,8 @@ def residual_summary(df: DataFrame, residual: str) -> DataFrame:
 def coverage_grid(df: DataFrame, n: int = 10, least: int = 10) -> DataFrame:
     """Occupied cells of an n x n grid over the points' extent, with counts of the others as 0."""
     box = df.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    at = lambda c, lo, hi: F.least(F.lit(n - 1), F.floor((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo)) * n)).cast("int")
+    # an extent of no width puts all points into the first cells
+    at = lambda c, lo, hi: F.least(F.lit(n - 1), F.coalesce(F.floor(F.try_divide(F.col(c) - F.col(lo), F.col(hi) - F.col(lo)) * n), F.lit(0))).cast("int")
     count = df.crossJoin(F.broadcast(box)).groupBy(at("y", "y0", "y1").alias("gr"), at("x", "x0", "x1").alias("gc")).agg(F.count(F.lit(1)).alias("k"))
     cells = df.sparkSession.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("gr"), (F.col("id") % n).cast("int").alias("gc"))
     return cells.join(count, ["gr", "gc"], "left").select("gr", "gc", F.coalesce("k", F.lit(0)).alias("n"), (F.coalesce("k", F.lit(0)) >= least).alias("covered"))
@@ -88,6 +89,30 @@ def buffered_train(df: DataFrame, fold: int, radius: float) -> DataFrame:
     return train.join(near, "point_id", "left_anti")
 
 
+def cluster_quality(df: DataFrame, label: str = "cluster") -> DataFrame:
+    """One row: mean distance to the own centre (compactness), least distance of two centres (separation), and the silhouette.
+
+    The silhouette is that of squared distances, whose means follow from each cluster's sums, so that all rows
+    count and no two rows meet; only the table of centres, one row a cluster, is joined.
+    """
+    centre = df.groupBy(label).agg(
+        F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("k"), (F.var_pop("x") + F.var_pop("y")).alias("spread"),
+    )
+    c = centre.withColumnRenamed(label, "_of")
+    other = c.select(F.col("_of").alias("_to"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    apart = c.join(other, F.col("_of") < F.col("_to")).agg(F.min(F.hypot(F.col("cx") - F.col("ox"), F.col("cy") - F.col("oy"))).alias("separation"))
+    own = df.select(F.monotonically_increasing_id().alias("_row"), F.col(label).alias("_mine"), "x", "y")
+    both = own.crossJoin(F.broadcast(c)).withColumn("d2", F.pow(F.col("x") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("cy"), F.lit(2.0)))
+    mean2 = F.col("d2") + F.col("spread")
+    mine = F.col("_mine") == F.col("_of")
+    inside = F.when(mine & (F.col("k") > 1), mean2 * F.col("k") / (F.col("k") - 1))
+    per_row = both.groupBy("_row", "_mine").agg(F.max(inside).alias("a"), F.min(F.when(~mine, mean2)).alias("b"), F.max(F.when(mine, F.sqrt("d2"))).alias("d"))
+    s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    per_cluster = per_row.groupBy("_mine").agg(F.avg("d").alias("d"), F.sum(s).alias("s"), F.count(F.lit(1)).alias("n"))
+    one = per_cluster.agg(F.avg("d").alias("compactness"), (F.sum("s") / F.sum("n")).alias("silhouette"))
+    return one.crossJoin(F.broadcast(apart))
+
+
 def index_line(df: DataFrame, index: str, depth: str) -> DataFrame:
     return df.agg(F.regr_slope(depth, index).alias("slope"), F.regr_intercept(depth, index).alias("intercept"), F.regr_r2(depth, index).alias("r2"))
 
@@ -143,6 +168,17 @@ def fit_depth_model(train: DataFrame, features: list[str], target: str, trees: i
     return assembler, forest.fit(assembler.transform(train.dropna(subset=[*features, target])))
 
 
+def tree_spread(model, rows: DataFrame, most: int = 20) -> DataFrame:
+    """Assembled rows with the mean and standard deviation of the first ``most`` trees; the trees run on the JVM, one column each."""
+    trees = [t.setPredictionCol(f"_tree{i}") for i, t in enumerate(model.trees[:most])]
+    for t in trees:
+        rows = t.transform(rows)
+    each = [F.col(f"_tree{i}") for i in range(len(trees))]
+    mean = sum(each[1:], each[0]) / len(each)
+    var = sum(((e - F.col("tree_mean_m")) * (e - F.col("tree_mean_m")) for e in each), F.lit(0.0)) / len(each)
+    return rows.withColumn("tree_mean_m", mean).withColumn("tree_std_m", F.sqrt(var)).drop(*(f"_tree{i}" for i in range(len(trees))))
+
+
 def training_bounds(df: DataFrame, features: list[str]) -> DataFrame:
     """p0.5 and p99.5 of each feature widened by a tenth of their range, one row a feature."""
     one = df.agg(*(F.percentile(f, F.array(F.lit(0.005), F.lit(0.995))).alias(f) for f in features))

@@ -66,7 +66,7 @@ def tile_offsets(tiles: DataFrame, reference: str, value: str, most: float = 0.0
 def weighted_mosaic(tiles: DataFrame, value: str, weight: str) -> DataFrame:
     """Weighted mean of overlapping tiles; the class of the heaviest one."""
     w = F.when(F.col(value).isNotNull(), F.col(weight))
-    return tiles.groupBy(*CELL).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(w)).alias(value), F.max_by("scl", F.struct(F.col(weight), -F.col("scl"))).alias("scl"))
+    return tiles.groupBy(*CELL).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(w)).alias(value), F.max_by("scl", F.struct(F.col(weight), -F.col("scl"))).alias("scl"))
 
 
 # -- neighbourhoods
@@ -177,6 +177,42 @@ def fused_blend(cells: DataFrame, measured: str, coastal: str, river: str, terra
     )
 
 
+def fused_sources(sources: dict[str, DataFrame], grids: dict[str, tuple[float, float, float]], fuse, depth: str = "depth") -> tuple[DataFrame, DataFrame]:
+    """Whole fusion: ``(cells, statistics)``.
+
+    The template is the source with the most valid cells, the first of equals. Others
+    (tables of prow, pcol and ``depth`` on grids (x0, y0, size)) are taken at the template's cell
+    centres by grid key. ``fuse`` gets cells with a column a source, in the given order, and
+    adds ``depth`` and ``code``; statistics are counts and ranges by code.
+    """
+    valid = {name: df.where(F.col(depth).isNotNull()) for name, df in sources.items()}
+    counts = {name: df.count() for name, df in valid.items()}  # one number a source
+    base = max(counts, key=lambda name: counts[name])
+    x0, y0, size = grids[base]
+    cells = sources[base].select(*CELL, F.col(depth).alias(base))
+    x, y = x0 + (F.col("pcol") + 0.5) * size, y0 - (F.col("prow") + 0.5) * size
+    for name in sources:
+        if name != base:
+            ox, oy, step = grids[name]
+            other = valid[name].select(F.col("prow").alias("_r"), F.col("pcol").alias("_c"), F.col(depth).alias(name))
+            here = (F.floor((oy - y) / step) == F.col("_r")) & (F.floor((x - ox) / step) == F.col("_c"))
+            cells = cells.join(other, here, "left").drop("_r", "_c")
+    fused = fuse(cells.select(*CELL, *sources)).withColumn("template", F.lit(base))
+    found = fused.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("least"), F.max("depth").alias("most"), F.avg("depth").alias("mean"))
+    return fused, found
+
+
+def stratified_cells(cells: DataFrame, depth: str, target: int, bin_m: float = 1.0, block: int = 10, seed: int = 42) -> DataFrame:
+    """About ``target`` cells: each stratum of depth bin and block gives its share, one at least, in an order made of the cell ids."""
+    strata = [F.floor(F.abs(F.col(depth)) / bin_m).alias("_d"), F.floor(F.col("prow") / block).alias("_r"), F.floor(F.col("pcol") / block).alias("_c")]
+    keyed = cells.where(F.col(depth).isNotNull()).select("*", *strata)
+    count = keyed.groupBy("_d", "_r", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    total = count.agg(F.sum("_n").alias("_all"))  # one row
+    count = count.crossJoin(F.broadcast(total)).withColumn("_quota", F.ceil(F.col("_n") * target / F.col("_all")))
+    w = Window.partitionBy("_d", "_r", "_c").orderBy(F.pmod(F.col("cell") * 7919 + seed, F.lit(10007)), "cell")  # a stratum holds block x block cells at most
+    return keyed.withColumn("_k", F.row_number().over(w)).join(count, ["_d", "_r", "_c"]).where(F.col("_k") <= F.col("_quota")).select(*cells.columns)
+
+
 def tapered_patch(cells: DataFrame, base: str, patch: str, edge: str, measured: Column, bank: Column, taper_m: float = 50.0) -> DataFrame:
     """Burn a patch into a base grid, blended by distance; measured and bank cells keep the base."""
     w = clip(F.col(edge) / taper_m, 0.0, 1.0)

@@ -76,7 +76,7 @@ def composition(points: DataFrame) -> DataFrame:
     """Count, share, mean and total weight, and effective share of each source."""
     all_rows = Window.partitionBy(F.lit(1))  # over as many rows as there are sources
     g = points.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("sample_weight").alias("mean_weight"), F.sum("sample_weight").alias("total_weight"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(all_rows)).withColumn("effective_share", F.col("total_weight") / F.sum("total_weight").over(all_rows))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(all_rows)).withColumn("effective_share", F.try_divide(F.col("total_weight"), F.sum("total_weight").over(all_rows)))
 
 
 def thinned(points: DataFrame, cell_m: float, top: int = 1) -> DataFrame:
@@ -113,6 +113,27 @@ def local_complexity(neighbours: DataFrame) -> DataFrame:
     return g.withColumn("complexity", score)
 
 
+def transects(points: DataFrame, k: int = 20, radius: float = 20.0, aligned: float = 0.9, share: float = 0.7, least: int = 9) -> DataFrame:
+    """``(point_id, aligned_share, is_transect)``: whether most of the ``k`` - 1 nearest others lie along one direction.
+
+    The main direction is that of the neighbours' second moments, in closed form. A point with
+    fewer than ``least`` others is on no transect; others at its own place point nowhere.
+    """
+    from shoalspark.operators.joins import knn
+
+    right = points.select(F.col("point_id").alias("ref_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    near = knn(points.select("point_id", "x", "y"), right, k, radius, "point_id", "ref_id")
+    near = near.where(F.col("point_id") != F.col("ref_id")).withColumn("_k", F.row_number().over(Window.partitionBy("point_id").orderBy("dist", "ref_id"))).where(F.col("_k") < k)
+    v = near.select("point_id", "dist", (F.col("rx") - F.col("x")).alias("u"), (F.col("ry") - F.col("y")).alias("v"))
+    moments = v.groupBy("point_id").agg(F.sum(F.col("u") * F.col("v")).alias("uv"), F.sum(F.col("u") * F.col("u") - F.col("v") * F.col("v")).alias("diff"), F.count(F.lit(1)).alias("n"))
+    angle = 0.5 * F.atan2(2 * F.col("uv"), F.col("diff"))
+    m = moments.select("point_id", "n", F.cos(angle).alias("du"), F.sin(angle).alias("dv"))
+    along = F.abs(F.col("u") * F.col("du") + F.col("v") * F.col("dv")) > aligned * F.col("dist")
+    out = v.join(m, "point_id").groupBy("point_id").agg(F.avg((along & (F.col("dist") > 0)).cast("double")).alias("aligned_share"), F.max("n").alias("_n"))
+    flagged = out.select("point_id", "aligned_share", ((F.col("_n") >= least) & (F.col("aligned_share") > share)).alias("is_transect"))
+    return points.select("point_id").join(flagged, "point_id", "left").withColumn("is_transect", F.coalesce("is_transect", F.lit(False)))
+
+
 def fused_training_table(points: DataFrame, radius: float = 30.0, tolerance: float = 1.5) -> DataFrame:
     """Conflict filter, collocation, union and weights of the altimeter and survey sources."""
     from shoalspark.operators.joins import collocated, reference_conflicts_removed

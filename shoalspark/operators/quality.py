@@ -50,6 +50,39 @@ def nonfinite_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("nonfinite"))
 
 
+def prediction_sanity(df: DataFrame, depth: str, trained: tuple[float, float], least: int = 100) -> DataFrame:
+    """One row on predicted depths: counts, shares, range, ``status`` (ok or error) and ``messages`` joined by semicolons."""
+    v = F.when(~F.isnan(depth) & (F.abs(F.col(depth)) < float("inf")), F.col(depth))
+    share = lambda condition: F.try_divide(F.count_if(condition), F.count(v))
+    one = df.agg(
+        F.count(F.lit(1)).alias("n_total"), F.count(v).alias("n_finite"), share(v == 0).alias("zero_share"), share(v < 0).alias("negative_share"), share(v > 0).alias("positive_share"),
+        F.stddev_pop(v).alias("std_m"), F.avg(v).alias("mean_m"), F.min(v).alias("least_m"), F.max(v).alias("most_m"),
+    )
+    low, high = trained
+    none, zeros = F.col("n_finite") == 0, F.col("zero_share") > 0.99
+    messages = F.concat_ws(
+        "; ",
+        F.when(none, "no finite value").when(F.col("n_finite") < least, "few finite values"), F.when(zeros, "nearly all zero").when(F.col("zero_share") > 0.5, "mostly zero"),
+        F.when((F.col("std_m") < 0.01) & (F.col("n_finite") > 1000), "nearly constant"), F.when((F.col("least_m") < low - 5) | (F.col("most_m") > high + 5), "beyond the trained range"),
+        F.when(F.lit(low < 0 and high < 0) & (F.col("positive_share") > 0.2), "sign differs from training"),
+    )
+    return one.withColumn("status", F.when(none | zeros, "error").otherwise("ok")).withColumn("messages", messages)
+
+
+def river_summary(edges: DataFrame, sections: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Long table (step, statistic, value) on a river run: its network (length_m, stream_order), sections (width_m) and inferred depths (depth_m)."""
+    number = lambda c: c.cast("double")
+
+    def rows(df: DataFrame, step: str, stats: dict[str, Column]) -> DataFrame:
+        one = df.agg(*(number(c).alias(k) for k, c in stats.items()))
+        return one.select(F.lit(step).alias("step"), F.explode(F.array(*(F.struct(F.lit(k).alias("statistic"), F.col(k).alias("value")) for k in stats))).alias("e")).select("step", "e.*")
+
+    network = {"segments": F.count(F.lit(1)), "length_km": F.sum("length_m") / 1000, "with_order": F.count_if(F.col("stream_order") > 0), "most_order": F.max("stream_order")}
+    section = {"sections": F.count(F.lit(1)), "mean_width_m": F.avg("width_m"), "most_width_m": F.max("width_m")}
+    depth = {"valid": F.count("depth_m"), "mean_depth_m": F.avg("depth_m"), "most_depth_m": F.max("depth_m")}
+    return reduce(DataFrame.unionByName, (rows(edges, "network", network), rows(sections, "sections", section), rows(inferred, "inference", depth)))
+
+
 class Suite:
     """Checks, built in and added, and their pass rate."""
 

@@ -1,6 +1,6 @@
 """All queries of the engine's own operators."""
 
-from shoalspark.plans import alignment_queries, channel_queries, pipeline_queries, scalar_queries, section_queries, selection_queries, survey_queries, table_queries  # noqa: F401
+from shoalspark.plans import alignment_queries, channel_queries, ingest_queries, pipeline_queries, scalar_queries, section_queries, selection_queries, survey_queries, table_queries  # noqa: F401
 from shoalspark.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
