@@ -27,6 +27,18 @@ def trapezoid_depth(from_left: Column, width: Column, dmax: Column, bottom: floa
     )
 
 
+# Manning's n by bed type, by a word in it, and by region.
+ROUGHNESS = {
+    "clean_straight": 0.030, "clean_winding": 0.040, "clean_cobble": 0.040, "weeds_light": 0.035, "weeds_heavy": 0.050, "brush_light": 0.050, "brush_heavy": 0.100, "sand_bed": 0.030,
+    "gravel_bed": 0.035, "cobble_bed": 0.045, "boulder_bed": 0.055, "mountain_clean": 0.040, "mountain_cobble": 0.050, "mountain_boulder": 0.060, "floodplain_grass": 0.035,
+    "floodplain_brush": 0.070, "floodplain_trees": 0.120, "default": 0.035,
+}
+ROUGHNESS_WORDS = {"sand": 0.030, "gravel": 0.035, "cobble": 0.045, "boulder": 0.055}
+REGION_ROUGHNESS = {
+    "coastal_plain": 0.030, "piedmont": 0.035, "appalachian": 0.040, "interior_lowlands": 0.032, "great_plains": 0.028, "rocky_mountain": 0.050, "pacific_coast": 0.040, "default": 0.035,
+}
+
+
 def width_prior(width: Column, a: float = 0.18, b: float = 0.50, low: float = 0.5, high: float = 15.0) -> Column:
     return clip(a * F.pow(width, F.lit(b)), low, high)
 
@@ -44,12 +56,24 @@ def dmax_of_mean(mean_depth: Column, bottom: float = BOTTOM) -> Column:
     return mean_depth * 2 / (1 + bottom)
 
 
-def roughness(bed_type: Column, order: Column, sinuosity: Column) -> Column:
-    """Manning's n from bed type, stream order and sinuosity."""
-    bed = F.lower(bed_type)
-    n = F.when(bed.contains("sand"), 0.030).when(bed.contains("cobble"), 0.045).when(bed.contains("boulder"), 0.055).otherwise(0.035)
+def _key(text: Column) -> Column:
+    return F.translate(F.lower(text), " -", "__")
+
+
+def roughness(bed_type: Column, order: Column, sinuosity: Column, region: Column | None = None) -> dict[str, Column]:
+    """Manning's n from bed type, region, stream order and sinuosity, and its uncertainty; null where unknown counts as nothing said."""
+    table = lambda values: F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    bed = _key(bed_type)
+    part = F.lit(None).cast("double")
+    for word, value in reversed(ROUGHNESS_WORDS.items()):
+        part = F.when(bed.contains(word), value).otherwise(part)
+    n = F.coalesce(F.try_element_at(table(ROUGHNESS), bed), part, F.lit(ROUGHNESS["default"]))
+    if region is not None:
+        regional = F.try_element_at(table(REGION_ROUGHNESS), _key(region))
+        n = F.coalesce((n + regional) / 2, n)
     n = n * F.when(order <= 2, 1.15).when(order >= 6, 0.90).otherwise(1.0)
-    return n * F.when(sinuosity > 1, 1 + 0.05 * clip(sinuosity - 1, None, 1.0)).otherwise(1.0)
+    n = n * F.when(sinuosity > 1, 1 + 0.05 * clip(sinuosity - 1, None, 1.0)).otherwise(1.0)
+    return {"n": n, "sigma": 0.25 * n}
 
 
 def backwater_guard(slope: Column, tide_m: Column, elevation_m: Column) -> dict[str, Column]:
@@ -88,11 +112,13 @@ def two_year_flood(area_km2: Column, region: Column, precipitation_mm: Column |
 
 
 def blended_depth(d1: Column, c1: Column, s1: Column, d2: Column, c2: Column, s2: Column, least: float = 0.3) -> dict[str, Column]:
-    """Two depths by squared confidence; the first counts only from ``least`` on."""
-    w1 = F.when(c1 >= least, c1 * c1).otherwise(0.0)
-    w2 = c2 * c2
-    total = clip(w1 + w2, 1e-9, None)
-    return {"depth_m": (w1 * d1 + w2 * d2) / total, "sigma_m": F.sqrt(F.pow(w1 / total * s1, F.lit(2.0)) + F.pow(w2 / total * s2, F.lit(2.0)))}
+    """Two depths by squared confidence: the first counts from ``least`` on, the second above 0; where one doesn't, or is null, the other stands."""
+    one, two = F.coalesce(d1.isNotNull() & (c1 >= least), F.lit(False)), F.coalesce(d2.isNotNull() & (c2 > 0), F.lit(False))
+    w1 = F.when(one & two, c1 * c1 / (c1 * c1 + c2 * c2)).when(one, 1.0).when(two, 0.0)
+    mixed = lambda a, b: F.when(one & two, w1 * a + (1 - w1) * b).when(one, a).when(two, b)
+    sigma = F.when(one & two, F.sqrt(w1 * w1 * s1 * s1 + (1 - w1) * (1 - w1) * s2 * s2)).when(one, s1).when(two, s2)
+    method = F.when(one & two, "blend").when(one, "first").when(two, "second").otherwise("none")
+    return {"depth_m": mixed(d1, d2), "sigma_m": sigma, "confidence": F.coalesce(mixed(c1, c2), F.lit(0.0)), "method": method}
 
 
 def bankfull_curve(area_km2: Column, c: float, f: float, uncertainty_pct: float = 40.0) -> dict[str, Column]:

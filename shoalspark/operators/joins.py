@@ -109,7 +109,7 @@ def collocated(first: DataFrame, second: DataFrame, radius: float = 20.0, max_ab
     """Fuse two point sets: deep pairs that agree merge to their mean, deep conflicts drop, the rest stays."""
     right = second.select(F.col("point_id").alias("ref_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("depth_m").alias("ref_depth"))
     pair = nearest_within(first.select("point_id", "x", "y"), right, radius, "point_id", "ref_id").drop("rx", "ry", "dist")
-    pair = pair.join(first, "point_id")
+    pair = checkpointed(pair.join(first, "point_id"))  # read by each of the branches below
     mean = (F.col("depth_m") + F.col("ref_depth")) / 2
     gap = F.abs(F.col("depth_m") - F.col("ref_depth"))
     is_deep = F.abs(mean) >= deep

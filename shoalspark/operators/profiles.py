@@ -115,15 +115,15 @@ def reach_graph(lines: DataFrame, snap_m: float = 1.0) -> tuple[DataFrame, DataF
     return nodes, edges
 
 
-def _fixpoint(step, start: DataFrame, measure: str) -> DataFrame:
-    """Repeat a step until the sum of ``measure`` stands still, cutting the lineage at each."""
-    now, seen = start, None
+def _fixpoint(step, start: DataFrame, key: str, measure: str) -> DataFrame:
+    """Repeat a step until no row's ``measure`` changes, cutting the lineage at each; rows are counted, as sums of doubles depend on their order."""
+    now = start
     while True:
-        now = checkpointed(step(now))
-        total = now.agg(F.sum(measure)).first()[0]
-        if total == seen:
+        before = now.select(key, F.col(measure).alias("_before"))
+        both = checkpointed(step(now).join(before, key))
+        now = both.drop("_before")
+        if both.where(~F.col(measure).eqNullSafe(F.col("_before"))).isEmpty():
             return now
-        seen = total
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,20 +137,28 @@ def components(edges: DataFrame) -> DataFrame:
         jump = low.select(F.col("node").alias("component_id"), F.col("component_id").alias("further"))
         return low.join(jump, "component_id").select("node", F.col("further").alias("component_id"))
 
-    return _fixpoint(step, both.select(F.col("a").alias("node"), F.col("a").alias("component_id")).distinct(), "component_id")
+    return _fixpoint(step, both.select(F.col("a").alias("node"), F.col("a").alias("component_id")).distinct(), "node", "component_id")
 
 
-def stationed(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Shortest distance of each node from its component's root, the least node, by relaxation to a fixed point."""
+def stationed(edges: DataFrame, labels: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
+    """Shortest distance of each node from its component's root, by relaxation to a fixed point, ``hops`` edges a round.
+
+    The root is the southmost leaf (nodes have ``node``, ``y``), or southmost node of a component without a leaf; the lesser node of equals.
+    """
     both = edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"), "length_m")
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m"))
-    start = labels.withColumn("s_m", F.when(F.col("node") == F.col("component_id"), 0.0).otherwise(1e12))
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("_degree"))
+    ends = labels.join(nodes.select("node", "y"), "node").join(degree, "node")
+    root = ends.groupBy("component_id").agg(F.min(F.struct((F.col("_degree") != 1).alias("inner"), "y", "node")).alias("_r")).select("component_id", F.col("_r.node").alias("root"))
+    start = checkpointed(labels.join(root, "component_id").withColumn("s_m", F.when(F.col("node") == F.col("root"), 0.0).otherwise(1e12)))
 
     def step(now: DataFrame) -> DataFrame:
-        reach = now.where(F.col("s_m") < 1e12).join(both, F.col("node") == F.col("a")).groupBy("b").agg(F.min(F.col("s_m") + F.col("length_m")).alias("via"))
-        return now.join(reach, F.col("node") == F.col("b"), "left").select("node", "component_id", F.least("s_m", F.coalesce("via", F.lit(1e12))).alias("s_m"))
+        for _ in range(hops):
+            reach = now.where(F.col("s_m") < 1e12).join(both, F.col("node") == F.col("a")).groupBy("b").agg(F.min(F.col("s_m") + F.col("length_m")).alias("via"))
+            now = now.join(reach, F.col("node") == F.col("b"), "left").select("node", "component_id", "root", F.least("s_m", F.coalesce("via", F.lit(1e12))).alias("s_m"))
+        return now
 
-    return _fixpoint(step, start, "s_m")
+    return _fixpoint(step, start, "node", "s_m").drop("root")
 
 
 def longest_components(edges: DataFrame, labels: DataFrame, k: int) -> DataFrame:

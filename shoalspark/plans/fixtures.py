@@ -52,6 +52,7 @@ FROM part""",
 FROM customer""",
     "fx_edges": """SELECT s_suppkey AS edge_id, s_suppkey - 1 AS from_node, s_suppkey AS to_node, 1e2 + (s_suppkey * 3 % 50) AS length_m
 FROM supplier WHERE s_suppkey % 25 > 0""",
+    "fx_nodes": """SELECT node, CAST(node * 37 % 101 AS DOUBLE) AS y FROM (SELECT from_node AS node FROM fx_edges UNION SELECT to_node AS node FROM fx_edges) n""",
 }
 
 

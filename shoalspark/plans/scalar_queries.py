@@ -41,11 +41,12 @@ def _(px):
     twin="""SELECT cell, least(5.0, greatest(0.01, pow(10, -0.8813 - 2.0584 * r + 2.5878 * r * r - 3.4885 * r * r * r + 1.5061 * r * r * r * r))) AS kd_a,
         least(5.0, greatest(0.01, 0.0166 + 0.0773 / q)) AS kd_b,
         least(5.0, greatest(0.01, 0.0166 + 0.0395 * pow(pow(10, 0.283 - 2.753 * r + 1.457 * r * r + 0.659 * r * r * r - 1.403 * r * r * r * r), 0.79))) AS kd_c,
-        least(5.0, greatest(0.01, 0.05 + 0.15 * exp(-2.5 * q))) AS kd_d FROM (SELECT cell, b02 / b03 AS q, log10(b02 / b03) AS r FROM fx_pixels)""",
+        least(5.0, greatest(0.01, 0.05 + 0.15 * exp(-2.5 * q))) AS kd_d FROM (SELECT cell, b02 * 1.0001e0 / b03 AS q, log10(b02 * 1.0001e0 / b03) AS r FROM fx_pixels)""",
 )
 def _(px):
     kinds = {"kd_a": "polynomial", "kd_b": "ratio", "kd_c": "chlorophyll", "kd_d": "exponential"}
-    return px.select("cell", *(optics.attenuation(C("b02"), C("b03"), k).alias(n) for n, k in kinds.items()))
+    # the factor keeps ratios of round numbers off the edges of rounding
+    return px.select("cell", *(optics.attenuation(C("b02") * 1.0001, C("b03"), k).alias(n) for n, k in kinds.items()))
 
 
 @query(
@@ -196,13 +197,15 @@ def _(xs):
 
 
 @query(
-    "x26_roughness", "fx_sections", doubles="n",
-    twin="""SELECT xs_id, CASE xs_id % 4 WHEN 0 THEN 0.030 WHEN 1 THEN 0.035 WHEN 2 THEN 0.045 ELSE 0.055 END * CASE WHEN xs_id % 8 <= 2 THEN 1.15 WHEN xs_id % 8 >= 6 THEN 0.9 ELSE 1 END
-        * CASE WHEN 0.8 + (xs_id % 20) * 0.1 > 1 THEN 1 + 0.05 * least(0.8 + (xs_id % 20) * 0.1 - 1, 1.0) ELSE 1 END AS n FROM fx_sections""",
+    "x26_roughness", "fx_sections", doubles="n sigma",
+    twin="""SELECT xs_id, n, 2.5e-1 * n AS sigma FROM (SELECT xs_id, coalesce((b + r) / 2, b) * CASE WHEN xs_id % 8 <= 2 THEN 1.15e0 WHEN xs_id % 8 >= 6 THEN 9e-1 ELSE 1e0 END
+        * CASE WHEN s > 1 THEN 1 + 5e-2 * least(s - 1, 1e0) ELSE 1e0 END AS n FROM (SELECT xs_id, 8e-1 + (xs_id % 20) * 1e-1 AS s, CASE xs_id % 5 WHEN 0 THEN 3e-2 WHEN 1 THEN 5e-2 END AS r,
+        CASE xs_id % 4 WHEN 0 THEN 3e-2 WHEN 1 THEN 1e-1 WHEN 2 THEN 4.5e-2 ELSE 5.5e-2 END AS b FROM fx_sections))""",
 )
 def _(xs):
-    bed = F.element_at(F.array(*map(F.lit, ("Sand bed", "gravel", "Cobble", "boulder-strewn"))), (C("xs_id") % 4 + 1).cast("int"))
-    return xs.select("xs_id", hydraulics.roughness(bed, C("xs_id") % 8, 0.8 + (C("xs_id") % 20) * 0.1).alias("n"))
+    bed = F.element_at(F.array(*map(F.lit, ("Sand bed", "brush heavy", "Cobble", "boulder-strewn"))), (C("xs_id") % 4 + 1).cast("int"))
+    region = F.element_at(F.array(*map(F.lit, ("Coastal Plain", "rocky-mountain", "nowhere", None, None))), (C("xs_id") % 5 + 1).cast("int"))
+    return xs.select("xs_id", *(v.alias(k) for k, v in hydraulics.roughness(bed, C("xs_id") % 8, 0.8 + (C("xs_id") % 20) * 0.1, region).items()))
 
 
 @query(
@@ -225,13 +228,16 @@ def _(xs):
 
 
 @query(
-    "x30_blended_depth", "fx_sections", doubles="depth_m sigma_m",
-    twin="""SELECT xs_id, (w1 * d1 + w2 * d2) / t AS depth_m, sqrt(pow(w1 / t * 0.5, 2) + pow(w2 / t * 0.8, 2)) AS sigma_m FROM (SELECT *, greatest(w1 + w2, 1e-9) AS t FROM (
-        SELECT xs_id, depth_pred_m AS d1, width_m / 50.0 AS d2, CASE WHEN (xs_id % 10) / 10.0 >= 0.3 THEN pow((xs_id % 10) / 10.0, 2) ELSE 0 END AS w1, 0.36 AS w2 FROM fx_sections))""",
+    "x30_blended_depth", "fx_sections", doubles="depth_m sigma_m confidence",
+    twin="""SELECT xs_id, CASE WHEN m = 'blend' THEN w * d1 + (1 - w) * d2 WHEN m = 'first' THEN d1 WHEN m = 'second' THEN d2 END AS depth_m,
+        CASE WHEN m = 'blend' THEN sqrt(w * w * 25e-2 + (1 - w) * (1 - w) * 64e-2) WHEN m = 'first' THEN 5e-1 WHEN m = 'second' THEN 8e-1 END AS sigma_m,
+        CASE WHEN m = 'blend' THEN w * c + (1 - w) * 6e-1 WHEN m = 'first' THEN c WHEN m = 'second' THEN 6e-1 ELSE 0e0 END AS confidence, m AS method FROM (SELECT *, c * c / (c * c + 36e-2) AS w,
+        CASE WHEN d1 IS NOT NULL AND c >= 3e-1 AND d2 IS NOT NULL THEN 'blend' WHEN d1 IS NOT NULL AND c >= 3e-1 THEN 'first' WHEN d2 IS NOT NULL THEN 'second' ELSE 'none' END AS m FROM (
+        SELECT xs_id, CASE WHEN xs_id % 7 > 0 THEN depth_pred_m END AS d1, CASE WHEN xs_id % 6 > 0 THEN width_m / 5e1 END AS d2, (xs_id % 10) / 1e1 AS c FROM fx_sections))""",
 )
 def _(xs):
-    b = hydraulics.blended_depth(C("depth_pred_m"), C("xs_id") % 10 / 10, F.lit(0.5), C("width_m") / 50, F.lit(0.6), F.lit(0.8))
-    return xs.select("xs_id", *(v.alias(k) for k, v in b.items()))
+    first, second = F.when(C("xs_id") % 7 > 0, C("depth_pred_m")), F.when(C("xs_id") % 6 > 0, C("width_m") / 50)
+    return xs.select("xs_id", *(v.alias(k) for k, v in hydraulics.blended_depth(first, C("xs_id") % 10 / 10, F.lit(0.5), second, F.lit(0.6), F.lit(0.8)).items()))
 
 
 @query("x31_bankfull_curve", "fx_sections", doubles="dmax_m weight", twin="SELECT xs_id, 0.4 * pow(drain_area_km2, 0.3) AS dmax_m, 0.36 AS weight FROM fx_sections")

@@ -475,9 +475,14 @@ def _(e):
     return profiles.components(e)
 
 
-@query("g3_stationing", "fx_edges", doubles="s_m", twin="SELECT e.n AS node, (e.n // 25) * 25 AS component_id, coalesce((SELECT sum(length_m) FROM fx_edges f WHERE f.to_node <= e.n AND f.to_node > (e.n // 25) * 25), 0) AS s_m FROM (SELECT from_node AS n FROM fx_edges UNION SELECT to_node FROM fx_edges) e")
-def _(e):
-    return profiles.stationed(e, profiles.components(e))
+@query(
+    "g3_stationing", "fx_edges fx_nodes", doubles="s_m",
+    twin="""WITH c AS (SELECT node, (node // 25) * 25 AS component_id, coalesce((SELECT sum(length_m) FROM fx_edges f WHERE f.to_node <= n.node AND f.to_node > (n.node // 25) * 25), 0) AS s FROM fx_nodes n),
+        q AS (SELECT component_id, CASE WHEN min(node) * 37 % 101 <= max(node) * 37 % 101 THEN min(node) ELSE max(node) END AS root FROM c GROUP BY component_id)
+        SELECT c.node, c.component_id, abs(c.s - b.s) AS s_m FROM c JOIN q USING (component_id) JOIN c b ON b.node = q.root""",
+)
+def _(e, n):
+    return profiles.stationed(e, profiles.components(e), n)
 
 
 @query("a36_l3_longest_components", "fx_edges", doubles="length_m", twin="SELECT (from_node // 25) * 25 AS component_id, sum(length_m) AS length_m, count(*) AS edges FROM fx_edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
