@@ -35,6 +35,12 @@ def depth_histogram(df: DataFrame, depth: str = "depth_m", width: float = 1.0) -
     return df.where(F.col(depth).isNotNull()).groupBy(F.floor(F.abs(depth) / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """``(i, edge)``: edges of ``bins`` equally full bins, the least and largest value included."""
+    edges = F.percentile(value, F.array(*(F.lit(i / bins) for i in range(bins + 1))))
+    return df.agg(edges.alias("e")).select(F.posexplode("e").alias("i", "edge"))
+
+
 def depth_bins(df: DataFrame, truth: str, predicted: str, width: float = 0.5) -> DataFrame:
     """Accuracy by bin of true depth, with the bin's lower end and upper end."""
     b = F.floor(F.abs(truth) / width).cast("int")

@@ -19,14 +19,15 @@ def source_value(source: Column, at: int, default: float) -> Column:
 
 
 def photon_bins(photons: DataFrame, lat_res: float, height_res: float, most: int = 5000) -> DataFrame:
-    """Equal-width latitude and height bins of each track."""
-    w = Window.partitionBy(*TRACK)
-    out = photons
-    for c, res, name in (("latitude", lat_res, "lat_bin"), ("photon_height", height_res, "height_bin")):
-        low, high = F.min(c).over(w), F.max(c).over(w)
+    """Equal-width latitude and height bins of each track; the tracks' ranges are aggregated and joined, so that no track is sorted."""
+    columns = (("latitude", lat_res, "lat_bin"), ("photon_height", height_res, "height_bin"))
+    ranges = photons.groupBy(*TRACK).agg(*(f(c).alias(f"_{name}_{end}") for c, _, name in columns for f, end in ((F.min, "low"), (F.max, "high"))))
+    out = photons.join(ranges, TRACK)
+    for c, res, name in columns:
+        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
         n = F.greatest(F.lit(1.0), F.least(F.lit(float(most)), F.rint((high - low) / res)))
         at = F.when(high > low, F.floor((F.col(c) - low) / ((high - low) / n))).otherwise(0)
-        out = out.withColumn(name, F.least(at, n - 1).cast("int"))
+        out = out.withColumn(name, F.least(at, n - 1).cast("int")).drop(f"_{name}_low", f"_{name}_high")
     return out
 
 

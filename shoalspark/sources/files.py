@@ -44,6 +44,26 @@ def soundings(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.col(f"`{c}`").try_cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "depth_m"))), "file").dropna().dropDuplicates(["x", "y", "depth_m"])
 
 
+def high_quality_points(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Points x, y, z by alias with an ``uncertainty``, null where the file has no such column; rows without a finite place and value go."""
+    raw = spark.read.csv(paths, header=True)
+    x, y, z, u = (resolve(raw.columns, r) for r in ("x", "y", "z", "uncertainty"))
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    p = raw.select(number(x).alias("x"), number(y).alias("y"), number(z).alias("z"), (number(u) if u else F.lit(None).cast("double")).alias("uncertainty"))
+    ok = F.lit(True)
+    for c in "xyz":
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    return p.where(ok)
+
+
+def tie_points(spark: SparkSession, path: str, layers: tuple[str, ...] = ("all",), positive_down: bool = True) -> DataFrame:
+    """Tie points of the wanted ``split`` layers of a written training set, of ``all`` where none of them is there; depths negative-down."""
+    stored = spark.read.parquet(path)
+    wanted = stored.where(F.col("split").isin(*layers))
+    rows = stored.where(F.col("split") == "all") if wanted.isEmpty() else wanted
+    return rows.withColumn("depth_m", -F.abs("depth_m")) if positive_down else rows
+
+
 def width_stage(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Width and stage pairs, feet to metres where the column's name says so."""
     raw = spark.read.csv(paths, header=True)
