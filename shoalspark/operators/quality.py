@@ -36,6 +36,17 @@ def depth_sign(df: DataFrame, depth: str = "depth_m", most: float = 0.9) -> Data
     return check(df, "depth_sign", F.avg((F.col(depth) > 0).cast("double")), lambda v: v <= most, "depths are positive where they should be negative-down")
 
 
+def validated(metrics: DataFrame, source: str) -> DataFrame:
+    """Whether a by-source accuracy table (source, n) has rows of the source."""
+    return check(metrics, f"{source}_validated", F.sum(F.when(F.col("source") == source, F.col("n"))), lambda v: v > 0, f"no validation rows of {source}")
+
+
+def fewer_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Whether sampling left fewer rows; the value is the share that it left."""
+    counts = after.agg(F.count(F.lit(1)).alias("_after")).crossJoin(before.agg(F.count(F.lit(1)).alias("_before")))  # one row each
+    return check(counts, "sampling_reduced", F.max(F.try_divide("_after", "_before")), lambda v: v < 1, "sampling left all rows", False)
+
+
 def same_grid(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two one-row ``grids`` tables agree in frame, origin, cell and size."""
     cols = [c for c in a.columns if c in b.columns]

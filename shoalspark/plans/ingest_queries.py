@@ -273,6 +273,18 @@ def _(p):
     return quality.prediction_sanity(p.select(F.when(k == 0, F.lit(float("nan"))).when(k < 7, 0.0).otherwise(C("depth_m")).alias("d")), "d", (-12.0, -1.0))
 
 
+@query(
+    "q2_q3_e3_checks", "fx_points", doubles="value",
+    twin="""SELECT 'extra_xyz_validated' AS "check", count(*) > 0 AS passed, count(*)::DOUBLE AS value, 'ok' AS message, true AS critical FROM fx_points WHERE source = 'extra_xyz'
+        UNION ALL SELECT 'sampling_reduced', true, count(DISTINCT (floor(x / 5e1), floor(y / 5e1))) / count(*), 'ok', false FROM fx_points
+        UNION ALL SELECT 'not_too_deep', false, min(depth_m), 'deeper than 15 m', true FROM fx_points""",
+)
+def _(p):
+    by_source = p.groupBy("source").agg(*modelling.accuracy(C("depth_m"), C("depth_m") * 0.9))
+    own = quality.check(p, "not_too_deep", F.min("depth_m"), lambda v: v > -15, "deeper than 15 m")  # a user's check joins the suite like any other
+    return quality.Suite().add(quality.validated(by_source, "extra_xyz")).add(quality.fewer_rows(p, points.thinned(p, 50.0))).add(own).run()
+
+
 @query(
     "a45_river_summary", "fx_edges fx_sections", doubles="value",
     twin="""SELECT 'network' AS step, unnest(['segments', 'length_km', 'with_order', 'most_order']) AS statistic, unnest([count(*)::DOUBLE, sum(length_m) / 1e3, count(*) FILTER (edge_id % 4 > 0)::DOUBLE, max(edge_id % 4)::DOUBLE]) AS value FROM fx_edges
