@@ -45,7 +45,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if folder not in _to_delete:
         _to_delete.add(folder)
         path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only what is there can be marked
+        files.deleteOnExit(path)
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
