@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoalspark.functions import optics
 from shoalspark.operators.joins import sampled_at
 from shoalspark.operators.modelling import accuracy, bin_shifts, depth_bin_of
+from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 
 
 def wet_pixels(cells: DataFrame, nir_max: float = 0.03) -> DataFrame:
@@ -61,7 +62,8 @@ def aligned_raster(cells: DataFrame, points: DataFrame, predicted: str, x0: floa
 
 def depth_cap(cells: DataFrame, rmse_cap: float | None = None, factor: float = 2.3, cap: float = 50.0) -> DataFrame:
     """One row: median attenuation of the wet cells, the depth it lets see, and the lesser of it and the cap by error, with what limits."""
-    kd = wet_pixels(cells).agg(F.median(optics.attenuation(F.col("b02"), F.col("b03"))).alias("kd"), F.count(F.lit(1)).alias("n"))
+    wet = wet_pixels(cells)
+    kd = with_quantiles(wet.agg(F.count(F.lit(1)).alias("n")), exact_quantiles(wet, {"k": optics.attenuation(F.col("b02"), F.col("b03"))}, {"kd": ("k", 0.5)}))
     physics = optics.depth_limit(F.col("kd"), factor, cap)
     error = F.lit(rmse_cap).cast("double")
     limit = F.when(physics.isNull() & error.isNull(), "none").when(error.isNull() | (physics <= error), "light").otherwise("error")

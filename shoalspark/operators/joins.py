@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 from shoalspark.session import checkpointed
 
 
@@ -138,4 +139,6 @@ def sampled_at(points: DataFrame, pixels: DataFrame, bands: list[str], x0: float
 def overlap_statistics(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Differences of two rasters on their common cells."""
     d = a.select("prow", "pcol", F.col(value).alias("a")).join(b.select("prow", "pcol", F.col(value).alias("b")), ["prow", "pcol"]).select((F.col("a") - F.col("b")).alias("d"))
-    return d.agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.median("d").alias("median_diff"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms_diff"), F.max(F.abs("d")).alias("max_abs_diff"))
+    middle = exact_quantiles(d, {"d": F.col("d")}, {"median_diff": ("d", 0.5)})
+    one = d.agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms_diff"), F.max(F.abs("d")).alias("max_abs_diff"))
+    return with_quantiles(one, middle)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalspark.operators.joins import radius_join
+from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
+from shoalspark.session import checkpointed
 
 
 def accuracy(truth: Column, predicted: Column) -> list[Column]:
@@ -26,9 +28,8 @@ def accuracy(truth: Column, predicted: Column) -> list[Column]:
 def depth_summary(df: DataFrame, depth: str = "depth_m") -> DataFrame:
     """Count, nine percentiles and sign shares of a depth column."""
     ps = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
-    p = F.percentile(depth, F.array(*map(F.lit, ps)))
-    one = df.agg(F.count(depth).alias("n"), F.min(depth).alias("least"), F.max(depth).alias("most"), F.avg((F.col(depth) < 0).cast("double")).alias("negative"), p.alias("_p"))
-    return one.select("n", "least", "most", "negative", *(F.element_at("_p", i + 1).alias(f"p{round(q * 100):02d}") for i, q in enumerate(ps)))
+    p = exact_quantiles(df, {"d": F.col(depth)}, {f"p{round(q * 100):02d}": ("d", q) for q in ps})
+    return with_quantiles(df.agg(F.count(depth).alias("n"), F.min(depth).alias("least"), F.max(depth).alias("most"), F.avg((F.col(depth) < 0).cast("double")).alias("negative")), p)
 
 
 def depth_histogram(df: DataFrame, depth: str = "depth_m", width: float = 1.0) -> DataFrame:
@@ -37,8 +38,8 @@ def depth_histogram(df: DataFrame, depth: str = "depth_m", width: float = 1.0) -
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """``(i, edge)``: edges of ``bins`` equally full bins, the least and largest value included."""
-    edges = F.percentile(value, F.array(*(F.lit(i / bins) for i in range(bins + 1))))
-    return df.agg(edges.alias("e")).select(F.posexplode("e").alias("i", "edge"))
+    edges = exact_quantiles(df, {"v": F.col(value)}, {f"e{i}": ("v", i / bins) for i in range(bins + 1)})
+    return edges.select(F.posexplode(F.array(*(F.col(f"e{i}") for i in range(bins + 1)))).alias("i", "edge"))
 
 
 def depth_bins(df: DataFrame, truth: str, predicted: str, width: float = 0.5) -> DataFrame:
@@ -48,12 +49,12 @@ def depth_bins(df: DataFrame, truth: str, predicted: str, width: float = 0.5) ->
 
 
 def residual_summary(df: DataFrame, residual: str) -> DataFrame:
-    med = df.agg(F.median(residual).alias("_m"))
-    r = df.crossJoin(F.broadcast(med))  # one row
-    return r.agg(
-        F.count(residual).alias("n"), F.median(residual).alias("median"), F.avg(residual).alias("mean"), F.median(F.abs(F.col(residual) - F.col("_m"))).alias("mad"),
-        F.sqrt(F.avg(F.col(residual) * F.col(residual))).alias("rmse"), F.percentile(F.abs(residual), F.lit(0.9)).alias("p90"), F.percentile(F.abs(residual), F.lit(0.99)).alias("p99"),
-    )
+    size = F.abs(residual)
+    q = checkpointed(exact_quantiles(df, {"e": F.col(residual), "s": size}, {"median": ("e", 0.5), "p90": ("s", 0.9), "p99": ("s", 0.99)}))
+    apart = df.crossJoin(F.broadcast(q.select(F.col("median").alias("_m"))))  # one row
+    mad = exact_quantiles(apart, {"a": F.abs(F.col(residual) - F.col("_m"))}, {"mad": ("a", 0.5)})
+    one = df.agg(F.count(residual).alias("n"), F.avg(residual).alias("mean"), F.sqrt(F.avg(F.col(residual) * F.col(residual))).alias("rmse"))
+    return with_quantiles(with_quantiles(one, q), mad).select("n", "median", "mean", "mad", "rmse", "p90", "p99")
 
 
 def coverage_grid(df: DataFrame, n: int = 10, least: int = 10) -> DataFrame:
@@ -68,7 +69,7 @@ def coverage_grid(df: DataFrame, n: int = 10, least: int = 10) -> DataFrame:
 
 def stratified_split(df: DataFrame, id_col: str, target: str, strata: int = 20, share: float = 0.2) -> DataFrame:
     """Quantile strata of the target, the first ``share`` of each in an order made of the ids is the test set."""
-    cuts = df.agg(F.percentile(target, F.array(*(F.lit(i / strata) for i in range(1, strata)))).alias("_q"))
+    cuts = quantile_edges(df, target, strata).where((F.col("i") > 0) & (F.col("i") < strata)).agg(F.sort_array(F.collect_list("edge")).alias("_q"))  # one row
     binned = df.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.expr(f"size(filter(_q, q -> q < {target}))")).drop("_q")
     w = Window.partitionBy("stratum").orderBy(F.pmod(F.col(id_col) * 7919 + 42, F.lit(10007)), id_col)
     return binned.withColumn("is_test", F.percent_rank().over(w) < share)
@@ -137,7 +138,9 @@ def depth_bin_of(depth: Column, edges: tuple[float, ...] = SHIFT_EDGES) -> Colum
 
 def bin_shifts(df: DataFrame, depth: str, residual: str) -> DataFrame:
     """Median residual of each depth bin."""
-    return df.withColumn("bin", depth_bin_of(F.abs(depth))).where(F.col("bin").isNotNull()).groupBy("bin").agg(F.median(residual).alias("shift"), F.count(F.lit(1)).alias("n"))
+    binned = df.withColumn("bin", depth_bin_of(F.abs(depth))).where(F.col("bin").isNotNull())
+    middle = exact_quantiles(binned, {"r": F.col(residual)}, {"shift": ("r", 0.5)}, ("bin",))
+    return with_quantiles(binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), middle, ("bin",)).select("bin", "shift", "n")
 
 
 def huber_weight(u: Column, c: float = 1.0) -> Column:
@@ -151,7 +154,7 @@ def planar_shift(df: DataFrame, residual: str, c: float = 1.0, rounds: int = 20)
     beta = np.zeros(3)
     for i in range(rounds):
         e = F.col("r") - (beta[0] + beta[1] * F.col("u") + beta[2] * F.col("v"))
-        scale = 1.4826 * (d.select(e.alias("e")).agg(F.median(F.abs("e"))).first()[0] or 0.0)
+        scale = 1.4826 * (exact_quantiles(d, {"a": F.abs(e)}, {"mad": ("a", 0.5)}).first()[0] or 0.0)
         w = huber_weight(e / max(scale, 1e-9), c) if i else F.lit(1.0)
         w = w * w  # rows and targets both carry the weight
         terms = [F.lit(1.0), F.col("u"), F.col("v")]
@@ -187,8 +190,9 @@ def tree_spread(model, rows: DataFrame, most: int = 20) -> DataFrame:
 
 def training_bounds(df: DataFrame, features: list[str]) -> DataFrame:
     """p0.5 and p99.5 of each feature widened by a tenth of their range, one row a feature."""
-    one = df.agg(*(F.percentile(f, F.array(F.lit(0.005), F.lit(0.995))).alias(f) for f in features))
-    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f)[0].alias("lo"), F.col(f)[1].alias("hi")) for f in features)))
+    ends = {f"{side}_{f}": (f, q) for f in features for side, q in (("lo", 0.005), ("hi", 0.995))}
+    one = exact_quantiles(df, {f: F.col(f) for f in features}, ends)
+    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"lo_{f}").alias("lo"), F.col(f"hi_{f}").alias("hi")) for f in features)))
     margin = 0.1 * (F.col("hi") - F.col("lo"))
     return one.select(rows.alias("b")).select("b.*").select("feature", (F.col("lo") - margin).alias("lo"), (F.col("hi") + margin).alias("hi"))
 

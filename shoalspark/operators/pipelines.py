@@ -12,6 +12,7 @@ from shoalspark.functions import hydraulics as hy
 from shoalspark.functions import optics, uncertainty
 from shoalspark.functions.optics import clip
 from shoalspark.operators import modelling, pixels, profiles, surveys
+from shoalspark.operators.quantiles import exact_quantiles
 
 # -- diversity of a training set
 
@@ -142,7 +143,7 @@ def physics_scene(cells: DataFrame, sun_deg: float = 30.0, view_deg: float = 5.0
     deep = pixels.deep_reflectance(cells, bands).first()
     if deep["b02"] is None:
         return None
-    kd = cells.agg(F.median(optics.attenuation(F.col("b02"), F.col("b03"))).alias("k")).select(optics.slant(F.col("k"), F.lit(sun_deg)), optics.slant(F.col("k"), F.lit(view_deg))).first()
+    kd = exact_quantiles(cells, {"k": optics.attenuation(F.col("b02"), F.col("b03"))}, {"k": ("k", 0.5)}).select(optics.slant(F.col("k"), F.lit(sun_deg)), optics.slant(F.col("k"), F.lit(view_deg))).first()
     steeper = (1.0, 1.2, 3.0)  # fixed values: attenuation of the bands over that of blue
     return modelling.physics_inversion(cells, bands, [deep[b] for b in bands], [kd[0] * s for s in steeper], [kd[1] * s for s in steeper], list(sand), list(grass))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoalspark.functions.optics import clip
 from shoalspark.operators.joins import knn, radius_join
+from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 
 CELL = ["prow", "pcol"]
 
@@ -20,10 +21,11 @@ def date_metrics(stack: DataFrame, bad: tuple[int, ...] = (0, 3, 8, 9, 10, 11))
     """Coverage, bad share, deep share and medians of each date."""
     ok = ~F.col("scl").isin(*bad)
     deep = (F.col("b08") < 0.03) & ((F.col("b02") + F.col("b03") + F.col("b04")) / 3 < 0.15)
-    return stack.groupBy("day_no").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("valid"), F.avg((F.col("b08") > 0.05).cast("double")).alias("glint"),
-        F.avg(deep.cast("double")).alias("deep"), F.median(F.when(ok, F.col("b08"))).alias("nir_median"), F.median(F.when(ok, F.col("b04"))).alias("red_median"),
+    stats = stack.groupBy("day_no").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("valid"), F.avg((F.col("b08") > 0.05).cast("double")).alias("glint"), F.avg(deep.cast("double")).alias("deep"),
     )
+    medians = exact_quantiles(stack, {"nir": F.when(ok, F.col("b08")), "red": F.when(ok, F.col("b04"))}, {"nir_median": ("nir", 0.5), "red_median": ("red", 0.5)}, ("day_no",))
+    return with_quantiles(stats, medians, ("day_no",))
 
 
 def date_scores(metrics: DataFrame) -> DataFrame:
@@ -52,15 +54,17 @@ def outlier_dates(metrics: DataFrame, limit: float = 3.5) -> DataFrame:
 def deep_reflectance(pixels: DataFrame, bands: list[str], percentile: float = 0.01, least: int = 50) -> DataFrame:
     """L-infinity: a low percentile over deep pixels, null with too few of them."""
     deep = pixels.where((F.col("b08") < 0.03) & ((F.col("b02") + F.col("b03") + F.col("b04")) / 3 < 0.15))
-    n = F.count(F.lit(1))
-    return deep.agg(*(F.when(n >= least, F.percentile(b, F.lit(percentile))).alias(b) for b in bands), n.alias("n"))
+    low = exact_quantiles(deep, {b: F.col(b) for b in bands}, {f"_{b}": (b, percentile) for b in bands})
+    one = with_quantiles(deep.agg(F.count(F.lit(1)).alias("n")), low)
+    return one.select(*(F.when(F.col("n") >= least, F.col(f"_{b}")).alias(b) for b in bands), "n")
 
 
 def tile_offsets(tiles: DataFrame, reference: str, value: str, most: float = 0.03, least: int = 100) -> DataFrame:
     """Clipped median offset of each tile to the reference over common cells."""
     ref = tiles.where(F.col("tile") == reference).select(*CELL, F.col(value).alias("ref"))
     both = tiles.where(F.col("tile") != reference).join(ref, CELL)
-    return both.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.median(F.col("ref") - F.col(value)).alias("d")).select("tile", "n", F.when(F.col("n") >= least, clip(F.col("d"), -most, most)).otherwise(0.0).alias("offset"))
+    middle = exact_quantiles(both, {"d": F.col("ref") - F.col(value)}, {"d": ("d", 0.5)}, ("tile",))
+    return with_quantiles(both.groupBy("tile").agg(F.count(F.lit(1)).alias("n")), middle, ("tile",)).select("tile", "n", F.when(F.col("n") >= least, clip(F.col("d"), -most, most)).otherwise(0.0).alias("offset"))
 
 
 def weighted_mosaic(tiles: DataFrame, value: str, weight: str) -> DataFrame:
@@ -72,8 +76,9 @@ def weighted_mosaic(tiles: DataFrame, value: str, weight: str) -> DataFrame:
 # -- neighbourhoods
 
 
-def _around(cells: DataFrame, offsets: str) -> DataFrame:
-    return cells.withColumn("_o", F.explode(F.expr(offsets))).withColumns({"prow": (F.col("prow") + F.col("_o.i")).cast("int"), "pcol": (F.col("pcol") + F.col("_o.j")).cast("int")}).drop("_o")
+def _around(cells: DataFrame, offsets: str, *kept: str) -> DataFrame:
+    moved = {"prow": (F.col("prow") + F.col("_o.i")).cast("int"), "pcol": (F.col("pcol") + F.col("_o.j")).cast("int"), **{k: F.col(f"_o.{k}") for k in kept}}
+    return cells.withColumn("_o", F.explode(F.expr(offsets))).withColumns(moved).drop("_o")
 
 
 def _diamond(n: int) -> str:
@@ -81,8 +86,9 @@ def _diamond(n: int) -> str:
 
 
 def dilated(pixels: DataFrame, mask: str, n: int = 1) -> DataFrame:
-    """``pixels`` with the mask grown by ``n`` steps along rows and columns."""
-    grown = _around(pixels.where(F.col(mask)).select(*CELL), _diamond(n)).distinct().withColumn("_hit", F.lit(True))
+    """``pixels`` with the mask grown by ``n`` steps along rows and columns: first along rows, then by the steps left along columns."""
+    along = _around(pixels.where(F.col(mask)).select(*CELL), f"transform(sequence(-{n}, {n}), j -> struct(0 as i, j, abs(j) as d))", "d").groupBy(*CELL).agg(F.min("d").alias("d"))
+    grown = _around(along, f"transform(sequence(d - {n}, {n} - d), i -> struct(i, 0 as j))").select(*CELL).distinct().withColumn("_hit", F.lit(True))
     return pixels.join(grown, CELL, "left").withColumn(mask, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
@@ -101,13 +107,18 @@ def median_filtered(pixels: DataFrame, value: str, k: int = 3) -> DataFrame:
 
 
 def edge_distance(pixels: DataFrame, valid: str, cap_m: float, size_m: float = 10.0) -> DataFrame:
-    """Metres from each valid cell to the nearest invalid one that touches a valid one, up to ``cap_m``."""
+    """Metres from each valid cell to the nearest invalid one that touches a valid one, up to ``cap_m``.
+
+    In two passes, along columns and then along rows, so that a rim cell meets cells by the cap's length, not its square.
+    """
     bad = pixels.where(~F.col(valid)).select(*CELL)
     touching = _around(pixels.where(F.col(valid)).select(*CELL), _diamond(1)).distinct()
-    rim = bad.join(touching, CELL, "left_semi").select((F.col("pcol") * size_m).alias("rx"), (F.col("prow") * size_m).alias("ry"))
-    good = pixels.where(F.col(valid)).select(*CELL, (F.col("pcol") * size_m).alias("_x"), (F.col("prow") * size_m).alias("_y"))
-    near = radius_join(good, rim, cap_m, "_x", "_y").groupBy(*CELL).agg(F.min("dist").alias("edge_m"))
-    return good.select(*CELL).join(near, CELL, "left").withColumn("edge_m", F.coalesce("edge_m", F.lit(cap_m)))
+    rim = bad.join(touching, CELL, "left_semi")
+    k, most = int(cap_m / size_m), (cap_m / size_m) ** 2
+    column = _around(rim, f"transform(sequence(-{k}, {k}), i -> struct(i, 0 as j, i * i as d2))", "d2").groupBy(*CELL).agg(F.min("d2").alias("d2"))
+    row = _around(column, f"transform(filter(sequence(-{k}, {k}), j -> d2 + j * j <= {most}D), j -> struct(0 as i, j, d2 + j * j as d2))", "d2")
+    near = row.groupBy(*CELL).agg((F.sqrt(F.min("d2")) * size_m).alias("edge_m"))
+    return pixels.where(F.col(valid)).select(*CELL).join(near, CELL, "left").withColumn("edge_m", F.coalesce("edge_m", F.lit(cap_m)))
 
 
 def buffer_mask(pixels: DataFrame, points: DataFrame, radius: float) -> DataFrame:

@@ -100,9 +100,15 @@ def tier_capped(points: DataFrame, target: int) -> DataFrame:
 
 
 def source_capped(points: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """At most ``most`` rows a source, in an order made of the ids."""
-    w = Window.partitionBy("source").orderBy(F.pmod(F.col("point_id") * 7919 + seed, F.lit(10007)), "point_id")
-    return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    """At most ``most`` rows a source, in an order made of the ids.
+
+    Counts of the order's 10,007 keys tell the last key that a source reaches; only rows up to it are numbered, each key by itself.
+    """
+    keyed = points.withColumns({"_s": F.struct("source"), "_key": F.pmod(F.col("point_id") * 7919 + seed, F.lit(10007))})
+    count = keyed.groupBy("_s", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    before = count.withColumn("_before", F.sum("_n").over(Window.partitionBy("_s").orderBy("_key")) - F.col("_n")).where(F.col("_before") < most).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("_s", "_key").orderBy("point_id"))
+    return keyed.join(before, ["_s", "_key"]).withColumn("_r", rank).where(F.col("_before") + F.col("_r") <= most).drop("_s", "_key", "_before", "_r")
 
 
 def local_complexity(neighbours: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalspark.functions.optics import clip
@@ -23,24 +23,60 @@ def rolling_smooth(df: DataFrame, group: str, order: str, value: str, window: in
     return df.withColumn("_med", med).withColumn("smooth", mean).drop("_med")
 
 
-def isotonic(df: DataFrame, group: str, order: str, value: str, increasing: bool = True) -> DataFrame:
-    """Pool-adjacent-violators fit of each group's profile, one group a task at a time."""
-    sign = 1.0 if increasing else -1.0
+def _pooled(mean: np.ndarray, size: np.ndarray) -> tuple[list, list]:
+    """Pool adjacent violators of weighted means."""
+    means, sizes = [], []
+    for m, n in zip(mean.tolist(), size.tolist(), strict=True):
+        while means and means[-1] > m:
+            k = sizes.pop()
+            m, n = (means.pop() * k + m * n) / (k + n), k + n
+        means.append(m)
+        sizes.append(n)
+    return means, sizes
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        mean, size = [], []
-        for v in sign * pdf[value].to_numpy(float):
-            mean.append(v)
-            size.append(1)
-            while len(mean) > 1 and mean[-2] > mean[-1]:
-                n = size[-2] + size[-1]
-                mean[-2:] = [(mean[-2] * size[-2] + mean[-1] * size[-1]) / n]
-                size[-2:] = [n]
-        return pdf.assign(fitted=sign * np.repeat(mean, size))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", fitted double"
-    return df.groupBy(group).applyInPandas(fit, schema)
+def isotonic(df: DataFrame, group: str, order: str, value: str, increasing: bool | Column = True, run: int = 4096) -> DataFrame:
+    """Pool-adjacent-violators fit of each group's profile, added as ``fitted``; a column tells each group's direction where they differ.
+
+    Rows go by ``order``, equal ones by the value in the trend's direction; a null value takes no
+    part and gets null. Profiles are cut into runs of ``run`` positions that are pooled in parallel.
+    Neighbouring runs then merge in log rounds: only blocks above the right side's least or below
+    the left side's largest mean meet in a task, all others stay as they are. A profile that a
+    third of all rows belong to is thus never in one task.
+    """
+    sign = F.when(increasing if isinstance(increasing, Column) else F.lit(increasing), 1.0).otherwise(-1.0)
+    known = df.where(F.col(value).isNotNull()).withColumns({"_g": F.struct(group), "_v": sign * F.col(value).cast("double")})
+    ranged = checkpointed(known.repartitionByRange("_g", order, "_v").withColumn("_p", F.spark_partition_id()))
+    piece = ranged.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_k"))  # rows of a profile in a range
+    piece = piece.withColumn("_first", F.sum("_k").over(Window.partitionBy("_g").orderBy("_p")) - F.col("_k"))
+    at = F.col("_first") + F.row_number().over(Window.partitionBy("_g", "_p").orderBy(order, "_v")) - 1
+    rows = checkpointed(ranged.join(piece, ["_g", "_p"]).withColumn("_i", at).withColumn("_run", F.floor(F.col("_i") / run)).drop("_p", "_k", "_first"))
+    schema = f"_g {rows.schema['_g'].dataType.simpleString()}, _run long, _i long, _mean double, _size long"
+
+    def pooled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", kind="stable")
+        mean, size = _pooled(pdf["_mean"].to_numpy(float), pdf["_size"].to_numpy())
+        first = pdf["_i"].iloc[0] + np.cumsum([0, *size[:-1]])
+        return pd.DataFrame({"_g": [key[0]] * len(size), "_run": key[1], "_i": first, "_mean": mean, "_size": size})
+
+    cells = rows.select("_g", "_run", "_i", F.col("_v").alias("_mean"), F.lit(1).cast("long").alias("_size"))
+    blocks = checkpointed(cells.groupBy("_g", "_run").applyInPandas(pooled, schema))
+    runs = (blocks.agg(F.max("_run")).first()[0] or 0) + 1  # one number
+    while runs > 1:
+        left = F.col("_run") % 2 == 0
+        pair = F.floor(F.col("_run") / 2)
+        ends = blocks.groupBy("_g", pair.alias("_pair")).agg(F.max(F.when(left, F.col("_mean"))).alias("_top"), F.min(F.when(~left, F.col("_mean"))).alias("_low"))
+        known_ends = blocks.withColumn("_pair", pair).join(ends, ["_g", "_pair"])
+        clash = F.coalesce(F.when(left, F.col("_mean") > F.col("_low")).otherwise(F.col("_mean") < F.col("_top")), F.lit(False))
+        marked = known_ends.withColumn("_clash", clash).withColumn("_run", F.col("_pair")).select("_g", "_run", "_i", "_mean", "_size", "_clash")
+        merged = marked.where("_clash").drop("_clash").groupBy("_g", "_run").applyInPandas(pooled, schema)
+        blocks = checkpointed(marked.where("not _clash").drop("_clash").unionByName(merged))
+        runs = (runs + 1) // 2
+    over = F.explode(F.sequence(F.floor(F.col("_i") / run), F.floor((F.col("_i") + F.col("_size") - 1) / run)))
+    marks = blocks.select("_g", F.col("_i").alias("_start"), "_mean", over.alias("_run")).select("_g", "_run", F.greatest(F.col("_start"), F.col("_run") * run).alias("_i"), "_mean")
+    w = Window.partitionBy("_g", "_run").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    fitted = rows.join(marks, ["_g", "_run", "_i"], "left").withColumn("fitted", sign * F.last("_mean", ignorenulls=True).over(w)).select(*df.columns, "fitted")
+    return fitted.unionByName(df.where(F.col(value).isNull()).withColumn("fitted", F.lit(None).cast("double")))
 
 
 def surface_profile(df: DataFrame, group: str = "river_id", order: str = "s_center_m", value: str = "wse_m", window: int = 9) -> DataFrame:
@@ -48,8 +84,7 @@ def surface_profile(df: DataFrame, group: str = "river_id", order: str = "s_cent
     smooth = rolling_smooth(df, group, order, value, window, max(3, window // 2))
     trend = smooth.groupBy(group).agg(F.coalesce(F.covar_pop(order, "smooth") > 0, F.lit(False)).alias("_up"))
     known = smooth.where(F.col("smooth").isNotNull()).join(trend, group)
-    parts = [isotonic(known.where(F.col("_up") == up).drop("_up"), group, order, "smooth", up) for up in (True, False)]
-    return central_slope(parts[0].unionByName(parts[1]), group, order, "fitted")
+    return central_slope(isotonic(known, group, order, "smooth", F.col("_up")).drop("_up"), group, order, "fitted")
 
 
 def central_slope(df: DataFrame, group: str, order: str, value: str, low: float = 1e-5, high: float = 0.05) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shoalspark.functions.optics import bottom_reflectance, clip, path_attenuation
 from shoalspark.operators.modelling import accuracy, block_folds, buffered_train
+from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 from shoalspark.session import checkpointed
 
 
@@ -23,14 +24,14 @@ def clustered(df: DataFrame, k: int, columns: tuple[str, ...] = ("x", "y"), seed
 
 def cluster_statistics(df: DataFrame, value: str = "depth_m") -> DataFrame:
     """Size, spread and quartiles of each cluster."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
-    one = df.groupBy("cluster").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), q.alias("_q"))
-    return one.select("cluster", "n", "mean", "std", "least", "most", *(F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("p25", "p50", "p75", "p95"))))
+    q = exact_quantiles(df, {"v": F.col(value)}, {"p25": ("v", 0.25), "p50": ("v", 0.5), "p75": ("v", 0.75), "p95": ("v", 0.95)}, ("cluster",))
+    one = df.groupBy("cluster").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return with_quantiles(one, q, ("cluster",))
 
 
 def representative_scores(df: DataFrame, value: str = "depth_m", least: int = 50, tail_only: bool = False) -> DataFrame:
     """Statistics of the clusters with ``least`` rows, with their distance to the whole table's median and tail; lower is better."""
-    whole = df.agg(F.percentile(value, F.lit(0.5)).alias("_p50"), F.percentile(value, F.lit(0.95)).alias("_p95"))  # one row
+    whole = exact_quantiles(df, {"v": F.col(value)}, {"_p50": ("v", 0.5), "_p95": ("v", 0.95)})  # one row
     s = cluster_statistics(df, value).where(F.col("n") >= least).crossJoin(F.broadcast(whole))
     middle = F.lit(0.0) if tail_only else F.abs(F.col("p50") - F.col("_p50"))
     return s.withColumn("score", middle + F.abs(F.col("p95") - F.col("_p95"))).drop("_p50", "_p95")
@@ -218,9 +219,9 @@ def bottom_endmembers(samples: DataFrame, bands: list[str], sand: float = 0.95,
     axis = np.linalg.eigh(cov)[1][:, -1]
     axis = axis if axis[0] >= 0 else -axis
     along = sum(((F.col(b) - float(m)) * float(a) for b, m, a in zip(bands, mean, axis, strict=True)), F.lit(0.0))
-    ends = known.agg(F.percentile(along, F.array(F.lit(sand), F.lit(grass))).alias("_p"))
+    ends = exact_quantiles(known, {"v": along}, {"_sand": ("v", sand), "_grass": ("v", grass)})
     rows = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(float(m)).alias("m"), F.lit(float(a)).alias("a")) for b, m, a in zip(bands, mean, axis, strict=True))))
-    return ends.withColumn("_b", rows).select("_b.band", *(clip(F.get("_p", F.lit(i)) * F.col("_b.a") + F.col("_b.m"), 0.0, 1.0).alias(n) for i, n in enumerate(("sand", "grass"))))
+    return ends.withColumn("_b", rows).select("_b.band", *(clip(F.col(f"_{n}") * F.col("_b.a") + F.col("_b.m"), 0.0, 1.0).alias(n) for n in ("sand", "grass")))
 
 
 def scene_endmembers(training: DataFrame, bands: list[str], kd: dict[str, float], ku: dict[str, float], deep: dict[str, float], depth: str = "depth_m", deepest: float = 10.0) -> DataFrame | None:

@@ -31,13 +31,13 @@ def _(p, lines):
 
 @query(
     "i3_anisotropic", "fx_pixels fx_points fx_lines", doubles="depth",
-    twin=f"""WITH starts AS ({_STARTS}), px AS (SELECT * FROM fx_pixels WHERE scl = 6), pt AS (SELECT * FROM fx_points WHERE source = 'multibeam'), q AS ({_chainage("px", "cell")}), r AS ({_chainage("pt", "point_id")}),
+    twin=f"""WITH starts AS ({_STARTS}), px AS (SELECT * FROM fx_pixels), pt AS (SELECT * FROM fx_points WHERE source = 'multibeam'), q AS ({_chainage("px", "cell")}), r AS ({_chainage("pt", "point_id")}),
         c AS (SELECT a.cell, b.point_id, b.depth_m, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, coalesce(abs(q.b.s_m - r.b.s_m), 0) AS s FROM px a CROSS JOIN pt b LEFT JOIN q USING (cell) LEFT JOIN r ON r.point_id = b.point_id),
         k AS (SELECT *, sqrt(pow(s / 500, 2) + greatest(0.0, d * d - s * s) / 900) + 1e-6 AS e FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY d, point_id) AS i FROM c) WHERE i <= 30)
         SELECT cell, sum(depth_m / (e * e)) / sum(1 / (e * e)) AS depth, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(e, 9), point_id) AS j FROM k) WHERE j <= 6 GROUP BY cell""",
 )
 def _(px, p, lines):
-    return channels.anisotropic_distance(px.where("scl = 6"), p.where("source = 'multibeam'"), lines, "depth_m", k=6)
+    return channels.anisotropic_distance(px, p.where("source = 'multibeam'"), lines, "depth_m", k=6)
 
 
 @query(

@@ -21,9 +21,9 @@ def _(px):
     return surveys.regridded_bilinear(px, px.select("cell", (C("x") + 4).alias("x"), (C("y") - 3).alias("y")), "b03", 5e5, 3.4e6, 10.0)
 
 
-@query("j21_bed_minus_terrain", "fx_pixels", doubles="depth_m", twin="SELECT prow, pcol, b02 - b03 AS depth_m FROM fx_pixels WHERE cell % 2 = 0")
+@query("j21_bed_minus_terrain", "fx_pixels", doubles="depth_m", twin="SELECT prow, pcol, b02 - b03 AS depth_m FROM fx_pixels")
 def _(px):
-    return surveys.bed_minus_terrain(px.where("cell % 2 = 0"), px, "b02", "b03")
+    return surveys.bed_minus_terrain(px, px, "b02", "b03")
 
 
 _NEAR = """SELECT * FROM (SELECT p.point_id, p.depth_m, s.sid, sqrt(pow(p.x - s.sx, 2) + pow(p.y - s.sy, 2)) AS dist, row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt(pow(p.x - s.sx, 2) + pow(p.y - s.sy, 2)), s.sid) AS r
@@ -74,4 +74,4 @@ def _(ph):
 
 @query("i7_kernel_surface", "fx_pixels fx_points")
 def _(px, p):
-    return surveys.local_kernel_surface(px.where("scl = 6"), p.where("source = 'multibeam'"), "depth_m", 100.0)
+    return surveys.local_kernel_surface(px, p.where("source = 'multibeam'"), "depth_m", 100.0)

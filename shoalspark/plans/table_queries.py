@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoalspark.operators import joins, modelling, pixels, points, profiles, quality
+from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 from shoalspark.plans.registry import query
 from shoalspark.sources import files
 
@@ -235,11 +236,11 @@ def _(st):
     return pixels.deep_reflectance(st, ["b02", "b03"])
 
 
-_TILES = "(SELECT prow, pcol, scl, concat('T', CAST(day_no AS VARCHAR)) AS tile, b02, 1.0 + day_no AS w FROM fx_stack WHERE day_no < 3)"
+_TILES = "(SELECT prow, pcol, scl, concat('T', CAST(day_no AS VARCHAR)) AS tile, b02, 1.0 + day_no AS w FROM fx_stack)"
 
 
 def _tiles(st):
-    return st.where("day_no < 3").select("prow", "pcol", "scl", F.concat(F.lit("T"), C("day_no").cast("string")).alias("tile"), "b02", (1.0 + C("day_no")).alias("w"))
+    return st.select("prow", "pcol", "scl", F.concat(F.lit("T"), C("day_no").cast("string")).alias("tile"), "b02", (1.0 + C("day_no")).alias("w"))
 
 
 @query("a10_mosaic", "fx_stack", doubles="b02", twin=f"SELECT prow, pcol, sum(b02 * w) / sum(w) AS b02, CAST(arg_max(scl, w) AS BIGINT) AS scl FROM {_TILES} GROUP BY prow, pcol")
@@ -291,7 +292,9 @@ def _(s):
 
 @query("a18_attenuation_statistics", "fx_pixels", doubles="mean_kd median_kd std_kd p05 p95", twin="SELECT avg(b04) AS mean_kd, median(b04) AS median_kd, stddev_pop(b04) AS std_kd, quantile_cont(b04, 0.05) AS p05, quantile_cont(b04, 0.95) AS p95 FROM fx_pixels WHERE land = 0")
 def _(px):
-    return px.where("land = 0").agg(F.avg("b04").alias("mean_kd"), F.median("b04").alias("median_kd"), F.stddev_pop("b04").alias("std_kd"), F.percentile("b04", F.lit(0.05)).alias("p05"), F.percentile("b04", F.lit(0.95)).alias("p95"))
+    wet = px.where("land = 0")
+    q = exact_quantiles(wet, {"k": C("b04")}, {"median_kd": ("k", 0.5), "p05": ("k", 0.05), "p95": ("k", 0.95)})
+    return with_quantiles(wet.agg(F.avg("b04").alias("mean_kd"), F.stddev_pop("b04").alias("std_kd")), q)
 
 
 _Q = ", ".join(f"quantile_cont(depth_m, {p}) AS p{round(p * 100):02d}" for p in (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99))
@@ -328,10 +331,10 @@ def _(p):
 
 
 @query("w14_support_depth", "fx_points", doubles="strict_m relaxed_m", twin="""WITH b AS (SELECT CAST(floor(abs(depth_m) / 0.5) AS INT) AS bin, count(*) AS n, sqrt(avg(pow(((point_id * 13) % 21 - 10) * 0.1, 2))) AS rmse FROM fx_points WHERE NOT (abs(depth_m) BETWEEN 8 AND 9) GROUP BY 1)
-    SELECT min(k) * 0.5 AS strict_m, (SELECT (max(bin) + 1) * 0.5 FROM b) AS relaxed_m FROM (SELECT unnest(range(1, 100)) AS k) WHERE k NOT IN (SELECT bin FROM b)""")
+    SELECT min(k) * 0.5 AS strict_m, (SELECT (max(bin) + 1) * 0.5 FROM b) AS relaxed_m FROM (SELECT unnest(range(1, (SELECT max(bin) + 2 FROM b))) AS k) WHERE k NOT IN (SELECT bin FROM b)""")
 def _(p):
     bins = modelling.depth_bins(_predicted(p).where("not (abs(depth_m) between 8 and 9)"), "depth_m", "pred")
-    all_bins = p.sparkSession.range(60).select(C("id").cast("int").alias("bin"))  # the bin ids, one row each
+    all_bins = bins.agg(F.max("bin").alias("last")).select(F.explode(F.sequence(F.lit(0), C("last") + 1)).alias("bin"))  # to one beyond the deepest
     full = all_bins.join(bins, "bin", "left").select("bin", ((C("bin") + 1) * 0.5).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"), "rmse")
     found = profiles.support_depth(full.where(C("bin") >= 1), target=1.0, least=1)
     return found
@@ -367,7 +370,9 @@ def _(p):
 @query("a31_spectral_diversity", "fx_pixels", doubles="spread cv", twin=" UNION ALL ".join(f"SELECT '{b}' AS feature, quantile_cont({b}, 0.95) - quantile_cont({b}, 0.05) AS spread, stddev_pop({b}) / avg({b}) AS cv FROM fx_pixels" for b in ("b02", "b03", "b04", "b08")))
 def _(px):
     long = px.select(F.explode(F.array(*(F.struct(F.lit(b).alias("feature"), C(b).alias("v")) for b in ("b02", "b03", "b04", "b08")))).alias("e")).select("e.*")
-    return long.groupBy("feature").agg((F.percentile("v", F.lit(0.95)) - F.percentile("v", F.lit(0.05))).alias("spread"), (F.stddev_pop("v") / F.avg("v")).alias("cv"))
+    q = exact_quantiles(long, {"v": C("v")}, {"_lo": ("v", 0.05), "_hi": ("v", 0.95)}, ("feature",))
+    found = with_quantiles(long.groupBy("feature").agg((F.stddev_pop("v") / F.avg("v")).alias("cv")), q, ("feature",))
+    return found.select("feature", (C("_hi") - C("_lo")).alias("spread"), "cv")
 
 
 @query("a32_track_diversity", "fx_points", twin="SELECT track, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM fx_points GROUP BY 1, 2")
@@ -393,7 +398,9 @@ def _(m):
     FROM (SELECT CASE WHEN land = 0 THEN b03 END AS v FROM fx_pixels)""")
 def _(px):
     v = px.select(F.when(C("land") == 0, C("b03")).alias("v"))
-    return v.agg(F.count("v").alias("n"), (F.count("v") / F.count("*")).alias("share"), (F.count("v") * 1e-4).alias("area_km2"), F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean_v"), F.stddev_pop("v").alias("std_v"), F.median("v").alias("median_v"), F.percentile("v", F.lit(0.95)).alias("p95"))
+    q = exact_quantiles(v, {"v": C("v")}, {"median_v": ("v", 0.5), "p95": ("v", 0.95)})
+    one = v.agg(F.count("v").alias("n"), (F.count("v") / F.count("*")).alias("share"), (F.count("v") * 1e-4).alias("area_km2"), F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean_v"), F.stddev_pop("v").alias("std_v"))
+    return with_quantiles(one, q)
 
 
 @query("a42_mask_share", "fx_pixels", doubles="share", twin="SELECT avg(land) AS share FROM fx_pixels")
@@ -416,14 +423,17 @@ def _(px):
     from pyspark.sql import Window
 
     d = px.select("b03", (C("b03") - F.lag("b03").over(Window.partitionBy("prow").orderBy("pcol"))).alias("d"))
-    m = d.agg(F.median("b03").alias("mv"), F.median("d").alias("md"))
-    return d.crossJoin(F.broadcast(m)).agg((1 / (1 + F.median(F.abs(C("d") - C("md"))) / F.median(F.abs(C("b03") - C("mv"))))).alias("score"))
+    m = exact_quantiles(d, {"v": C("b03"), "d": C("d")}, {"mv": ("v", 0.5), "md": ("d", 0.5)})  # one row
+    apart = exact_quantiles(d.crossJoin(F.broadcast(m)), {"v": F.abs(C("b03") - C("mv")), "d": F.abs(C("d") - C("md"))}, {"v": ("v", 0.5), "d": ("d", 0.5)})
+    return apart.select((1 / (1 + C("d") / C("v"))).alias("score"))
 
 
 @query("a48_a49_band_relations", "fx_pixels", doubles="ratio log_range index_range", twin="SELECT median(b02) / median(b03) AS ratio, ln(quantile_cont(b03, 0.95)) - ln(quantile_cont(b03, 0.05)) AS log_range, quantile_cont(ln(b02) / ln(b03), 0.9) - quantile_cont(ln(b02) / ln(b03), 0.1) AS index_range FROM fx_pixels WHERE scl = 6")
 def _(px):
     i = F.ln("b02") / F.ln("b03")
-    return px.where("scl = 6").agg((F.median("b02") / F.median("b03")).alias("ratio"), (F.ln(F.percentile("b03", F.lit(0.95))) - F.ln(F.percentile("b03", F.lit(0.05)))).alias("log_range"), (F.percentile(i, F.lit(0.9)) - F.percentile(i, F.lit(0.1))).alias("index_range"))
+    wanted = {"blue": ("b02", 0.5), "green": ("b03", 0.5), "lo": ("b03", 0.05), "hi": ("b03", 0.95), "i0": ("i", 0.1), "i1": ("i", 0.9)}
+    q = exact_quantiles(px.where("scl = 6"), {"b02": C("b02"), "b03": C("b03"), "i": i}, wanted)
+    return q.select((C("blue") / C("green")).alias("ratio"), (F.ln("hi") - F.ln("lo")).alias("log_range"), (C("i1") - C("i0")).alias("index_range"))
 
 
 @query("a53_profile_change", "fx_sections", doubles="rmse bias", twin="SELECT CAST(river_id AS BIGINT) AS river_id, sqrt(avg(pow(width_m / 50.0 - depth_pred_m, 2))) AS rmse, avg(width_m / 50.0 - depth_pred_m) AS bias, count(*) AS n FROM fx_sections GROUP BY ROLLUP (river_id)")
@@ -580,24 +590,24 @@ def _(px):
     return pixels.tapered_patch(_cells(px), "a", "b", "e", C("m").isNotNull(), C("cell") % 11 == 0).select("cell", "depth", "code")
 
 
-_IDW = """WITH c AS (SELECT p.cell, q.point_id, q.depth_m AS v, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d FROM (SELECT * FROM fx_pixels WHERE scl = 6) p, (SELECT * FROM fx_points WHERE source = 'multibeam') q),
+_IDW = """WITH c AS (SELECT p.cell, q.point_id, q.depth_m AS v, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d FROM fx_pixels p, (SELECT * FROM fx_points WHERE source = 'multibeam') q),
     k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY d, point_id) AS r FROM c) WHERE r <= 6)"""
 
 
 @query("i1_inverse_distance", "fx_pixels fx_points", doubles="depth nearest_m", twin=f"{_IDW} SELECT cell, coalesce(min(CASE WHEN d <= 1e-6 AND r = 1 THEN v END), sum(v / pow(d + 1e-6, 2)) / sum(1 / pow(d + 1e-6, 2))) AS depth, min(d) AS nearest_m, count(*) AS n FROM k GROUP BY cell")
 def _(px, p):
-    return pixels.inverse_distance(px.where("scl = 6"), _src(p, "multibeam"), "depth_m", k=6)
+    return pixels.inverse_distance(px, _src(p, "multibeam"), "depth_m", k=6)
 
 
 @query("i2_adaptive_power", "fx_pixels fx_points", doubles="depth nearest_m", twin=f"""{_IDW}, w AS (SELECT *, 1.5 + log10(greatest(1.0, least(10.0, max(d) OVER (PARTITION BY cell) / greatest(min(d) OVER (PARTITION BY cell), 1e-6)))) * 2.5 AS p FROM k)
     SELECT cell, coalesce(min(CASE WHEN d <= 1e-6 AND r = 1 THEN v END), sum(v / pow(d + 1e-6, p)) / sum(1 / pow(d + 1e-6, p))) AS depth, min(d) AS nearest_m, count(*) AS n FROM w GROUP BY cell""")
 def _(px, p):
-    return pixels.inverse_distance(px.where("scl = 6"), _src(p, "multibeam"), "depth_m", k=6, adaptive=True)
+    return pixels.inverse_distance(px, _src(p, "multibeam"), "depth_m", k=6, adaptive=True)
 
 
 @query("i5_residual_fill", "fx_pixels fx_points")
 def _(px, p):
-    prior = px.where("scl = 6").withColumn("depth_m", -C("b03") * 100)
+    prior = px.withColumn("depth_m", -C("b03") * 100)
     return pixels.residual_fill(prior, _src(p, "multibeam"), 5e5, 3.4e6, 10.0)
 
 

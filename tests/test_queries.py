@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalspark.functions import geo
-from shoalspark.operators import channels, joins, modelling, pipelines, points, profiles, selection
+from shoalspark.operators import channels, joins, modelling, pipelines, pixels, points, profiles, quantiles, selection
 from shoalspark.plans.fixtures import TABLES, view
 from shoalspark.plans.queries import ORACLE_SQL, QUERIES
 from shoalspark.sources import files
@@ -59,6 +59,83 @@ def test_isotonic_fit(spark):
     assert np.allclose([r["fitted"] for r in rows], [1, 7 / 3, 7 / 3, 7 / 3, 4.5, 4.5])
 
 
+@pytest.mark.parametrize("kind", ["noise", "rising", "falling", "ties"])
+def test_isotonic_fit_by_runs_equals_the_whole_fit(spark, kind):
+    rng = np.random.default_rng(7)
+    x = np.arange(300)
+    v = {"noise": rng.normal(size=300) + x / 200, "rising": x * 1.0, "falling": -x * 1.0, "ties": rng.integers(0, 3, 300) * 1.0}[kind]
+    rows = [("a", int(i), float(y)) for i, y in zip(x, v, strict=True)] + [(None, int(i), float(y)) for i, y in zip(x[:50], v[:50], strict=True)] + [("a", 1000, None), ("b", 0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, s long, v double").repartition(5)
+
+    def whole(y):
+        blocks = []
+        for m in y:
+            blocks.append((m, 1))
+            while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+                (p, i), (q, j) = blocks[-2:]
+                blocks[-2:] = [((p * i + q * j) / (i + j), i + j)]
+        return np.repeat([m for m, _ in blocks], [n for _, n in blocks])
+
+    for up in (True, False):
+        got = profiles.isotonic(df, "g", "s", "v", up, run=64).orderBy("s").collect()
+        sign = 1 if up else -1
+        assert len(got) == len(rows)
+        assert np.allclose([r["fitted"] for r in got if r["g"] == "a" and r["v"] is not None], sign * whole(sign * v))
+        assert np.allclose([r["fitted"] for r in got if r["g"] is None], sign * whole(sign * v[:50]))
+        assert [r["fitted"] for r in got if r["v"] is None] == [None] and [r["fitted"] for r in got if r["g"] == "b"] == [2.0]
+    assert profiles.isotonic(df.where("false"), "g", "s", "v").collect() == []
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v), int(k)) for g, n in (("a", 997), (None, 40), ("b", 1), ("c", 2)) for v, k in zip(rng.normal(size=n).round(2), rng.integers(0, 3, n), strict=True)]
+    rows += [("a", 0.5, 1)] * 500 + [("d", None, None)]
+    df = spark.createDataFrame(rows, "g string, v double, k int").repartition(7)
+    ps = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    wanted = {f"{c}{i}": (c, p) for c in "vk" for i, p in enumerate(ps)}
+    want = [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
+    values = {"v": F.col("v"), "k": F.col("k")}
+    assert np.allclose(quantiles.exact_quantiles(df, values, wanted).collect(), df.agg(*want).collect())
+    got = {r["g"]: r[1:] for r in quantiles.exact_quantiles(df, values, wanted, ("g",)).collect()}
+    for r in df.where("g is null or g <> 'd'").groupBy("g").agg(*want).collect():
+        assert np.allclose(got.pop(r["g"]), r[1:])
+    assert not got  # a group without values has no row
+    stats = df.groupBy("g").agg(F.count("*").alias("n"))
+    joined = {r["g"]: r for r in quantiles.with_quantiles(stats, quantiles.exact_quantiles(df, values, wanted, ("g",)), ("g",)).collect()}
+    assert len(joined) == 5 and joined["d"]["v3"] is None and joined[None]["n"] == 40 and joined[None]["v3"] is not None
+    none = quantiles.exact_quantiles(df.where("false"), values, wanted).collect()
+    assert len(none) == 1 and set(none[0]) == {None}
+
+
+def test_edges_and_growth_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    m = rng.random((14, 17)) < 0.3
+    m[3, 3] = True
+    df = spark.createDataFrame([(i, j, bool(m[i, j])) for i in range(14) for j in range(17)], "prow int, pcol int, m boolean")
+    cells = [(i, j) for i in range(14) for j in range(17)]
+    on = [c for c in cells if m[c]]
+    for n in (0, 1, 3):
+        want = {c for c in cells if any(abs(c[0] - o[0]) + abs(c[1] - o[1]) <= n for o in on)}
+        assert {(r["prow"], r["pcol"]) for r in pixels.dilated(df, "m", n).where("m").collect()} == want
+    off = [c for c in cells if not m[c] and any((c[0] + a, c[1] + b) in set(on) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))]
+    for cap in (5.0, 25.0, 40.0):
+        got = {(r["prow"], r["pcol"]): r["edge_m"] for r in pixels.edge_distance(df, "m", cap).collect()}
+        assert got.keys() == set(on)
+        for c in on:
+            d = min(10 * math.hypot(c[0] - o[0], c[1] - o[1]) for o in off)
+            assert math.isclose(got[c], d if d <= cap else cap), (c, got[c], d)
+
+
+def test_source_cap_takes_the_first_of_each_source(spark):
+    rows = [(i % 500, "a") for i in range(900)] + [(i, "b") for i in range(20)] + [(i, None) for i in range(60)] + [(77, "c")] * 80
+    df = spark.createDataFrame(rows, "point_id long, source string")
+    got = points.source_capped(df, 50).collect()
+    key = lambda i: ((i * 7919 + 42) % 10007, i)
+    for s in ("a", "b", None, "c"):
+        want = sorted((i for i, t in rows if t == s), key=key)[:50]
+        assert sorted(r["point_id"] for r in got if r["source"] == s) == sorted(want)
+
+
 def test_planar_shift_recovers_a_plane(spark):
     df = spark.range(500).selectExpr("id % 25 * 1e1 as x", "floor(id / 25) * 1e1 as y").withColumn("r", 2 + 0.01 * F.col("x") - 0.02 * F.col("y") + F.when(F.col("x") == 30, 9.0).otherwise(0.0))
     assert np.allclose(modelling.planar_shift(df, "r"), (2, 0.01, -0.02), atol=0.02)
