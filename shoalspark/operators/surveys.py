@@ -86,11 +86,13 @@ def topped_up(chosen: DataFrame, pool: DataFrame, floor: int, key: str, order: l
 
 
 def track_chunks(photons: DataFrame, keys: list[str], order: str, chunk_m: float) -> DataFrame:
-    """Distance of each photon from its track's first one, and its chunk."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dy = (F.col("latitude") - F.first("latitude").over(w)) * 111_320.0
-    dx = (F.col("longitude") - F.first("longitude").over(w)) * 111_320.0 * F.cos(F.radians("latitude"))
-    return photons.withColumn("dist_m", F.round(F.sqrt(dx * dx + dy * dy), 6)).withColumn("chunk", F.floor(F.col("dist_m") / chunk_m))
+    """Distance of each photon from its track's first one, and its chunk; the first ones are aggregated and joined, so that no track is sorted."""
+    place = F.struct(order, "latitude", "longitude")
+    first = photons.where(F.col(order).isNotNull()).groupBy(F.struct(*keys).alias("_t")).agg(F.min(place).alias("_first"))
+    dy = (F.col("latitude") - F.col("_first.latitude")) * 111_320.0
+    dx = (F.col("longitude") - F.col("_first.longitude")) * 111_320.0 * F.cos(F.radians("latitude"))
+    far = photons.withColumn("_t", F.struct(*keys)).join(first, "_t", "left").withColumn("dist_m", F.round(F.sqrt(dx * dx + dy * dy), 6))
+    return far.withColumn("chunk", F.floor(F.col("dist_m") / chunk_m)).drop("_t", "_first")
 
 
 def calibrated_sections(soundings: DataFrame, sections: DataFrame, most: float) -> DataFrame:

@@ -50,7 +50,13 @@ def _(xs):
     return surveys.nearest_surface(known, ["river_id"], "s_center_m", "w").select("xs_id", "filled")
 
 
-@query("a24_bimodality", "fx_points")
+@query(
+    "a24_bimodality", "fx_points", doubles="place density",
+    twin="""WITH s AS (SELECT *, greatest(sd * pow(n, -2e-1), 1e-9) AS bw FROM (SELECT count(depth_m) AS n, stddev_samp(depth_m) AS sd, min(depth_m) AS lo, max(depth_m) AS hi FROM fx_points)), b AS (SELECT round_even(depth_m / (bw / 5), 0) AS b, count(*) AS k FROM fx_points, s GROUP BY 1),
+    d AS (SELECT CAST(i AS INT) AS i, lo + (hi - lo) * i / 199e0 AS place, n, bw FROM s, (SELECT unnest(range(0, 200)) AS i)),
+    g AS (SELECT i, any_value(place) AS place, sum(k * exp(-5e-1 * pow((place - b * bw / 5) / bw, 2))) / any_value(n * bw) / sqrt(2 * pi()) AS density FROM d, b GROUP BY i)
+    SELECT i, place, density, density > coalesce(lag(density) OVER (ORDER BY i), -1) AND density > coalesce(lead(density) OVER (ORDER BY i), -1) AND density >= 1e-1 * max(density) OVER () AS peak FROM g""",
+)
 def _(p):
     return surveys.density_curve(p.select("depth_m"), "depth_m")
 
@@ -67,7 +73,11 @@ def _(p):
     return surveys.topped_up(t.where("source = 'multibeam' and point_id % 9 = 0"), t, 400, "point_id", ["point_id"])
 
 
-@query("w18_track_chunks", "fx_photons")
+@query(
+    "w18_track_chunks", "fx_photons", doubles="far_m",
+    twin="""SELECT granule, beam, CAST(floor(dist_m / 5e2) AS BIGINT) AS chunk, count(*) AS n, max(dist_m) AS far_m FROM (SELECT *, round(sqrt(pow((latitude - first(latitude) OVER w) * 111320e0, 2) + pow((longitude - first(longitude) OVER w) * 111320e0 * cos(radians(latitude)), 2)), 6) AS dist_m
+    FROM fx_photons WINDOW w AS (PARTITION BY granule, beam ORDER BY delta_time ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY ALL""",
+)
 def _(ph):
     return surveys.track_chunks(ph, ["granule", "beam"], "delta_time", 500.0).groupBy("granule", "beam", "chunk").agg(F.count("*").alias("n"), F.max("dist_m").alias("far_m"))
 

@@ -135,13 +135,32 @@ def _(ph):
     return points.photon_bins(ph, 1e-3, 0.25).groupBy("granule", "beam", "lat_bin", "height_bin").agg(F.count("*").alias("n"))
 
 
-@query("p4_a2_a3_photon_picks", "fx_photons")
+_BINNED = """SELECT *, CAST(least(floor((latitude - l0) / ((l1 - l0) / nl)), nl - 1) AS INT) AS lat_bin, CAST(least(floor((photon_height - h0) / ((h1 - h0) / nh)), nh - 1) AS INT) AS height_bin
+    FROM (SELECT *, greatest(1.0, least(5000.0, round_even((l1 - l0) / 1e-3, 0))) AS nl, greatest(1.0, least(5000.0, round_even((h1 - h0) / 0.25, 0))) AS nh FROM (SELECT *, min(latitude) OVER w AS l0, max(latitude) OVER w AS l1, min(photon_height) OVER w AS h0, max(photon_height) OVER w AS h1
+    FROM fx_photons WHERE conf >= 1 WINDOW w AS (PARTITION BY granule, beam)))"""
+
+
+@query(
+    "p4_a2_a3_photon_picks", "fx_photons", doubles="bottom_m depth_m frac_bottom",
+    twin=f"""WITH b AS ({_BINNED}), c AS (SELECT granule, beam, lat_bin, height_bin, count(*) AS n, median(photon_height) AS h FROM b GROUP BY ALL),
+    full_enough AS (SELECT granule, beam, greatest(2.0, quantile_cont(n, 0.75)) AS least_n FROM (SELECT granule, beam, lat_bin, max(n) AS n FROM c GROUP BY ALL) GROUP BY ALL),
+    modes AS (SELECT granule, beam, height_bin AS mode_bin FROM (SELECT granule, beam, height_bin, row_number() OVER (PARTITION BY granule, beam ORDER BY sum(n) DESC, height_bin) AS r FROM c GROUP BY granule, beam, height_bin) WHERE r = 1),
+    s AS (SELECT granule, beam, lat_bin, h AS surface_m FROM (SELECT *, row_number() OVER (PARTITION BY granule, beam, lat_bin ORDER BY n DESC, height_bin) AS r FROM c JOIN full_enough USING (granule, beam) JOIN modes USING (granule, beam) WHERE n >= least_n AND abs(height_bin - mode_bin) * 0.25 <= 5) WHERE r = 1),
+    d AS (SELECT granule, beam, lat_bin, height_bin, surface_m, count(*) AS n, median(photon_height) AS h FROM b JOIN s USING (granule, beam, lat_bin) WHERE photon_height < surface_m - 0.5 GROUP BY ALL),
+    k AS (SELECT *, sum(n) OVER w AS below, row_number() OVER (PARTITION BY granule, beam, lat_bin ORDER BY n DESC, height_bin) AS r FROM d WINDOW w AS (PARTITION BY granule, beam, lat_bin))
+    SELECT granule, beam, lat_bin, n AS n_bottom, CAST(below AS BIGINT) AS n_subsurface, h AS bottom_m, h - surface_m AS depth_m, n / below AS frac_bottom FROM k WHERE r = 1 AND n >= 2""",
+)
 def _(ph):
     binned = points.photon_bins(ph.where("conf >= 1"), 1e-3, 0.25)
     return points.bottom_picks(binned, points.surface_heights(binned))
 
 
-@query("p5_w1_a4_segments", "fx_photons")
+@query(
+    "p5_w1_a4_segments", "fx_photons", doubles="latitude longitude photon_height conf delta_time",
+    twin="""WITH s AS (SELECT *, coalesce(sqrt(pow((latitude - lag(latitude) OVER w) * 111320e0, 2) + pow((longitude - lag(longitude) OVER w) * 111320e0 * cos(radians(latitude)), 2)), 0) AS step FROM fx_photons WHERE conf >= 1 WINDOW w AS (PARTITION BY granule, beam ORDER BY delta_time, photon_height, conf)),
+    a AS (SELECT *, round(sum(step) OVER (PARTITION BY granule, beam ORDER BY delta_time, photon_height, conf ROWS UNBOUNDED PRECEDING), 6) AS along_m FROM s)
+    SELECT granule, beam, CAST(floor(along_m / 5e0) AS BIGINT) AS seg_id, median(latitude) AS latitude, median(longitude) AS longitude, median(photon_height) AS photon_height, median(conf) AS conf, median(delta_time) AS delta_time, count(*) AS n_photons FROM a GROUP BY ALL HAVING count(*) >= 2""",
+)
 def _(ph):
     return points.segments(ph.where("conf >= 1"))
 
@@ -192,7 +211,11 @@ def _(p):
     return both.join(p.where("point_id % 7 = 0").select("point_id"), "point_id", "left_anti").select("point_id", "source")
 
 
-@query("p1_complexity", "fx_points")
+@query(
+    "p1_complexity", "fx_points", doubles="spread gradient mean_dist complexity",
+    twin=f"""WITH k AS (SELECT * FROM (SELECT a.point_id, a.depth_m, b.depth_m AS ref_depth, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist, row_number() OVER (PARTITION BY a.point_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.point_id) AS r FROM {_PTS.format("atl24")} a, {_PTS.format("extra_xyz")} b) WHERE r <= 20)
+    SELECT *, 0.5 * least(1e0, spread / 5) + 0.3 * least(1e0, gradient) + 0.2 * least(1e0, 10 / greatest(mean_dist, 1e0)) AS complexity FROM (SELECT point_id, stddev_pop(ref_depth) AS spread, max(abs(ref_depth - depth_m) / greatest(dist, 1e0)) AS gradient, avg(dist) AS mean_dist FROM k GROUP BY point_id)""",
+)
 def _(p):
     a = _src(p, "atl24")
     right = _src(p, "extra_xyz").select(C("point_id").alias("ref_id"), C("x").alias("rx"), C("y").alias("ry"), C("depth_m").alias("ref_depth"))
@@ -226,7 +249,12 @@ def _(st):
     return pixels.robust_z(pixels.date_metrics(st).select("day_no", "deep"), "deep")
 
 
-@query("a16_l2_outlier_dates", "fx_stack")
+@query(
+    "a16_l2_outlier_dates", "fx_stack",
+    twin=f"""WITH m AS ({_METRICS}), c AS (SELECT median(nir_median) AS nm, median(red_median) AS rm, count(nir_median) AS nn, count(red_median) AS rn FROM m), d AS (SELECT median(abs(nir_median - nm)) AS nd, median(abs(red_median - rm)) AS rd FROM m, c),
+    z AS (SELECT day_no, valid, CASE WHEN nn < 3 OR nd = 0 THEN 0 ELSE 0.6745 * (nir_median - nm) / nd END AS zn, CASE WHEN rn < 3 OR rd = 0 THEN 0 ELSE 0.6745 * (red_median - rm) / rd END AS zr FROM m, c, d)
+    SELECT day_no, concat_ws(',', CASE WHEN zn > 3.5 THEN 'nir_median' END, CASE WHEN zr > 3.5 THEN 'red_median' END, CASE WHEN valid < 0.3 THEN 'valid' END) AS triggers, coalesce(zn > 3.5, false) OR coalesce(zr > 3.5, false) OR coalesce(valid < 0.3, false) AS outlier FROM z""",
+)
 def _(st):
     return pixels.outlier_dates(pixels.date_metrics(st)).select("day_no", "triggers", "outlier")
 
@@ -451,9 +479,20 @@ def _(xs):
     return profiles.rolling_smooth(xs, "river_id", "s_center_m", "wse_m", 9, 4).select("xs_id", "smooth")
 
 
-@query("w3_w4_surface_profile", "fx_sections")
+@query(
+    "w3_w4_surface_profile", "fx_sections", doubles="smooth_mm fitted_mm slope",
+    # a monotone fit is the largest of the least means of runs that begin before a row and end after it, or the other way round
+    twin="""WITH m AS (SELECT *, CASE WHEN count(wse_m) OVER w >= 4 THEN median(wse_m) OVER w END AS med FROM fx_sections WINDOW w AS (PARTITION BY river_id ORDER BY s_center_m ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+    s AS (SELECT *, CASE WHEN count(med) OVER w >= 4 THEN avg(med) OVER w END AS smooth FROM m WINDOW w AS (PARTITION BY river_id ORDER BY s_center_m ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+    k AS (SELECT *, row_number() OVER w AS i, sum(smooth) OVER (PARTITION BY river_id ORDER BY s_center_m ROWS UNBOUNDED PRECEDING) AS run, coalesce(covar_pop(s_center_m, smooth) OVER (PARTITION BY river_id) > 0, false) AS up FROM s WHERE smooth IS NOT NULL WINDOW w AS (PARTITION BY river_id ORDER BY s_center_m)),
+    ab AS (SELECT a.river_id, a.up, a.i AS a, b.i AS b, (b.run - a.run + a.smooth) / (b.i - a.i + 1) AS v FROM k a JOIN k b ON a.river_id = b.river_id AND a.i <= b.i),
+    f AS (SELECT river_id, i, CASE WHEN any_value(up) THEN max(low) ELSE min(high) END AS fitted FROM (SELECT k.river_id, k.i, ab.a, any_value(k.up) AS up, min(v) AS low, max(v) AS high FROM k JOIN ab ON k.river_id = ab.river_id AND ab.a <= k.i AND ab.b >= k.i GROUP BY k.river_id, k.i, ab.a) GROUP BY river_id, i)
+    SELECT xs_id, smooth * 1e3 AS smooth_mm, fitted * 1e3 AS fitted_mm, CASE WHEN lag(fitted) OVER w IS NOT NULL AND lead(fitted) OVER w IS NOT NULL THEN greatest(1e-5, least(5e-2, abs(lead(fitted) OVER w - lag(fitted) OVER w) / (lead(s_center_m) OVER w - lag(s_center_m) OVER w))) END AS slope
+    FROM k JOIN f USING (river_id, i) WINDOW w AS (PARTITION BY river_id ORDER BY s_center_m)""",
+)
 def _(xs):
-    return profiles.surface_profile(xs).select("xs_id", "smooth", "fitted", "slope")
+    # in millimetres, as means of eight heights end at the seventh decimal of a metre, on the edge of rounding
+    return profiles.surface_profile(xs).select("xs_id", (C("smooth") * 1e3).alias("smooth_mm"), (C("fitted") * 1e3).alias("fitted_mm"), "slope")
 
 
 @query("w5_w6_slope", "fx_sections", doubles="slope", twin="""SELECT xs_id, greatest(1e-5, least(0.05, abs(lead(wse_m) OVER w - lag(wse_m) OVER w) / (lead(s_center_m) OVER w - lag(s_center_m) OVER w))) + CASE WHEN lag(wse_m) OVER w IS NULL OR lead(wse_m) OVER w IS NULL THEN NULL ELSE 0 END AS slope
@@ -605,7 +644,14 @@ def _(px, p):
     return pixels.inverse_distance(px, _src(p, "multibeam"), "depth_m", k=6, adaptive=True)
 
 
-@query("i5_residual_fill", "fx_pixels fx_points")
+@query(
+    "i5_residual_fill", "fx_pixels fx_points", doubles="depth sigma",
+    twin="""WITH e AS (SELECT q.point_id, q.x, q.y, q.depth_m + p.b03 * 100 AS e FROM fx_points q JOIN fx_pixels p ON p.prow = CAST(floor((3.4e6 - q.y) / 10) AS INT) AND p.pcol = CAST(floor((q.x - 5e5) / 10) AS INT) WHERE q.source = 'multibeam'), s AS (SELECT avg(e) AS m, stddev_pop(e) AS s FROM e),
+    b AS (SELECT point_id, x, y, greatest(-10e0, least(10e0, least(greatest(e, m - 4 * s), m + 4 * s))) AS v FROM e, s),
+    k AS (SELECT * FROM (SELECT p.cell, p.b03, b.v, sqrt(pow(p.x - b.x, 2) + pow(p.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY p.cell ORDER BY sqrt(pow(p.x - b.x, 2) + pow(p.y - b.y, 2)), b.point_id) AS r FROM fx_pixels p, b) WHERE r <= 8)
+    SELECT cell, depth, sqrt(25e-2 + pow(2e-1 * (1 + 5e-1 * near / 1500), 2)) AS sigma, CAST(CASE WHEN near <= 1e-6 THEN 12 ELSE 11 END AS INT) AS code
+    FROM (SELECT cell, min(d) AS near, -any_value(b03) * 100 + coalesce(min(CASE WHEN d <= 1e-6 AND r = 1 THEN v END), sum(v / pow(d + 1e-6, 2)) / sum(1 / pow(d + 1e-6, 2))) AS depth FROM k GROUP BY cell)""",
+)
 def _(px, p):
     prior = px.withColumn("depth_m", -C("b03") * 100)
     return pixels.residual_fill(prior, _src(p, "multibeam"), 5e5, 3.4e6, 10.0)
@@ -663,7 +709,25 @@ def _(p, px):
     return scored.groupBy("source").agg(*modelling.accuracy(C("depth_pos"), C("predicted_m")))
 
 
-@query("m15_physics_inversion", "fx_pixels")
+_BOTTOM = {"b02": (0.015, 0.17, 0.3, 0.05), "b03": (0.012, 0.21, 0.35, 0.1), "b04": (0.008, 0.63, 0.4, 0.05)}  # deep reflectance, both attenuations, sand, grass
+_E = {b: f"exp(-{k}::DOUBLE * z)" for b, (_, k, _, _) in _BOTTOM.items()}
+_RHO = {b: f"(sh * {sand}::DOUBLE + (1 - sh) * {grass}::DOUBLE)" for b, (_, _, sand, grass) in _BOTTOM.items()}
+_RES = {b: f"({b} - ({deep}::DOUBLE * (1 - {_E[b]}) + {_RHO[b]} / pi() * {_E[b]}))" for b, (deep, _, _, _) in _BOTTOM.items()}
+_JZ = {b: f"({k}::DOUBLE * {_E[b]} * ({deep}::DOUBLE - {_RHO[b]} / pi()))" for b, (deep, k, _, _) in _BOTTOM.items()}
+_JS = {b: f"(({sand}::DOUBLE - {grass}::DOUBLE) / pi() * {_E[b]})" for b, (_, _, sand, grass) in _BOTTOM.items()}
+_RMS = f"sqrt(({' + '.join(f'pow({r}, 2)' for r in _RES.values())}) / 3)"
+
+
+def _newton(j):
+    return f"({' + '.join(f'{_RES[b]} * {j[b]}' for b in j)}) / ({' + '.join(f'pow({v}, 2)' for v in j.values())} + 1e-2)"
+
+
+@query(
+    "m15_physics_inversion", "fx_pixels", doubles="depth_m sand residual sigma_m",
+    twin=f"""WITH RECURSIVE t AS (SELECT cell, b02, b03, b04, 0 AS i, 5e0 AS z, 5e-1 AS sh, true AS live FROM fx_pixels UNION ALL
+    SELECT cell, b02, b03, b04, i + 1, CASE WHEN on_it THEN greatest(1e-1, least(3e1, z + {_newton(_JZ)})) ELSE z END, CASE WHEN on_it THEN greatest(0e0, least(1e0, sh + {_newton(_JS)})) ELSE sh END, on_it FROM (SELECT *, live AND {_RMS} >= 1e-3 AS on_it FROM t WHERE i < 20))
+    SELECT cell, z AS depth_m, sh AS sand, {_RMS} AS residual, greatest(3e-1, least(5e0, 5e-1 + 2 * {_RMS} / greatest((15e-3 + 12e-3 + 8e-3) / 3, 1e-2) + 5e-2 * z)) AS sigma_m FROM t WHERE i = 20""",
+)
 def _(px):
     return modelling.physics_inversion(px, ["b02", "b03", "b04"], [0.015, 0.012, 0.008], [0.08, 0.1, 0.3], [0.09, 0.11, 0.33], [0.3, 0.35, 0.4], [0.05, 0.1, 0.05])
 
