@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,11 +238,15 @@ def tapered_patch(cells: DataFrame, base: str, patch: str, edge: str, measured:
 # -- interpolation
 
 
-def inverse_distance(queries: DataFrame, points: DataFrame, value: str, k: int = 12, power: float = 2.0, adaptive: bool = False, radius: float = 50.0, eps: float = 1e-6) -> DataFrame:
+def inverse_distance(queries: DataFrame, points: DataFrame, value: str, k: int = 12, power: float = 2.0, adaptive: bool = False, radius: float | None = None, eps: float = 1e-6) -> DataFrame:
     """Inverse-distance weighting over the ``k`` nearest points; a point at the place itself decides.
 
-    With ``adaptive`` the power follows the neighbours' spread, from 1.5 to 4.
+    With ``adaptive`` the power follows the neighbours' spread, from 1.5 to 4. The search starts at ``radius``,
+    by default the one that holds three times ``k`` points at their mean density; it decides the work, not the result.
     """
+    if radius is None:
+        n, wide, high = points.agg(F.count(F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()  # one row
+        radius = (3 * k * wide * high / (math.pi * n)) ** 0.5 if n and wide and high else 50.0
     right = points.select(F.col("point_id").alias("ref_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col(value).alias("v"))
     near = knn(queries.select("cell", "x", "y"), right, k, radius, "cell", "ref_id")
     p = F.lit(power)
