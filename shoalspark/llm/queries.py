@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalspark.llm import html, language, media, mixing, packing, quality, sharding, simhash, tokens, warc
+from shoalspark.llm import html, language, media, mixing, packing, quality, resampling, sharding, simhash, tokens, urls, warc, whitening
 from shoalspark.llm.common import table
 
 #: Vocabulary files; the operators take their path as a parameter.
 WORD_PIECES, BYTE_PIECES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
+#: Rules of the URL filter, and words of hosts whose URLs make the list.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+LISTED_HOSTS = "(^|[.-])(adult|bets|casino|pills|porn|spam)([.-]|$)"
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -61,7 +65,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_token_counts, op4_language_id, op5_html_extraction, op6_packing, op7_mixing, op8_warc, op9_sharding, op10_simhash)}
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = pages.where(urls.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    return urls.filter_urls(pages, rules, listed)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_columns, op2_quality_rules, op3_token_counts, op4_language_id, op5_html_extraction, op6_packing, op7_mixing, op8_warc, op9_sharding, op10_simhash,
+        op11_url_filters, op12_importance_resampling, op13_embedding_whitening,
+    )
+}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -93,4 +118,17 @@ ORACLE_SQL = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id < first THEN first END AS refers_to
         FROM p JOIN f USING (h)""",
+    "op11_url_filters": r"""
+        WITH r AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+        u AS (SELECT page_id, r, rest, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+                list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) AS query FROM r),
+        c AS (SELECT *, CASE WHEN rest IS NOT NULL THEN regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
+                || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS canonical FROM u),
+        listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|[.-])(adult|bets|casino|pills|porn|spam)([.-]|$)')),
+        rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        best AS (SELECT r, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
+                FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN canonical IN (SELECT canonical FROM listed WHERE canonical IS NOT NULL) THEN 'block' END, 'allow') AS verdict
+        FROM c LEFT JOIN best USING (r)""",
 }
