@@ -61,8 +61,8 @@ def bucket_counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen = np.zeros(buckets, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                found = runs(text)[1]
+            for text in b.column(0):
+                found = runs(text.as_py())[1]
                 seen += np.bincount(np.array(found, np.int64) % buckets, minlength=buckets)
         some = np.flatnonzero(seen)
         yield {"bucket": some, "n": seen[some]}
@@ -91,9 +91,13 @@ def score(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            found = [runs(t) for t in b.column(2).to_pylist()]
-            weight = [int(gain[np.array(f, np.int64) % buckets].sum()) for _, f in found]
-            yield {"row": b.column(0), "id": b.column(1), "n_words": [n for n, _ in found], "n_features": [len(f) for _, f in found], "weight": weight}
+            words, features, weight = [], [], []
+            for text in b.column(2):  # one text's runs at a time
+                n, found = runs(text.as_py())
+                words.append(n)
+                features.append(len(found))
+                weight.append(int(gain[np.array(found, np.int64) % buckets].sum()))
+            yield {"row": b.column(0), "id": b.column(1), "n_words": words, "n_features": features, "weight": weight}
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     weighed = map_batches(rows, run, f"row long, id {type_of(docs, id_col)}, n_words long, n_features long, weight long")
