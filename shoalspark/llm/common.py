@@ -56,6 +56,23 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.select(column).schema[0].dataType.simpleString()
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of ``df`` has, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        found.append(stem)
+    return found
+
+
+def row_hash(df: DataFrame) -> F.Column:
+    """Hash of all columns; types without a hash of their own go by their JSON form."""
+    plain = lambda t: not any(kind in t for kind in ("map<", "variant"))
+    return F.xxhash64(*(F.col(f"`{c}`") if plain(t) else F.to_json(F.struct(F.col(f"`{c}`"))) for c, t in df.dtypes))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -86,9 +103,11 @@ def filter_batches(df: DataFrame, text_col: str, judge: Callable[[], Callable[[l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = judge()
         for b in batches:
-            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+            kept = b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-    return df.mapInArrow(run, df.schema)
+    names = df.columns
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, df.schema)  # names with dots can't go in
 
 
 def utf8(text: str | None) -> bytes:

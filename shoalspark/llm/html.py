@@ -6,7 +6,9 @@ sentence, own tag) and at what elements say of themselves (article or main;
 boilerplate tags, roles and class names). Its log-odds, as fixed-point numbers, are
 the capacities of blocks and elements to the terminals. Smoothness edges tie
 neighbours in page order, less the further apart they lie in the tree, and, as
-proximity in the DOM, each block to its element and each element to its parent. The
+proximity in the DOM, each block to its element and each element to its parent. Being
+boilerplate inside content costs more than content beside boilerplate, and a parent's
+menus share one tie, so that the number of menus doesn't sink an article. The
 minimum cut, found by max-flow (Dinic's level graphs), separates content from
 boilerplate: a short line inside an article stays, one between menus goes.
 
@@ -54,24 +56,32 @@ HEAD_METADATA = frozenset("base basefont bgsound head html link meta noframes no
 MAY_STAY_OPEN = SKIPPED - RAW - {"head"}
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p blockquote pre li dd td".split())
 HINTS = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|hidden|legal|login|masthead|menu|modal|navbar|nav|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?![a-z])"
+    r"ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|hidden|legal|login|masthead|menu|modal|navbar|nav|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|widget"
+)
+ARTICLE_HINTS = re.compile(r"comments?|replies|reply|related|promo\w*|advert\w*|sponsor\w*")
+LAYOUT = frozenset(
+    "a alert area article articles b bar block bottom body box btn button c center class col column container content copy count cta d div field fixed float footer form global group head header "
+    "holder icon icons id inner input item items l label large layout left level link links list lists main me message mobile module msg nav navigation new on outer page pages panel placeholder post posts primary r right row "
+    "secondary section site slot small sticky sub text thread tile title top tree ul unit up us view wrap wrapper x".split()
 )
-ARTICLE_HINTS = re.compile(r"(?<![a-z])(?:comments?|replies|reply|related|promo\w*|advert\w*|sponsor\w*)(?![a-z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-#: Log-odds of the classifier: of blocks, then of elements; ``boilerplate`` replaces all else, and an article is as good as certain to be one.
+#: Log-odds of the classifier: of blocks, then of elements; ``boilerplate`` replaces all else, an article is as good as certain to be one, and on pages without one elements go by the words of their own paragraphs.
 WEIGHTS = {
     "bias": -1.6, "log_words": 0.55, "sentence": 0.6, "paragraph": 0.4, "heading": 0.3, "list_item": -0.4, "links": -3.5, "outside_article": -2.5,
-    "article": 1e6, "boilerplate": -6.0,
+    "article": 1e6, "boilerplate": -6.0, "own_words": 1.0,
 }
-#: Capacities of ties: neighbours in page order (halved for every second step between them in the tree), a block and its element, an element and its parent (but for articles, which stand for themselves).
-ADJACENT, BLOCK_TIE, ELEMENT_TIE = 0.5, 2.0, 2.0
+#: Capacities of ties: neighbours in page order (halved for every second step between them in the tree), what content pays outside a content element, and what boilerplate blocks and elements pay inside one.
+#: Articles stand for themselves, and an element that declares itself boilerplate has no tie to its parent.
+ADJACENT, LOOSE_TIE, BLOCK_TIE, ELEMENT_TIE = 0.5, 0.5, 2.0, 2.0
 #: Capacities are whole numbers of this fraction, so that cuts are exact.
 UNIT = 1 / 256
 
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_LAYOUT = re.compile(r"(?<![\w-])(?:has|with|no|without)-[\w-]+")
+_ATTRIBUTE = re.compile(r"[^\s=/]+")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"\S*")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/><]*")
 _QUOTE_OR_END = re.compile(r"[>\"']")
 _SPACE = re.compile(r"\s+")
@@ -151,17 +161,41 @@ class _Tags:
         return None
 
 
+def attributes_of(raw: str) -> Iterator[tuple[str, str]]:
+    """``(name, value)`` of each attribute, in lower case, read once from left to right; an unclosed quote takes the rest."""
+    at = 0
+    while m := _ATTRIBUTE.search(raw, at):
+        at, value = m.end(), ""
+        if equals := _EQUALS.match(raw, at):
+            at = equals.end()
+            quote = raw[at : at + 1]
+            if quote and quote in "\"'":
+                close = raw.find(quote, at + 1)
+                close = len(raw) if close < 0 else close
+                value, at = raw[at + 1 : close], close + 1
+            else:
+                bare = _BARE.match(raw, at)
+                value, at = bare[0], bare.end()
+        yield m[0].lower(), value.lower()
+
+
+def names_boilerplate(name: str, hints: re.Pattern) -> bool:
+    """Whether a class or id is made of hints and words of layout alone, so ``related-posts`` but not ``related-work``."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    if parts and parts[0] in ("has", "with", "no", "without"):
+        return False
+    found = [bool(hints.fullmatch(x)) for x in parts]
+    return any(found) and all(f or x in LAYOUT for f, x in zip(found, parts, strict=True))
+
+
 def _own_hint(tag: str, attributes: str) -> str:
     if tag in BOILERPLATE_TAGS:
         return "sure"
-    if not attributes or "=" not in attributes and "hidden" not in attributes or len(attributes) > 20_000:
+    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return ""
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and tag not in ("body", "html"):
-            hints = ARTICLE_HINTS if tag in ("article", "main") else HINTS
-            if hints.search(_LAYOUT.sub("", value.replace("_", "-"))):
-                return "name"
+    for name, value in attributes_of(attributes):
+        if name in ("class", "id") and tag not in ("body", "html") and any(names_boilerplate(x, ARTICLE_HINTS if tag in ("article", "main") else HINTS) for x in value.split()):
+            return "name"
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return "sure"
     return ""
@@ -188,22 +222,27 @@ def _closed_starts(html: str) -> set[int]:
 
 
 class _Stack:
-    """Open elements as (tag, element, nearest block-level element, skipped), with the depths of each tag."""
+    """Open elements as (tag, element, nearest block-level element, skipped), with the depths of each tag and of those that bound implied ends."""
 
     def __init__(self) -> None:
         self.open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
         self.depths: dict[str, list[int]] = {}
+        self.scopes = [0]
         self.outside_html = 0
 
     def push(self, tag: str, element: int, skipped: bool) -> None:
         self.depths.setdefault(tag, []).append(len(self.open))
         self.outside_html += tag != "html"
+        if tag not in INLINE and tag != "p":
+            self.scopes.append(len(self.open))
         self.open.append((tag, element, self.open[-1][2] if tag in INLINE else element, skipped))
 
     def cut(self, depth: int) -> None:
         while len(self.open) > depth:
             tag = self.open.pop()[0]
             self.depths[tag].pop()
+            if self.scopes[-1] == len(self.open):
+                self.scopes.pop()
             self.outside_html -= tag != "html"
 
     def depth_of(self, tag: str) -> int:
@@ -273,12 +312,11 @@ def read_page(html: str) -> Page:
             continue
         if tag in CLOSED_BY_BLOCK or tag in TABLE_OR_LIST_PARTS or tag == "option":
             shut = {"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {"tr", "td", "th"} if tag == "tr" else {"p"}
-            for i in range(len(stack.open) - 1, max(0, len(stack.open) - 8), -1):
-                if stack.open[i][0] in shut:
-                    stack.cut(i)
-                    break
-                if stack.open[i][0] not in INLINE and stack.open[i][0] != "p":
-                    break
+            within = stack.scopes[-1]  # innermost element that is neither inline nor a paragraph
+            if "p" in shut and stack.depth_of("p") > within:
+                stack.cut(stack.depth_of("p"))
+            elif stack.open[within][0] in shut:
+                stack.cut(within)
         if tag in RAW and (after := tags.after_raw(tag, at)) >= 0:
             at = after
             continue
@@ -296,8 +334,8 @@ def read_page(html: str) -> Page:
     return page
 
 
-def evidence(page: Page) -> tuple[list[float], list[float]]:
-    """Log-odds of being content: of the blocks by themselves, and of the elements."""
+def evidence(page: Page) -> tuple[list[float], list[float], list[bool], list[bool]]:
+    """Log-odds of being content: of the blocks by themselves, and of the elements; which elements are declared boilerplate; which are in articles."""
     n = len(page.tag)
     articles = [int(t in ("article", "main") and not h) for t, h in zip(page.tag, page.hint, strict=True)]
     held = list(articles)
@@ -311,7 +349,7 @@ def evidence(page: Page) -> tuple[list[float], list[float]]:
         inside[e] = inside[up] or articles[e] > 0 and not bad[e]
     some = any(inside)
     of_element = [WEIGHTS["boilerplate"] if bad[e] else WEIGHTS["article"] if inside[e] and articles[e] else 0.0 for e in range(n)]
-    of_block = []
+    of_block, own = [], [0] * n
     for b in page.blocks:
         tag = page.tag[b.element]
         if bad[b.element]:
@@ -321,18 +359,42 @@ def evidence(page: Page) -> tuple[list[float], list[float]]:
         score += WEIGHTS["sentence"] * (b.text[-1] in ".!?…»”\"" and b.words > 3)
         score += WEIGHTS["paragraph"] * (tag in ("p", "blockquote", "pre")) + WEIGHTS["heading"] * (tag in HEADINGS) + WEIGHTS["list_item"] * (tag in ("li", "td", "th"))
         of_block.append(score + WEIGHTS["outside_article"] * (some and not inside[b.element]))
-    return of_block, of_element
+        if score > 0:  # an element is judged by the paragraphs that it holds itself
+            own[page.parent[b.element] if tag in PARAGRAPHS else b.element] += b.words
+    if not some:
+        of_element = [x or WEIGHTS["own_words"] * math.log1p(w / 10) for x, w in zip(of_element, own, strict=True)]
+    return of_block, of_element, bad, inside
+
 
+def ties(page: Page, bad: list[bool], inside: list[bool]) -> tuple[list[int], list[tuple[int, int, float, float]]]:
+    """``(elements, edges)``: the elements above blocks, numbered after the blocks, and all smoothness edges.
 
-def ties(page: Page) -> tuple[list[int], list[tuple[int, int, float]]]:
-    """``(elements, edges)``: the elements above blocks, numbered after the blocks, and all smoothness edges."""
+    An edge is (a, b, cost if only a is content, cost if only b is content).
+    """
     n = len(page.blocks)
     number: dict[int, int] = {}
     depth = [0] * len(page.tag)
     for e in range(1, len(page.tag)):
         depth[e] = depth[page.parent[e]] + 1
-    tie_up = lambda e: 0.0 if page.tag[e] in ("article", "main") else ELEMENT_TIE
+    words, linked, menus, blocks = ([0] * len(page.tag) for _ in range(4))
+    for b in page.blocks:
+        blocks[b.element] += 1
+        words[b.element] += b.words
+        linked[b.element] += b.linked
+    for e in range(len(page.tag) - 1, 0, -1):
+        blocks[page.parent[e]] += blocks[e]
+        words[page.parent[e]] += words[e]
+        linked[page.parent[e]] += linked[e]
+        menus[page.parent[e]] += 2 * linked[e] > words[e]
     edges = []
+
+    def tie(e: int) -> None:
+        """An element and its parent; menus share one tie, so that their number doesn't sink what stands beside them."""
+        up = page.parent[e]
+        if page.tag[e] not in ("article", "main") and (bad[up] or not bad[e]):
+            share = 1 / menus[up] if 2 * linked[e] > words[e] else blocks[e] if inside[up] else 1  # an article's lists hold by each line
+            edges.append((number[e], number[up], LOOSE_TIE, ELEMENT_TIE * share))
+
     for i, b in enumerate(page.blocks):
         e = b.element
         if e not in number:
@@ -340,29 +402,29 @@ def ties(page: Page) -> tuple[list[int], list[tuple[int, int, float]]]:
             while e and page.parent[e] not in number:
                 up = page.parent[e]
                 number[up] = n + len(number)
-                edges.append((number[e], number[up], tie_up(e)))
+                tie(e)
                 e = up
             if e:
-                edges.append((number[e], number[page.parent[e]], tie_up(e)))
-        edges.append((i, number[b.element], BLOCK_TIE))
+                tie(e)
+        edges.append((i, number[b.element], LOOSE_TIE, BLOCK_TIE))
         if i:
             x, y, steps = page.blocks[i - 1].element, b.element, 0
-            while x != y and steps < 12:  # beyond, the tie is next to nothing
+            while x != y and ADJACENT / 2 ** (steps / 2) >= UNIT / 2:  # beyond, the tie is rounded to nothing
                 x, y = (page.parent[x], y) if depth[x] >= depth[y] else (x, page.parent[y])
                 steps += 1
-            edges.append((i - 1, i, ADJACENT / 2 ** (steps / 2)))
+            beside = ADJACENT / 2 ** (steps / 2)
+            edges.append((i - 1, i, beside, beside))
     return list(number), edges
 
 
-def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+def minimum_cut(odds: list[float], edges: list[tuple[int, int, float, float]]) -> list[bool]:
     """Labels of least total cost: log-loss of each node, and the capacity of each cut edge."""
     n = len(odds)
     gain = [round(x / UNIT) for x in odds]  # cost of boilerplate less cost of content is the log-odds itself
     near: list[dict[int, int]] = [{} for _ in range(n)]
-    for a, b, c in edges:
-        c = round(c / UNIT)
-        near[a][b] = near[a].get(b, 0) + c
-        near[b][a] = near[b].get(a, 0) + c
+    for a, b, forth, back in edges:
+        near[a][b] = near[a].get(b, 0) + round(forth / UNIT)
+        near[b][a] = near[b].get(a, 0) + round(back / UNIT)
     side = max_flow_side(gain, near)
     return [i in side for i in range(n)]
 
@@ -387,8 +449,8 @@ def max_flow_side(gain: list[int], near: list[dict[int, int]]) -> set[int]:
         elif gain[v] < 0:
             arc(v, t, -gain[v], 0)
         for w, c in near[v].items():
-            if v < w and c:
-                arc(v, w, c, c)
+            if v < w and (c or near[w][v]):
+                arc(v, w, c, near[w][v])
     while True:
         level = [-1] * len(out)
         level[s] = 0
@@ -432,8 +494,8 @@ def max_flow_side(gain: list[int], near: list[dict[int, int]]) -> set[int]:
 
 def label_blocks(page: Page) -> tuple[list[bool], list[bool]]:
     """Of each block, whether the cut and whether its own log-odds call it content."""
-    of_block, of_element = evidence(page)
-    elements, edges = ties(page)
+    of_block, of_element, bad, inside = evidence(page)
+    elements, edges = ties(page, bad, inside)
     cut = minimum_cut(of_block + [of_element[e] for e in elements], edges)
     return cut[: len(of_block)], [x > 0 for x in of_block]
 

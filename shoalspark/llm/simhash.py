@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.llm.common import map_batches, materialise, type_of, utf8
+from shoalspark.llm.common import free_names, map_batches, materialise, row_hash, type_of, utf8
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (first bit, bits) of each segment.
@@ -200,14 +200,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 
 
 def keep_first(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, with all its columns, of each component: the least by id (nulls last), text hash and row hash."""
-    hashes = {"of_text": F.xxhash64(text_col), "of_row": F.xxhash64(*docs.columns)}
-    found = fingerprints(docs, id_col, text_col, shingle, **hashes)
-    key = F.struct(F.col("id").isNull().alias("last"), "id", *hashes)
+    """One row, with all its columns, of each component: the least by id (nulls last), text hash and row hash; extra columns may have any name and type."""
+    text_hash, whole_hash, kept_id, kept_text, kept_row = free_names(docs, "text_hash", "row_hash", "kept_id", "kept_text", "kept_row")
+    hashed = docs.withColumns({text_hash: F.xxhash64(text_col), whole_hash: row_hash(docs)})
+    hashes = {"of_text": F.col(text_hash), "of_row": F.col(whole_hash)}
+    found = fingerprints(hashed, id_col, text_col, shingle, **hashes)
+    key = F.struct(F.col("id").isNull().alias("last"), "id", "of_text", "of_row")
     classes = materialise(found.groupBy("fp").agg(F.min(key).alias("least")), "classes")
     roots = connected_components(links(classes.select("fp"), distance))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.of_text", "least.of_row")
-    same = F.col(id_col).eqNullSafe(F.col("id")) & (hashes["of_text"] == F.col("of_text")) & (hashes["of_row"] == F.col("of_row"))
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    stay = stay.select(F.col("least.id").alias(kept_id), F.col("least.of_text").alias(kept_text), F.col("least.of_row").alias(kept_row))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(text_hash) == F.col(kept_text)) & (F.col(whole_hash) == F.col(kept_row))
     # rows of one key are equal in all columns, so any of them may stay
-    return docs.join(stay, same, "left_semi").dropDuplicates()
+    return hashed.join(stay, same, "left_semi").dropDuplicates([id_col, text_hash, whole_hash]).drop(text_hash, whole_hash)

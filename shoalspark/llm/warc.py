@@ -7,9 +7,11 @@ the others are revisit records that refer to it. ``read_archives`` reads whole
 files, of bounded size, as binary rows.
 
 The salvage reader also takes gzip members. When a check fails (version line,
-length, end of record, digest of block or payload, gzip CRC) it searches for the
+length, end of record, digest of block, header or payload, a number that is none or beyond its
+range, sizes that differ, gzip CRC) it searches for the
 next valid member or version line, goes on with the records after it, and logs
-the bytes between as a quarantined gap.
+the bytes between as a quarantined gap. A digest in the header's last line covers the lines
+before it, so that an altered byte of ids or sizes is found too; a revisit's size stands in its block.
 
 A file holds ``RECORDS_A_FILE`` records of up to ``SMALL_PAGE`` bytes, or as many larger
 ones as keep it under ``FILE_BYTES``, so that it fits one binary row; tables with
@@ -46,8 +48,8 @@ FEW_DIGESTS = 100_000
 
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HTTP = b"\r\n\r\n"
-#: Bytes of a gzip member that are inflated at a time, and of a header at most.
-GULP, LONGEST_HEADER = 1 << 16, 1 << 24
+#: Bytes of a gzip member that are inflated at a time.
+GULP = 1 << 16
 
 
 def sha1_base32(column: Column) -> Column:
@@ -106,9 +108,9 @@ def warc_record(date: str = "1970-01-01T00:00:00Z") -> Column:
         F.lit(f"{eol}WARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit(f"{eol}WARC-Block-Digest: sha1:"), sha1_base32(block.cast("binary")),
         F.lit(f"{eol}Content-Type: application/http; msgtype=response{eol}X-Payload-Length: "), size.cast("string"),
-        F.lit(f"{eol}Content-Length: "), F.octet_length(block).cast("string"), F.lit(eol * 2),
+        F.lit(f"{eol}Content-Length: "), F.octet_length(block).cast("string"),
     )
-    return F.concat(head, block)
+    return F.concat(head, F.lit(f"{eol}X-Header-Digest: sha1:"), sha1_base32(head.cast("binary")), F.lit(eol * 2), block)
 
 
 def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, **columns) -> str:
@@ -130,6 +132,13 @@ class Damage(ValueError):
     """A check on a record failed."""
 
 
+def whole_number(value: str | None, name: str) -> int:
+    """A number of at most 18 digits; raises Damage."""
+    if not re.fullmatch("[0-9]{1,18}", value or ""):
+        raise Damage(f"no valid {name}")
+    return int(value)
+
+
 def _digest_of(block: bytes) -> str:
     return base64.b32encode(hashlib.sha1(block).digest()).decode()
 
@@ -175,19 +184,21 @@ class Archive:
         stop = self._header_end(at)
         if stop == len(data):
             raise Damage("header does not end")
-        if stop - at > LONGEST_HEADER:
-            raise Damage("header is too long")
-        fields = {}
-        for line in data[at:stop].split(b"\r\n")[1:]:
-            key, colon, value = line.decode("utf-8", "replace").partition(":")
+        fields, line = {}, data.index(b"\r\n", at) + 2
+        while line < stop:  # line by line: a version line ends it, so that no part of a header is read again and again
+            ends = data.index(b"\r\n", line)
+            key, colon, value = data[line:ends].decode("utf-8", "replace").partition(":")
             if not colon:
                 raise Damage("header line without a colon")
-            fields[key.strip().lower()] = value.strip()
-        length = fields.get("content-length", "")
-        if not length.isdecimal():
-            raise Damage("no content length")
+            key = key.strip().lower()
+            fields[key] = value.strip()
+            if key == "x-header-digest" and fields[key] != f"sha1:{_digest_of(data[at : line - 2])}":
+                raise Damage("header digest differs")
+            line = ends + 2
+        if "x-payload-length" in fields and "x-header-digest" not in fields:
+            raise Damage("header digest is missing")
         begin = stop + 4
-        end = begin + int(length)
+        end = begin + whole_number(fields.get("content-length"), "content length")
         if data[end : end + 4] != _HTTP:
             raise Damage("record does not end where its length says")
         block = data[begin:end]
@@ -222,25 +233,37 @@ def salvage(data: bytes) -> Iterator[tuple]:
 
 
 def _page(name: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
+    m = re.fullmatch(r"<urn:page:(-?[0-9]+)>", name or "")
+    if m and (len(m[1]) > 20 or not -(1 << 63) <= int(m[1]) < 1 << 63):
+        raise Damage("page id beyond 64 bits")
     return int(m[1]) if m else None
 
 
 def _row(what: tuple) -> tuple:
     kind, begin, end, fields, block = what
-    if kind == "gap":
-        return kind, begin, end, fields, None, None, None, None, None, None
+    if kind == "record":
+        try:
+            return _record_row(begin, end, fields, block)
+        except Damage as e:
+            fields = str(e)
+    return "gap", begin, end, fields, None, None, None, None, None, None
+
+
+def _record_row(begin: int, end: int, fields: dict[str, str], block: bytes) -> tuple:
     payload = block.partition(_HTTP)[2] if fields.get("content-type", "").startswith("application/http") else block
     response = fields.get("warc-type") != "revisit"
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     if response:
         found = _digest_of(payload)
         if digest and digest != found:
-            return "gap", begin, end, "payload digest differs", None, None, None, None, None, None
+            raise Damage("payload digest differs")
         size, digest = len(payload), found
-    else:
-        size = int(fields.get("x-payload-length", "0"))
-    return kind, begin, end, None, _page(fields.get("warc-record-id")), fields.get("warc-type"), size, digest, _page(fields.get("warc-refers-to")), payload if response else None
+    else:  # its block, which is under a digest, ends with the size of the response's payload
+        stated = re.search(rb"\r\nContent-Length: ([^\r\n]*)\r\n", block)
+        size = whole_number(stated[1].decode("ascii", "replace") if stated else fields.get("x-payload-length"), "payload length")
+    if "x-payload-length" in fields and size != whole_number(fields["x-payload-length"], "payload length"):
+        raise Damage("payload length differs")
+    return "record", begin, end, None, _page(fields.get("warc-record-id")), fields.get("warc-type"), size, digest, _page(fields.get("warc-refers-to")), payload if response else None
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

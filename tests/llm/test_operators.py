@@ -390,6 +390,15 @@ def twin_text(page):
     boiler = lambda path: any(t.split(".")[0] in ("nav", "footer", "aside") or t.endswith(".ad") for t, _ in path)
     inside = lambda path: any(t == "article" for t, _ in path)
     some = any(inside(p) for _, p, _ in blocks)
+    below_of = lambda e: [b for b in blocks if b[1][: len(e)] == e]
+    words = lambda e: sum(len(t.split()) for t, _, _ in below_of(e))
+    menu = lambda e: 2 * sum(k for _, _, k in below_of(e)) > words(e)
+
+    def share(e):  # of an element's tie to its parent
+        if menu(e):
+            return 1 / len({p[: len(e)] for _, p, _ in blocks if p[: len(e) - 1] == e[:-1] and len(p) >= len(e) and menu(p[: len(e)])})
+        return len(below_of(e)) if inside(e[:-1]) and not boiler(e[:-1]) else 1
+
     nodes, gain = {}, []
     node = lambda key, g: nodes.setdefault(key, (len(nodes), gain.append(g)))[0]
     edges = []
@@ -403,17 +412,26 @@ def twin_text(page):
             new = e not in nodes
             here = node(e, w["boilerplate"] if boiler(e) else 100.0 if e[-1][0] == "article" else 0.0) if new else nodes[e][0]
             if d == len(path):
-                edges.append((b, here, html.BLOCK_TIE))
-            if d < len(path) and below is not None:  # noqa: F821
-                edges.append((below, here, 0.0 if path[d][0] == "article" else html.ELEMENT_TIE))  # noqa: F821
+                edges.append((b, here, html.LOOSE_TIE, html.BLOCK_TIE))
+            if d < len(path) and below is not None and path[d][0] != "article" and (boiler(e) or not boiler(path[: d + 1])):  # noqa: F821
+                edges.append((below, here, html.LOOSE_TIE, html.ELEMENT_TIE * share(path[: d + 1])))  # noqa: F821
             below = here if new else None
         if i:
             last = blocks[i - 1][1]
             common = sum(1 for x, y in zip(last, path) if x == y)
-            edges.append((nodes[("block", i - 1)][0], b, html.ADJACENT / 2 ** ((len(last) + len(path) - 2 * common) / 2)))
+            beside = html.ADJACENT / 2 ** ((len(last) + len(path) - 2 * common) / 2)
+            edges.append((nodes[("block", i - 1)][0], b, beside, beside))
+    if not some:  # elements by the words of their own paragraphs
+        own = Counter()
+        for i, (text, path, _) in enumerate(blocks):
+            if gain[nodes[("block", i)][0]] > 0:
+                own[path[:-1] if path[-1][0] in ("p", "li") else path] += len(text.split())
+        for e, n in own.items():
+            if e in nodes and not boiler(e):
+                gain[nodes[e][0]] += w["own_words"] * math.log(1 + n / 10)
     best = None
     for m in range(1 << len(gain)):
-        cost = sum(g for i, g in enumerate(gain) if not m >> i & 1) + sum(c for x, y, c in edges if (m >> x ^ m >> y) & 1)
+        cost = sum(g for i, g in enumerate(gain) if not m >> i & 1) + sum(up if m >> x & 1 else down for x, y, up, down in edges if (m >> x ^ m >> y) & 1)
         if best is None or cost < best[0] - 1e-9:
             best = cost, m
     return " ".join(t for i, (t, _, _) in enumerate(blocks) if best[1] >> nodes[("block", i)][0] & 1)
@@ -447,10 +465,10 @@ def test_minimum_cut_is_minimal():
     for _ in range(200):
         n = int(rng.integers(1, 9))
         odds = (np.round(rng.normal(0, 1, n) / html.UNIT) * html.UNIT).tolist()
-        edges = [(int(a), int(b), int(rng.integers(0, 256)) * html.UNIT) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b]
+        edges = [(int(a), int(b), *(rng.integers(0, 256, 2) * html.UNIT).tolist()) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b]
 
         def cost(labels):
-            return sum(max(o, 0) - o * keep for o, keep in zip(odds, labels)) + sum(c for a, b, c in edges if labels[a] != labels[b])
+            return sum(max(o, 0) - o * keep for o, keep in zip(odds, labels)) + sum(forth if labels[a] else back for a, b, forth, back in edges if labels[a] != labels[b])
 
         best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert math.isclose(cost(html.minimum_cut(odds, edges)), best, abs_tol=1e-9)
