@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalspark.llm import language, mixing, packing, quality, simhash
-from shoalspark.llm.common import materialise, scratch_path, table
+from shoalspark.llm.common import free_names, materialise, scratch_path, table
 from shoalspark.llm.queries import BYTE_PIECES, tokenizer_path
 
 #: Hashing, sampling and iterative stages: no SQL twin; the tests compare with brute force.
@@ -29,11 +29,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: each document comes as many times as the mix takes it."""
-    keyed = materialise(docs.withColumn("mix_row", F.monotonically_increasing_id()), "keyed")  # ids may be null or repeat
-    copies = mixing.mix_sources(keyed, row_col="mix_row").where(F.col("copies") > 0).select("mix_row", "copies")
-    taken = keyed.join(copies, "mix_row")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Operator 7: each document comes as many times as the mix takes it; extra columns may have any name."""
+    row, of_row, copies, copy = free_names(docs, "mix_row", "of_row", "copies", "copy")
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")  # ids may be null or repeat
+    mixed = mixing.mix_sources(keyed.select("doc_id", "text", "source", F.col(row).alias("of_row")), row_col="of_row").where("copies > 0")
+    taken = keyed.join(mixed.select(F.col("of_row").alias(of_row), F.col("copies").cast("int").alias(copies)), F.col(row) == F.col(of_row))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(row, of_row, copies, copy)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
