@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalspark.operators import ordered
 from shoalspark.operators.points import TRACK, bottom_picks, photon_bins, surface_heights
 from shoalspark.sources.files import in_box
 
@@ -63,8 +64,8 @@ def quality_picks(picks: DataFrame, least_depth: float = 0.5, most_depth: float
 
 def track_lines(photons: DataFrame, box: Box, every: int = 100) -> DataFrame:
     """Line of each track through every ``every``-th photon that lies in the box, with two at least."""
-    w = Window.partitionBy(*TRACK).orderBy("delta_time", "photon_height", "conf")
-    some = photons.withColumn("_n", F.row_number().over(w) - 1).where((F.col("_n") % every == 0) & in_box(F.col("longitude"), F.col("latitude"), box))
+    rows = ordered.placed(photons, TRACK, ["delta_time", "photon_height", "conf"]).withColumn("_n", F.col(ordered.PLACE))
+    some = ordered.plain(rows).where((F.col("_n") % every == 0) & in_box(F.col("longitude"), F.col("latitude"), box))
     lines = some.groupBy(*TRACK).agg(F.array_sort(F.collect_list(F.struct("_n", "longitude", "latitude"))).alias("_p")).where(F.size("_p") > 1)
     return lines.select(*TRACK, F.transform("_p", lambda p: F.struct(p["longitude"].alias("x"), p["latitude"].alias("y"))).alias("coords"))
 

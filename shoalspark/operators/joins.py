@@ -29,27 +29,91 @@ def _distance(x: str, y: str, rx: str, ry: str) -> Column:
     return F.sqrt(F.pow(F.col(x) - F.col(rx), F.lit(2.0)) + F.pow(F.col(y) - F.col(ry), F.lit(2.0)))
 
 
+#: Right rows around a left row (its cell and the eight beside it) up to which it meets them all; beyond, it goes down a pyramid of cells.
+CROWD, LEAF_ROWS = 512, 64
+
+
+def _with_crowd(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Left rows that have a place, with ``_near``, the number of right rows that a radius join would pair them with."""
+    counts = right.groupBy(*by, _cell("rx", radius).alias("_cx"), _cell("ry", radius).alias("_cy")).agg(F.count(F.lit(1)).alias("_n"))
+    around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(i, j))))"))
+    spread = counts.withColumn("_o", around).withColumns({"_cx": F.col("_cx") + F.col("_o.i"), "_cy": F.col("_cy") + F.col("_o.j")})
+    near = spread.groupBy(*by, "_cx", "_cy").agg(F.sum("_n").alias("_near"))
+    cells = left.where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumns({"_cx": _cell("x", radius), "_cy": _cell("y", radius)})
+    return checkpointed(cells.join(near, [*by, "_cx", "_cy"], "left").withColumn("_near", F.coalesce("_near", F.lit(0))).select(*left.columns, "_near"))
+
+
+def _leaf_size(right: DataFrame, radius: float, by: tuple[str, ...], most: int) -> float:
+    """Cell size, from the radius by quarters, at which no cell holds more than ``most`` distinct places."""
+    places, leaf = checkpointed(right.select(*by, "rx", "ry").distinct()), radius
+    while (places.groupBy(*by, _cell("rx", leaf), _cell("ry", leaf)).count().agg(F.max("count")).first()[0] or 0) > most:
+        leaf /= 4
+    return leaf
+
+
+def _few_at_a_place(right: DataFrame, k: int, right_id: str, by: tuple[str, ...]) -> DataFrame:
+    """Of the right rows at one place the ``k`` of least id; no others can be among the ``k`` nearest. A place is dealt over salts first."""
+    salt = F.pmod(F.xxhash64(right_id), F.lit(64))
+    for keys in ([*by, "rx", "ry", salt], [*by, "rx", "ry"]):
+        right = right.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(right_id))).where(F.col("_r") <= k).drop("_r")
+    return right
+
+
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str) -> DataFrame:
-    """Per left id the nearest right row within the radius; the lesser right id of equals."""
-    pairs = radius_join(left, right, radius)
+    """Per left id the nearest right row within the radius; the lesser right id of equals.
+
+    Where more than ``CROWD`` right rows lie around a left row, it goes down a pyramid of cells to
+    leaves of at most ``LEAF_ROWS`` places, so that a dense place isn't all-pairs.
+    """
     cols = right.columns
+    at_place = F.min_by(F.struct(*cols), F.col(right_id)).alias("m")
+    places = right.where(F.col("rx").isNotNull() & F.col("ry").isNotNull()).groupBy(F.col("rx").alias("_x"), F.col("ry").alias("_y")).agg(at_place).select("m.*")
+    crowd = _with_crowd(left, places, radius)
+    pairs = radius_join(crowd.where(F.col("_near") <= CROWD).drop("_near"), places, radius)
+    many = crowd.where(F.col("_near") > CROWD).drop("_near")
+    if not many.isEmpty():
+        places = checkpointed(places)
+        far = _nearest_by_descent(many, places, 1, _leaf_size(places, radius, (), LEAF_ROWS), left_id, ())
+        pairs = pairs.unionByName(far.where(F.col("dist") <= radius).select(pairs.columns))
     best = pairs.groupBy(left_id).agg(F.min_by(F.struct("dist", *cols), F.struct("dist", right_id)).alias("m"))
     return best.select(left_id, "m.*")
 
 
+def any_within(left: DataFrame, right: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """Distinct ``keys`` of left rows (with ``x``, ``y``) that have a right row (``rx``, ``ry``) within the radius.
+
+    Rows that share a cell whose diagonal is shorter than the radius need no distance.
+    """
+    side = radius / 2**0.5 * (1 - 1e-9)
+    cells = left.select(*keys, "x", "y").withColumns({"_cx": _cell("x", side), "_cy": _cell("y", side)})
+    taken = right.select(_cell("rx", side).alias("_cx"), _cell("ry", side).alias("_cy")).distinct()
+    sure = cells.join(taken, ["_cx", "_cy"], "left_semi").select(keys)
+    rest = cells.join(taken, ["_cx", "_cy"], "left_anti").select(F.struct(*keys).alias("_id"), "x", "y")
+    ided = right.select("rx", "ry", F.struct("rx", "ry").alias("_ref"))
+    return sure.unionByName(nearest_within(rest, ided, radius, "_id", "_ref").select("_id.*")).distinct()
+
+
 def knn(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str, right_id: str, by: tuple[str, ...] = (), tries: int = 2) -> DataFrame:
     """``k`` nearest right rows of each left row, of its own ``by`` group if given, with ``rank``.
 
     Starts from ``radius``; only the rows that have fewer than ``k`` neighbours
     within it are tried again with it doubled. After ``tries`` the rest, in
-    sparse places or outside the right side's extent, goes down a pyramid of cells.
+    sparse places or outside the right side's extent, goes down a pyramid of cells,
+    as do rows in crowded places at once. Rows without both coordinates have no neighbours.
     """
     order = Window.partitionBy(left_id).orderBy("dist", right_id)
-    todo, done = left, None
+    right = right.where(F.col("rx").isNotNull() & F.col("ry").isNotNull())
+    crowd = _with_crowd(left, right, radius, by)
+    most = max(CROWD, 16 * k)
+    todo, many, done = crowd.where(F.col("_near") <= most).drop("_near"), crowd.where(F.col("_near") > most).drop("_near"), None
+    if not many.isEmpty():
+        few = checkpointed(_few_at_a_place(right, k, right_id, by))
+        found = _nearest_by_descent(many, few, k, _leaf_size(few, radius, by, max(LEAF_ROWS, k)), left_id, by)
+        done = checkpointed(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     for _ in range(tries):
         ranked = radius_join(todo, right, radius, by=by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(left_id)))
-        full = checkpointed(found.where(F.col("_n") == k).drop("_n"))
+        full = checkpointed(found.where(F.col("_n") == k).drop("_n").select(*(done.columns if done is not None else found.drop("_n").columns)))
         done = full if done is None else done.unionByName(full)
         todo = todo.join(full.select(left_id).distinct(), left_id, "left_anti")
         if todo.isEmpty():
@@ -125,8 +189,7 @@ def collocated(first: DataFrame, second: DataFrame, radius: float = 20.0, max_ab
 def gaps(points: DataFrame, covered: DataFrame, radius: float) -> DataFrame:
     """Points that no covered point lies within ``radius`` of."""
     right = covered.select(F.col("x").alias("rx"), F.col("y").alias("ry"))
-    near = radius_join(points.select("point_id", "x", "y"), right, radius).select("point_id").distinct()
-    return points.join(near, "point_id", "left_anti")
+    return points.join(any_within(points, right, radius, ["point_id"]), "point_id", "left_anti")
 
 
 def sampled_at(points: DataFrame, pixels: DataFrame, bands: list[str], x0: float, y0: float, size: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalspark.operators.joins import radius_join
+from shoalspark.operators.joins import any_within
 from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 from shoalspark.session import checkpointed
 
@@ -92,7 +92,7 @@ def buffered_train(df: DataFrame, fold: int, radius: float) -> DataFrame:
     """Training rows of a fold: those farther than ``radius`` from each of its test rows."""
     test = df.where(F.col("fold") == fold).select(F.col("x").alias("rx"), F.col("y").alias("ry")).distinct()
     train = df.where(F.col("fold") != fold)
-    near = radius_join(train.select("point_id", "x", "y"), test, radius).select("point_id").distinct()
+    near = any_within(train, test, radius, ["point_id"])
     return train.join(near, "point_id", "left_anti")
 
 

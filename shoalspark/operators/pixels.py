@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalspark.functions.optics import clip
-from shoalspark.operators.joins import knn, radius_join
+from shoalspark.operators.joins import any_within, knn
 from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 
 CELL = ["prow", "pcol"]
@@ -126,7 +126,7 @@ def edge_distance(pixels: DataFrame, valid: str, cap_m: float, size_m: float = 1
 def buffer_mask(pixels: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Cells whose centre lies within ``radius`` of a point."""
     right = points.select(F.col("x").alias("rx"), F.col("y").alias("ry"))
-    near = radius_join(pixels.select(*CELL, "x", "y"), right, radius).select(*CELL).distinct()
+    near = any_within(pixels, right, radius, CELL)
     return pixels.join(near, CELL, "left_semi")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalspark.operators import ordered
+
 # Sources by tier, weight, share retained and spacing in metres.
 SOURCES = {
     "bathy_lidar": (1, 25.0, 0.85, 10.0), "multibeam": (1, 20.0, 0.80, 15.0), "high_quality_bag": (1, 15.0, 0.75, 20.0), "sonar_survey": (1, 12.0, 0.80, 15.0),
@@ -52,12 +54,15 @@ def bottom_picks(binned: DataFrame, surface: DataFrame, height_res: float = 0.25
 
 def along_track(photons: DataFrame, segment_m: float = 5.0) -> DataFrame:
     """Distance run by each photon and its segment."""
-    w = Window.partitionBy(*TRACK).orderBy("delta_time", "photon_height", "conf")
-    dy = (F.col("latitude") - F.lag("latitude").over(w)) * 111_320.0
-    dx = (F.col("longitude") - F.lag("longitude").over(w)) * 111_320.0 * F.cos(F.radians("latitude"))
-    step = photons.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
-    run = F.round(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6)
-    return step.withColumn("along_m", run).withColumn("seg_id", F.floor(F.col("along_m") / segment_m)).drop("step")
+
+    def steps(rows: DataFrame, w: Window) -> DataFrame:
+        dy = (F.col("latitude") - F.lag("latitude").over(w)) * 111_320.0
+        dx = (F.col("longitude") - F.lag("longitude").over(w)) * 111_320.0 * F.cos(F.radians("latitude"))
+        return rows.withColumn("_step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
+
+    rows = ordered.windowed(ordered.placed(photons, TRACK, ["delta_time", "photon_height", "conf"]), 1, steps)
+    run = ordered.running(rows, along_m=("sum", F.col("_step"))).withColumn("along_m", F.round("along_m", 6))
+    return ordered.plain(run.withColumn("seg_id", F.floor(F.col("along_m") / segment_m)).drop("_step"))
 
 
 def segments(photons: DataFrame, segment_m: float = 5.0, least: int = 2) -> DataFrame:

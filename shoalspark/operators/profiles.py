@@ -8,19 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalspark.functions.optics import clip
+from shoalspark.operators import ordered
+from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 from shoalspark.session import checkpointed
 
 
 def rolling_smooth(df: DataFrame, group: str, order: str, value: str, window: int, least: int) -> DataFrame:
     """Centred rolling median, then rolling mean, over an odd window; null with fewer than ``least`` values."""
     h = (window | 1) // 2
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(-h, h)
-    held = F.array_sort(F.collect_list(value).over(w))  # a window's few values; medians have no frames of their own
-    n = F.size(held)
-    mid = (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2
-    med = F.when(n >= least, mid)
-    mean = F.when(F.count("_med").over(w) >= least, F.avg("_med").over(w))
-    return df.withColumn("_med", med).withColumn("smooth", mean).drop("_med")
+
+    def smoothed(rows: DataFrame, w: Window) -> DataFrame:
+        w = w.rowsBetween(-h, h)
+        held = F.array_sort(F.collect_list(value).over(w))  # a window's few values; medians have no frames of their own
+        n = F.size(held)
+        mid = (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2
+        mean = F.when(F.count("_med").over(w) >= least, F.avg("_med").over(w))
+        return rows.withColumn("_med", F.when(n >= least, mid)).withColumn("smooth", mean).drop("_med")
+
+    run = max(ordered.RUN, 8 * h)
+    return ordered.plain(ordered.windowed(ordered.placed(df, [group], [order], run), 2 * h, smoothed, run))
 
 
 def _pooled(mean: np.ndarray, size: np.ndarray) -> tuple[list, list]:
@@ -88,32 +94,30 @@ def surface_profile(df: DataFrame, group: str = "river_id", order: str = "s_cent
 
 
 def central_slope(df: DataFrame, group: str, order: str, value: str, low: float = 1e-5, high: float = 0.05) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(order)
-    rise = F.abs(F.lead(value).over(w) - F.lag(value).over(w))
-    run = F.lead(order).over(w) - F.lag(order).over(w)
-    return df.withColumn("slope", clip(F.try_divide(rise, run), low, high))
+    def sloped(rows: DataFrame, w: Window) -> DataFrame:
+        rise = F.abs(F.lead(value).over(w) - F.lag(value).over(w))
+        return rows.withColumn("slope", clip(F.try_divide(rise, F.lead(order).over(w) - F.lag(order).over(w)), low, high))
+
+    return ordered.plain(ordered.windowed(ordered.placed(df, [group], [order]), 1, sloped))
 
 
 def monotone_depth(df: DataFrame, group: str, order: str, depth: str, eps: float = 0.0) -> DataFrame:
     """Depth that never falls by more than ``eps`` a section downstream: a running maximum of d + eps k, less eps k."""
-    w = Window.partitionBy(group).orderBy(order)
-    k = F.count(depth).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumn("_k", k)
-    run = F.max(F.col(depth) + eps * F.col("_k")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - eps * F.col("_k")
-    return out.withColumn("adjusted_m", F.when(F.col(depth).isNotNull(), run)).drop("_k")
+    counted = ordered.running(ordered.placed(df, [group], [order]), _k=("count", F.col(depth)))
+    raised = ordered.running(counted, _top=("max", F.col(depth) + eps * F.col("_k")))
+    return ordered.plain(raised.withColumn("adjusted_m", F.when(F.col(depth).isNotNull(), F.col("_top") - eps * F.col("_k"))).drop("_k", "_top"))
 
 
 def moving_average_bed(df: DataFrame, group: str, order: str, value: str, smooth_m: float) -> DataFrame:
     """Moving average over a window from the group's median spacing; ends repeat beyond the profile."""
-    w = Window.partitionBy(group).orderBy(order)
-    step = df.withColumn("_ds", F.lead(order).over(w) - F.col(order)).withColumn("_i", F.row_number().over(w))
-    n = step.groupBy(group).agg(
-        F.least(F.count(F.lit(1)), F.greatest(F.lit(3), F.rint(smooth_m / F.median("_ds")))).cast("int").alias("_n"), F.count(F.lit(1)).alias("_len"),
-        F.min_by(value, "_i").alias("_first"), F.max_by(value, "_i").alias("_last"),
-    )
-    rows = step.join(n, group).withColumn("_lo", F.col("_i") - F.floor(F.col("_n") / 2)).withColumn("_hi", F.col("_lo") + F.col("_n") - 1)
+    step = ordered.windowed(ordered.placed(df, [group], [order]), 1, lambda rows, w: rows.withColumn("_ds", F.lead(order).over(w) - F.col(order)))
     # running sums make every window one difference, whatever its width
-    run = rows.withColumn("_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).select(group, F.col("_i").alias("_j"), F.col("_sum"))
+    step = checkpointed(ordered.running(step, _sum=("sum", F.col(value))).withColumn("_i", F.col("_i") + 1))
+    spacing = exact_quantiles(step.where(F.col("_ds").isNotNull()), {"ds": F.col("_ds")}, {"_mid": ("ds", 0.5)}, by=(group,))
+    ends = step.groupBy(group).agg(F.count(F.lit(1)).alias("_len"), F.min_by(value, "_i").alias("_first"), F.max_by(value, "_i").alias("_last"))
+    n = with_quantiles(ends, spacing, by=(group,)).withColumn("_n", F.least("_len", F.greatest(F.lit(3), F.rint(smooth_m / F.col("_mid")))).cast("int")).drop("_mid")
+    rows = step.drop("_sum").join(n, group).withColumn("_lo", F.col("_i") - F.floor(F.col("_n") / 2)).withColumn("_hi", F.col("_lo") + F.col("_n") - 1)
+    run = step.select(group, F.col("_i").alias("_j"), "_sum")
     top = rows.withColumn("_j", F.least("_hi", "_len")).join(run, [group, "_j"]).drop("_j").withColumnRenamed("_sum", "_s1")
     low = top.withColumn("_j", F.col("_lo") - 1).join(run, [group, "_j"], "left").drop("_j").withColumn("_s0", F.coalesce("_sum", F.lit(0.0)))
     missing = F.greatest(F.lit(0), 1 - F.col("_lo")) * F.col("_first") + F.greatest(F.lit(0), F.col("_hi") - F.col("_len")) * F.col("_last")

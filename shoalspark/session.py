@@ -1,4 +1,4 @@
-"""Sessions and checkpoints."""
+"""Sessions, and tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_to_delete: set[str] = set()
+
 
 def session(name: str = "shoalspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ``conf`` has dots written as double underscores."""
@@ -28,11 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's shared folder, which is deleted when the application ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_folder(spark)}/core-{sc.applicationId}"
+    if folder not in _to_delete:
+        _to_delete.add(folder)
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only what is there can be marked
+        files.deleteOnExit(path)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written as Parquet in the shared folder and read back: lineage is cut, later passes read the columns they need, and sizes are known to adaptive joins."""
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
