@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalspark.operators import ordered
+from shoalspark.session import checkpointed
 
 # Sources by tier, weight, share retained and spacing in metres.
 SOURCES = {
@@ -153,6 +154,7 @@ def fused_training_table(points: DataFrame, radius: float = 30.0, tolerance: flo
     cols = ["point_id", "x", "y", "depth_m", "source", "sample_weight"]
     of = lambda s: points.where(F.col("source") == s).select(cols)
     survey = of("extra_xyz")
-    first = reference_conflicts_removed(of("atl03"), survey, radius, tolerance).select(cols)
-    second = reference_conflicts_removed(of("atl24"), survey, radius, tolerance).select(cols)
+    # each is read by several branches of the collocation
+    first = checkpointed(reference_conflicts_removed(of("atl03"), survey, radius, tolerance).select(cols))
+    second = checkpointed(reference_conflicts_removed(of("atl24"), survey, radius, tolerance).select(cols))
     return weighted(collocated(first, second).unionByName(survey))

@@ -179,25 +179,92 @@ def components(edges: DataFrame) -> DataFrame:
     return _fixpoint(step, both.select(F.col("a").alias("node"), F.col("a").alias("component_id")).distinct(), "node", "component_id")
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m"))
+
+
+def _simple(pairs: DataFrame) -> DataFrame:
+    """The shortest of parallel edges (a < b); loops go."""
+    return checkpointed(pairs.where("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("length_m").alias("length_m")))
+
+
+def _chains(pairs: DataFrame, inner: DataFrame) -> DataFrame:
+    """``(a, b, head, length_m)``: from each arc a -> b on to the first node that isn't ``inner`` (``node, n1, n2``, its two neighbours), by paths that double each round."""
+    onward = inner.select(F.col("node").alias("head"), "n1", "n2")
+
+    def with_next(paths: DataFrame) -> DataFrame:
+        after = F.when(F.col("n1") == F.col("before"), F.col("n2")).otherwise(F.col("n1"))
+        return paths.join(onward, "head", "left").withColumn("next", F.when(F.col("n1").isNotNull(), after)).drop("n1", "n2")
+
+    paths = with_next(_both(pairs).select("a", "b", F.col("b").alias("head"), F.col("a").alias("before"), "length_m"))
+    while True:
+        paths = checkpointed(paths)
+        if paths.where(F.col("next").isNotNull()).isEmpty():
+            return paths.select("a", "b", "head", "length_m")
+        tail = paths.select(F.col("a").alias("head"), F.col("b").alias("next"), F.col("head").alias("_head"), F.col("before").alias("_before"), F.col("next").alias("_next"), F.col("length_m").alias("_m"))
+        longer = paths.join(tail, ["head", "next"], "left")
+        on = F.col("_head").isNotNull()
+        paths = longer.select(
+            "a", "b", F.when(on, F.col("_head")).otherwise(F.col("head")).alias("head"), F.when(on, F.col("_before")).otherwise(F.col("before")).alias("before"),
+            (F.col("length_m") + F.coalesce("_m", F.lit(0.0))).alias("length_m"), F.when(on, F.col("_next")).alias("next"),
+        )
+
+
 def stationed(edges: DataFrame, labels: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
-    """Shortest distance of each node from its component's root, by relaxation to a fixed point, ``hops`` edges a round.
+    """Shortest distance of each node from its component's root.
 
     The root is the southmost leaf (nodes have ``node``, ``y``), or southmost node of a component without a leaf; the lesser node of equals.
+    Leaves are taken off and chains of nodes with two neighbours become one edge, again and
+    again, which leaves nothing of a tree after rounds that grow with the logarithm of its size. Only
+    what is left (meshes) is relaxed to a fixed point, ``hops`` edges a round. Then chains and leaves come back, last first.
     """
-    both = edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"), "length_m")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m"))
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("_degree"))
+    ends_of = edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"), "length_m")
+    degree = _both(ends_of).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("_degree"))
     ends = labels.join(nodes.select("node", "y"), "node").join(degree, "node")
     root = ends.groupBy("component_id").agg(F.min(F.struct((F.col("_degree") != 1).alias("inner"), "y", "node")).alias("_r")).select("component_id", F.col("_r.node").alias("root"))
-    start = checkpointed(labels.join(root, "component_id").withColumn("s_m", F.when(F.col("node") == F.col("root"), 0.0).otherwise(1e12)))
+    start = checkpointed(labels.join(root, "component_id"))
+    roots = start.where(F.col("node") == F.col("root")).select("node")
+
+    def of_degree(pairs: DataFrame, n: int) -> DataFrame:
+        near = _both(pairs).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("_k"), F.min("b").alias("n1"), F.max("b").alias("n2"))
+        return checkpointed(near.where(F.col("_k") == n).drop("_k").join(roots, "node", "left_anti"))
+
+    pairs, levels = _simple(ends_of), []
+    while not pairs.isEmpty():
+        leaves = of_degree(pairs, 1).select("node")
+        raked = checkpointed(_both(pairs).join(leaves, F.col("a") == F.col("node")).select("node", F.col("b").alias("at"), "length_m"))
+        left = pairs.join(raked.select(F.col("node").alias("a")), "a", "left_anti").join(raked.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b", "length_m")
+        inner = of_degree(left, 2)
+        if raked.isEmpty() and inner.isEmpty():
+            break
+        paths = _chains(left, inner)
+        within = paths.join(inner.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("a").alias("node"), F.col("head").alias("at"), "length_m")
+        levels.append((raked, within))
+        pairs = _simple(paths.join(inner.select(F.col("node").alias("a")), "a", "left_anti").select("a", F.col("head").alias("b"), "length_m"))
+    known = _relaxed(pairs, roots, hops)
+    for raked, within in reversed(levels):
+        for part in (within, raked):
+            found = part.join(known.withColumnRenamed("node", "at"), "at").groupBy("node").agg(F.min(F.col("s_m") + F.col("length_m")).alias("s_m"))
+            known = known.unionByName(found.select("node", "s_m"))
+        known = checkpointed(known)
+    return start.join(known, "node").select("node", "component_id", "s_m")
+
+
+def _relaxed(pairs: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
+    """``(node, s_m)``: shortest distances from the roots over what is left of the network."""
+    begin = roots.select("node", F.lit(0.0).alias("s_m"))
+    if pairs.isEmpty():
+        return checkpointed(begin)
+    both, far = checkpointed(_both(pairs)), 1e12
+    others = both.select(F.col("a").alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.lit(far).alias("s_m"))
 
     def step(now: DataFrame) -> DataFrame:
         for _ in range(hops):
-            reach = now.where(F.col("s_m") < 1e12).join(both, F.col("node") == F.col("a")).groupBy("b").agg(F.min(F.col("s_m") + F.col("length_m")).alias("via"))
-            now = now.join(reach, F.col("node") == F.col("b"), "left").select("node", "component_id", "root", F.least("s_m", F.coalesce("via", F.lit(1e12))).alias("s_m"))
+            reach = now.where(F.col("s_m") < far).join(both, F.col("node") == F.col("a")).groupBy("b").agg(F.min(F.col("s_m") + F.col("length_m")).alias("via"))
+            now = now.join(reach, F.col("node") == F.col("b"), "left").select("node", F.least("s_m", F.coalesce("via", F.lit(far))).alias("s_m"))
         return now
 
-    return _fixpoint(step, start, "node", "s_m").drop("root")
+    return _fixpoint(step, checkpointed(begin.unionByName(others)), "node", "s_m")
 
 
 def longest_components(edges: DataFrame, labels: DataFrame, k: int) -> DataFrame:
