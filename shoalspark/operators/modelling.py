@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoalspark.operators.joins import any_within
 from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
-from shoalspark.session import checkpointed
+from shoalspark.session import checkpointed, shared_path
 
 
 def accuracy(truth: Column, predicted: Column) -> list[Column]:
@@ -177,15 +178,82 @@ def fit_depth_model(train: DataFrame, features: list[str], target: str, trees: i
     return assembler, forest.fit(assembler.transform(train.dropna(subset=[*features, target])))
 
 
-def tree_spread(model, rows: DataFrame, most: int = 20) -> DataFrame:
-    """Assembled rows with the mean and standard deviation of the first ``most`` trees; the trees run on the JVM, one column each."""
-    trees = [t.setPredictionCol(f"_tree{i}") for i, t in enumerate(model.trees[:most])]
-    for t in trees:
-        rows = t.transform(rows)
-    each = [F.col(f"_tree{i}") for i in range(len(trees))]
-    mean = sum(each[1:], each[0]) / len(each)
-    var = sum(((e - F.col("tree_mean_m")) * (e - F.col("tree_mean_m")) for e in each), F.lit(0.0)) / len(each)
-    return rows.withColumn("tree_mean_m", mean).withColumn("tree_std_m", F.sqrt(var)).drop(*(f"_tree{i}" for i in range(len(trees))))
+#: Nodes of a forest up to which its tables are broadcast (32 bytes each); a larger one is asked tree by tree.
+MOST_NODES = 8_000_000
+
+
+def forest_nodes(model, spark: SparkSession) -> list[tuple[np.ndarray, ...]]:
+    """``(feature, threshold, left, right, prediction)`` of each tree's nodes, as the saved model holds them; a leaf's feature is -1."""
+    path = shared_path(spark, "forest")
+    model.write().save(path)
+    rows = spark.read.parquet(f"{path}/data")
+    node = rows.schema["nodeData"].dataType if "nodeData" in rows.columns else None
+    get = (lambda c: F.col(f"nodeData.{c}")) if node else F.col
+    flat = rows.select("treeID", get("id").alias("id"), get("prediction").alias("p"), get("leftChild").alias("l"), get("rightChild").alias("r"), get("split.featureIndex").alias("f"), F.get(get("split.leftCategoriesOrThreshold"), F.lit(0)).alias("t"))
+    pdf = flat.toPandas().sort_values(["treeID", "id"])  # as many rows as nodes, checked before
+    trees = []
+    for _, t in pdf.groupby("treeID", sort=True):
+        leaf = t["l"].to_numpy() < 0
+        trees.append((
+            np.where(leaf, -1, t["f"].to_numpy()).astype(np.int32), np.where(leaf, 0.0, t["t"].to_numpy(float)), t["l"].to_numpy(np.int32), t["r"].to_numpy(np.int32), t["p"].to_numpy(float),
+        ))
+    return trees
+
+
+def tree_values(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
+    """Each tree's prediction (tree, row): all rows of a batch go down one level at a time."""
+    out = np.empty((len(trees), len(x)))
+    for i, (feature, threshold, left, right, value) in enumerate(trees):
+        at = np.zeros(len(x), np.int32)
+        going = np.flatnonzero(feature[at] >= 0)
+        while len(going):
+            n = at[going]
+            at[going] = np.where(x[going, feature[n]] <= threshold[n], left[n], right[n])
+            going = going[feature[at[going]] >= 0]
+        out[i] = value[at]
+    return out
+
+
+def tree_spread(model, rows: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """``rows`` with the mean and standard deviation over all trees of a forest of continuous features; null where a feature is null or NaN.
+
+    Features are columns, or the assembled ``features``. The forest's nodes are flat arrays, broadcast once, and
+    Arrow batches go down all trees in one vectorised pass. A forest of more than ``MOST_NODES`` nodes
+    isn't broadcast: its trees are asked on the JVM, ten columns at a time.
+    """
+    spark = rows.sparkSession
+    x = [F.col(f).cast("double") for f in features] if features else [vector_to_array(F.col("features"))[i] for i in range(model.numFeatures)]
+    if model.totalNumNodes > MOST_NODES:
+        return _spread_tree_by_tree(model, rows, x)
+    trees = spark.sparkContext.broadcast(forest_nodes(model, spark))
+
+    @F.pandas_udf("mean double, std double")
+    def spread(*columns: pd.Series) -> pd.DataFrame:
+        at = np.stack([c.to_numpy(float) for c in columns], axis=1)  # nulls are NaN by now
+        bad = np.isnan(at).any(axis=1)
+        each = tree_values(trees.value, np.where(bad[:, None], 0.0, at))
+        return pd.DataFrame({"mean": np.where(bad, np.nan, each.mean(axis=0)), "std": np.where(bad, np.nan, each.std(axis=0))})
+
+    out = rows.withColumn("_spread", spread(*x))
+    return out.withColumns({"tree_mean_m": F.nanvl("_spread.mean", F.lit(None)), "tree_std_m": F.nanvl("_spread.std", F.lit(None))}).drop("_spread")
+
+
+def _spread_tree_by_tree(model, rows: DataFrame, x: list[Column]) -> DataFrame:
+    known = F.lit(True)
+    for c in x:
+        known = known & c.isNotNull() & ~F.isnan(c)
+    out = rows.withColumns({"_known": known, "_x": array_to_vector(F.array(*(F.when(known, c).otherwise(0.0) for c in x))), "_s1": F.lit(0.0), "_s2": F.lit(0.0)})
+    trees = model.trees
+    for first in range(0, len(trees), 10):
+        some = trees[first : first + 10]
+        for i, t in enumerate(some):
+            out = t.setFeaturesCol("_x").setPredictionCol(f"_tree{i}").transform(out)
+        each = [F.col(f"_tree{i}") for i in range(len(some))]
+        sums = {"_s1": sum(each, F.col("_s1")), "_s2": sum((e * e for e in each), F.col("_s2"))}
+        out = checkpointed(out.withColumns(sums).drop(*(f"_tree{i}" for i in range(len(some)))))
+    mean = F.col("_s1") / len(trees)
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("_s2") / len(trees) - mean * mean))
+    return out.withColumns({"tree_mean_m": F.when(F.col("_known"), mean), "tree_std_m": F.when(F.col("_known"), std)}).drop("_s1", "_s2", "_x", "_known")
 
 
 def training_bounds(df: DataFrame, features: list[str]) -> DataFrame:

@@ -55,6 +55,23 @@ def running(rows: DataFrame, **aggregates: tuple[str, Column]) -> DataFrame:
     return out.drop(*(f"_{x}_{n}" for n in aggregates for x in "lc"))
 
 
+def filled(rows: DataFrame, known: Column) -> DataFrame:
+    """Adds ``_before`` and ``_after``: the last ``known`` that isn't null up to a row, and the first one from it on, in its group."""
+    rows = rows.withColumn("_known", known)
+    w = Window.partitionBy(GROUP, PART).orderBy(PLACE)
+    local = rows.withColumns({
+        "_before": F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first("_known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    at = F.when(F.col("_known").isNotNull(), F.col(PLACE))
+    ends = rows.groupBy(GROUP, PART).agg(F.max_by("_known", at).alias("_last"), F.min_by("_known", at).alias("_first"))  # one row a run
+    runs = Window.partitionBy(GROUP).orderBy(PART)
+    carry = ends.select(
+        GROUP, PART, F.last("_last", ignorenulls=True).over(runs.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", ignorenulls=True).over(runs.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    out = local.join(carry, [GROUP, PART])
+    return out.withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")}).drop("_known", "_earlier", "_later")
+
+
 def plain(rows: DataFrame) -> DataFrame:
     """Without the columns that ``placed`` added."""
     return rows.drop(GROUP, PLACE, PART)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from shoalspark.functions import hydraulics as hy
 from shoalspark.functions import optics, uncertainty
 from shoalspark.functions.optics import clip
-from shoalspark.operators import modelling, pixels, profiles, surveys
+from shoalspark.operators import alignment, modelling, pixels, profiles, surveys
 from shoalspark.operators.quantiles import exact_quantiles
+from shoalspark.session import checkpointed
 
 # -- diversity of a training set
 
@@ -134,6 +135,32 @@ def predicted_with_uncertainty(cells: DataFrame, depth: Column, mode: str, kd: C
     return out.withColumn("confidence", uncertainty.confidence(F.col("sigma_m"), z, kd, trained_max))
 
 
+def scene_prediction(
+    cells: DataFrame, model, features: list[str], bounds: dict[str, tuple[float, float]], trained_max: float, kd: Column, valid: Column, physical: Column | None = None,
+    mode: str = "calibrated", limit_factor: float = 2.3, cap: float = 50.0, least_score: float = 0.5,
+) -> tuple[DataFrame, DataFrame]:
+    """``(scene, funnel)``: every cell with its depth (negative down) and uncertainty, or null, and how many cells pass each step.
+
+    Steps: validity of the pixel, known features, the forest's mean and spread over all its trees, likeness to the training
+    data (below ``least_score`` a cell counts as outside, which widens its sigma), the pull to ``physical`` beyond the trained
+    depths, positive depth, depth within ``limit_factor`` over attenuation and ``cap``.
+    """
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    ok = cells.withColumns({"_valid": F.coalesce(valid, F.lit(False)), "_known": known, "score": modelling.applicability(bounds)})
+    told = modelling.tree_spread(model, ok.withColumns({f"_f{i}": F.when(F.col("_valid") & F.col("_known"), F.col(f)) for i, f in enumerate(features)}), [f"_f{i}" for i in range(len(features))])
+    told = told.drop(*(f"_f{i}" for i in range(len(features))))
+    depth = F.col("tree_mean_m") if physical is None else optics.hybrid_depth(F.col("tree_mean_m"), F.col("tree_std_m"), physical, trained_max)
+    sure = predicted_with_uncertainty(told, depth, mode, kd, trained_max, outside=(F.col("score") < least_score).cast("double"), spread=F.col("tree_std_m"))
+    z = F.col("depth_pred_m")
+    marked = sure.withColumns({"_positive": F.coalesce(z > 0, F.lit(False)), "_within": F.coalesce(z <= optics.depth_limit(kd, limit_factor, cap), F.lit(False))})
+    keep = F.col("_valid") & F.col("_known") & F.col("_positive") & F.col("_within")
+    marked = checkpointed(marked.withColumns({"depth_m": F.when(keep, -z), "sigma_m": F.when(keep, F.col("sigma_m")), "confidence": F.when(keep, F.col("confidence"))}))
+    steps = alignment.funnel(marked, {"valid": "_valid", "known": "_known", "positive": "_positive", "within_limit": "_within"})
+    return marked.drop("_valid", "_known", "_positive", "_within", "depth_pred_m"), steps
+
+
 def physics_scene(cells: DataFrame, sun_deg: float = 30.0, view_deg: float = 5.0, sand: tuple[float, ...] = (0.3, 0.35, 0.4), grass: tuple[float, ...] = (0.05, 0.1, 0.05)) -> DataFrame | None:
     """Depth of a scene by physics alone; None where it shows too little deep water.
 

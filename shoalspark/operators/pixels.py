@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shoalspark.functions.optics import clip
 from shoalspark.operators.joins import any_within, knn
 from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
+from shoalspark.session import checkpointed
 
 CELL = ["prow", "pcol"]
 
@@ -53,6 +54,31 @@ def outlier_dates(metrics: DataFrame, limit: float = 3.5) -> DataFrame:
     return z.withColumn("triggers", F.concat_ws(",", why)).withColumn("outlier", F.size(why) > 0)
 
 
+def two_phase_dates(
+    ranked: DataFrame, stack: DataFrame, n: int, limit: float = 3.5, best_k: int | None = None, single: bool = False, bad: tuple[int, ...] = (0, 3, 8, 9, 10, 11),
+) -> DataFrame:
+    """Dates to stack, the best score first: ``(day_no, place, phase, outlier, score, rank)``.
+
+    ``ranked`` has ``day_no`` and its ``place`` in the queue from 1. The first ``n`` dates are measured; for each outlier among them
+    two more are taken from the queue; of all that were measured the ``n`` of least score stay, the
+    lesser day of equals, or of these only the best ``best_k`` or the ``single`` best. Dates without pixels are passed over.
+    """
+
+    def measured(first: int, last: int, phase: int) -> DataFrame:
+        some = ranked.where(F.col("place").between(first, last)).select("day_no", "place")  # at most 3 n dates
+        held = date_scores(date_metrics(stack.join(F.broadcast(some), "day_no", "left_semi"), bad))
+        return held.join(F.broadcast(some), "day_no").withColumn("phase", F.lit(phase))
+
+    first = checkpointed(outlier_dates(measured(1, n, 1), limit).select("day_no", "place", "phase", "outlier", "score"))
+    extra = 2 * first.where("outlier").count()
+    pool = first
+    if extra:
+        pool = first.unionByName(measured(n + 1, n + extra, 2).select("day_no", "place", "phase", F.lit(None).cast("boolean").alias("outlier"), "score"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.round("score", 9), "day_no")  # at most 3 n rows
+    most = 1 if single else min(n, best_k) if best_k else n
+    return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def deep_reflectance(pixels: DataFrame, bands: list[str], percentile: float = 0.01, least: int = 50) -> DataFrame:
     """L-infinity: a low percentile over deep pixels, null with too few of them."""
     deep = pixels.where((F.col("b08") < 0.03) & ((F.col("b02") + F.col("b03") + F.col("b04")) / 3 < 0.15))

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalspark.operators import ordered
+from shoalspark.session import checkpointed
+
 CELL = ["prow", "pcol"]
 
 
@@ -46,13 +49,77 @@ def nearest_station(rows: DataFrame, stations: DataFrame, key: str, most: float)
 
 def nearest_surface(bins: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
     """Fill a value from the nearest position that has it, the earlier of equals (an as-of join both ways)."""
-    w = Window.partitionBy(*keys).orderBy(position)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
-    back = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    t = bins.withColumns({"_b": back, "_a": ahead})
-    closer = F.col("_b.p").isNotNull() & (F.col("_a.p").isNull() | (F.col(position) - F.col("_b.p") <= F.col("_a.p") - F.col(position)))
-    return t.withColumn("filled", F.when(closer, F.col("_b.v")).otherwise(F.col("_a.v"))).drop("_a", "_b")
+    t = ordered.filled(ordered.placed(bins, keys, [position]), known)
+    closer = F.col("_before.p").isNotNull() & (F.col("_after.p").isNull() | (F.col(position) - F.col("_before.p") <= F.col("_after.p") - F.col(position)))
+    return ordered.plain(t.withColumn("filled", F.when(closer, F.col("_before.v")).otherwise(F.col("_after.v"))).drop("_after", "_before"))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """``left`` with ``before`` and ``after``: structs (at, value) of the right rows next to it in its group, both the same one where it is at its place.
+
+    Right values at one place are averaged; rows and values without a place or value take no part.
+    """
+    r = right.where(F.col(at).isNotNull() & F.col(value).isNotNull()).groupBy(*keys, F.col(at).cast("double").alias("_at")).agg(F.avg(value).alias("_v"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in left.columns))
+    asked = left.select(*keys, F.col(at).cast("double").alias("_at"), F.lit(None).cast("double").alias("_v"), whole.alias("_left"), F.lit(2).alias("_side"))
+    nothing = F.lit(None).cast(asked.schema["_left"].dataType).alias("_left")
+    both = r.select(*keys, "_at", "_v", nothing, F.lit(1).alias("_side")).unionByName(asked)  # right rows come first at a place
+    near = ordered.filled(ordered.placed(both, keys, ["_at", "_side"]), F.when(F.col("_v").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_v").alias("value"))))
+    same = F.col("_before.at") == F.col("_at")
+    found = near.where(F.col("_side") == 2).select("_left.*", F.col("_before").alias("before"), F.when(same, F.col("_before")).otherwise(F.col("_after")).alias("after"))
+    none = F.lit(None).cast("struct<at:double,value:double>")
+    return found.withColumns({c: F.when(F.col(at).isNotNull(), F.col(c)).otherwise(none) for c in ("before", "after")})
+
+
+def interpolated_as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """``left`` with ``interpolated``: linear between the right values on both sides, the end's value beyond them, null without any."""
+    share = F.try_divide(F.col(at) - F.col("before.at"), F.col("after.at") - F.col("before.at"))
+    between = F.col("before.value") + (F.col("after.value") - F.col("before.value")) * F.coalesce(share, F.lit(0.0))
+    v = F.when(F.col("before").isNull(), F.col("after.value")).when(F.col("after").isNull(), F.col("before.value")).otherwise(between)
+    return as_of(left, right, keys, at, value).withColumn("interpolated", v).drop("before", "after")
+
+
+def nearest_prediction(requests: DataFrame, predictions: DataFrame, keys: list[str], at: str, value: str, most: float | None = None) -> DataFrame:
+    """``requests`` with ``nearest_at``, ``nearest_value``: the prediction nearest in time, the earlier of equals, none farther than ``most``."""
+    t = as_of(requests, predictions, keys, at, value)
+    back, ahead = F.col(at) - F.col("before.at"), F.col("after.at") - F.col(at)
+    pick = F.when(back.isNotNull() & (ahead.isNull() | (back <= ahead)), F.col("before")).otherwise(F.col("after"))
+    t = t.withColumn("_n", pick if most is None else F.when(F.least(back, ahead) <= most, pick))
+    return t.withColumns({"nearest_at": F.col("_n.at"), "nearest_value": F.col("_n.value")}).drop("before", "after", "_n")
+
+
+def linked_chunks(picks: DataFrame, photons: DataFrame, second: DataFrame, keys: list[str], order: str, chunk_m: float = 500.0, pad: float = 0.01, cell: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Picks in the along-track chunks of raw photons, and points of a second product there with the picks' surface at their distance.
+
+    Picks (``keys``, latitude, longitude, ws_h) get ``dist_m`` from their track's first photon, ``chunk`` and the chunk's
+    ``n_raw``. A point of ``second`` (point_id, latitude, longitude) belongs to each track whose photons' box, widened by ``pad`` degrees,
+    holds it (met by cells of ``cell`` degrees), in chunks with picks; ``surface_m`` is interpolated there between the picks.
+    """
+    photons = photons.where(F.col(order).isNotNull())
+    track = photons.groupBy(*keys).agg(F.min(F.struct(order, "latitude", "longitude")).alias("_first"), *(f(c).alias(f"_{n}_{c}") for c in ("latitude", "longitude") for n, f in (("lo", F.min), ("hi", F.max))))
+
+    def distance(rows: DataFrame) -> DataFrame:
+        dy = (F.col("latitude") - F.col("_first.latitude")) * 111_320.0
+        dx = (F.col("longitude") - F.col("_first.longitude")) * 111_320.0 * F.cos(F.radians("latitude"))
+        far = rows.withColumn("dist_m", F.round(F.sqrt(dx * dx + dy * dy), 6))
+        return far.withColumn("chunk", F.floor(F.col("dist_m") / chunk_m))
+
+    first = track.select(*keys, "_first")
+    raw = distance(photons.join(first, keys))
+    n_raw = raw.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("n_raw"))
+    far = raw.groupBy(*keys).agg(F.max("dist_m").alias("_far"))
+    linked = distance(picks.join(first, keys)).drop("_first").join(far, keys).where(F.col("chunk") * chunk_m < F.col("_far")).drop("_far")
+    linked = checkpointed(linked.join(n_raw, [*keys, "chunk"], "left").withColumn("n_raw", F.coalesce("n_raw", F.lit(0))))
+    box = {f"_{c}": F.explode(F.sequence(F.floor((F.col(f"_lo_{c}") - pad) / cell), F.floor((F.col(f"_hi_{c}") + pad) / cell))) for c in ("latitude", "longitude")}
+    boxes = track
+    for name, cells in box.items():
+        boxes = boxes.withColumn(name, cells)
+    points = second.select("point_id", "latitude", "longitude").withColumns({f"_{c}": F.floor(F.col(c) / cell) for c in ("latitude", "longitude")})
+    inside = [F.col(c).between(F.col(f"_lo_{c}") - pad, F.col(f"_hi_{c}") + pad) for c in ("latitude", "longitude")]
+    near = distance(points.join(boxes, ["_latitude", "_longitude"]).where(inside[0] & inside[1])).select("point_id", *keys, "dist_m", "chunk")
+    near = near.join(linked.select(*keys, "chunk").distinct(), [*keys, "chunk"])
+    return linked, interpolated_as_of(near, linked, [*keys, "chunk"], "dist_m", "ws_h").withColumnRenamed("interpolated", "surface_m")
 
 
 def density_curve(df: DataFrame, value: str, points: int = 200) -> DataFrame:
@@ -69,6 +136,33 @@ def density_curve(df: DataFrame, value: str, points: int = 200) -> DataFrame:
     return g.withColumn("peak", peak & (F.col("density") >= 0.1 * F.max("density").over(Window.partitionBy(F.lit(1)))))
 
 
+def bimodality(df: DataFrame, value: str, points: int = 200, prominence: float = 0.1, spacing: int = 10, least: int = 50) -> DataFrame:
+    """One row: ``n``, ``n_modes``, ``is_bimodal``, ``modes`` (place and density of each, by place).
+
+    Modes are places of the density curve higher than both neighbours; of two nearer than ``spacing`` places the
+    higher stays (the later of equals), from the highest down; those stay that rise by ``prominence`` of the largest
+    density over the higher of the lowest points between them and higher ground (or the end) on either side.
+    All this is over one array of ``points`` numbers. Fewer than ``least`` values have no modes.
+    """
+    curve = density_curve(df.where(F.col(value).isNotNull() & ~F.isnan(value)), value, points).select("i", "place", "density")
+    one = curve.agg(F.array_sort(F.collect_list(F.struct("i", "place", "density"))).alias("c")).select(F.transform("c", lambda p: p["place"]).alias("at"), F.transform("c", lambda p: p["density"]).alias("d"))
+    one = one.withColumn("top", F.array_max("d"))
+    last = points - 1
+    one = one.withColumn("peaks", F.expr(f"filter(sequence(1, {last - 1}), i -> d[i] > d[i - 1] AND d[i] > d[i + 1])"))
+    # the higher first, the later of equals first
+    by_height = "array_sort(peaks, (a, b) -> CASE WHEN d[a] > d[b] THEN -1 WHEN d[a] < d[b] THEN 1 ELSE b - a END)"
+    apart = f"aggregate({by_height}, cast(array() AS array<int>), (kept, p) -> IF(exists(kept, q -> abs(q - p) < {spacing}), kept, concat(kept, array(p))))"
+    left = "coalesce(array_max(filter(sequence(0, i - 1), j -> d[j] > d[i])), 0)"
+    right = f"coalesce(array_min(filter(sequence(i + 1, {last}), j -> d[j] > d[i])), {last})"
+    low = "array_min(transform(sequence({0}, {1}), j -> d[j]))"
+    rise = f"d[i] - greatest({low.format(left, 'i')}, {low.format('i', right)})"
+    one = one.withColumn("kept", F.expr(apart)).withColumn("kept", F.expr(f"array_sort(filter(kept, i -> {rise} >= {prominence} * top))"))
+    n = df.agg(F.count_if(F.col(value).isNotNull() & ~F.isnan(value)).alias("n"))
+    modes = F.when(F.col("n") >= least, F.expr("transform(kept, i -> struct(at[i] AS place, d[i] AS density))")).otherwise(F.expr("cast(array() AS array<struct<place:double,density:double>>)"))
+    out = n.crossJoin(F.broadcast(one)).select("n", modes.alias("modes"))  # one row each
+    return out.select("n", F.size("modes").alias("n_modes"), (F.size("modes") > 1).alias("is_bimodal"), "modes")
+
+
 def depth_gaps(df: DataFrame, depth: str = "depth_m", deepest: int = 30, least: int = 10) -> DataFrame:
     """Runs of one-metre depth bins with fewer than ``least`` points."""
     n = df.groupBy(F.floor(F.abs(depth)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

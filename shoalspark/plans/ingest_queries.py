@@ -309,8 +309,8 @@ def _(px):
 def _(p, px):
     bands = ["b02", "b03", "b04", "b08"]
     t = joins.sampled_at(p, px, bands, 5e5, 3.4e6, 10.0).withColumn("depth_pos", F.abs("depth_m")).dropna(subset=bands)
-    assembler, model = modelling.fit_depth_model(t, bands, "depth_pos", trees=20, depth=8)
-    return modelling.tree_spread(model, assembler.transform(px.select("cell", *bands))).select("cell", "tree_mean_m", "tree_std_m")
+    _, model = modelling.fit_depth_model(t, bands, "depth_pos")
+    return modelling.tree_spread(model, px.select("cell", *bands), bands).select("cell", "tree_mean_m", "tree_std_m")
 
 
 @query("p2_transects", "fx_points")
