@@ -2,13 +2,13 @@
 
 1. ``fingerprints``: the 64-bit majority of the XXH64 hashes of a text's word
    shingles, repeats included. Documents, not texts, go to the shared folder.
-2. ``links``: distinct fingerprints are cut into three segments. Two that differ
+2. ``links``: distinct fingerprints are cut into three segments (two, if there are very many). Two that differ
    in at most ``distance`` bits differ in at most ``distance // 3`` of some segment, so
    each puts its segments into a table and looks up, there, the ball of that radius
    (1 for 4 bits) about them. As one direction is enough, the ball is halved: of
    two values the look-up goes from the one with fewer ones, or, of as many, from both.
    Matches are verified on all 64 bits. Segment values that very many
-   fingerprints share are dealt over salts. A task gives back a forest of what
+   fingerprints share are cut again by the other bits, with an index of their own. A task gives back a forest of what
    it has linked, not all pairs. Balls of radius 2 hold about 120 values a segment and
    of radius 3 about 900; larger ones (``distance`` of 12 and more) raise an error.
 3. ``connected_components``: large-star and small-star rounds over the forest. What
@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from shoalspark.llm.common import free_names, map_batches, materialise, row_hash, type_of, utf8
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: (first bit, bits) of each segment.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: (first bit, bits) of each segment, up to so many distinct fingerprints (32 a value on average) and beyond.
+SEGMENTS, FEW_FINGERPRINTS, LONG_SEGMENTS = ((0, 21), (21, 21), (42, 22)), 1 << 26, ((0, 32), (32, 32))
 #: Balls beyond this radius hold too many values to enumerate.
 MAX_RADIUS = 3
-#: Table rows of a segment value beyond which it is dealt over salts.
+#: Table rows of a segment value beyond which it is cut by the other bits.
 HOT = 4096
 _PAIRS, _HELD = 2_000_000, 500_000
 
@@ -77,35 +77,66 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return materialise(map_batches(docs.select(F.col(id_col), text_col, *(c.alias(name) for name, c in carried.items())), run, schema), "fingerprints")
 
 
-def segment_rows(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def layout(n: int, distance: int = DISTANCE) -> tuple[tuple[int, int], ...]:
+    """Segments for ``n`` distinct fingerprints: three, or two longer ones where three would put too many under one value and their balls can be enumerated."""
+    return LONG_SEGMENTS if n > FEW_FINGERPRINTS and distance // len(LONG_SEGMENTS) <= MAX_RADIUS else SEGMENTS
+
+
+def _balls(bits: int, radius: int) -> list[int]:
+    return [sum(1 << b for b in c) for r in range(radius + 1) for c in itertools.combinations(range(bits), r)]
+
+
+def _key(s: int) -> int:
+    """Keys are a segment's value, its number above bit 34, and for cut values a part's number above bit 36 and its value above bit 38."""
+    return s << 34
+
+
+def segment_rows(distinct: DataFrame, distance: int = DISTANCE, segments: tuple[tuple[int, int], ...] = SEGMENTS) -> DataFrame:
     """``(key, probe, fp)``: each fingerprint's table rows and its look-ups."""
-    radius = distance // len(SEGMENTS)
+    radius = distance // len(segments)
     if not 0 <= radius <= MAX_RADIUS:
-        raise ValueError(f"distance must be from 0 to {len(SEGMENTS) * (MAX_RADIUS + 1) - 1}")
+        raise ValueError(f"distance must be from 0 to {len(segments) * (MAX_RADIUS + 1) - 1}")
     found = []
-    for s, (first, bits) in enumerate(SEGMENTS):
+    for s, (first, bits) in enumerate(segments):
         value = f"(shiftrightunsigned(fp, {first}) & {(1 << bits) - 1}L)"
-        masks = [sum(1 << b for b in c) for r in range(radius + 1) for c in itertools.combinations(range(bits), r)]
-        ball = F.explode(F.array(*map(F.lit, masks))).alias("mask")
-        rows = distinct.select("fp", F.expr(value).alias("value"), ball).withColumn("probed", F.col("value").bitwiseXOR(F.col("mask").cast("long")))
+        ball = F.explode(F.array(*(F.lit(m).cast("long") for m in _balls(bits, radius)))).alias("mask")
+        rows = distinct.select("fp", F.expr(value).alias("value"), ball).withColumn("probed", F.col("value").bitwiseXOR(F.col("mask")))
         rows = rows.where(F.bit_count("probed") >= F.bit_count("value"))
-        found.append(rows.select((F.lit(s << 24) + F.col("probed")).alias("key"), F.lit(True).alias("probe"), "fp"))
-        found.append(distinct.select(F.expr(f"{s << 24}L + {value}").alias("key"), F.lit(False).alias("probe"), "fp"))
+        found.append(rows.select((F.lit(_key(s)) + F.col("probed")).alias("key"), F.lit(True).alias("probe"), "fp"))
+        found.append(distinct.select(F.expr(f"{_key(s)}L + {value}").alias("key"), F.lit(False).alias("probe"), "fp"))
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _salted(rows: DataFrame, distinct: DataFrame, hot: int) -> DataFrame:
-    """Keys of hot segment values become several: table rows go to all, each look-up to one."""
-    table = F.array(*(F.expr(f"{s << 24}L + (shiftrightunsigned(fp, {first}) & {(1 << bits) - 1}L)") for s, (first, bits) in enumerate(SEGMENTS)))
+def _cut_again(rows: DataFrame, distinct: DataFrame, distance: int, segments: tuple[tuple[int, int], ...], hot: int) -> DataFrame:
+    """Hot segment values become tables of their own: the fingerprints' other bits in three parts, one of which differs in ``distance // 3`` bits at most.
+
+    A table row goes to one key a part and a look-up to the ball about each, so that the rows of
+    a hot value neither all meet nor are copied.
+    """
+    table = F.array(*(F.expr(f"{_key(s)}L + (shiftrightunsigned(fp, {first}) & {(1 << bits) - 1}L)") for s, (first, bits) in enumerate(segments)))
     counts = distinct.select(F.explode(table).alias("key")).groupBy("key").count()
-    heavy = counts.where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("salts"))
+    heavy = materialise(counts.where(F.col("count") > hot).select("key"), "hot-values")
     n = heavy.count()
     if not n:
         return rows
-    salted = rows.join(F.broadcast(heavy) if n <= 10_000 else heavy, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    one = F.array(F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
-    salt = F.explode(F.when(F.col("probe"), one).otherwise(F.sequence(F.lit(0), F.col("salts") - 1)))
-    return salted.withColumn("salt", salt).select((F.col("key") + F.shiftleft(F.col("salt").cast("long"), 32)).alias("key"), "probe", "fp")
+    cut = rows.join((F.broadcast(heavy) if n <= 10_000 else heavy).withColumn("is_hot", F.lit(True)), "key", "left")
+    kept = cut.where(F.col("is_hot").isNull()).drop("is_hot")
+    found = [kept.select("key", "probe", "fp")]
+    for s, (first, bits) in enumerate(segments):
+        above = "0L" if first + bits == 64 else f"shiftleft(shiftrightunsigned(fp, {first + bits}), {first})"
+        rest = F.expr(f"(fp & {(1 << first) - 1}L) | {above}")
+        of = cut.where(F.col("is_hot") & (F.shiftright("key", 34) == s)).withColumn("rest", rest)
+        left = 64 - bits
+        cuts = [left * i // 3 for i in range(4)]
+        asked, held = [], []
+        for j, (a, b) in enumerate(itertools.pairwise(cuts)):
+            part = F.shiftrightunsigned("rest", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
+            at = lambda v, j=j: F.col("key") + F.lit((j + 1) << 36) + F.shiftleft(v, 38)
+            held.append(at(part))
+            asked += [at(part.bitwiseXOR(F.lit(m).cast("long"))) for m in _balls(b - a, min(distance // 3, b - a))]
+        for probe, keys in ((False, held), (True, asked)):
+            found.append(of.where(F.col("probe") == probe).select(F.explode(F.array(*keys)).alias("key"), "probe", "fp"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +157,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """``(a, b)``, a spanning forest per task of the links between distinct fingerprints."""
+def links(distinct: DataFrame, distance: int = DISTANCE, hot: int = HOT, segments: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
+    """``(a, b)``, a spanning forest per task of the links between distinct fingerprints; ``segments`` follow their number where not given."""
+    segments = segments or layout(distinct.count(), distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)  # table rows of the last key so far
@@ -163,7 +195,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> Data
             a, b = forest(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
             yield {"a": a, "b": b}
 
-    rows = _salted(segment_rows(distinct, distance), distinct, hot)
+    rows = _cut_again(segment_rows(distinct, distance, segments), distinct, distance, segments, hot)
     return map_batches(rows.repartition("key").sortWithinPartitions("key", "probe"), run, "a long, b long")
 
 

@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoalspark.llm import html, warc
+from shoalspark.llm import html, simhash, warc
 
 random.seed(1)
 STORY = "the river bends along its old bank and water finds a slower way round every stone".split()
@@ -109,3 +110,48 @@ def test_stages_keep_extra_columns_of_any_name(spark, sf_dir):
     language = p.identify_language(spark, marked, sf_dir)
     assert language.columns == marked.columns and language.count() >= 0
     assert p.pack_sequences(spark, marked, sf_dir).count() > 0
+
+
+# -- fingerprints under every layout
+
+
+@pytest.mark.parametrize(("segments", "hot", "distance"), [(None, 4096, 4), (simhash.LONG_SEGMENTS, 4096, 4), (simhash.SEGMENTS, 20, 4), (simhash.LONG_SEGMENTS, 20, 4), (simhash.SEGMENTS, 1, 7), (simhash.LONG_SEGMENTS, 1, 5)])
+def test_links_are_the_same_under_every_layout(spark, segments, hot, distance):
+    rng = np.random.default_rng(11)
+    fps = set()
+    for first, bits in simhash.SEGMENTS:  # values that very many share, in each segment
+        common = int(rng.integers(0, 1 << bits)) << first
+        for _ in range(60):
+            f = int(rng.integers(0, 1 << 63)) * 2 & ~(((1 << bits) - 1) << first) | common
+            fps |= {f, *(f ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 8), replace=False)) for _ in range(2))}
+    fps = sorted(fps)
+    near = np.array(fps, np.uint64)
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(near[i + 1 :] ^ near[i]) <= distance) + i + 1:
+            root[find(int(j))] = find(i)
+    frame = spark.createDataFrame([(int(f),) for f in near.view(np.int64)], "fp long")
+    got = {r["node"]: r["root"] for r in simhash.connected_components(simhash.links(frame, distance, hot, segments)).collect()}
+    groups, want = {}, {}
+    for i, f in enumerate(near.view(np.int64).tolist()):
+        groups.setdefault(got.get(f, f), set()).add(f)
+        want.setdefault(find(i), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and max(map(len, want.values())) > 1
+
+
+def test_a_hot_value_meets_few_of_its_rows(spark):
+    rng = np.random.default_rng(12)
+    fps = spark.createDataFrame([(int(f) << 22 | 77,) for f in np.unique(rng.integers(0, 1 << 41, 6000))], "fp long")
+    rows = simhash._cut_again(simhash.segment_rows(fps), fps, 4, simhash.SEGMENTS, 500)
+    pairs = rows.where("not probe").groupBy("key").count().join(rows.where("probe").groupBy("key").agg(F.count("fp").alias("p")), "key")
+    assert pairs.agg(F.sum(F.col("count") * F.col("p"))).first()[0] < 6000 * 6000 / 20
+
+
+def test_layout_follows_the_number_of_fingerprints():
+    assert simhash.layout(1000) == simhash.SEGMENTS and simhash.layout(1 << 30) == simhash.LONG_SEGMENTS and simhash.layout(1 << 30, 9) == simhash.SEGMENTS
