@@ -22,8 +22,9 @@ def _written(df: DataFrame, label: str, fmt: str = "csv", **options: str) -> str
 @query("s3_survey_points", "fx_points", doubles="longitude latitude depth_m", twin="SELECT longitude, latitude, depth_m, 'extra_xyz' AS source FROM fx_points")
 def _(p):
     even = C("point_id") % 2 == 0
-    named = p.select("point_id", C("longitude").alias("Lon"), C("latitude").alias("Lat"), F.when(even, -C("depth_m")).otherwise(C("depth_m")).alias("Depth"))
-    paths = [_written(named.where(w).drop("point_id").coalesce(1), "survey", header="true") for w in (even, ~even)]  # positive-down and negative-down files
+    lon, lat = C("longitude").alias("Lon"), C("latitude").alias("Lat")
+    # positive-down and negative-down files, with columns in another order
+    paths = [_written(p.where(even).select(lon, lat, (-C("depth_m")).alias("Depth")), "survey", header="true"), _written(p.where(~even).select(C("depth_m").alias("z_m"), lat, lon), "survey", header="true")]
     return files.survey_points(p.sparkSession, paths).drop("file")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +22,37 @@ def resolve(columns: list[str], role: str) -> str | None:
     return next((lower[a] for a in ALIASES[role] if a in lower), None) or next((lower[c] for a in ALIASES[role] if len(a) > 1 for c in lower if a in c), None)
 
 
+def by_header(spark: SparkSession, paths: list[str] | str, **options: str) -> list[DataFrame]:
+    """One frame of strings, with ``file``, for each header that the CSV files have; columns go by name, as files differ in their order.
+
+    The first lines are found by a scan and grouped, so that the driver sees file names by header.
+    """
+    lookup = {k: v for k, v in options.items() if k in ("recursiveFileLookup", "pathGlobFilter")}
+    lines = spark.read.options(**lookup).text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
+    first = lines.withColumn("place", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    plain = {k: v for k, v in options.items() if k not in lookup}
+    found = []
+    for r in first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect():
+        names = [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(f)) for f in r["files"]]
+        found.append(spark.read.options(**plain).csv(names, header=True).withColumn("file", F.col("_metadata.file_path")))
+    return found
+
+
+def _numbers(tables: list[DataFrame], roles: dict[str, str], spark: SparkSession, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of all tables with each role's column as a double under its name, and ``file``; a table without a needed role is an error, without an optional one null."""
+    out = spark.createDataFrame([], ", ".join([f"`{n}` double" for n in roles.values()] + ["file string"]))
+    for t in tables:
+        columns = {n: resolve([c for c in t.columns if c != "file"], role) for role, n in roles.items()}
+        missing = [n for n, c in columns.items() if c is None and n not in optional]
+        if missing:
+            raise ValueError(f"no column for {', '.join(missing)} in {t.columns}")
+        out = out.unionByName(t.select(*((F.col(f"`{c}`").try_cast("double") if c else F.lit(None).cast("double")).alias(n) for n, c in columns.items()), "file"))
+    return out
+
+
 def survey_points(spark: SparkSession, paths: list[str], box: tuple[float, float, float, float] | None = None, sep: str = ",") -> DataFrame:
     """Points of many files: aliases, sign by file (flipped if nine tenths are positive), outliers beyond 5 MAD dropped, clipped."""
-    raw = spark.read.csv(paths, header=True, sep=sep).withColumn("file", F.col("_metadata.file_path"))
-    x, y, z = (resolve(raw.columns, r) for r in "xyz")
-    p = raw.select("file", *(F.col(f"`{c}`").try_cast("double").alias(n) for c, n in ((x, "longitude"), (y, "latitude"), (z, "z")))).dropna()
+    p = _numbers(by_header(spark, paths, sep=sep), {"x": "longitude", "y": "latitude", "z": "z"}, spark).dropna()
     stats = p.groupBy("file").agg(F.avg((F.col("z") > 0).cast("double")).alias("positive"), F.median("z").alias("med"))
     p = p.join(stats, "file")
     mad = p.groupBy("file").agg(F.median(F.abs(F.col("z") - F.col("med"))).alias("mad"))
@@ -39,17 +68,13 @@ def in_box(x: Column, y: Column, box: tuple[float, float, float, float]) -> Colu
 
 def soundings(spark: SparkSession, path: str) -> DataFrame:
     """Soundings below a folder, each file once, with depth or elevation, and the file they came from."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path, header=True).withColumn("file", F.col("_metadata.file_path"))
-    x, y, z = (resolve(raw.columns, r) for r in "xyz")
-    return raw.select(*(F.col(f"`{c}`").try_cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "depth_m"))), "file").dropna().dropDuplicates(["x", "y", "depth_m"])
+    tables = by_header(spark, path, recursiveFileLookup="true", pathGlobFilter="*.csv")
+    return _numbers(tables, {"x": "x", "y": "y", "z": "depth_m"}, spark).dropna().dropDuplicates(["x", "y", "depth_m"])
 
 
 def high_quality_points(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Points x, y, z by alias with an ``uncertainty``, null where the file has no such column; rows without a finite place and value go."""
-    raw = spark.read.csv(paths, header=True)
-    x, y, z, u = (resolve(raw.columns, r) for r in ("x", "y", "z", "uncertainty"))
-    number = lambda c: F.col(f"`{c}`").try_cast("double")
-    p = raw.select(number(x).alias("x"), number(y).alias("y"), number(z).alias("z"), (number(u) if u else F.lit(None).cast("double")).alias("uncertainty"))
+    p = _numbers(by_header(spark, paths), {"x": "x", "y": "y", "z": "z", "uncertainty": "uncertainty"}, spark, ("uncertainty",)).drop("file")
     ok = F.lit(True)
     for c in "xyz":
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
@@ -66,10 +91,12 @@ def tie_points(spark: SparkSession, path: str, layers: tuple[str, ...] = ("all",
 
 def width_stage(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Width and stage pairs, feet to metres where the column's name says so."""
-    raw = spark.read.csv(paths, header=True)
-    cols = {r: resolve(raw.columns, r) for r in ("site_no", "width_m", "stage_m")}
     metres = lambda c: F.col(f"`{c}`").try_cast("double") * (0.3048 if c.lower().endswith("ft") else 1.0)
-    return raw.select(F.col(f"`{cols['site_no']}`").alias("site_no"), metres(cols["width_m"]).alias("width_m"), metres(cols["stage_m"]).alias("stage_m")).dropna()
+    out = spark.createDataFrame([], "site_no string, width_m double, stage_m double")
+    for raw in by_header(spark, paths):
+        cols = {r: resolve([c for c in raw.columns if c != "file"], r) for r in ("site_no", "width_m", "stage_m")}
+        out = out.unionByName(raw.select(F.col(f"`{cols['site_no']}`").alias("site_no"), metres(cols["width_m"]).alias("width_m"), metres(cols["stage_m"]).alias("stage_m")))
+    return out.dropna()
 
 
 def gage_table(spark: SparkSession, path: str) -> DataFrame:

@@ -3,11 +3,13 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shoalspark.functions import hydraulics
 from shoalspark.operators import filters, ingest, joins, modelling, pixels, points, profiles, quality
 from shoalspark.plans.fixtures import view
+from shoalspark.sources import files
 
 
 def test_transects_equal_brute_force(spark):
@@ -108,3 +110,20 @@ def test_collocation_reads_its_pairs_once(spark, sf_dir):
     p = view(spark, sf_dir, "fx_points")
     plan = joins.collocated(p.where("source = 'atl03'"), p.where("source = 'atl24'"))._jdf.queryExecution().toString()
     assert plan.count("flatten(transform") == 0  # the radius join lies before the checkpoint
+
+
+def test_files_of_different_headers_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "one.csv").write_text("Lon,Lat,Depth\n-88,30,1\n-88,30,2\n-88,30,1.5\n-88,30,400\n")
+    (tmp_path / "two.csv").write_text("depth,lat,lon\n-7.5,30.3,-88.2\n-7.7,30.4,-88.3\n")
+    (tmp_path / "three.csv").write_text("sigma,z,y,x\n0.5,-3,2,1\n")
+    paths = [str(tmp_path / "a b" / "one.csv"), str(tmp_path / "two.csv")]
+    got = {(r["longitude"], r["latitude"], r["depth_m"]) for r in files.survey_points(spark, paths).collect()}
+    assert got == {(-88.0, 30.0, -1.0), (-88.0, 30.0, -2.0), (-88.0, 30.0, -1.5), (-88.2, 30.3, -7.5), (-88.3, 30.4, -7.7)}
+    hq = {(r["x"], r["z"], r["uncertainty"]) for r in files.high_quality_points(spark, [*paths, str(tmp_path / "three.csv")]).collect()}
+    assert (1.0, -3.0, 0.5) in hq and (-88.2, -7.5, None) in hq and len(hq) == 7
+    assert files.soundings(spark, str(tmp_path)).count() == 7
+    (tmp_path / "w1.csv").write_text("site,width_ft,stage_ft\ns1,10,20\n")
+    (tmp_path / "w2.csv").write_text("stage_m,site,width_m\n2,s2,3\n")
+    rows = sorted(tuple(r) for r in files.width_stage(spark, [str(tmp_path / "w1.csv"), str(tmp_path / "w2.csv")]).collect())
+    assert rows == [("s1", pytest.approx(3.048), pytest.approx(6.096)), ("s2", 3.0, 2.0)]
