@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalspark.functions.optics import visible_class
 from shoalspark.operators.ingest import finite
-from shoalspark.operators.pixels import CELL, eroded
+from shoalspark.operators.pixels import CELL, dilated, eroded
 
 TINY = 1e-6
 
@@ -121,3 +122,10 @@ def guarded_measurements(measurements: DataFrame, sections: DataFrame, most_dist
     rows = measurements.join(top.drop("_k"), "site_no").where((F.col("width_m") > 0) & (F.col("width_m") <= window * F.col("top_width_m")))
     enough = rows.groupBy("site_no").agg(F.count(F.lit(1)).alias("n_used")).where(F.col("n_used") >= least_n)
     return rows.join(enough, "site_no")
+
+
+def scene_validity(pixels: DataFrame, scl: str = "scl", grow: int = 1, name: str = "valid") -> DataFrame:
+    """``pixels`` with ``name``: whether neither a cell nor, within ``grow`` steps along rows and columns, another is of a bad class; an unknown class isn't bad."""
+    bad = pixels.withColumn(name, F.coalesce(~visible_class(F.col(scl)), F.lit(False)))
+    bad = dilated(bad, name, grow) if grow > 0 else bad
+    return bad.withColumn(name, ~F.col(name))

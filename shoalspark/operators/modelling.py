@@ -69,11 +69,28 @@ def coverage_grid(df: DataFrame, n: int = 10, least: int = 10) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, id_col: str, target: str, strata: int = 20, share: float = 0.2) -> DataFrame:
-    """Quantile strata of the target, the first ``share`` of each in an order made of the ids is the test set."""
-    cuts = quantile_edges(df, target, strata).where((F.col("i") > 0) & (F.col("i") < strata)).agg(F.sort_array(F.collect_list("edge")).alias("_q"))  # one row
-    binned = df.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.expr(f"size(filter(_q, q -> q < {target}))")).drop("_q")
-    w = Window.partitionBy("stratum").orderBy(F.pmod(F.col(id_col) * 7919 + 42, F.lit(10007)), id_col)
-    return binned.withColumn("is_test", F.percent_rank().over(w) < share)
+    """Quantile strata of the target; of each, the rows whose percent rank in an order made of the ids is below ``share`` are the test set.
+
+    A stratum of one row joins the largest one. Counts of the order's 10,007 keys tell the key that a stratum's
+    test set ends in; only the rows of that key are numbered. Rows without a target are in the first stratum.
+    """
+    cuts = checkpointed(quantile_edges(df, target, strata).where((F.col("i") > 0) & (F.col("i") < strata)).agg(F.sort_array(F.collect_list("edge")).alias("_q")))  # one row
+    binned = df.crossJoin(F.broadcast(cuts)).withColumn("_own", F.expr(f"size(filter(_q, q -> q < {target}))")).drop("_q")
+    binned = binned.withColumn("_key", F.coalesce(F.pmod(F.col(id_col) * 7919 + 42, F.lit(10007)), F.lit(-1)))
+    count = checkpointed(binned.groupBy("_own", "_key").agg(F.count(F.lit(1)).alias("_n")))  # strata x 10,008 rows at most
+    sizes = count.groupBy("_own").agg(F.sum("_n").alias("_all"))
+    largest = sizes.agg(F.max_by("_own", F.struct("_all", -F.col("_own"))).alias("_largest"))  # one row
+    merged = sizes.crossJoin(F.broadcast(largest)).select("_own", F.when(F.col("_all") < 2, F.col("_largest")).otherwise(F.col("_own")).alias("stratum"))
+    keys = count.join(F.broadcast(merged), "_own").groupBy("stratum", "_key").agg(F.sum("_n").alias("_n"))
+    whole = Window.partitionBy("stratum")
+    keys = keys.withColumns({"_all": F.sum("_n").over(whole), "_to": F.sum("_n").over(whole.orderBy("_key"))}).withColumn("_from", F.col("_to") - F.col("_n"))
+    rank = lambda before: F.coalesce(F.try_divide(before, F.col("_all") - 1), F.lit(0.0)) < share
+    sure = F.when(rank(F.col("_to") - 1), True).when(~rank(F.col("_from")), False)
+    marks = merged.join(keys.withColumn("_sure", sure).select("stratum", "_key", "_from", "_all", "_sure"), "stratum")
+    marked = binned.join(F.broadcast(marks), ["_own", "_key"])
+    at = F.rank().over(Window.partitionBy("stratum", "_key").orderBy(id_col)) - 1
+    ends = marked.where(F.col("_sure").isNull()).withColumn("is_test", rank(F.col("_from") + at))
+    return marked.where(F.col("_sure").isNotNull()).withColumn("is_test", F.col("_sure")).unionByName(ends).select(*df.columns, "stratum", "is_test")
 
 
 def block_folds(df: DataFrame, size_m: float, folds: int) -> DataFrame:

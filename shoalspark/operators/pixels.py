@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalspark.functions.optics import clip
+from shoalspark.operators import ordered
 from shoalspark.operators.joins import any_within, knn
 from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 from shoalspark.session import checkpointed
@@ -242,14 +243,28 @@ def fused_sources(sources: dict[str, DataFrame], grids: dict[str, tuple[float, f
 
 
 def stratified_cells(cells: DataFrame, depth: str, target: int, bin_m: float = 1.0, block: int = 10, seed: int = 42) -> DataFrame:
-    """About ``target`` cells: each stratum of depth bin and block gives its share, one at least, in an order made of the cell ids."""
+    """Exactly ``target`` cells that have a depth, or all where there are fewer, by strata of depth bin and block.
+
+    Each stratum gives one cell, if the target reaches all of them, and its share of the rest in proportion to its other
+    cells. Shares are rounded by largest remainders (the lesser stratum of equals), so that none is asked for more than it
+    has; its cells come in an order made of their ids.
+    """
+    by = ["_d", "_r", "_c"]
     strata = [F.floor(F.abs(F.col(depth)) / bin_m).alias("_d"), F.floor(F.col("prow") / block).alias("_r"), F.floor(F.col("pcol") / block).alias("_c")]
-    keyed = cells.where(F.col(depth).isNotNull()).select("*", *strata)
-    count = keyed.groupBy("_d", "_r", "_c").agg(F.count(F.lit(1)).alias("_n"))
-    total = count.agg(F.sum("_n").alias("_all"))  # one row
-    count = count.crossJoin(F.broadcast(total)).withColumn("_quota", F.ceil(F.col("_n") * target / F.col("_all")))
-    w = Window.partitionBy("_d", "_r", "_c").orderBy(F.pmod(F.col("cell") * 7919 + seed, F.lit(10007)), "cell")  # a stratum holds block x block cells at most
-    return keyed.withColumn("_k", F.row_number().over(w)).join(count, ["_d", "_r", "_c"]).where(F.col("_k") <= F.col("_quota")).select(*cells.columns)
+    keyed = cells.where(F.col(depth).isNotNull() & ~F.isnan(depth)).select("*", *strata)
+    count = checkpointed(keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    whole = count.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"), F.count(F.lit(1)).alias("_strata"))  # one row
+    one = F.when(F.col("_strata") <= target, 1).otherwise(0)
+    whole = whole.select(one.alias("_one"), (F.least("_all", F.lit(target)) - one * F.col("_strata")).alias("_left"), (F.col("_all") - one * F.col("_strata")).alias("_rest"))
+    due = (F.col("_n") - F.col("_one")) * F.col("_left")
+    share = count.crossJoin(F.broadcast(whole)).withColumns({"_whole": F.when(F.col("_rest") > 0, F.expr("(_n - _one) * _left div _rest")).otherwise(0), "_over": F.when(F.col("_rest") > 0, due % F.col("_rest")).otherwise(0)})
+    share = checkpointed(share.withColumns({"_g0": F.lit(0), "_less": -F.col("_over")}))
+    line = ordered.plain(ordered.placed(share, ["_g0"], ["_less", *by]).withColumn("_rank", F.col(ordered.PLACE)))
+    given = share.agg(F.coalesce(F.sum("_whole"), F.lit(0)).alias("_given"))  # one row
+    quota = F.col("_one") + F.col("_whole") + (F.col("_rank") < F.col("_left") - F.col("_given")).cast("int")
+    quotas = line.crossJoin(F.broadcast(given)).select(*by, quota.alias("_quota"))
+    w = Window.partitionBy(*by).orderBy(F.pmod(F.col("cell") * 7919 + seed, F.lit(10007)), "cell")  # a stratum holds block x block cells at most
+    return keyed.withColumn("_k", F.row_number().over(w)).join(quotas, by).where(F.col("_k") <= F.col("_quota")).select(*cells.columns)
 
 
 def tapered_patch(cells: DataFrame, base: str, patch: str, edge: str, measured: Column, bank: Column, taper_m: float = 50.0) -> DataFrame:

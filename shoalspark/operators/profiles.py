@@ -270,3 +270,36 @@ def _relaxed(pairs: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
 def longest_components(edges: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     length = edges.join(labels.withColumnRenamed("node", "from_node"), "from_node").groupBy("component_id").agg(F.sum("length_m").alias("length_m"), F.count(F.lit(1)).alias("edges"))
     return length.orderBy(F.col("length_m").desc(), "component_id").limit(k)
+
+
+def gated_slope(df: DataFrame, group: str, order: str, value: str, window: int = 7, least: int = 10, correlation: float = 0.7, high: float = 0.05) -> DataFrame:
+    """``df`` with ``slope``: size of the gradient of the value's rolling median, where a group's medians follow its order well enough.
+
+    Rows without both numbers have no slope and take no part. A group has slopes if it has ``least`` rows (three at the least), more than one
+    place, a median for each row (over an odd window; a third of it, and three, must be there) and a correlation of places and medians of
+    ``correlation`` either way. Inside, the gradient is that of the parabola through a row and its neighbours; at the ends, the
+    difference to the only neighbour. Rows at one place with a neighbour have no slope, none is above ``high``.
+    """
+    width = max(3, window) | 1
+    h, enough = width // 2, max(3, width // 3)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    known = F.coalesce(finite(order) & finite(value), F.lit(False))
+
+    def sloped(rows: DataFrame, w: Window) -> DataFrame:
+        held = F.array_sort(F.collect_list(value).over(w.rowsBetween(-h, h)))
+        n = F.size(held)
+        mid = (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2
+        rows = rows.withColumn("_med", F.when(n >= enough, mid))
+        near = {"_ds0": F.col(order) - F.lag(order).over(w), "_ds1": F.lead(order).over(w) - F.col(order), "_dv0": F.col("_med") - F.lag("_med").over(w), "_dv1": F.lead("_med").over(w) - F.col("_med")}
+        rows = rows.withColumns(near)
+        before, after = F.try_divide("_dv0", "_ds0"), F.try_divide("_dv1", "_ds1")
+        both = (before * F.col("_ds1") + after * F.col("_ds0")) / F.nullif(F.col("_ds0") + F.col("_ds1"), F.lit(0.0))
+        return rows.withColumn("slope", F.when(F.col("_ds0").isNull(), after).when(F.col("_ds1").isNull(), before).otherwise(both)).drop(*near)
+
+    run = max(ordered.RUN, 8 * h)
+    rows = checkpointed(ordered.windowed(ordered.placed(df.where(known), [group], [order], run), h + 1, sloped, run))
+    gate = rows.groupBy(ordered.GROUP).agg(F.count(F.lit(1)).alias("_n"), F.count("_med").alias("_m"), F.try_divide(F.covar_pop(order, "_med"), F.stddev_pop(order) * F.stddev_pop("_med")).alias("_corr"), (F.max(order) > F.min(order)).alias("_long"))
+    passed = (F.col("_n") >= max(3, least)) & (F.col("_m") == F.col("_n")) & F.col("_long") & ~F.isnan("_corr") & (F.abs("_corr") >= correlation)
+    out = rows.join(gate.select(ordered.GROUP, F.coalesce(passed, F.lit(False)).alias("_passed")), ordered.GROUP)
+    out = ordered.plain(out.withColumn("slope", F.when(F.col("_passed"), F.least(F.abs("slope"), F.lit(high))))).drop("_passed", "_med")
+    return out.unionByName(df.where(~known).withColumn("slope", F.lit(None).cast("double")))

@@ -119,3 +119,32 @@ def area_messages(west: Column, east: Column, south: Column, north: Column) -> C
             F.when((south < -90) | (north > 90), "latitude out of range"), F.when(((east - west) > 5) | ((north - south) > 5), "area is very large"),
         )
     )
+
+
+def date_messages(start: Column, end: Column, today: Column | None = None) -> Column:
+    """What is wrong with a range of dates given as text; errors end the list, warnings are on ranges that hold few scenes, too many, or none yet."""
+    today = F.current_date() if today is None else today
+    a, b = (F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date")) for c in (start, end))
+    days = F.date_diff(b, a)
+    first_scene = F.lit("2015-06-23").cast("date")  # no scene is older
+    error = F.when(a.isNull(), "error: start isn't a date").when(b.isNull(), "error: end isn't a date").when(days < 0, "error: end is before start")
+    warnings = F.array_compact(
+        F.array(
+            F.when(days == 0, "warning: a single day").when(days > 3 * 365, "warning: longer than three years"), F.when(a > today, "warning: start is to come"), F.when(b > today, "warning: end is to come"),
+            F.when(a < first_scene, "warning: start is before the first scenes"),
+        )
+    )
+    return F.when(error.isNotNull(), F.array(error)).otherwise(warnings)
+
+
+def depth_messages(deepest: Column, rmse: Column, width: Column, limit: float = 50.0) -> Column:
+    """What is wrong with a depth limit (text: a number or ``auto``), an error aimed at and a bin's width; nulls aren't judged."""
+    d = deepest.try_cast("double")
+    named = F.lower(F.trim(deepest)) == "auto"
+    return F.array_compact(
+        F.array(
+            F.when(~named & d.isNull(), "error: depth limit isn't a number or auto").when(d <= 0, "error: depth limit isn't positive").when(d > limit, "error: depth limit is beyond what light reaches").when(d > 25, "warning: depth limit is deep"),
+            F.when(rmse <= 0, "error: aimed error isn't positive").when(rmse < 0.1, "warning: aimed error is strict").when(rmse > 3, "warning: aimed error is lax"),
+            F.when(width <= 0, "error: bin isn't positive").when(width < 0.25, "warning: bin is narrow").when(width > 5, "warning: bin is wide"),
+        )
+    )

@@ -321,7 +321,11 @@ def _(p):
 @query(
     "l6_stratified_cells", "fx_pixels", doubles="depth_m",
     twin="""WITH k AS (SELECT cell, b03 * 1e2 AS depth_m, floor(b03 * 1e2 + 1e-9) AS d, prow // 10 AS r, pcol // 10 AS c FROM fx_pixels WHERE scl > 2), n AS (SELECT d, r, c, count(*) AS n FROM k GROUP BY ALL)
-        SELECT cell, depth_m FROM (SELECT k.*, row_number() OVER (PARTITION BY k.d, k.r, k.c ORDER BY (cell * 7919 + 42) % 10007, cell) AS i FROM k) q JOIN n USING (d, r, c) WHERE i <= ceil(n.n * 500 / (SELECT sum(n) FROM n))""",
+        , t AS (SELECT CASE WHEN count(*) <= 500 THEN 1 ELSE 0 END AS one, count(*) AS s, sum(n)::BIGINT AS al FROM n),
+        q AS (SELECT n.*, one, least(al, 500) - one * s AS lft, (n - one) * (least(al, 500) - one * s) AS due, al - one * s AS rest FROM n, t),
+        f AS (SELECT *, due // rest AS wh, row_number() OVER (ORDER BY due % rest DESC, d, r, c) AS rk FROM q)
+        SELECT cell, depth_m FROM (SELECT k.*, row_number() OVER (PARTITION BY k.d, k.r, k.c ORDER BY (cell * 7919 + 42) % 10007, cell) AS i FROM k) q JOIN f USING (d, r, c)
+        WHERE i <= one + wh + CASE WHEN rk <= lft - (SELECT sum(wh) FROM f) THEN 1 ELSE 0 END""",
 )
 def _(px):
     cells = px.select("cell", "prow", "pcol", F.when(C("scl") > 2, C("b03") * 100.0 + 1e-9).alias("depth_m"))

@@ -105,20 +105,73 @@ def gage_table(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(~F.col(f"`{raw.columns[0]}`").rlike(r"^\d+[sdn]$"))
 
 
+# Keys under which a scene's properties come, the preferred first.
+SCENE_KEYS = {
+    "datetime": ("datetime", "start_datetime", "end_datetime", "created"),
+    "tile": ("s2:mgrs_tile", "mgrs:tile", "sentinel:mgrs_tile", "s2:tile", "tileid", "tileId", "mgrs_tile", "mgrsTile", "s2:tile_id", "s2:tileid", "earthsearch:mgrid", "grid:code"),
+    "orbit": ("sat:relative_orbit", "s2:relative_orbit", "relative_orbit"),
+    "sun_zenith": ("s2:mean_solar_zenith", "view:sun_zenith", "sun_zenith", "mean_solar_zenith", "solar_zenith_angle"),
+    "sun_elevation": ("view:sun_elevation", "sun_elevation", "s2:sun_elevation"),
+    "sun_azimuth": ("s2:mean_solar_azimuth", "view:sun_azimuth", "sun_azimuth", "mean_solar_azimuth", "solar_azimuth_angle"),
+    "view_zenith": ("s2:mean_viewing_zenith", "view:off_nadir", "view_zenith", "mean_viewing_zenith", "viewing_zenith_angle", "s2:viewing_zenith"),
+    "view_azimuth": ("s2:mean_viewing_azimuth", "view:azimuth", "view_azimuth", "mean_viewing_azimuth", "viewing_azimuth_angle", "s2:viewing_azimuth"),
+}
+# Keys of a band's asset, the preferred first.
+ASSET_KEYS = {
+    "B02": ("B02", "B02_10m", "blue", "BLUE"), "B03": ("B03", "B03_10m", "green", "GREEN"), "B04": ("B04", "B04_10m", "red", "RED"),
+    "B08": ("B08", "B08_10m", "nir", "NIR"), "SCL": ("SCL", "SCL_20m", "scl", "SCL_20M"),
+}
+_TILE = r"(\d{2}[A-Z]{3})"
+
+
 def scene_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Scenes of JSON items: several conventions for each property, null where none is there."""
-    schema = (
-        "id string, properties struct<datetime string, created string, `eo:cloud_cover` double, `s2:mgrs_tile` string, `grid:code` string, "
-        "`sat:orbit_state` string, `view:sun_elevation` double, `s2:mean_solar_zenith` double>, assets map<string, struct<href: string, type: string>>"
-    )
-    p = F.col("properties")
-    tile = F.coalesce(p["s2:mgrs_tile"], F.regexp_extract(p["grid:code"], r"MGRS-(\w{5})", 1), F.nullif(F.regexp_extract("id", r"_T?(\d{2}[A-Z]{3})_", 1), F.lit("")))
-    return spark.read.schema(schema).json(path).select(
-        "id", F.to_timestamp(F.coalesce(p["datetime"], p["created"])).alias("dt"), p["eo:cloud_cover"].alias("cloud"), F.ltrim(tile, F.lit("T")).alias("tile"), p["sat:orbit_state"].alias("orbit"),
-        F.coalesce(p["s2:mean_solar_zenith"], 90 - p["view:sun_elevation"]).alias("sun_zenith"), "assets",
+    """Scenes of JSON items, whatever of the known keys their properties use and whether values are numbers or text.
+
+    ``tile`` comes from a key, else from a value that is a tile or speaks of one, else from the id, else it is ``UNK``; ``orbit`` is the
+    relative orbit in three digits, by key or id, else ``UNK``; ``cloud`` is 100 where it is missing. Angles and times that aren't there
+    or can't be read are null; a sun elevation stands in for a missing zenith.
+    """
+    raw = spark.read.schema("id string, properties map<string, string>, assets map<string, struct<href: string, type: string>>").json(path)
+    text = lambda k: F.try_element_at("properties", F.lit(k))
+    first = lambda role, made: F.coalesce(*(made(text(k)) for k in SCENE_KEYS[role]))
+    number = lambda c: c.try_cast("double")
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    found = lambda c, pattern: F.nullif(F.regexp_extract(F.upper(c), pattern, 1), F.lit(""))
+    sun = F.coalesce(first("sun_zenith", number), 90 - first("sun_elevation", number))
+    says = F.filter(F.map_values("properties"), lambda v: F.upper(F.trim(v)).rlike(rf"^{_TILE}$") | (F.upper(v).rlike(_TILE) & F.upper(v).rlike("MGRS|TILE|GRID")))
+    by_id = [found(F.col("id"), p) for p in (rf"_T{_TILE}_", rf"\bT{_TILE}\b", rf"\b{_TILE}\b")]
+    tile = F.coalesce(first("tile", lambda c: found(c, _TILE)), found(F.get(says, 0), _TILE), *by_id, F.lit("UNK"))
+    by_key = first("orbit", lambda c: number(c).cast("int"))
+    orbit = F.coalesce(F.when(by_key.isNotNull(), F.format_string("%03d", by_key)), F.nullif(F.regexp_extract("id", r"_R(\d{3})_", 1), F.lit("")), F.lit("UNK"))
+    return raw.select(
+        "id", F.try_to_timestamp(first("datetime", given)).alias("dt"), F.coalesce(number(text("eo:cloud_cover")), F.lit(100.0)).alias("cloud"), tile.alias("tile"), orbit.alias("orbit"),
+        sun.alias("sun_zenith"), *(first(a, number).alias(a) for a in ("sun_azimuth", "view_zenith", "view_azimuth")), "assets",
     )
 
 
+def band_asset(assets: Column, band: str) -> Column:
+    """Struct (href, suffix) of the best web link to a band among a scene's assets; null where there is none.
+
+    The band's own keys come before any key or link that names the band; of either kind those with 10 m in key or link come first, then the
+    preferred key or the earlier asset. The suffix follows the media type and, without a telling one, the link.
+    """
+    own = F.array(*map(F.lit, ASSET_KEYS.get(band.upper(), (band.upper(), band.lower()))))
+    name = F.lit(band.upper())
+
+    def ranked(e: Column, i: Column) -> Column:
+        key, href = e["key"], e["value"]["href"]
+        web = F.lower(href).rlike("^https?://")
+        fine = F.lower(key).contains("10m") | F.lower(href).contains("10m")
+        place = F.array_position(own, key)
+        score = F.when(place > 0, 10 + F.when(fine, 2).otherwise(0)).when(F.upper(key).contains(name) | F.upper(href).contains(name), 1 + F.when(fine, 5).otherwise(0))
+        media, link = F.lower(F.coalesce(e["value"]["type"], F.lit(""))), F.lower(href)
+        suffix = F.when(media.contains("jp2") | link.rlike(r"\.jp2(\?|$)"), ".jp2").when(media.rlike("tiff|cog") | link.rlike(r"\.tif(f$|\?|$)"), ".tif").otherwise(".dat")
+        return F.when(web & score.isNotNull(), F.struct((-score).alias("less"), F.when(place > 0, place).otherwise(i).alias("place"), href.alias("href"), suffix.alias("suffix")))
+
+    best = F.array_min(F.array_compact(F.transform(F.map_entries(assets), ranked)))
+    return F.when(best.isNotNull(), F.struct(best["href"].alias("href"), best["suffix"].alias("suffix")))
+
+
 def band_href(assets: Column, names: list[str]) -> Column:
     """Link of the first of the asset names that is there."""
     return F.coalesce(*(F.try_element_at(assets, F.lit(n))["href"] for n in names))
