@@ -197,29 +197,69 @@ def calibrated_sections(soundings: DataFrame, sections: DataFrame, most: float)
     )
 
 
-def local_kernel_surface(queries: DataFrame, points: DataFrame, value: str, cell_m: float, k: int = 30, length_m: float = 100.0, ridge: float = 0.01) -> DataFrame:
-    """Kernel interpolation with a Matern-3/2 kernel, solved bucket by bucket over the ``k`` points nearest to its centre.
+#: Queries that one solve of a patch answers; a patch with more is solved again for each lot.
+LOT = 4096
 
-    A bucket sees the points of its own and the eight cells around it; with
-    none there, its queries are null.
-    """
-    cell = lambda c: F.floor(F.col(c) / cell_m).cast("long")
-    q = queries.select("cell", "x", "y").withColumns({"_cx": cell("x"), "_cy": cell("y")})
-    near = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(i, j))))"))
-    p = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).cast("double").alias("v")).withColumn("_n", near)
-    p = p.withColumns({"_cx": F.floor(F.col("px") / cell_m).cast("long") + F.col("_n.i"), "_cy": F.floor(F.col("py") / cell_m).cast("long") + F.col("_n.j")}).drop("_n")
-    w = Window.partitionBy("_cx", "_cy").orderBy(F.pow(F.col("px") - (F.col("_cx") + 0.5) * cell_m, F.lit(2.0)) + F.pow(F.col("py") - (F.col("_cy") + 0.5) * cell_m, F.lit(2.0)), "point_id")
-    p = p.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
 
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)) * math.sqrt(3) / length_m
+def local_kernel_surface(
+    queries: DataFrame, points: DataFrame, value: str, cell_m: float, k: int = 30, length_m: float = 100.0, ridge: float = 0.01, kernel: str = "matern", uncertainty: str | None = None
+) -> DataFrame:
+    """One row a distinct query (cell, x, y) with ``depth`` and ``sigma``, from overlapping local solves whose weights sum to one.
+
+    A patch lies around each corner of a lattice of ``cell_m`` and is solved over the ``k`` points nearest to the corner, of
+    those within two cells of it on both axes. A query is answered by the four corners around it, with smooth weights that are 0 at a patch's
+    border, so the surface has no steps there. Kernels: ``matern`` (3/2, of ``length_m``, around the patch's mean; ``ridge``, and the
+    points' own ``uncertainty`` column squared, are noise) and ``thin_plate`` (with a plane; ``ridge`` smooths, 0 goes through the points).
+    ``sigma`` is the deviation of the mixture of the patches' predictive distributions; thin plates have none of
+    their own, so theirs tells how far the patches differ. Patches without points take no part; a query without any, or without a place, has nulls.
+    """
+    if kernel not in ("matern", "thin_plate"):
+        raise ValueError(f"no kernel {kernel}")
+    asked = queries.select("cell", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    corner = lambda low, high: F.explode(F.expr(f"flatten(transform(sequence({low}, {high}), i -> transform(sequence({low}, {high}), j -> struct(i, j))))"))
+    at = lambda c: F.floor(F.col(c) / cell_m).cast("long")
+    q = asked.where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("_n", corner(0, 1)).withColumns({"_cx": at("x") + F.col("_n.i"), "_cy": at("y") + F.col("_n.j")}).drop("_n")
+    noise = F.coalesce(F.col(uncertainty).cast("double"), F.lit(0.0)) if uncertainty else F.lit(0.0)
+    p = points.select("point_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.col(value).cast("double").alias("v"), noise.alias("u")).dropna(subset=["px", "py", "v"])
+    p = p.withColumn("_n", corner(-1, 2)).withColumns({"_cx": at("px") + F.col("_n.i"), "_cy": at("py") + F.col("_n.j")}).drop("_n")
+    off = F.pow(F.col("px") - F.col("_cx") * cell_m, F.lit(2.0)) + F.pow(F.col("py") - F.col("_cy") * cell_m, F.lit(2.0))
+    p = p.withColumn("_r", F.row_number().over(Window.partitionBy("_cx", "_cy").orderBy(off, "point_id"))).where(F.col("_r") <= k)  # k at most leave a task before the shuffle
+    patch = ["_cx", "_cy"]
+    lots = q.groupBy(*patch).agg(F.ceil(F.count(F.lit(1)) / LOT).alias("_lots"))
+    q = q.join(lots, patch).withColumn("_lot", F.pmod(F.xxhash64("cell", "x", "y"), F.col("_lots"))).drop("_lots")
+    p = p.join(lots, patch).withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lots") - 1))).drop("_lots")
+
+    def matern(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)) * cell_m * math.sqrt(3) / length_m
         return (1 + d) * np.exp(-d)
 
+    def thin(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = ((a[:, None] - b[None]) ** 2).sum(-1)
+        return 0.5 * d * np.log(np.where(d > 0, d, 1.0))
+
+    def answered(to: np.ndarray, at: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if kernel == "thin_plate":
+            plane = lambda x: np.column_stack([np.ones(len(x)), x])
+            system = np.block([[thin(at, at) + ridge * np.eye(len(at)), plane(at)], [plane(at).T, np.zeros((3, 3))]])
+            solved = np.linalg.lstsq(system, np.concatenate([v, np.zeros(3)]), rcond=None)[0]  # least norm where few points leave the plane open
+            return thin(to, at) @ solved[:-3] + plane(to) @ solved[-3:], np.zeros(len(to))
+        mean, var = v.mean(), v.var() or 1.0
+        near = matern(to, at)
+        solved = np.linalg.solve(matern(at, at) + np.diag(ridge + u * u / var), np.column_stack([v - mean, near.T]))
+        return mean + near @ solved[:, 0], var * np.maximum(0.0, 1 + ridge - (near * solved[:, 1:].T).sum(1))
+
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right) or not len(left):
-            return pd.DataFrame({"cell": left["cell"], "depth": np.nan})
-        at, mean = right[["px", "py"]].to_numpy(), right["v"].mean()
-        weights = np.linalg.solve(kernel(at, at) + ridge * np.eye(len(at)), right["v"].to_numpy() - mean)
-        return pd.DataFrame({"cell": left["cell"], "depth": mean + kernel(left[["x", "y"]].to_numpy(), at) @ weights})
-
-    return q.groupBy("_cx", "_cy").cogroup(p.groupBy("_cx", "_cy")).applyInPandas(solve, "cell long, depth double")
+            return pd.DataFrame({"cell": left["cell"], "x": left["x"], "y": left["y"], "w": 0.0, "d": 0.0, "s2": 0.0}).iloc[:0]
+        right = right.sort_values("_r")
+        mid = left[["_cx", "_cy"]].to_numpy(float)[0]
+        to, at = left[["x", "y"]].to_numpy() / cell_m - mid, right[["px", "py"]].to_numpy() / cell_m - mid
+        t = np.clip(np.abs(to), 0, 1)
+        d, s2 = answered(to, at, right["v"].to_numpy(), right["u"].to_numpy())
+        return pd.DataFrame({"cell": left["cell"], "x": left["x"], "y": left["y"], "w": (1 - t * t * (3 - 2 * t)).prod(1), "d": d, "s2": s2})
+
+    parts = q.groupBy(*patch, "_lot").cogroup(p.groupBy(*patch, "_lot")).applyInPandas(solve, "cell long, x double, y double, w double, d double, s2 double").where(F.col("w") > 0)
+    share = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+    one = parts.groupBy("cell", "x", "y").agg(share(F.col("d")).alias("depth"), share(F.col("s2")).alias("_within"), share(F.col("d") * F.col("d")).alias("_square"))
+    sigma = F.sqrt(F.greatest(F.lit(0.0), F.col("_within") + F.greatest(F.lit(0.0), F.col("_square") - F.col("depth") * F.col("depth"))))
+    return asked.join(one.select("cell", "x", "y", "depth", sigma.alias("sigma")), ["cell", "x", "y"], "left").select("cell", "depth", "sigma")

@@ -85,3 +85,8 @@ def _(ph):
 @query("i7_kernel_surface", "fx_pixels fx_points")
 def _(px, p):
     return surveys.local_kernel_surface(px, p.where("source = 'multibeam'"), "depth_m", 100.0)
+
+
+@query("i7_thin_plate_surface", "fx_pixels fx_points")
+def _(px, p):
+    return surveys.local_kernel_surface(px, p.where("source = 'multibeam'"), "depth_m", 100.0, ridge=1.0, kernel="thin_plate")
