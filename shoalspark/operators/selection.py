@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shoalspark.functions.optics import bottom_reflectance, clip, path_attenuation
 from shoalspark.operators.modelling import accuracy, block_folds, buffered_train
+from shoalspark.operators.points import source_capped
 from shoalspark.operators.quantiles import exact_quantiles, with_quantiles
 from shoalspark.session import checkpointed
 
@@ -63,6 +64,20 @@ def spanning_test_clusters(df: DataFrame, value: str = "depth_m", share: float =
     return t.withColumn("chosen", F.col("_in") | (before < share * F.col("_all"))).select("cluster", "n", "chosen")
 
 
+def adaptive_split(labelled: DataFrame, value: str = "depth_m", share: float = 0.2, drift: float = 0.05, seed: int = 42) -> DataFrame:
+    """``labelled`` (point_id, cluster) with ``is_test``: the rows of the clusters that span the values, thinned to ``share`` of all rows where they are more by ``drift``.
+
+    Thinned rows, in an order made of the ids, train; ids are distinct. One row of counts reaches the driver.
+    """
+    chosen = spanning_test_clusters(labelled, value, share).where("chosen").select("cluster")
+    test = checkpointed(labelled.join(F.broadcast(chosen), "cluster").select("point_id"))  # one row a cluster
+    n, k = labelled.count(), test.count()
+    most = int(share * n)
+    if most > 0 and k > (share + drift) * n:
+        test = source_capped(test.withColumn("source", F.lit(0)), most, seed).select("point_id")
+    return labelled.join(test.withColumn("_test", F.lit(True)), "point_id", "left").withColumn("is_test", F.coalesce("_test", F.lit(False))).drop("_test")
+
+
 def cluster_folds(df: DataFrame, folds: int, hierarchical: bool = False, seed: int = 42) -> DataFrame:
     return clustered(df, folds, seed=seed, hierarchical=hierarchical).withColumnRenamed("cluster", "fold")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from shoalspark.operators import joins, modelling, selection
+from shoalspark.operators import joins, modelling, selection, training
 from shoalspark.plans.registry import query
 from shoalspark.plans.table_queries import _ACC, _PRED, _predicted
 
@@ -44,6 +44,14 @@ def _(p):
     return selection.spanning_test_clusters(_blocks(p), share=0.5)
 
 
+@query("m7_adaptive_split", "fx_points", twin=f"""WITH {_STATS}, m AS (SELECT * FROM (SELECT cluster FROM s ORDER BY least, cluster LIMIT 1) UNION ALL SELECT * FROM (SELECT cluster FROM s ORDER BY most DESC, cluster LIMIT 1) UNION ALL {_NEAR_Q}), i AS (SELECT cluster, n, cluster IN (SELECT cluster FROM m) AS must FROM s),
+    c AS (SELECT cluster, must OR coalesce(sum(n) OVER (ORDER BY must DESC, n DESC, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.2 * (SELECT sum(n) FROM s) AS chosen FROM i),
+    t AS (SELECT point_id, row_number() OVER (ORDER BY (point_id * 7919 + 42) % 10007, point_id) AS r, count(*) OVER () AS k FROM p JOIN c USING (cluster) WHERE chosen), z AS (SELECT count(*) AS n FROM p)
+    SELECT p.point_id, t.r IS NOT NULL AND (t.k <= 0.25 * z.n OR t.r <= floor(0.2 * z.n)) AS is_test FROM p CROSS JOIN z LEFT JOIN t ON t.point_id = p.point_id""")
+def _(p):
+    return selection.adaptive_split(_blocks(p)).select("point_id", "is_test")
+
+
 @query("m7_adaptive_folds", "fx_points")
 def _(p):
     k = selection.adaptive_cluster_count(p)
@@ -117,3 +125,9 @@ def _(p, px):
     bands = ["b02", "b03", "b04"]
     each = lambda *v: dict(zip(bands, v, strict=True))
     return selection.scene_endmembers(_training(p, px), bands, each(0.08, 0.1, 0.3), each(0.09, 0.11, 0.33), each(0.015, 0.012, 0.008))
+
+
+@query("m9_training_chain", "fx_points fx_pixels")
+def _(p, px):
+    points = joins.sampled_at(p, px, BANDS, 5e5, 3.4e6, 10.0)
+    return training.accuracy_by_layer(training.train_depth_model(points, 20.0, trees=40, depth=12))
