@@ -164,9 +164,10 @@ def bimodality(df: DataFrame, value: str, points: int = 200, prominence: float =
 
 
 def depth_gaps(df: DataFrame, depth: str = "depth_m", deepest: int = 30, least: int = 10) -> DataFrame:
-    """Runs of one-metre depth bins with fewer than ``least`` points."""
-    n = df.groupBy(F.floor(F.abs(depth)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    bins = df.sparkSession.range(deepest).select(F.col("id").cast("int").alias("bin")).join(n, "bin", "left")
+    """Runs of one-metre depth bins with fewer than ``least`` points, from the surface to ``deepest`` or the deepest point, whichever is deeper."""
+    n = df.where(F.col(depth).isNotNull() & ~F.isnan(depth) & (F.abs(depth) < float("inf"))).groupBy(F.floor(F.abs(depth)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = n.agg(F.greatest(F.lit(deepest), F.coalesce(F.max("bin") + 1, F.lit(0))).alias("_to")).select(F.explode(F.sequence(F.lit(0), F.col("_to") - 1)).alias("bin"))
+    bins = every.join(n, "bin", "left")
     w = Window.partitionBy(F.lit(1)).orderBy("bin")  # one row a depth bin
     sparse = bins.where(F.coalesce("n", F.lit(0)) < least).withColumn("run", F.col("bin") - F.row_number().over(w))
     return sparse.groupBy("run").agg(F.min("bin").alias("from_m"), (F.max("bin") + 1).alias("to_m")).drop("run")

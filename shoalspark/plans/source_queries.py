@@ -43,8 +43,10 @@ def _(m):
 def _(m):
     spark = m.sparkSession
     head = spark.createDataFrame([(-3, "# made of the tables"), (-2, "site_no\twidth_ft"), (-1, "5s\t12n")], "k long, value string")
-    lines = head.unionByName(m.select(C("meas_id").alias("k"), F.concat_ws("\t", C("site_no").cast("string"), C("width_ft").cast("string")).alias("value")))
-    path = _written(lines.repartition(1).sortWithinPartitions("k").select("value"), "gages", "text")
+    head = head.withColumn("part", F.explode(F.array(*map(F.lit, range(4)))))  # each file has its own
+    lines = head.unionByName(m.select(C("meas_id").alias("k"), F.concat_ws("\t", C("site_no").cast("string"), C("width_ft").cast("string")).alias("value"), (C("meas_id") % 4).cast("int").alias("part")))
+    path = shared_path(spark, "gages")
+    lines.repartition("part").sortWithinPartitions("part", "k").select("value", "part").write.partitionBy("part").text(path)
     return files.gage_table(spark, path).select("site_no", C("width_ft").cast("double").alias("width_ft"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoalspark.operators import filters, links, modelling, pixels, profiles, quality
+from shoalspark.operators import filters, links, modelling, pixels, profiles, quality, surveys
 from shoalspark.sources import files
 
 
@@ -101,3 +101,9 @@ def test_messages_of_missing_and_impossible_values(spark):
     dates, depths = quality.date_messages(F.col("a"), F.col("b"), F.lit("2024-01-01").cast("date")), quality.depth_messages(F.col("d"), F.lit(None).cast("double"), F.lit(1.0))
     got = df.select(dates.alias("x"), depths.alias("z")).collect()
     assert [r["x"] for r in got] == [["error: start isn't a date"], ["error: start isn't a date"], []] and [len(r["z"]) for r in got] == [0, 1, 0]
+
+
+def test_gaps_reach_the_deepest_point(spark):
+    df = spark.createDataFrame([(-float(d),) for d in [0.5, 1.5, 3.2, 41.7] for _ in range(10)] + [(None,), (float("nan"),)], "depth_m double")
+    assert sorted(map(tuple, surveys.depth_gaps(df).collect())) == [(2, 3), (4, 41)]
+    assert list(map(tuple, surveys.depth_gaps(df.limit(0), deepest=5).collect())) == [(0, 5)]
