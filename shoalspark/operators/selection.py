@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -139,23 +141,45 @@ FOREST_RANGES = {"numTrees": (20, 60), "maxDepth": (6, 14), "minInstancesPerNode
 BOOSTING_RANGES = {"maxIter": (10, 30), "maxDepth": (3, 6), "minInstancesPerNode": (1, 8)}
 
 
-def random_search(folded: DataFrame, features: list[str], target: str, kind: str = "forest", draws: int = 5, ranges: dict[str, tuple[int, int]] | None = None, seed: int = 42) -> DataFrame:
-    """One row a draw: its parameters and its error over the folds, best first."""
+def _drawn(folded: DataFrame, features: list[str], target: str, kind: str, draws: int, ranges: dict[str, tuple[int, int]] | None, seed: int):
+    """Each draw's number, parameters and out-of-fold predictions."""
     rng = np.random.default_rng(seed)
     ids = sorted(r[0] for r in folded.select("fold").distinct().collect())  # the folds' numbers
     ranges = ranges or (FOREST_RANGES if kind == "forest" else BOOSTING_RANGES)
     model = RandomForestRegressor if kind == "forest" else GBTRegressor
-    out = None
     for i in range(draws):
         drawn = {p: int(rng.integers(lo, hi + 1)) for p, (lo, hi) in ranges.items()}
         scored = out_of_fold(folded, features, target, model(featuresCol="features", labelCol=target, predictionCol="predicted_m", seed=seed, **drawn), ids)
         if scored is None:
             raise ValueError("no fold has enough rows")
+        yield i, drawn, scored
+
+
+def random_search(folded: DataFrame, features: list[str], target: str, kind: str = "forest", draws: int = 5, ranges: dict[str, tuple[int, int]] | None = None, seed: int = 42) -> DataFrame:
+    """One row a draw: its parameters and its error over the folds, best first."""
+    out = None
+    for i, drawn, scored in _drawn(folded, features, target, kind, draws, ranges, seed):
         row = scored.agg(*accuracy(F.col(target), F.col("predicted_m"))).select(F.lit(i).alias("draw"), *(F.lit(v).alias(p) for p, v in drawn.items()), "rmse", "r2", "n")
         out = row if out is None else out.unionByName(row)
     return out.orderBy("rmse", "draw")
 
 
+def search_scores(folded: DataFrame, features: list[str], target: str, kind: str = "forest", draws: int = 5, ranges: dict[str, tuple[int, int]] | None = None, seed: int = 42) -> DataFrame:
+    """One row a draw and fold: ``draw``, ``params`` (JSON), ``fold``, ``rmse``; what a tuning report is made of."""
+    out = None
+    for i, drawn, scored in _drawn(folded, features, target, kind, draws, ranges, seed):
+        rows = fold_metrics(scored, target).select(F.lit(i).alias("draw"), F.lit(json.dumps(drawn)).alias("params"), "fold", "rmse")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def tuning_report(scores: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` best draws: ``rank`` (equal means share one), mean and deviation of the error over the folds, parameters; of equals the lesser draws. Draws without an error take no part."""
+    each = scores.groupBy("draw").agg(F.min("params").alias("params"), F.round(F.avg("rmse"), 9).alias("mean_rmse"), F.stddev_pop("rmse").alias("std_rmse"), F.count("rmse").alias("folds")).where(F.col("folds") > 0)
+    ranked = each.withColumn("rank", F.rank().over(Window.partitionBy(F.lit(1)).orderBy("mean_rmse")))  # one row a draw
+    return ranked.orderBy("rank", "draw").limit(n)
+
+
 def stacked(folded: DataFrame, features: list[str], target: str, key: str, regressors: dict[str, object]) -> tuple[DataFrame, object]:
     """Out-of-fold predictions of each regressor as columns with their linear blend, and the blend's model."""
     ids = sorted(r[0] for r in folded.select("fold").distinct().collect())  # the folds' numbers

@@ -131,3 +131,16 @@ def _(p, px):
 def _(p, px):
     points = joins.sampled_at(p, px, BANDS, 5e5, 3.4e6, 10.0)
     return training.accuracy_by_layer(training.train_depth_model(points, 20.0, trees=40, depth=12))
+
+
+@query(
+    "l8_tuning_report", "fx_points", doubles="mean_rmse std_rmse",
+    twin="""WITH f AS (SELECT point_id % 23 AS draw, user_fold AS fold, sqrt(avg(pow(depth_m + 5 + point_id % 23 % 7, 2))) AS rmse FROM (SELECT *, CAST(floor(x / 300) AS INT) % 4 AS user_fold FROM fx_points) GROUP BY 1, 2),
+        d AS (SELECT draw, concat('{"shift": ', draw % 7, '}') AS params, round(avg(rmse), 9) AS mean_rmse, stddev_pop(rmse) AS std_rmse, count(rmse) AS folds FROM f GROUP BY draw)
+        SELECT * FROM (SELECT *, rank() OVER (ORDER BY mean_rmse) AS rank FROM d) ORDER BY rank, draw LIMIT 10""",
+)
+def _(p):
+    drawn = p.select((C("point_id") % 23).alias("draw"), (F.floor(C("x") / 300) % 4).alias("fold"), "depth_m")
+    e = C("depth_m") + 5 + C("draw") % 7
+    scores = drawn.groupBy("draw", "fold").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    return selection.tuning_report(scores.withColumn("params", F.concat(F.lit('{"shift": '), (C("draw") % 7).cast("string"), F.lit("}"))))

@@ -75,3 +75,13 @@ def test_adaptive_split_thins_to_the_share(spark):
     assert len(got) == 600 and len(test) == 120 and {r["cluster"] for r in test} <= chosen
     want = sorted((r["point_id"] for r in got if r["cluster"] in chosen), key=lambda i: ((i * 7919 + 42) % 10007, i))[:120]
     assert sorted(r["point_id"] for r in test) == sorted(want)
+
+
+def test_report_of_a_search(spark, points):
+    t = points.where("depth_m is not null and not isnan(b02)").withColumns({"fold": (F.col("y") / 10).cast("int"), "depth_pos": F.abs("depth_m")})
+    scores = selection.search_scores(t, ["b02"], "depth_pos", draws=2, ranges={"numTrees": (2, 4), "maxDepth": (2, 5)})
+    scores = scores.unionByName(scores.where("draw = 1").withColumn("draw", F.lit(7))).unionByName(scores.limit(1).withColumn("draw", F.lit(9)).withColumn("rmse", F.lit(None).cast("double")))
+    got, rows = selection.tuning_report(scores).collect(), scores.collect()
+    mean = {d: np.mean([r["rmse"] for r in rows if r["draw"] == d]) for d in (0, 1, 7)}
+    assert [r["draw"] for r in got] == sorted(mean, key=lambda d: (round(mean[d], 9), d)) and [r["rank"] for r in got] in ([1, 2, 2], [1, 1, 3])
+    assert all(abs(r["mean_rmse"] - mean[r["draw"]]) < 1e-8 and "numTrees" in r["params"] and r["folds"] == 3 for r in got)
