@@ -99,7 +99,7 @@ def _(p):
 
 @query("m19_importance", "fx_points fx_pixels")
 def _(p, px):
-    _, model = modelling.fit_depth_model(_training(p, px), BANDS, "depth_pos", trees=8, depth=6)
+    _, model = modelling.fit_depth_model(_training(p, px), BANDS, "depth_pos")
     return selection.importance_table(p.sparkSession, model, BANDS)
 
 

@@ -704,7 +704,7 @@ def _(p, px):
     bands = ["b02", "b03", "b04", "b08"]
     t = joins.sampled_at(p, px, bands, 5e5, 3.4e6, 10.0).withColumn("depth_pos", F.abs("depth_m")).dropna(subset=bands)
     t = modelling.block_folds(t, 300.0, 5)
-    assembler, model = modelling.fit_depth_model(t.where("fold <> 0"), bands, "depth_pos", trees=10, depth=6)
+    assembler, model = modelling.fit_depth_model(t.where("fold <> 0"), bands, "depth_pos")
     scored = model.transform(assembler.transform(t.where("fold = 0")))
     return scored.groupBy("source").agg(*modelling.accuracy(C("depth_pos"), C("predicted_m")))
 
