@@ -125,6 +125,21 @@ def bankfull_curve(area_km2: Column, c: float, f: float, uncertainty_pct: float
     return {"dmax_m": c * F.pow(area_km2, F.lit(f)), "weight": F.lit(0.6 * (1 - uncertainty_pct / 100))}
 
 
+# Bankfull mean depth = c * A^f (m, km2) by region, and its uncertainty in per cent.
+BANKFULL_CURVES = {
+    "default": (0.25, 0.30, 40.0), "coastal_plain": (0.22, 0.32, 45.0), "piedmont": (0.20, 0.33, 40.0), "appalachian": (0.18, 0.35, 45.0), "great_plains": (0.15, 0.30, 55.0),
+}
+
+
+def source_sigma(source: Column, n: Column, r2: Column, stage_weight: Column, cv: Column, gage_weight: Column) -> Column:
+    """Standard deviation of a section's depth by what it rests on, in metres."""
+    loose = lambda cond, factor: F.when(cond, factor).otherwise(1.0)
+    sounded = F.greatest(F.lit(0.35), 0.9 / F.sqrt(F.greatest(n, F.lit(1))))
+    staged = loose(r2 < 0.85, 1.2) * loose(stage_weight < 0.5, 1.2)
+    gaged = 1.2 * loose(cv > 0.5, 1.3) * (1 + F.greatest(F.lit(0.0), 0.6 - F.coalesce(gage_weight, F.lit(0.6))))
+    return clip(F.when(source == "soundings", sounded).when(source == "width_stage", staged).when(source == "gage", gaged).otherwise(1.5), 0.25, 5.0)
+
+
 def width_stage_weight(n: Column, r2: Column) -> Column:
     return F.when((n >= 6) & (r2 >= 0.25), 0.8 * clip(F.sqrt(n / 12), None, 1.0) * (0.25 + 0.75 * r2)).otherwise(0.0)
 

@@ -8,10 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.functions import hydraulics as hy
 from shoalspark.functions import optics, uncertainty
 from shoalspark.functions.optics import clip
-from shoalspark.operators import alignment, modelling, pixels, profiles, surveys
+from shoalspark.operators import alignment, modelling, pixels, rivers, surveys
 from shoalspark.operators.quantiles import exact_quantiles
 from shoalspark.session import checkpointed
 
@@ -81,43 +80,9 @@ def optical_composite(scenes: DataFrame, stack: DataFrame, bands: list[str], mos
 # -- river depth
 
 
-def river_depths(sections: DataFrame, measurements: DataFrame, soundings: DataFrame | None = None, window: int = 7, low: float = 0.5, high: float = 15.0, cv_warn: float = 0.5, ratio_most: float = 3.0) -> DataFrame:
-    """Depth and bed of sections (xs_id, river_id, s_center_m, width_m, wse_m, bank_min_m, site_no) and what they rest on.
-
-    Soundings (xs_id, n, median_m) replace the width prior. Where none are, the
-    width-stage slope of the site blends in, then the site's measured areas,
-    less so with unstable coefficients or a bank width far above the measured
-    ones. Then clipping, smoothing along the river, and a bed 5 cm below the
-    lower bank at most.
-    """
-    w_m = F.col("width_ft") * hy.FOOT
-    slope = measurements.groupBy("site_no").agg(F.regr_slope(F.col("stage_ft") * hy.FOOT, w_m).alias("_beta"), F.regr_r2("stage_ft", "width_ft").alias("_r2"), F.regr_count("stage_ft", "width_ft").alias("_ws_n"))
-    q = measurements.groupBy("site_no").agg(F.percentile("discharge_cfs", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    calm = measurements.join(q, "site_no").where(F.col("discharge_cfs").between(F.get("_q", F.lit(0)), F.get("_q", F.lit(1))) & (F.col("width_ft") > 0))
-    k = hy.dmax_of_mean(F.col("area_sqft") * hy.SQUARE_FOOT / w_m) / F.sqrt(w_m)
-    site = calm.groupBy("site_no").agg(F.median(k).alias("_a"), (F.stddev_samp(k) / F.avg(k)).alias("_cv"), F.median(w_m).alias("_wm"))
-    bank = sections.groupBy("site_no").agg(F.median("width_m").alias("_wb"))
-    x = sections
-    for part in (slope, site, bank):
-        x = x.join(part, "site_no", "left")
-    if soundings is not None:
-        x = x.join(soundings.select("xs_id", F.col("n").alias("_sn"), F.col("median_m").alias("_sd")), "xs_id", "left")
-    else:
-        x = x.withColumns({"_sn": F.lit(None).cast("long"), "_sd": F.lit(None).cast("double")})
-    sounded = F.coalesce(F.col("_sn") > 0, F.lit(False))
-    prior = hy.width_prior(F.col("width_m"), low=low, high=high)
-    by_stage = hy.width_stage_dmax(F.col("_beta"), F.col("width_m"))
-    stage_w = F.when(~sounded & (by_stage > 0), hy.width_stage_weight(F.col("_ws_n"), F.col("_r2")))
-    x = x.withColumns({"_d": F.when(sounded, F.col("_sd")).otherwise(prior), "_w": F.coalesce(stage_w, F.lit(0.0))})
-    x = x.withColumn("_d", F.when(F.col("_w") > 0, (1 - F.col("_w")) * F.col("_d") + F.col("_w") * clip(by_stage, low, high)).otherwise(F.col("_d")))
-    ratio = F.col("_wb") / F.col("_wm")
-    gage_w = F.when(ratio > ratio_most, ratio_most / ratio).otherwise(1.0) * F.when(F.col("_cv") > 0, F.least(F.lit(1.0), cv_warn / F.col("_cv"))).otherwise(1.0)
-    gaged = ~sounded & F.col("_a").isNotNull()
-    x = x.withColumn("_d", F.when(gaged, (1 - gage_w) * F.col("_d") + gage_w * clip(F.col("_a") * F.sqrt("width_m"), low, high)).otherwise(F.col("_d")))
-    source = F.when(sounded, "soundings").when(gaged, "gage").when(F.col("_w") > 0, "width_stage").otherwise("prior")
-    x = x.withColumns({"depth_raw_m": clip(F.col("_d"), low, high), "depth_source": source})
-    x = profiles.rolling_smooth(x, "river_id", "s_center_m", "depth_raw_m", window, max(1, window // 3)).withColumn("depth_m", F.coalesce("smooth", "depth_raw_m"))
-    return x.select("xs_id", "river_id", "s_center_m", "depth_source", "depth_raw_m", "depth_m", F.least(F.col("wse_m") - F.col("depth_m"), F.col("bank_min_m") - 0.05).alias("bed_m"))
+def river_depths(sections: DataFrame, measurements: DataFrame, soundings: DataFrame | None = None, **settings) -> DataFrame:
+    """Depth and bed of sections whose level and banks are known, and what they rest on; see ``rivers.calibrated_depths``."""
+    return rivers.calibrated_depths(sections, measurements, soundings, **settings).select("xs_id", "river_id", "s_center_m", "depth_source", "depth_raw_m", "depth_m", "bed_m")
 
 
 # -- scenes

@@ -37,13 +37,6 @@ def _(s, st):
     return pipelines.optical_composite(s.withColumn("day_no", C("day_no") % 5), st, ["b02", "b03", "b04", "b08"], most_cloud=60.0, dates=4)
 
 
-@query("p7_river_depths", "fx_sections fx_measurements")
-def _(xs, m):
-    x = xs.withColumns({"site_no": (C("xs_id") % 30).cast("int"), "bank_min_m": C("wse_m") + 1 - C("xs_id") % 5})
-    sounded = xs.where("xs_id % 9 = 0").select("xs_id", F.lit(3).cast("long").alias("n"), C("depth_pred_m").alias("median_m"))
-    return pipelines.river_depths(x, m, sounded)
-
-
 @query("m14_predicted_with_uncertainty", "fx_pixels", doubles="depth_pred_m sigma_m confidence", twin="""WITH z AS (SELECT *, b04 * 10 AS kd, 30 * ln(1000 * b02) / ln(1000 * b03) - 22 AS depth_pred_m FROM fx_pixels WHERE land = 0),
     s AS (SELECT *, least(10.0, greatest(0.05, sqrt(0.0625 + pow(0.05 + 0.15 * abs(kd * depth_pred_m), 2) + pow(0.03 * abs(depth_pred_m), 2) + pow(0.2 * greatest(abs(depth_pred_m) - 6, 0), 2) + pow(0.1 + 0.05 * (pcol * 100.0 / 1000), 2) + 0.0064))) AS sigma_m FROM z)
     SELECT cell, depth_pred_m, sigma_m, greatest(0.0, least(1.0, 1 / (1 + sigma_m / (depth_pred_m + 0.5) * 0.3) * CASE WHEN kd * depth_pred_m > 4 THEN 0.15 WHEN kd * depth_pred_m > 3 THEN 0.5 ELSE 1 END * CASE WHEN depth_pred_m / 6.0 > 2 THEN 0.03 WHEN depth_pred_m / 6.0 > 1.5 THEN 0.3 ELSE 1 END)) AS confidence FROM s""")
