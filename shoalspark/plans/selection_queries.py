@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalspark.operators import joins, modelling, selection, training
@@ -103,10 +106,19 @@ def _(p, px):
     return selection.importance_table(p.sparkSession, model, BANDS)
 
 
-@query("m20_chosen_variant", "fx_points", twin=f"""WITH e AS (SELECT sqrt(avg(pow(pred - depth_m, 2))) AS a, sqrt(avg(pow(pred + 0.01 - depth_m, 2))) AS b FROM {_PRED}) SELECT CASE WHEN a + 0.05 < b THEN 'one' WHEN b + 0.05 < a THEN 'two' ELSE 'two' END AS name, CASE WHEN abs(a - b) > 0.05 THEN 'lower error' ELSE 'errors tie, higher coherence' END AS reason FROM e""")
+#: (case, shift of the second variant's depths, coherence of the first, of the second)
+_VARIANTS = (("near", 0.01, 0.4, 0.6), ("near_coherent", 0.01, 0.7, 0.6), ("equal", 0.0, 0.5, 0.5), ("deeper", -3.0, 0.4, 0.6), ("higher", 3.0, 0.6, 0.4))
+
+
+@query(
+    "m20_chosen_variant", "fx_points",
+    twin=f"""WITH e AS (SELECT v.*, sqrt(avg(pow(pred - depth_m, 2))) AS a, sqrt(avg(pow(pred + shift - depth_m, 2))) AS b FROM {_PRED}, (VALUES {", ".join(map(str, _VARIANTS))}) v(variant, shift, c1, c2) GROUP BY ALL)
+        SELECT variant, CASE WHEN a + 0.05 < b THEN 'one' WHEN b + 0.05 < a THEN 'two' WHEN c1 >= c2 THEN 'one' ELSE 'two' END AS name, CASE WHEN abs(a - b) > 0.05 THEN 'lower error' ELSE 'errors tie, higher coherence' END AS reason FROM e""",
+)
 def _(p):
-    rmse = lambda d, n, c: d.agg(F.lit(n).alias("name"), F.sqrt(F.avg(F.pow(C("pred") - C("depth_m"), F.lit(2.0)))).alias("rmse"), F.lit(c).alias("coherence"))
-    return selection.chosen_variant(rmse(_predicted(p), "one", 0.4), rmse(_predicted(p).withColumn("pred", C("pred") + 0.01), "two", 0.6))
+    rmse = lambda n, shift, c: _predicted(p).agg(F.lit(n).alias("name"), F.sqrt(F.avg(F.pow(C("pred") + shift - C("depth_m"), F.lit(2.0)))).alias("rmse"), F.lit(c).alias("coherence"))
+    chosen = [selection.chosen_variant(rmse("one", 0.0, c1), rmse("two", shift, c2)).select(F.lit(case).alias("variant"), "*") for case, shift, c1, c2 in _VARIANTS]
+    return reduce(DataFrame.unionByName, chosen)
 
 
 @query("m11_line_residuals", "fx_pixels")

@@ -743,9 +743,16 @@ def _(p):
     return s.add(quality.rmse_below(_predicted(p), "depth_m", "pred")).add(quality.depth_sign(p)).run()
 
 
-@query("q4_suite_summary", "fx_points", doubles="pass_rate", twin="SELECT CAST(3 AS BIGINT) AS n, CAST(2 AS BIGINT) AS passed, 2 / 3.0 AS pass_rate, CAST(1 AS BIGINT) AS critical_failures FROM (SELECT count(*) FROM fx_points)")
+@query(
+    "q4_suite_summary", "fx_points", doubles="pass_rate",
+    twin=f"""WITH c AS (SELECT true AS critical, count(*) FILTER (source = 'extra_xyz') > 0 AS ok FROM fx_points UNION ALL SELECT true, count(*) FILTER (source = 'nowhere') > 0 FROM fx_points
+        UNION ALL SELECT true, avg(CASE WHEN depth_m > 0 THEN 1.0 ELSE 0.0 END) <= 0.9 FROM fx_points UNION ALL SELECT false, abs(avg(sample_weight) FILTER (source = 'extra_xyz') - 3) <= 0.3 FROM fx_points
+        UNION ALL SELECT true, sqrt(avg(pow(pred - depth_m, 2))) < 0.01 FROM {_PRED})
+        SELECT count(*) AS n, count(*) FILTER (ok) AS passed, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS pass_rate, count(*) FILTER (critical AND NOT ok) AS critical_failures FROM c""",
+)
 def _(p):
-    return quality.Suite().add(quality.source_present(p)).add(quality.source_present(p, "nowhere")).add(quality.depth_sign(p)).summary()
+    s = quality.Suite().add(quality.source_present(p)).add(quality.source_present(p, "nowhere")).add(quality.depth_sign(p))
+    return s.add(quality.mean_weight_near(p, "extra_xyz", 3.0)).add(quality.rmse_below(_predicted(p), "depth_m", "pred", 0.01)).summary()
 
 
 @query("q5_area_rules", "fx_points", twin="""SELECT point_id, CASE WHEN point_id % 4 = 0 THEN 'west is not below east' ELSE '' END AS messages FROM fx_points""")
@@ -754,10 +761,16 @@ def _(p):
     return p.select("point_id", F.concat_ws("; ", quality.area_messages(w, e, C("latitude"), C("latitude") + 1)).alias("messages"))
 
 
-@query("q7_grid_compatibility", "fx_pixels", doubles="value", twin="SELECT 'same_grid' AS \"check\", false AS passed, 1.0 AS value, 'grids differ' AS message, true AS critical FROM (SELECT count(*) FROM fx_pixels)")
+@query(
+    "q7_grid_compatibility", "fx_pixels", doubles="value",
+    twin="""WITH g AS (SELECT min(x) AS x0, max(y) AS y0, max(pcol) + 1 AS ncol, min(x) FILTER (scl = 6) AS x6, max(y) FILTER (scl = 6) AS y6, max(pcol) FILTER (scl = 6) + 1 AS n6 FROM fx_pixels),
+        v AS (SELECT name, value, value = 0 AS passed FROM (SELECT 'whole' AS name, 0.0 AS value FROM g WHERE x0 IS NOT NULL UNION ALL SELECT 'water', CAST((x0 IS DISTINCT FROM x6)::INT + (y0 IS DISTINCT FROM y6)::INT + (ncol IS DISTINCT FROM n6)::INT AS DOUBLE) FROM g))
+        SELECT name, 'same_grid' AS "check", passed, value, CASE WHEN passed THEN 'ok' ELSE 'grids differ' END AS message, true AS critical FROM v""",
+)
 def _(px):
-    g = px.agg(F.min("x").alias("x0"), F.max("y").alias("y0"), F.lit(10.0).alias("dx"))
-    return quality.same_grid(g, g.withColumn("dx", F.lit(20.0)))
+    grid = lambda d: d.agg(F.min("x").alias("x0"), F.max("y").alias("y0"), (F.max("pcol") + 1).alias("ncol"))
+    named = lambda name, d: quality.same_grid(grid(px), grid(d)).select(F.lit(name).alias("name"), "*")
+    return named("whole", px).unionByName(named("water", px.where("scl = 6")))
 
 
 @query("q8_nonfinite_report", "fx_points", twin="SELECT 'depth_m' AS \"column\", count(*) AS n, count(*) - count(depth_m) AS nonfinite FROM fx_points UNION ALL SELECT 'sample_weight', count(*), count(*) - count(sample_weight) FROM fx_points")
