@@ -30,6 +30,7 @@ list allows all; an empty table gives no row.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +111,18 @@ def possible_hits(asked: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
     return found.select(asked.columns)
 
 
+def flagged(asked: DataFrame, bloom: DataFrame, blocks: int, name: str) -> DataFrame:
+    """``asked`` (with ``kind`` and ``key``, which go) and whether the filter lets a row through; ``bloom`` is broadcast."""
+    kept = [c for c in asked.columns if c not in ("kind", "key")]
+    found = asked.select(*kept, _block(blocks), *(b.alias(f"b{i}") for i, b in enumerate(_bits()))).join(F.broadcast(bloom), "block", "left")
+    hit = reduce(lambda a, b: a & b, (F.col(w).bitwiseAND(F.col(f"b{i}")) != 0 for i, w in enumerate(_WORDS)))
+    return found.select(*kept, F.coalesce(hit, F.lit(False)).alias(name))
+
+
+def blocks_for(keys: int, bits_per_key: int = BITS_PER_KEY, max_blocks: int = MAX_BLOCKS) -> int:
+    return max(1, min(max_blocks, -(-keys * bits_per_key // 512)))
+
+
 def asked_keys(parsed: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
     """``(row, kind, key, host_length)``: the canonical URL, and host endings of so many labels with path beginnings of such lengths."""
     own = F.when(F.col("canonical").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("canonical").alias("key"), F.lit(0).alias("host_length")))
@@ -148,7 +161,7 @@ def filter_urls(
     parsed = materialise(parse_urls(pages, id_col, url_col), "urls")
     entries = materialise(list_entries(rules, listed), "url-list")
     n = entries.count()
-    blocks = max(1, min(max_blocks, -(-n * bits_per_key // 512)))
+    blocks = blocks_for(n, bits_per_key, max_blocks)
     # as many as rules differ in labels and path lengths
     sizes = sorted((r["labels"], r["path_length"]) for r in entries.where("kind = 1").select("labels", "path_length").distinct().collect())
     hits = materialise(possible_hits(asked_keys(parsed, sizes), bloom_blocks(entries, blocks), blocks), "url-hits")

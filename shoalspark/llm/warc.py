@@ -15,8 +15,11 @@ before it, so that an altered byte of ids or sizes is found too; a revisit's siz
 
 A file holds ``RECORDS_A_FILE`` records of up to ``SMALL_PAGE`` bytes, or as many larger
 ones as keep it under ``FILE_BYTES``, so that it fits one binary row; tables with
-larger pages take a second pass for them. Digests of repeated payloads meet the
-pages by broadcast up to a counted bound, else by a shuffle of deflated payloads.
+larger pages take a second pass for them. Which pages revisit others is found on ids and digests
+alone, as revisit records hold no payload. A Bloom filter of repeated digests and
+their responses, and one of the digests that pass the first by chance, let pages whose record is
+certain go straight to the writer; only responses of repeated payloads, and the few that
+both filters can't tell, are deflated and shuffled to an exact join.
 
 Defined cases: null html is an empty payload; very long html is one record; a null url
 gives no target URI and blanks in one are escaped; a null id, or one that is no whole
@@ -34,17 +37,19 @@ import posixpath
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalspark.llm.common import map_batches, materialise, scratch_path, text_or_empty
+from shoalspark.llm.urls import bloom_blocks, blocks_for, flagged
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_A_FILE, SMALL_PAGE, FILE_BYTES = 1000, 1 << 18, 1 << 28
-#: Digests of repeated payloads, 40 bytes each, up to which they are broadcast; beyond, payloads are deflated and joined by shuffle.
-FEW_DIGESTS = 100_000
+#: Pages that share a payload from which its digest is broadcast, and how many such digests there can be.
+HOT, MAX_HOT = 100_000, 10_000
 
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HTTP = b"\r\n\r\n"
@@ -75,27 +80,69 @@ def _mapped(df: DataFrame, name: str, kind: str, fn: Callable[[bytes], bytes]) -
     return map_batches(df, run, schema)
 
 
-def payload_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, few: int | None = None) -> DataFrame:
-    """``(id, url, payload, digest, response)``: ``response`` is the id whose record holds the payload."""
+def _revisits() -> Column:
+    """Whether a page's record refers to another's; ids may be null."""
+    return F.coalesce(F.col("response") > F.coalesce(F.col("id"), F.lit(-(1 << 63))), F.lit(False))
+
+
+def payload_records(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, hot: int = HOT, max_hot: int = MAX_HOT, most_blocks: int | None = None
+) -> DataFrame:
+    """``(id, url, size, digest, response, payload)``: ``response`` is the id whose record holds the payload, which is null in revisits.
+
+    ``most_blocks`` bounds the filters; a fuller one sends more payloads through the shuffle, with the same rows.
+    """
     p = pages.select(F.col(id_col).try_cast("long").alias("id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("payload"))
-    p = p.withColumn("digest", sha1_base32(F.col("payload").cast("binary")))
-    size = F.octet_length("payload")
-    first = p.where(size >= least_bytes).select("id", "digest").groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = materialise(first, "digests")
-    if first.count() <= (FEW_DIGESTS if few is None else few):
-        joined = p.join(F.broadcast(first), "digest", "left")
-    else:
-        packed = _mapped(p, "payload", "binary", lambda x: zlib.compress(x, 1))
-        joined = _mapped(packed.join(first, "digest", "left"), "payload", "string", lambda x: zlib.decompress(x).decode("utf-8", "surrogatepass"))
-    return joined.withColumn("response", F.when(size >= least_bytes, F.coalesce("response", "id")).otherwise(F.col("id")))
+    p = p.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
+    columns = ["id", "url", "size", "digest", "response", "payload"]
+    light = materialise(p.select("id", "url", "size", "digest"), "page-digests")
+    counted = light.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = materialise(counted, "digests")
+    keys, rows = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bound = max(hot, rows // max_hot)  # at most max_hot digests can have more
+    often = repeated.where(F.col("n") > bound).select("digest", "response", F.lit(True).alias("often"))
+    seldom = repeated.where(F.col("n") <= bound).select("digest", "response", F.lit(True).alias("repeats"))
+
+    limit = {} if most_blocks is None else {"max_blocks": most_blocks}
+    digest = [F.lit(0).alias("kind"), F.col("digest").alias("key")]
+    of_response = lambda c: [F.lit(1).alias("kind"), F.concat("digest", F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit("null"))).alias("key")]
+    first_blocks = blocks_for(2 * keys, **limit)
+    first = materialise(bloom_blocks(seldom.select(*digest).unionByName(seldom.select(*of_response("response"))), first_blocks), "repeats-filter")
+
+    def met(df: DataFrame) -> DataFrame:
+        """Rows whose payload may repeat, with those of very common payloads settled."""
+        held = df.where(F.col("size") >= least_bytes).join(F.broadcast(often), "digest", "left")
+        return flagged(held.select("*", *digest), first, first_blocks, "maybe")
+
+    asked = met(light)
+    exact = asked.where("often is null and maybe").drop("often", "response").join(seldom, "digest", "left").select("id", "url", "size", "digest", "response", "repeats")
+    exact = materialise(exact, "possible-repeats")
+    again = materialise(exact.where("repeats is null").select("digest").distinct(), "false-repeats")
+    second_blocks = blocks_for(again.count(), **limit)
+    second = materialise(bloom_blocks(again.select(*digest), second_blocks), "false-repeats-filter")
+    light_columns = ["id", "url", "size", "digest", "response"]
+    revisits = asked.where("often").select(light_columns).unionByName(exact.where("repeats").select(light_columns)).where(_revisits())
+
+    pages_met = met(p)
+    pages_met = flagged(pages_met.select("*", *of_response("id")), first, first_blocks, "mine")
+    pages_met = flagged(pages_met.select("*", *digest), second, second_blocks, "false_repeat")
+    common = pages_met.where("often").where(~_revisits())
+    single = pages_met.where("often is null and not maybe").withColumn("response", F.col("id"))
+    small = p.where(F.col("size") < least_bytes).withColumn("response", F.col("id"))
+    unsure = pages_met.where("often is null and maybe and (mine or false_repeat)").select("id", "url", "size", "digest", "payload")
+    packed = _mapped(unsure, "payload", "binary", lambda x: zlib.compress(x, 1))
+    joined = packed.join(seldom, "digest", "left").withColumn("response", F.when(F.col("repeats"), F.col("response")).otherwise(F.col("id"))).where(~_revisits()).select(columns)
+    joined = _mapped(joined, "payload", "string", lambda x: zlib.decompress(x).decode("utf-8", "surrogatepass"))
+    parts = [single, common, joined, revisits.withColumn("payload", F.lit(None).cast("string"))] + ([small] if least_bytes > 0 else [])
+    return reduce(DataFrame.unionByName, (x.select(columns) for x in parts))
 
 
 def warc_record(date: str = "1970-01-01T00:00:00Z") -> Column:
     """Text of one record, without the blank lines that end it."""
     eol = "\r\n"
-    revisit = F.col("response") > F.coalesce(F.col("id"), F.lit(-(1 << 63)))
+    revisit = _revisits()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    size = F.octet_length("payload")
+    size = F.col("size")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{eol}Content-Type: text/html; charset=utf-8{eol}Content-Length: "), size.cast("string"), F.lit(eol * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     uri = F.regexp_replace(F.regexp_replace("url", r"[\r\n\t]+", "%0A"), " ", "%20")
@@ -121,7 +168,7 @@ def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_
     def write(part: DataFrame, name: str, most: int) -> None:
         part.select(warc_record().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(posixpath.join(path, name))
 
-    small = F.octet_length("payload") <= SMALL_PAGE
+    small = (F.col("size") <= SMALL_PAGE) | F.col("payload").isNull()
     write(records.where(small), "small", records_a_file)
     if largest > SMALL_PAGE:
         write(records.where(~small), "large", max(1, min(records_a_file, FILE_BYTES // largest)))

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shoalspark.llm import html, language, media, mixing, packing, quality, sharding, simhash, tokens, warc
+from shoalspark.llm import html, language, media, mixing, packing, quality, sharding, simhash, tokens, urls, warc
 from shoalspark.llm.common import table
 from shoalspark.llm.queries import BYTE_PIECES, QUERIES, WORD_PIECES, tokenizer_path
 
@@ -604,7 +604,7 @@ def test_equal_rows_are_spread_over_blocks(spark):
 # -- warc
 
 
-def test_archives_round_trip(spark, sf_dir):
+def test_archives_round_trip(spark, sf_dir, monkeypatch):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.lit("x").alias("payload"), F.lit(1).alias("digest"))
     more = spark.createDataFrame(
         [(10**6, "http://a\r\nb c", None, "x", 1), (10**6 + 1, None, "", "x", 1), (10**6 + 2, "u", "<p>WARC/1.1\r\n\r\n\r\nWARC/1.1\r\n é</p>", "x", 1), (None, "u", "<p>null id", "x", 1)], pages.schema
@@ -625,7 +625,9 @@ def test_archives_round_trip(spark, sf_dir):
         assert r["payload"] == (h if response else None)
     assert warc.archive_round_trip(frame.limit(0)).count() == 0
     plain = lambda rows: sorted(str((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], r["payload"])) for r in rows)
-    assert plain(warc.archive_round_trip(frame, few=0).collect()) == plain(rows)  # digests by shuffle
+    assert plain(warc.archive_round_trip(frame, hot=0).collect()) == plain(rows)  # all repeated digests by broadcast
+    monkeypatch.setattr(urls, "_bits", lambda: [F.lit(1).cast("long").alias(w) for w in urls._WORDS])  # filters that let all through
+    assert plain(warc.archive_round_trip(frame, most_blocks=1).collect()) == plain(rows)
 
 
 def test_large_pages_get_files_of_their_own(spark, tmp_path, monkeypatch):
