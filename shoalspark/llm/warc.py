@@ -58,12 +58,10 @@ GULP = 1 << 16
 
 
 def sha1_base32(column: Column) -> Column:
-    """Bare upper-case base32 of a column's SHA-1."""
-    digits, digest = [], F.sha1(column)
-    for i in range(4):
-        forty = F.conv(F.substring(digest, 1 + 10 * i, 10), 16, 10).cast("long")
-        digits += [F.substring(F.lit(BASE32), (F.shiftright(forty, 35 - 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(8)]
-    return F.concat(*digits)
+    """Bare upper-case base32 of a column's SHA-1; lambdas name what is used more than once, so that plans stay small."""
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    eight = lambda forty: F.concat(*(F.substring(F.lit(BASE32), (F.shiftright(forty, 35 - 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(8)))
+    return bound(F.sha1(column), lambda digest: F.concat(*(bound(F.conv(F.substring(digest, 1 + 10 * i, 10), 16, 10).cast("long"), eight) for i in range(4))))
 
 
 def _mapped(df: DataFrame, name: str, kind: str, fn: Callable[[bytes], bytes]) -> DataFrame:
