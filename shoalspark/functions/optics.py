@@ -44,7 +44,7 @@ def features(b02: Column, b03: Column, b04: Column, b08: Column, linf: dict[str,
 
 
 def log_ratio_depth(blue: Column, green: Column, m0: float = 0.0, m1: float = 5.0, n: float = 1000.0) -> Column:
-    return m0 + m1 * F.try_divide(F.ln(clip(n * blue, EPS, None)), F.ln(clip(n * green, EPS, None)))
+    return m0 + F.try_divide(m1 * F.ln(clip(n * blue, EPS, None)), F.ln(clip(n * green, EPS, None)))  # in this order; thresholds tell the last bit
 
 
 def linear_log_depth(bands: list[Column], coefficients: list[float], linf: list[float], intercept: float = 0.0) -> Column:

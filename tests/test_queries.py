@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shoalspark.functions import geo
+from shoalspark.functions import geo, optics
 from shoalspark.operators import channels, joins, modelling, pipelines, pixels, points, profiles, quantiles, selection
 from shoalspark.plans.fixtures import TABLES, view
 from shoalspark.plans.queries import ORACLE_SQL, QUERIES
@@ -279,3 +279,9 @@ def test_composite_takes_clear_values_of_the_chosen_dates(spark):
     stack = spark.createDataFrame([(0, c, d, 0.1 * (d + 1), 0.1, 0.1, 0.01, 8 if (c, d) == (0, 0) else 6) for c in range(4) for d in range(3)], "prow int, pcol int, day_no int, b02 double, b03 double, b04 double, b08 double, scl int")
     got = {r["pcol"]: (round(r["b02"], 6), r["clear_dates"]) for r in pipelines.optical_composite(scenes, stack, ["b02"], dates=2).collect()}
     assert got == {0: (0.2, 1), 1: (0.15, 2), 2: (0.15, 2), 3: (0.15, 2)}
+
+
+def test_log_ratio_depth_divides_last_as_its_twins_do(spark):
+    rows = [(b / 1000.0,) for b in range(20, 120)]
+    got = spark.createDataFrame(rows, "b double").select("b", optics.log_ratio_depth(F.col("b"), F.col("b"), -22.0, 30.0).alias("z"), F.ln(1000.0 * F.col("b")).alias("l")).collect()
+    assert all(r["z"] == 30.0 * r["l"] / r["l"] - 22.0 for r in got)
