@@ -58,10 +58,10 @@ _REACH = """r AS (SELECT prow, pcol, prow AS r0, pcol AS c0 FROM w UNION SELECT
 
 @query(
     "n7_water_components", "fx_pixels",
-    twin=f"WITH RECURSIVE w AS (SELECT prow, pcol FROM fx_pixels WHERE scl BETWEEN 4 AND 8 AND land = 0), {_REACH} SELECT prow, pcol, min(r0 * CAST(2147483648 AS BIGINT) + c0) AS component_id FROM r GROUP BY prow, pcol",
+    twin=f"WITH RECURSIVE w AS (SELECT prow, pcol FROM fx_pixels WHERE scl BETWEEN 4 AND 8), {_REACH} SELECT prow, pcol, min(r0 * CAST(2147483648 AS BIGINT) + c0) AS component_id FROM r GROUP BY prow, pcol",
 )
 def _(px):
-    return channels.mask_components(px.withColumn("w", C("scl").between(4, 8) & (C("land") == 0)), "w")
+    return channels.mask_components(px.withColumn("w", C("scl").between(4, 8)), "w")
 
 
 @query("i6_component_fill", "fx_pixels fx_points")
