@@ -48,7 +48,7 @@ def tide_at(requests: DataFrame, stations: DataFrame, predictions: DataFrame, ke
     inside = (F.col("longitude") > west) & (F.col("longitude") < east) & (F.col("latitude") > south) & (F.col("latitude") < north)
     left = checkpointed(requests.where(inside).select(F.col(key).alias("_k"), F.col("longitude").alias("x"), F.col("latitude").alias("y")))
     right = stations.select("sid", F.col("sx").alias("rx"), F.col("sy").alias("ry"))
-    near = knn(left, right, 1, most, "_k", "sid", tries=1).where(F.col("dist") < most).select("_k", "sid", "dist")
+    near = knn(left, right, 1, most, "_k", "sid").where(F.col("dist") < most).select("_k", "sid", "dist")
     linked = requests.join(near, F.col(key) == F.col("_k"), "left").drop("_k")
     return nearest_prediction(linked, predictions, ["sid"], "at", "tide")
 
