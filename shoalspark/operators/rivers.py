@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoalspark.functions import hydraulics as hy
 from shoalspark.functions.optics import clip
 from shoalspark.operators import profiles, sections
+from shoalspark.session import shuffled
 
 #: Reach attributes that a chain may use.
 ATTRIBUTES = ("drain_area_km2", "slope_mpm", "discharge_m3s", "mouth_km")
@@ -25,7 +26,7 @@ def banked_sections(samples: DataFrame, lines: DataFrame) -> DataFrame:
         F.min_by(height, F.when(F.col("is_left"), F.col("dist_m"))).alias("left_z"), F.max_by(height, F.when(F.col("is_right"), F.col("dist_m"))).alias("right_z")
     )
     levels = sections.water_levels(samples, tops)
-    return lines.join(placed, "xs_id").join(tops, "xs_id").withColumn("bank_min_m", F.least("left_z", "right_z")).join(levels, "xs_id")
+    return lines.join(shuffled(placed), "xs_id").join(shuffled(tops), "xs_id").withColumn("bank_min_m", F.least("left_z", "right_z")).join(shuffled(levels), "xs_id")
 
 
 def with_reach_attributes(x: DataFrame, reaches: DataFrame | None) -> DataFrame:
@@ -41,7 +42,7 @@ def with_reach_attributes(x: DataFrame, reaches: DataFrame | None) -> DataFrame:
     smooth = profiles.rolling_smooth(x.select("xs_id", "river_id", "s_center_m", "wse_m"), "river_id", "s_center_m", "wse_m", 9, 4)
     proxy = profiles.central_slope(smooth, "river_id", "s_center_m", "smooth").select("xs_id", F.col("slope").alias("_proxy"))
     some = fitted.agg(F.count("_fit").alias("_fits"))  # one row
-    both = x.drop("slope_mpm").join(fitted, "xs_id", "left").join(proxy, "xs_id", "left").crossJoin(F.broadcast(some))
+    both = x.drop("slope_mpm").join(shuffled(fitted), "xs_id", "left").join(shuffled(proxy), "xs_id", "left").crossJoin(F.broadcast(some))
     return both.withColumn("slope_mpm", F.when(F.col("_fits") > 0, F.col("_fit")).otherwise(F.col("_proxy"))).drop("_fit", "_proxy", "_fits")
 
 
@@ -114,7 +115,7 @@ def calibrated_depths(
     for part in (bank, slope, site):
         x = x.join(part, "_site", "left")
     if soundings is not None:
-        x = x.join(soundings.select("xs_id", F.col("n").alias("_sn"), F.col("median_m").alias("_sd")), "xs_id", "left")
+        x = x.join(shuffled(soundings.select("xs_id", F.col("n").alias("_sn"), F.col("median_m").alias("_sd"))), "xs_id", "left")
     else:
         x = x.withColumns({"_sn": F.lit(None).cast("long"), "_sd": F.lit(None).cast("double")})
     sounded = F.coalesce(F.col("_sn") > 0, F.lit(False))
@@ -137,7 +138,7 @@ def calibrated_depths(
 def bed_points(samples: DataFrame, x: DataFrame) -> DataFrame:
     """``(xs_id, dist_m, depth_m, bed_m, sigma_m)`` of the samples between the banks: a trapezoid under the water level, 5 cm below the lower bank at most."""
     banks = x.select("xs_id", F.least("left_m", "right_m").alias("_left"), F.greatest("left_m", "right_m").alias("_right"), "wse_m", "bank_min_m", F.col("depth_m").alias("_dmax"), "sigma_m")
-    held = samples.select("xs_id", "dist_m").join(banks, "xs_id").where(F.col("dist_m").between(F.col("_left"), F.col("_right")) & (F.col("_right") > F.col("_left")))
+    held = samples.select("xs_id", "dist_m").join(shuffled(banks), "xs_id").where(F.col("dist_m").between(F.col("_left"), F.col("_right")) & (F.col("_right") > F.col("_left")))
     depth = hy.trapezoid_depth(F.col("dist_m") - F.col("_left"), F.col("_right") - F.col("_left"), F.col("_dmax"))
     bed = F.when(F.col("wse_m").isNotNull(), F.least(F.col("wse_m") - F.col("_depth"), F.col("bank_min_m") - 0.05))
     return held.withColumn("_depth", depth).select("xs_id", "dist_m", F.col("_depth").alias("depth_m"), bed.alias("bed_m"), "sigma_m")

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalspark.session import shuffled
+
 
 def water_levels(samples: DataFrame, banks: DataFrame, band: float = 0.10, quantile: float = 0.10, least: int = 3, drop_m: float = 0.5) -> DataFrame:
     """Water level of each section: a low quantile of the samples (xs_id, dist_m, z, z_second) in the middle band of its length (a metre to either side at least),
     of the second raster where the first has too few, else the lower bank (xs_id, left_z, right_z) less a drop."""
     length = samples.groupBy("xs_id").agg(F.max("dist_m").alias("_len"))
-    middle = samples.join(length, "xs_id").where(F.abs(F.col("dist_m") - F.col("_len") / 2) <= F.greatest(F.lit(1.0), band * F.col("_len") / 2))
+    middle = samples.join(shuffled(length), "xs_id").where(F.abs(F.col("dist_m") - F.col("_len") / 2) <= F.greatest(F.lit(1.0), band * F.col("_len") / 2))
     low = lambda c: F.when(F.count(c) >= least, F.percentile(c, F.lit(quantile)))
     level = middle.groupBy("xs_id").agg(F.coalesce(low("z"), low("z_second")).alias("_level"))
-    return banks.join(level, "xs_id", "left").select("xs_id", F.coalesce("_level", F.least("left_z", "right_z") - drop_m).alias("wse_m"))
+    return banks.join(shuffled(level), "xs_id", "left").select("xs_id", F.coalesce("_level", F.least("left_z", "right_z") - drop_m).alias("wse_m"))
 
 
 def bank_positions(samples: DataFrame) -> DataFrame:
