@@ -58,16 +58,15 @@ def running(rows: DataFrame, **aggregates: tuple[str, Column]) -> DataFrame:
 def filled(rows: DataFrame, known: Column) -> DataFrame:
     """Adds ``_before`` and ``_after``: the last ``known`` that isn't null up to a row, and the first one from it on, in its group."""
     rows = rows.withColumn("_known", known)
-    w = Window.partitionBy(GROUP, PART).orderBy(PLACE)
-    local = rows.withColumns({
-        "_before": F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first("_known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    })
+    # the next known is the last one of the falling order: a frame up to the end would be read again from each row on
+    w = Window.partitionBy(GROUP, PART)
+    local = rows.withColumn("_after", F.last("_known", ignorenulls=True).over(w.orderBy(F.col(PLACE).desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    local = local.withColumn("_before", F.last("_known", ignorenulls=True).over(w.orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)))
     at = F.when(F.col("_known").isNotNull(), F.col(PLACE))
     ends = rows.groupBy(GROUP, PART).agg(F.max_by("_known", at).alias("_last"), F.min_by("_known", at).alias("_first"))  # one row a run
-    runs = Window.partitionBy(GROUP).orderBy(PART)
-    carry = ends.select(
-        GROUP, PART, F.last("_last", ignorenulls=True).over(runs.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", ignorenulls=True).over(runs.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
-    )
+    runs = Window.partitionBy(GROUP)
+    carry = ends.withColumn("_later", F.last("_first", ignorenulls=True).over(runs.orderBy(F.col(PART).desc()).rowsBetween(Window.unboundedPreceding, -1)))
+    carry = carry.select(GROUP, PART, F.last("_last", ignorenulls=True).over(runs.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), "_later")
     out = local.join(carry, [GROUP, PART])
     return out.withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")}).drop("_known", "_earlier", "_later")
 
