@@ -132,17 +132,17 @@ def transects(points: DataFrame, k: int = 20, radius: float = 20.0, aligned: flo
     The main direction is that of the neighbours' second moments, in closed form. A point with
     fewer than ``least`` others is on no transect; others at its own place point nowhere.
     """
-    from shoalspark.operators.joins import knn
+    from shoalspark.operators.joins import neighbour_lists
 
     right = points.select(F.col("point_id").alias("ref_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    near = knn(points.select("point_id", "x", "y"), right, k, radius, "point_id", "ref_id")
-    near = near.where(F.col("point_id") != F.col("ref_id")).withColumn("_k", F.row_number().over(Window.partitionBy("point_id").orderBy("dist", "ref_id"))).where(F.col("_k") < k)
-    v = near.select("point_id", "dist", (F.col("rx") - F.col("x")).alias("u"), (F.col("ry") - F.col("y")).alias("v"))
-    moments = v.groupBy("point_id").agg(F.sum(F.col("u") * F.col("v")).alias("uv"), F.sum(F.col("u") * F.col("u") - F.col("v") * F.col("v")).alias("diff"), F.count(F.lit(1)).alias("n"))
-    angle = 0.5 * F.atan2(2 * F.col("uv"), F.col("diff"))
-    m = moments.select("point_id", "n", F.cos(angle).alias("du"), F.sin(angle).alias("dv"))
-    along = F.abs(F.col("u") * F.col("du") + F.col("v") * F.col("dv")) > aligned * F.col("dist")
-    out = v.join(m, "point_id").groupBy("point_id").agg(F.avg((along & (F.col("dist") > 0)).cast("double")).alias("aligned_share"), F.max("n").alias("_n"))
+    near = neighbour_lists(points.select("point_id", "x", "y"), right, k, radius, "point_id", "ref_id")
+    others = F.slice(F.filter("near", lambda m: m["ref_id"] != F.col("point_id")), 1, k - 1)
+    steps = F.transform(others, lambda m: F.struct(m["dist"].alias("dist"), (m["rx"] - F.col("x")).alias("u"), (m["ry"] - F.col("y")).alias("v")))
+    v = near.select("point_id", steps.alias("_to")).where(F.size("_to") > 0)  # a row a point: its neighbours stay in one list
+    total = lambda f: F.aggregate("_to", F.lit(0.0), lambda t, m: t + f(m["u"], m["v"]))
+    m = v.withColumn("_angle", 0.5 * F.atan2(2 * total(lambda a, b: a * b), total(lambda a, b: a * a - b * b))).withColumns({"du": F.cos("_angle"), "dv": F.sin("_angle")})
+    along = F.filter("_to", lambda m: (F.abs(m["u"] * F.col("du") + m["v"] * F.col("dv")) > aligned * m["dist"]) & (m["dist"] > 0))
+    out = m.select("point_id", F.size("_to").alias("_n"), (F.size(along) / F.size("_to")).alias("aligned_share"))
     flagged = out.select("point_id", "aligned_share", ((F.col("_n") >= least) & (F.col("aligned_share") > share)).alias("is_transect"))
     return points.select("point_id").join(flagged, "point_id", "left").withColumn("is_transect", F.coalesce("is_transect", F.lit(False)))
 

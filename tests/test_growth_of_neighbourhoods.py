@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from shoalspark.operators import sampling, selection, surveys
+from shoalspark.operators import points, sampling, selection, surveys
 
 
 def plan(df):
@@ -28,6 +28,22 @@ def test_complexity_searches_each_place_once(spark, monkeypatch):
     assert np.allclose([got[i] for i in t["point_id"]], np.clip(0.4 * spread / spread.max() + 0.1, 0, 1), atol=2e-9)
 
 
+def test_transects_keep_neighbours_in_a_list(spark):
+    p = _points(spark, 300, 150)
+    out = points.transects(p, k=12)
+    assert "Window" not in plan(out)
+    got = {r["point_id"]: r for r in out.collect()}
+    t = p.toPandas()
+    x, y = t["x"].to_numpy(), t["y"].to_numpy()
+    for i in range(0, len(t), 7):
+        d = np.sqrt((x - x[i]) ** 2 + (y - y[i]) ** 2)
+        near = [j for j in np.lexsort((t["point_id"], d))[:12] if j != i][:11]
+        u, v = x[near] - x[i], y[near] - y[i]
+        angle = 0.5 * np.arctan2(2 * (u * v).sum(), (u * u - v * v).sum())
+        along = (np.abs(u * np.cos(angle) + v * np.sin(angle)) > 0.9 * d[near]) & (d[near] > 0)
+        assert np.isclose(got[t["point_id"][i]]["aligned_share"], along.mean())
+
+
 def test_no_task_reads_a_group_of_residuals(spark):
     df = spark.range(2000).select("id", (F.col("id") % 2).alias("land"), (F.col("id") % 97 / 10).alias("i")).withColumn("z", 3 * F.col("i") + F.when(F.col("id") % 50 == 0, 9.0).otherwise(0.0))
     had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
